@@ -38,11 +38,11 @@ def mean_price_by(df: DataFrame, *keys: str, price: str = "item_price",
                   out: str = "mean_price", places: int = MEAN_PLACES) -> DataFrame:
     """Unweighted mean price per sale row, rounded to ``places``.
 
-    The mean is taken over the exact decimal prices, so it does not depend on
-    the order in which partitions are combined.
+    The mean is an exact decimal quotient (rounded half up once), so it does
+    not depend on the order in which partitions are combined.
     """
-    return df.groupBy(*keys).agg(
-        F.round(F.avg(money(price)), places).cast("double").alias(out))
+    mean = F.sum(money(price)) / F.count(price)
+    return df.groupBy(*keys).agg(F.round(mean, places).cast("double").alias(out))
 
 
 def demand_stats(monthly: DataFrame, key: str = "item_id", value: str = "item_cnt_month",

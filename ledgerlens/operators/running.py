@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.joins import broadcast_if_small
+from ledgerlens.session import materialize
 
 DEFAULT_BUCKETS = 64
 # Relative accuracy of the boundary sketch; only affects bucket balance,
@@ -65,6 +66,9 @@ def prefix_sum(df: DataFrame, order_col: str, value_col: str, out_col: str = "cu
     """
     parts = list(partition_cols or [])
     if bounds is None:
+        # The input is an aggregate; write it once so the boundary job and
+        # the final job do not both recompute it from the fact table.
+        df = materialize(df)
         bounds = range_bounds(df, order_col, buckets)
     b = "_lr_bucket"
     staged = df.withColumn(b, bucket_of(order_col, bounds, descending))
@@ -104,6 +108,9 @@ def running_total(totals: DataFrame, value_col: str, key_col: str,
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
         return totals.withColumn(out_col, F.sum(v).over(w))
 
+    # One row per key, written once: it feeds the distinct values, the
+    # position pass and the final join.
+    totals = materialize(totals)
     # One row per distinct value: hot values collapse before any window.
     distinct_values = totals.groupBy(v).agg(F.sum(v).alias("_rt_s"),
                                             F.count(F.lit(1)).alias("_rt_n"))
@@ -130,6 +137,7 @@ def position_within(df: DataFrame, group_cols: list[str], order_col: str,
     but a group holding a large share of the rows is split into ranges of
     ``order_col`` first, so no single task sorts the whole group.
     """
+    df = materialize(df)
     bounds = range_bounds(df, order_col, buckets)
     b = "_pw_bucket"
     staged = df.withColumn(b, bucket_of(order_col, bounds, descending=False))

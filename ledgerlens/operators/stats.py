@@ -109,7 +109,9 @@ def describe(df: DataFrame, value_col: str, group_cols: list[str] | None = None,
                   places=places)
     if groups:
         return base.join(q, on=groups, how="inner")
-    return base.select("*", *[q.select(c).scalar().alias(c) for c in ("p25", "p50", "p75")])
+    # One scalar subquery for the three quartiles.
+    qs = q.select(F.struct("p25", "p50", "p75")).scalar()
+    return base.select("*", *[qs[c].alias(c) for c in ("p25", "p50", "p75")])
 
 
 def histogram(df: DataFrame, value_col: str, width: float,
@@ -146,7 +148,7 @@ def auto_bin_width(df: DataFrame, value_col: str) -> DataFrame:
     used. The bin count is ceil(range / width) and bins are then spread
     evenly over the range, as numpy's ``auto`` rule does.
     """
-    q = quantiles(df, value_col, [0.25, 0.75], names=["_p25", "_p75"], places=12)
+    q = quantiles(df, value_col, [0.25, 0.75], names=["_p25", "_p75"])
     v = F.col(value_col)
     base = df.filter(v.isNotNull()).agg(
         F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
