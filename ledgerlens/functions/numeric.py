@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Money is multiplied and summed as a fixed-point decimal: float inputs then
-# give the same total whatever the partitioning or the engine.
+# Money is exact integer arithmetic: a price is held in cents and a count in
+# hundredths, so one sale amount is a long in 1e-4 currency units. Long sums
+# stay inside generated code (wide decimals fall back to BigDecimal objects)
+# and give the same total whatever the partitioning or the engine. A long
+# holds per-group totals up to about 9.2e14 currency units; ANSI mode raises
+# rather than wrap if a group ever exceeds that.
+AMOUNT_UNITS = 10_000
 MONEY = "decimal(18,2)"
 
 
@@ -15,17 +20,40 @@ def _c(col) -> Column:
 
 
 def money(col) -> Column:
+    """A money value as ``decimal(18,2)`` (for display and SQL forms)."""
     return _c(col).cast(MONEY)
 
 
+def hundredths(col) -> Column:
+    """``round(x * 100)`` as a long: cents of a price, hundredths of a count."""
+    return F.round(_c(col) * F.lit(100)).cast("long")
+
+
 def line_total(price, count) -> Column:
-    """``price * count`` as an exact decimal (the sale amount of one row)."""
-    return money(price) * money(count)
+    """``price * count`` of one row, exact, as a long in 1e-4 units."""
+    return hundredths(price) * hundredths(count)
+
+
+def amount_to_double(units) -> Column:
+    """A (summed) amount in 1e-4 units as a double currency value."""
+    return (_c(units).cast("decimal(38,0)") / F.lit(AMOUNT_UNITS)).cast("double")
+
+
+def sum_money(amount) -> Column:
+    """Exact sum of a :func:`line_total` expression, returned as double."""
+    return amount_to_double(F.sum(_c(amount)))
 
 
-def sum_money(col) -> Column:
-    """Exact sum of a decimal money expression, returned as double."""
-    return F.sum(_c(col)).cast("double")
+def mean_of_cents(sum_cents, n, places: int = 4) -> Column:
+    """Mean of 2-decimal values from their sum in cents and their count,
+    rounded half up to ``places`` (<= 6) in integer arithmetic (values >= 0).
+    """
+    scale = 10 ** places
+    num = _c(sum_cents).cast("decimal(38,0)") * F.lit(2 * scale // 100) + _c(n)
+    den = _c(n).cast("decimal(38,0)") * F.lit(2)
+    # Exact floor division: (num - num mod den) / den has no remainder.
+    units = ((num - num % den) / den).cast("decimal(38,0)")
+    return F.when(_c(n) > 0, (units / F.lit(scale)).cast("double"))
 
 
 def abs_difference(a, b) -> Column:

@@ -1,7 +1,8 @@
 """Grouped aggregations of the sales model.
 
 All are hash aggregations; Spark adds the map-side partial step, so a hot
-key is combined before the shuffle. Money is summed as an exact decimal.
+key is combined before the shuffle. Money is summed exactly (see
+:mod:`ledgerlens.functions.numeric`).
 """
 
 from __future__ import annotations
@@ -9,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.numeric import line_total, money
+from ledgerlens.functions.numeric import amount_to_double, hundredths, line_total, mean_of_cents
 
 MEAN_PLACES = 4
 
 
 def with_total_sale(df: DataFrame, price: str = "item_price",
                     qty: str = "item_cnt_day", out: str = "total_sale") -> DataFrame:
-    """The amount of each row, ``price * count``, as an exact decimal."""
+    """The amount of each row, ``price * count``, exact (1e-4 units)."""
     return df.withColumn(out, line_total(price, qty))
 
 
@@ -31,18 +32,18 @@ def revenue_by(df: DataFrame, *keys: str, out: str = "total_sale",
                as_double: bool = True) -> DataFrame:
     """Exact sum of ``price * count`` per key."""
     total = F.sum(line_total(price, qty))
-    return df.groupBy(*keys).agg((total.cast("double") if as_double else total).alias(out))
+    return df.groupBy(*keys).agg((amount_to_double(total) if as_double else total).alias(out))
 
 
 def mean_price_by(df: DataFrame, *keys: str, price: str = "item_price",
                   out: str = "mean_price", places: int = MEAN_PLACES) -> DataFrame:
     """Unweighted mean price per sale row, rounded to ``places``.
 
-    The mean is an exact decimal quotient (rounded half up once), so it does
-    not depend on the order in which partitions are combined.
+    The mean is computed from the exact sum of cents and rounded half up
+    once, so it does not depend on the order partitions are combined in.
     """
-    mean = F.sum(money(price)) / F.count(price)
-    return df.groupBy(*keys).agg(F.round(mean, places).cast("double").alias(out))
+    mean = mean_of_cents(F.sum(hundredths(price)), F.count(price), places)
+    return df.groupBy(*keys).agg(mean.alias(out))
 
 
 def demand_stats(monthly: DataFrame, key: str = "item_id", value: str = "item_cnt_month",

@@ -2,7 +2,7 @@
 monthly totals, and seasonal breakdowns (R13), and the same for the five
 best-selling categories (R14).
 
-Daily totals are kept as exact decimals until the last step, so weekly,
+Daily totals are kept as exact integer amounts until the last step, so weekly,
 monthly and seasonal totals equal the daily total exactly.
 """
 
@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import dates as D
-from ledgerlens.functions.numeric import line_total
+from ledgerlens.functions.numeric import amount_to_double, line_total
 from ledgerlens.operators.joins import join_items, join_star
 
 DAY = "total_daily_sale"
-_DEC = "_daily_dec"
+_AMT = "_daily_amount"
 
 # The seasonal breakdowns and the column each one groups by.
 SEASONAL = {
@@ -27,12 +27,12 @@ SEASONAL = {
 }
 
 
-def daily_revenue(sales: DataFrame, *keys: str, keep_decimal: bool = False) -> DataFrame:
+def daily_revenue(sales: DataFrame, *keys: str, keep_amount: bool = False) -> DataFrame:
     """Revenue per (sale_date, month_num, *keys)."""
     out = sales.groupBy("sale_date", "month_num", *keys).agg(
-        F.sum(line_total("item_price", "item_cnt_day")).alias(_DEC))
-    out = out.withColumn(DAY, F.col(_DEC).cast("double"))
-    return out if keep_decimal else out.drop(_DEC)
+        F.sum(line_total("item_price", "item_cnt_day")).alias(_AMT))
+    out = out.withColumn(DAY, amount_to_double(_AMT))
+    return out if keep_amount else out.drop(_AMT)
 
 
 def _calendar(daily: DataFrame) -> DataFrame:
@@ -53,19 +53,19 @@ def sales_calendar(sales: DataFrame, *keys: str) -> DataFrame:
 
 def weekly_sales(sales: DataFrame, *keys: str) -> DataFrame:
     """Per relative week the first sale day, its Monday and revenue."""
-    daily = _calendar(daily_revenue(sales, *keys, keep_decimal=True))
+    daily = _calendar(daily_revenue(sales, *keys, keep_amount=True))
     return daily.groupBy(*keys, "week_num").agg(
         F.min("sale_date").alias("week_start_date"),
         F.min("week_monday").alias("week_monday"),
-        F.sum(_DEC).cast("double").alias("weekly_sale"))
+        amount_to_double(F.sum(_AMT)).alias("weekly_sale"))
 
 
 def monthly_sales(sales: DataFrame, *keys: str) -> DataFrame:
     """Per month counter the first sale day and revenue."""
-    daily = daily_revenue(sales, *keys, keep_decimal=True)
+    daily = daily_revenue(sales, *keys, keep_amount=True)
     return daily.groupBy(*keys, "month_num").agg(
         F.min("sale_date").alias("month_start_date"),
-        F.sum(_DEC).cast("double").alias("monthly_sale"))
+        amount_to_double(F.sum(_AMT)).alias("monthly_sale"))
 
 
 def seasonal_sales(sales: DataFrame, kind: str, *keys: str) -> DataFrame:
@@ -75,9 +75,9 @@ def seasonal_sales(sales: DataFrame, kind: str, *keys: str) -> DataFrame:
     ``month_day``, ``year_week`` (ISO week) or ``year_month``.
     """
     col = SEASONAL[kind]
-    daily = D.with_calendar(daily_revenue(sales, *keys, keep_decimal=True), "sale_date")
+    daily = D.with_calendar(daily_revenue(sales, *keys, keep_amount=True), "sale_date")
     group = [col] + ([D.weekday_name("sale_date").alias("day_name")] if kind == "weekday" else [])
-    return daily.groupBy(*keys, *group).agg(F.sum(_DEC).cast("double").alias(DAY))
+    return daily.groupBy(*keys, *group).agg(amount_to_double(F.sum(_AMT)).alias(DAY))
 
 
 def top_categories(sales: DataFrame, items: DataFrame, categories: DataFrame,

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.classes import ABC_CUTS, XYZ_CUTS, abc_class, xyz_class
-from ledgerlens.functions.numeric import line_total
+from ledgerlens.functions.numeric import sum_money, line_total
 from ledgerlens.operators.aggregates import demand_stats
 from ledgerlens.operators.joins import broadcast_if_small, join_items
 from ledgerlens.operators.running import running_total
@@ -90,7 +90,7 @@ def abc_xyz_grid(classes: DataFrame, pivot: bool = False) -> DataFrame:
 def revenue_by_key(sales: DataFrame, key: str = "item_id") -> DataFrame:
     """Exact revenue per key."""
     return sales.groupBy(key).agg(
-        F.sum(line_total("item_price", "item_cnt_day")).cast("double").alias("total_sale"))
+        sum_money(line_total("item_price", "item_cnt_day")).alias("total_sale"))
 
 
 def top_sales_in_class(classes: DataFrame, sales: DataFrame, items: DataFrame | None,

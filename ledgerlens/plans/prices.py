@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.numeric import hundredths, mean_of_cents
 from ledgerlens.operators import stats as S
 from ledgerlens.operators.aggregates import mean_price_by
 from ledgerlens.operators.joins import join_items, join_star
@@ -104,10 +105,10 @@ def mean_category_prices(sales: DataFrame, items: DataFrame,
     joins see one row per item; the mean is still per sale row.
     """
     per_item = sales.groupBy("item_id").agg(
-        F.sum(F.col("item_price").cast("decimal(18,2)")).alias("_p_sum"),
+        F.sum(hundredths("item_price")).alias("_p_sum"),
         F.count("item_price").alias("_p_n"))
     star = join_star(per_item, items.select("item_id", "item_category_id"), categories)
-    mean = F.round(F.sum("_p_sum") / F.sum("_p_n"), 4).cast("double")
+    mean = mean_of_cents(F.sum("_p_sum"), F.sum("_p_n"))
     return (star.groupBy("item_category_id", "item_category_name")
             .agg(mean.alias("mean_price"))
             .orderBy(F.desc("mean_price"), F.asc("item_category_id")))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.numeric import line_total
+from ledgerlens.functions.numeric import amount_to_double, line_total
 from ledgerlens.operators.filters import latest_day, max_date, recent_months
 from ledgerlens.operators.joins import join_dimension, join_items
 
@@ -34,7 +34,7 @@ def report_by_category(log: DataFrame, items: DataFrame, categories: DataFrame,
                           categories, "item_category_id")
     return (star.groupBy("item_category_id", "item_category_name")
             .agg(F.sum("num_sold").alias("num_sold"),
-                 F.sum("sales").cast("double").alias("sales"))
+                 amount_to_double(F.sum("sales")).alias("sales"))
             .orderBy(F.asc("sales"), F.asc("item_category_id")))
 
 
@@ -53,7 +53,7 @@ def report_top_goods_sale(log: DataFrame, items: DataFrame, k: int = TOP_K,
     """The ``k`` items with the most revenue on the latest day."""
     day = latest_day(log, month_col=month_col)
     sale = day.groupBy("item_id").agg(
-        F.sum(line_total("item_price", "item_cnt_day")).cast("double").alias("sale"))
+        amount_to_double(F.sum(line_total("item_price", "item_cnt_day"))).alias("sale"))
     named = join_items(sale, items.select("item_id", "item_name"))
     return (named.select("item_id", "item_name", "sale")
             .orderBy(F.desc("sale"), F.asc("item_id")).limit(k))
