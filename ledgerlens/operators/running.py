@@ -56,19 +56,21 @@ def bucket_of(col, bounds: list, descending: bool) -> Column:
 def prefix_sum(df: DataFrame, order_col: str, value_col: str, out_col: str = "cumsum",
                partition_cols: list[str] | None = None, descending: bool = True,
                tie_col: str | None = None, buckets: int = DEFAULT_BUCKETS,
-               bounds: list | None = None) -> DataFrame:
+               bounds: list | None = None, prepared: bool = False) -> DataFrame:
     """Inclusive running sum of ``value_col`` within ``partition_cols``.
 
     Rows are traversed by ``order_col`` (descending by default), then by
     ``tie_col`` ascending. The (partition, order, tie) combination should be
     unique; for RANGE semantics over repeated values aggregate them first
-    (see :func:`running_total`).
+    (see :func:`running_total`). ``prepared=True`` says ``df`` is already
+    materialized.
     """
     parts = list(partition_cols or [])
     if bounds is None:
         # The input is an aggregate; write it once so the boundary job and
         # the final job do not both recompute it from the fact table.
-        df = materialize(df)
+        if not prepared:
+            df = materialize(df)
         bounds = range_bounds(df, order_col, buckets)
     b = "_lr_bucket"
     staged = df.withColumn(b, bucket_of(order_col, bounds, descending))
@@ -112,9 +114,9 @@ def running_total(totals: DataFrame, value_col: str, key_col: str,
     # position pass and the final join.
     totals = materialize(totals)
     # One row per distinct value: hot values collapse before any window.
-    distinct_values = totals.groupBy(v).agg(F.sum(v).alias("_rt_s"),
-                                            F.count(F.lit(1)).alias("_rt_n"))
-    cum = prefix_sum(distinct_values, v, "_rt_s", "_rt_cum", buckets=buckets)
+    distinct_values = materialize(totals.groupBy(v).agg(F.sum(v).alias("_rt_s"),
+                                                        F.count(F.lit(1)).alias("_rt_n")))
+    cum = prefix_sum(distinct_values, v, "_rt_s", "_rt_cum", buckets=buckets, prepared=True)
     if frame == "range":
         cum = cum.select(v, F.col("_rt_cum").alias(out_col))
         return totals.join(broadcast_if_small(cum), on=v, how="inner")
@@ -123,21 +125,23 @@ def running_total(totals: DataFrame, value_col: str, key_col: str,
 
     # ROWS: sum of all larger values, plus value * position among equals.
     before = cum.select(v, (F.col("_rt_cum") - F.col("_rt_s")).alias("_rt_before"))
-    pos = position_within(totals, [v], key_col, "_rt_pos", buckets=buckets)
+    pos = position_within(totals, [v], key_col, "_rt_pos", buckets=buckets, prepared=True)
     return (pos.join(broadcast_if_small(before), on=v, how="inner")
             .withColumn(out_col, F.col("_rt_before") + F.col(v) * F.col("_rt_pos"))
             .drop("_rt_before", "_rt_pos"))
 
 
 def position_within(df: DataFrame, group_cols: list[str], order_col: str,
-                    out_col: str = "position", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                    out_col: str = "position", buckets: int = DEFAULT_BUCKETS,
+                    prepared: bool = False) -> DataFrame:
     """1-based position of each row inside its group, ordered by ``order_col``.
 
     Equivalent to ``row_number() OVER (PARTITION BY group ORDER BY order_col)``
     but a group holding a large share of the rows is split into ranges of
     ``order_col`` first, so no single task sorts the whole group.
     """
-    df = materialize(df)
+    if not prepared:
+        df = materialize(df)
     bounds = range_bounds(df, order_col, buckets)
     b = "_pw_bucket"
     staged = df.withColumn(b, bucket_of(order_col, bounds, descending=False))

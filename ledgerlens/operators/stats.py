@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators.joins import broadcast_if_small
 from ledgerlens.operators.running import prefix_sum
+from ledgerlens.session import materialize
 
 # Quantiles are rounded so that interpolation noise (~1e-13) cannot change a
 # trim decision or a comparison.
@@ -37,9 +38,11 @@ def quantiles(df: DataFrame, value_col: str, probs: list[float],
     groups = list(group_cols or [])
     names = names or [_pname(p) for p in probs]
     v = value_col
-    counts = (df.filter(F.col(v).isNotNull())
-              .groupBy(*groups, v).agg(F.count(F.lit(1)).alias("_q_n")))
-    cum = prefix_sum(counts, v, "_q_n", "_q_incl", partition_cols=groups, descending=False)
+    # (value, count) pairs, written once; every later step reads them.
+    counts = materialize(df.filter(F.col(v).isNotNull())
+                         .groupBy(*groups, v).agg(F.count(F.lit(1)).alias("_q_n")))
+    cum = prefix_sum(counts, v, "_q_n", "_q_incl", partition_cols=groups, descending=False,
+                     prepared=True)
     if groups:
         totals = counts.groupBy(*groups).agg(F.sum("_q_n").alias("_q_total"))
         cum = cum.join(broadcast_if_small(totals), on=groups, how="inner")
@@ -164,7 +167,8 @@ def auto_bin_width(df: DataFrame, value_col: str) -> DataFrame:
 
 def histogram_auto(df: DataFrame, value_col: str) -> DataFrame:
     """Histogram with the automatic layout; the top edge is inclusive."""
-    layout = auto_bin_width(df, value_col)
+    # A one-row layout, written once and read by the three scalars below.
+    layout = materialize(auto_bin_width(df, value_col))
     lo = layout.select("lo").scalar()
     width = layout.select("width").scalar()
     bins = layout.select("bins").scalar()
