@@ -21,7 +21,7 @@ def parse_date(col, fmt: str = SALE_DATE_FORMAT) -> Column:
 
     ANSI mode makes ``to_date`` raise on bad text, so the ``try_`` form is used.
     """
-    return F.try_to_date(_c(col), F.lit(fmt))
+    return F.try_to_date(_c(col), fmt)
 
 
 def format_date(col, fmt: str = SALE_DATE_FORMAT) -> Column:

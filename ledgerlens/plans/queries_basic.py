@@ -1 +1,270 @@
-"""Registered queries."""
+"""Registered queries: sources and sinks (S1-S9, K1-K4), streaming ingestion
+(S6), single filters / joins / aggregates (F1-F3, J2, A1, A2, A12, A14-A16),
+row index (W5), scalar functions (X1-X16) and the SQL class functions
+(G1, G2).
+
+Round-trip queries derive their data from the driver tables, write it with
+the library's writers to a fresh folder under the shared checkpoint folder,
+and return what the readers give back.
+"""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import functions as F
+
+from ledgerlens.catalog import register
+from ledgerlens.functions import dates as D
+from ledgerlens.functions.classes import register_sql_functions
+from ledgerlens.operators import aggregates as A
+from ledgerlens.operators.filters import latest_day, max_date, positive_sales, previous_day
+from ledgerlens.operators.joins import join_star
+from ledgerlens.operators.running import row_index
+from ledgerlens.plans import classification as C
+from ledgerlens.plans import prices as P
+from ledgerlens.plans import reports
+from ledgerlens.schema import ITEMS_SCHEMA
+from ledgerlens.session import checkpoint_dir
+from ledgerlens.sources import files, sinks
+from ledgerlens.sources.fixtures import (BULK_CTE, DAILY_CTE, bulk_categories, bulk_items,
+                                         bulk_log, daily_items, daily_log, daily_model)
+from ledgerlens.streaming.ingest import ingest_available
+
+WB = "WITH " + BULK_CTE
+WD = "WITH " + DAILY_CTE
+
+
+def scratch(spark, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder."""
+    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+# ------------------------------------------------------------ sources/sinks
+@register("scan_sales_csv", WD + "\nSELECT * FROM daily_log")
+def q_scan_csv(spark, sf):
+    path = scratch(spark, "landing")
+    sinks.sales_log_to_csv(daily_log(spark, sf), path)
+    return files.read_sales_csv(spark, path)
+
+
+@register("partitioned_fact_roundtrip", WB + "\nSELECT * FROM bulk_log")
+def q_partitioned(spark, sf):
+    path = scratch(spark, "sales_log")
+    sinks.write_sales_log(bulk_log(spark, sf), path)
+    return files.read_sales_table(spark, path)
+
+
+@register("append_latest_day", WD + "\nSELECT * FROM daily_log")
+def q_append(spark, sf):
+    log = daily_log(spark, sf)
+    path = scratch(spark, "sales_log")
+    last = max_date(log)
+    sinks.write_sales_log(log.filter(F.col("sale_date") < last), path)
+    sinks.append_sales(log.filter(F.col("sale_date") >= last), path)
+    return files.read_sales_table(spark, path)
+
+
+@register("ingest_stream", WD + "\nSELECT * FROM daily_log")
+def q_ingest(spark, sf):
+    drop, table = scratch(spark, "drop"), scratch(spark, "table")
+    sinks.sales_log_to_csv(daily_log(spark, sf), drop)
+    ingest_available(spark, drop, table, scratch(spark, "stream-ckpt"))
+    return files.read_sales_table(spark, table)
+
+
+@register("dimension_roundtrip", WD + "\nSELECT item_name, item_id, item_category_id FROM daily_items")
+def q_dimension(spark, sf):
+    csv_path, table = scratch(spark, "items-csv"), scratch(spark, "items")
+    items = daily_items(spark, sf).select(*ITEMS_SCHEMA.fieldNames())
+    sinks.write_report(items, csv_path, quote_all=True)
+    sinks.load_dimension(files.read_items_csv(spark, csv_path), table)
+    return files.load(spark, table)
+
+
+_TOP_SALE = WD + """,
+s1 AS (SELECT item_id,
+              CAST(item_price AS DECIMAL(18,2)) * CAST(item_cnt_day AS DECIMAL(18,2)) AS shop_sale
+       FROM daily_log WHERE sale_date IN (SELECT max(sale_date) FROM daily_log))
+SELECT s1.item_id, i.item_name, CAST(sum(s1.shop_sale) AS DOUBLE) AS sale
+FROM s1 JOIN daily_items i ON i.item_id = s1.item_id
+GROUP BY s1.item_id, i.item_name
+ORDER BY sale DESC, s1.item_id LIMIT 10"""
+
+
+@register("report_csv_roundtrip", _TOP_SALE)
+def q_report_csv(spark, sf):
+    log, items, _ = daily_model(spark, sf)
+    path = scratch(spark, "report")
+    sinks.write_report(reports.report_top_goods_sale(log, items), path)
+    return files.read_dim_csv(spark, path, "item_id long, item_name string, sale double")
+
+
+@register("tsv_report_to_csv", WD + """
+SELECT CAST(s.item_id AS VARCHAR) AS item_id, i.item_name,
+       CAST(count(s.item_cnt_day) AS VARCHAR) AS daily_count
+FROM daily_log s JOIN daily_items i ON s.item_id = i.item_id
+WHERE s.sale_date IN (SELECT max(sale_date) FROM daily_log)
+GROUP BY s.item_id, i.item_name
+ORDER BY count(s.item_cnt_day) DESC, s.item_id LIMIT 10""")
+def q_tsv(spark, sf):
+    log, items, _ = daily_model(spark, sf)
+    tsv, csv = scratch(spark, "tsv"), scratch(spark, "csv")
+    (reports.report_top_goods(log, items).coalesce(1).write.option("sep", "\t")
+     .option("header", "true").csv(tsv))
+    sinks.tsv_to_csv(spark, tsv, csv)
+    return spark.read.options(**files.QUOTED_CSV_OPTIONS).csv(csv)
+
+
+@register("indexed_category_prices", WB + """,
+per_item AS (SELECT item_id, sum(CAST(round(item_price * 100) AS HUGEINT)) AS ps,
+                    count(item_price) AS pn
+             FROM bulk_sales GROUP BY item_id),
+catp AS (SELECT c.item_category_id, c.item_category_name,
+                CAST((sum(p.ps) * 200 + sum(p.pn)) // (2 * sum(p.pn)) AS DOUBLE) / 10000.0 AS mean_price
+         FROM per_item p JOIN bulk_items i ON p.item_id = i.item_id
+         JOIN bulk_categories c ON c.item_category_id = i.item_category_id
+         GROUP BY c.item_category_id, c.item_category_name)
+SELECT CAST(row_number() OVER (ORDER BY mean_price DESC, item_category_id) - 1 AS INTEGER) AS index,
+       * FROM catp""")
+def q_indexed(spark, sf):
+    cat = P.mean_category_prices(positive_sales(bulk_log(spark, sf)), bulk_items(spark, sf),
+                                 bulk_categories(spark, sf))
+    path = scratch(spark, "indexed")
+    order = [F.desc("mean_price"), F.asc("item_category_id")]
+    sinks.write_indexed_report(cat, path, *order)
+    return row_index(cat, *order)
+
+
+# ------------------------------------------------------- filters and joins
+@register("filter_positive_sales", WB + "\nSELECT * FROM bulk_sales")
+def q_positive(spark, sf):
+    return positive_sales(bulk_log(spark, sf))
+
+
+@register("latest_day_rows", WD + "\nSELECT * FROM daily_log WHERE sale_date = (SELECT max(sale_date) FROM daily_log)")
+def q_latest(spark, sf):
+    return latest_day(daily_log(spark, sf))
+
+
+@register("previous_day_rows", WD + "\nSELECT * FROM daily_log WHERE sale_date + 1 = (SELECT max(sale_date) FROM daily_log)")
+def q_previous(spark, sf):
+    return previous_day(daily_log(spark, sf))
+
+
+@register("join_star_sales", WB + """
+SELECT s.*, i.item_name, c.item_category_id, c.item_category_name
+FROM bulk_sales s JOIN bulk_items i ON s.item_id = i.item_id
+JOIN bulk_categories c ON c.item_category_id = i.item_category_id""")
+def q_join_star(spark, sf):
+    return join_star(positive_sales(bulk_log(spark, sf)), bulk_items(spark, sf),
+                     bulk_categories(spark, sf))
+
+
+# --------------------------------------------------------------- aggregates
+@register("units_by_item", WB + "\nSELECT item_id, sum(item_cnt_day) AS item_cnt_day FROM bulk_sales GROUP BY item_id")
+def q_units_item(spark, sf):
+    return A.units_by(positive_sales(bulk_log(spark, sf)), "item_id")
+
+
+@register("units_by_month_item", WB + """
+SELECT month_num, item_id, sum(item_cnt_day) AS item_cnt_month FROM bulk_sales GROUP BY month_num, item_id""")
+def q_units_month(spark, sf):
+    return A.units_by(positive_sales(bulk_log(spark, sf)), "month_num", "item_id",
+                      out="item_cnt_month")
+
+
+@register("count_rows_by_item", WD + """
+SELECT item_id, count(item_cnt_day) AS daily_count FROM daily_log GROUP BY item_id""")
+def q_count_rows(spark, sf):
+    return A.count_rows_by(daily_log(spark, sf), "item_id")
+
+
+@register("global_counts", WB + """
+SELECT count(*) AS rows, count(DISTINCT item_id) AS items, count(DISTINCT sale_date) AS days
+FROM bulk_sales""")
+def q_global_counts(spark, sf):
+    return A.global_counts(positive_sales(bulk_log(spark, sf)))
+
+
+@register("grand_total_units", WB + "\nSELECT sum(item_cnt_day) AS total_units FROM bulk_sales")
+def q_grand_total(spark, sf):
+    return A.grand_total(positive_sales(bulk_log(spark, sf)))
+
+
+@register("max_sale_date", WD + "\nSELECT max(sale_date) AS max_sale_date FROM daily_log")
+def q_max_date(spark, sf):
+    log = daily_log(spark, sf)
+    return log.agg(F.max("sale_date").alias("max_sale_date"))
+
+
+@register("revenue_by_item", WB + """
+SELECT item_id, CAST(sum(CAST(item_price AS DECIMAL(18,2)) * CAST(item_cnt_day AS DECIMAL(18,2)))
+       AS DOUBLE) AS total_sale
+FROM bulk_sales GROUP BY item_id""")
+def q_revenue_item(spark, sf):
+    return A.revenue_by(positive_sales(bulk_log(spark, sf)), "item_id")
+
+
+# ------------------------------------------------------- scalar functions
+@register("calendar_functions", WB + """,
+days AS (SELECT DISTINCT sale_date FROM bulk_log),
+d0 AS (SELECT min(sale_date) AS first FROM days)
+SELECT sale_date,
+       strftime(sale_date, '%d.%m.%Y') AS sale_date_text,
+       CAST(strptime(strftime(sale_date, '%d.%m.%Y'), '%d.%m.%Y') AS DATE) AS parsed,
+       sale_date + 1 AS next_day,
+       CAST(isodow(sale_date) - 1 AS INTEGER) AS weekday,
+       dayname(sale_date) AS weekday_name,
+       CAST(day(sale_date) AS INTEGER) AS day_of_month,
+       CAST(weekofyear(sale_date) AS INTEGER) AS week_of_year,
+       CAST(month(sale_date) AS INTEGER) AS month_of_year,
+       CAST(sale_date - CAST(isodow(sale_date) - 1 AS INTEGER) AS DATE) AS week_monday,
+       CAST(date_diff('day', CAST(first - CAST(isodow(first) - 1 AS INTEGER) AS DATE),
+                      CAST(sale_date - CAST(isodow(sale_date) - 1 AS INTEGER) AS DATE)) // 7
+            AS INTEGER) AS relative_week,
+       CAST(date_diff('day', first, sale_date) AS INTEGER) AS relative_day
+FROM days, d0""")
+def q_calendar_functions(spark, sf):
+    days = bulk_log(spark, sf).select("sale_date").distinct()
+    first = days.select(F.min("sale_date")).scalar()
+    d = F.col("sale_date")
+    text = D.format_date(d)
+    return days.select(
+        d, text.alias("sale_date_text"), D.parse_date(text).alias("parsed"),
+        D.add_days(d, 1).alias("next_day"), D.weekday(d).alias("weekday"),
+        D.weekday_name(d).alias("weekday_name"), D.day_of_month(d).alias("day_of_month"),
+        D.week_of_year(d).alias("week_of_year"), D.month_of_year(d).alias("month_of_year"),
+        D.week_start_monday(d).alias("week_monday"),
+        D.relative_week(d, first).alias("relative_week"),
+        D.relative_day(d, first).alias("relative_day"))
+
+
+_ABC_SQL = WB + """,
+t AS (SELECT item_id, sum(item_cnt_day) AS u FROM bulk_sales GROUP BY item_id),
+r AS (SELECT item_id, round(sum(u) OVER (ORDER BY u DESC) / (SELECT sum(u) FROM t), 3) AS p FROM t)
+SELECT item_id, p AS percentage,
+       CASE WHEN p <= 0.6 THEN 'A' WHEN p <= 0.8 THEN 'B' WHEN p IS NOT NULL THEN 'C' END AS abc
+FROM r"""
+
+
+@register("abc_sql_function", _ABC_SQL)
+def q_abc_sql(spark, sf):
+    """G1: the SQL function ``abc_class`` applied in Spark SQL."""
+    register_sql_functions(spark)
+    C.abc_analysis(positive_sales(bulk_log(spark, sf))).createOrReplaceTempView("abc_result")
+    return spark.sql("SELECT item_id, percentage, abc_class(percentage) AS abc FROM abc_result")
+
+
+@register("xyz_sql_function", WB + """,
+per AS (SELECT month_num, item_id, sum(item_cnt_day) AS m FROM bulk_sales GROUP BY month_num, item_id),
+st AS (SELECT item_id, round(stddev_pop(m) / nullif(avg(m), 0), 3) AS v FROM per GROUP BY item_id)
+SELECT item_id, v AS var_coeff,
+       CASE WHEN v <= 0.1 THEN 'X' WHEN v <= 0.25 THEN 'Y' WHEN v IS NOT NULL THEN 'Z' END AS xyz
+FROM st""")
+def q_xyz_sql(spark, sf):
+    """The SQL function ``xyz_class`` applied in Spark SQL."""
+    register_sql_functions(spark)
+    C.xyz_analysis(positive_sales(bulk_log(spark, sf))).createOrReplaceTempView("xyz_result")
+    return spark.sql("SELECT item_id, var_coeff, xyz_class(var_coeff) AS xyz FROM xyz_result")

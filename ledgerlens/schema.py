@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# Daily landing CSV, in file order (date text is dd.MM.yyyy).
+# Daily landing CSV, in file order (date text is dd.MM.yyyy). Price and
+# count are parsed straight from text as double: a 32-bit float would turn
+# 133.38 into 133.380005 before any arithmetic.
 SALES_FILE_SCHEMA = T.StructType([
     T.StructField("sale_date", T.StringType()),
     T.StructField("month_num", T.ShortType()),
-    T.StructField("shop_id", T.ShortType()),
-    T.StructField("item_id", T.IntegerType()),
-    T.StructField("item_price", T.FloatType()),
-    T.StructField("item_cnt_day", T.FloatType()),
+    T.StructField("shop_id", T.LongType()),
+    T.StructField("item_id", T.LongType()),
+    T.StructField("item_price", T.DoubleType()),
+    T.StructField("item_cnt_day", T.DoubleType()),
 ])
 
 # Canonical sales log: a real DATE and widened numeric types.
