@@ -146,10 +146,11 @@ def histogram(df: DataFrame, value_col: str, width: float,
 def auto_bin_width(df: DataFrame, value_col: str) -> DataFrame:
     """One row with the automatic histogram layout of ``value_col``.
 
-    Width is the smaller of the Freedman-Diaconis width (2 IQR n^-1/3) and
-    the Sturges width (range / (log2 n + 1)); if the IQR is 0 Sturges is
-    used. The bin count is ceil(range / width) and bins are then spread
-    evenly over the range, as numpy's ``auto`` rule does.
+    numpy's ``auto`` rule: width = min(max(FD, sqrt / 2), Sturges) with the
+    Freedman-Diaconis width 2 IQR n^-1/3, the square-root width
+    range / sqrt(n) and the Sturges width range / (log2 n + 1). The bin count
+    is ceil(range / width) (1 when the width is 0) and the bins are then
+    spread evenly over the range.
     """
     q = quantiles(df, value_col, [0.25, 0.75], names=["_p25", "_p75"])
     v = F.col(value_col)
@@ -159,8 +160,9 @@ def auto_bin_width(df: DataFrame, value_col: str) -> DataFrame:
     iqr = q.select(F.col("_p75") - F.col("_p25")).scalar()
     fd = F.lit(2.0) * iqr * F.pow(n, F.lit(-1.0 / 3))
     sturges = (hi - lo) / (F.log2(n) + F.lit(1.0))
-    width = F.when(fd > 0, F.least(fd, sturges)).otherwise(sturges)
-    bins = F.when((hi - lo) > 0, F.ceil((hi - lo) / width)).otherwise(F.lit(1)).cast("int")
+    sqrt_w = (hi - lo) / F.sqrt(n)
+    width = F.least(F.greatest(fd, sqrt_w / F.lit(2.0)), sturges)
+    bins = F.when(width > 0, F.ceil((hi - lo) / width)).otherwise(F.lit(1)).cast("int")
     return base.select("n", "lo", "hi", bins.alias("bins"),
                        F.when(bins > 0, (hi - lo) / bins).alias("width"))
 

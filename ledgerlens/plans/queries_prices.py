@@ -141,9 +141,10 @@ def q_hist(spark, sf):
 qs AS (SELECT count(mean_price) AS n, min(mean_price) AS lo, max(mean_price) AS hi,
               round(quantile_cont(mean_price, 0.75), 6) - round(quantile_cont(mean_price, 0.25), 6) AS iqr
        FROM prices),
-w0 AS (SELECT n, lo, hi, 2.0 * iqr * pow(n, -1.0 / 3) AS fd, (hi - lo) / (log2(n) + 1.0) AS st FROM qs),
-w1 AS (SELECT n, lo, hi, CASE WHEN fd > 0 THEN least(fd, st) ELSE st END AS w FROM w0),
-w2 AS (SELECT lo, CAST(CASE WHEN hi - lo > 0 THEN ceil((hi - lo) / w) ELSE 1 END AS INTEGER) AS bins, hi FROM w1),
+w0 AS (SELECT n, lo, hi, 2.0 * iqr * pow(n, -1.0 / 3) AS fd, (hi - lo) / (log2(n) + 1.0) AS st,
+              (hi - lo) / sqrt(n) AS sq FROM qs),
+w1 AS (SELECT n, lo, hi, least(greatest(fd, sq / 2.0), st) AS w FROM w0),
+w2 AS (SELECT lo, CAST(CASE WHEN w > 0 THEN ceil((hi - lo) / w) ELSE 1 END AS INTEGER) AS bins, hi FROM w1),
 w3 AS (SELECT lo, bins, CASE WHEN bins > 0 THEN (hi - lo) / bins END AS width FROM w2),
 b AS (SELECT least(CAST(floor((mean_price - lo) / CASE WHEN width > 0 THEN width ELSE 1.0 END) AS INTEGER),
                    bins - 1) AS bin, lo, width
