@@ -268,3 +268,175 @@ def q_xyz_sql(spark, sf):
     register_sql_functions(spark)
     C.xyz_analysis(positive_sales(bulk_log(spark, sf))).createOrReplaceTempView("xyz_result")
     return spark.sql("SELECT item_id, var_coeff, xyz_class(var_coeff) AS xyz FROM xyz_result")
+
+
+# ------------------------------------------------------------ more §2 rows
+@register("scan_table", "SELECT * FROM part")
+def q_scan_table(spark, sf):
+    """A stored table by path."""
+    return files.load(spark, os.path.join(sf, "part.parquet"))
+
+
+@register("rename_if_present", WD + "\nSELECT * FROM daily_log")
+def q_rename(spark, sf):
+    """Legacy column names (``date`` as text, ``date_block_num``)."""
+    legacy = daily_log(spark, sf).select(
+        D.format_date("sale_date").alias("date"), F.col("month_num").alias("date_block_num"),
+        "shop_id", "item_id", "item_price", "item_cnt_day")
+    return files.to_sales_log(legacy)
+
+
+@register("union_daily", WD + "\nSELECT * FROM daily_log")
+def q_union(spark, sf):
+    """Daily frames concatenated by name (UNION ALL)."""
+    log = daily_log(spark, sf)
+    last = max_date(log)
+    older = log.filter(F.col("sale_date") < last)
+    newest = log.filter(F.col("sale_date") >= last).select(*reversed(log.columns))
+    return older.unionByName(newest)
+
+
+@register("derive_total_sale", WB + """
+SELECT *, CAST(CAST(item_price AS DECIMAL(18,2)) * CAST(item_cnt_day AS DECIMAL(18,2)) AS DOUBLE)
+          AS total_sale
+FROM bulk_sales""")
+def q_total_sale(spark, sf):
+    """P1 + X4: the amount of every sale row."""
+    from ledgerlens.functions.numeric import amount_to_double, line_total
+    s = positive_sales(bulk_log(spark, sf))
+    return s.withColumn("total_sale", amount_to_double(line_total("item_price", "item_cnt_day")))
+
+
+@register("join_items", WD + """
+SELECT s.*, i.item_name, i.item_category_id
+FROM daily_log s JOIN daily_items i ON s.item_id = i.item_id""")
+def q_join_items(spark, sf):
+    """Sales rows with item attributes (broadcast after a size check)."""
+    from ledgerlens.operators.joins import join_items
+    log, items, _ = daily_model(spark, sf)
+    return join_items(log, items)
+
+
+@register("join_day_over_day", WD + """,
+s1 AS (SELECT item_id, sum(item_cnt_day) AS last_total FROM daily_log
+       WHERE sale_date = (SELECT max(sale_date) FROM daily_log) GROUP BY item_id),
+s2 AS (SELECT item_id, sum(item_cnt_day) AS prev_total FROM daily_log
+       WHERE sale_date + 1 = (SELECT max(sale_date) FROM daily_log) GROUP BY item_id)
+SELECT (SELECT max(sale_date) FROM daily_log) AS sale_date, s1.item_id, last_total, prev_total
+FROM s1 JOIN s2 ON s1.item_id = s2.item_id""")
+def q_dod(spark, sf):
+    """Units on the latest day next to the day before, per item."""
+    return reports.day_over_day(daily_log(spark, sf))
+
+
+@register("units_by_category", WB + """
+SELECT c.item_category_id, c.item_category_name, sum(s.item_cnt_day) AS sales_sum
+FROM bulk_sales s JOIN bulk_items i ON s.item_id = i.item_id
+JOIN bulk_categories c ON c.item_category_id = i.item_category_id
+GROUP BY c.item_category_id, c.item_category_name""")
+def q_units_category(spark, sf):
+    """Units per category (aggregated per item before the joins)."""
+    per_item = A.units_by(positive_sales(bulk_log(spark, sf)), "item_id")
+    star = join_star(per_item, bulk_items(spark, sf), bulk_categories(spark, sf))
+    return star.groupBy("item_category_id", "item_category_name").agg(
+        F.sum("item_cnt_day").alias("sales_sum"))
+
+
+
+
+def _classes_sql():
+    from ledgerlens.plans.queries_classes import _CLASSES_ITEM
+    return _CLASSES_ITEM
+
+
+@register("count_by_class_pair", _classes_sql() + """
+SELECT abc, xyz, count(*) AS count FROM classes GROUP BY abc, xyz""")
+def q_count_pairs(spark, sf):
+    """Items per (abc, xyz) pair, only pairs that occur."""
+    classes = C.abc_xyz(positive_sales(bulk_log(spark, sf)))
+    return classes.groupBy("abc", "xyz").agg(F.count(F.lit(1)).alias("count"))
+
+
+@register("filter_class_pair", _classes_sql() + "\nSELECT * FROM classes WHERE abc = 'B' AND xyz = 'Z'")
+def q_class_pair(spark, sf):
+    """items of one class pair."""
+    from ledgerlens.operators.filters import class_pair
+    return class_pair(C.abc_xyz(positive_sales(bulk_log(spark, sf))), "B", "Z")
+
+
+@register("filter_share_band", WB + """,
+t AS (SELECT item_id, sum(item_cnt_day) AS item_cnt_day FROM bulk_sales GROUP BY item_id),
+r AS (SELECT item_id, item_cnt_day, sum(item_cnt_day) OVER (ORDER BY item_cnt_day DESC) AS cumsum FROM t),
+p AS (SELECT item_id, item_cnt_day, cumsum,
+             round(cumsum / (SELECT sum(item_cnt_day) FROM t), 3) AS percentage FROM r)
+SELECT *, 'B' AS abc FROM p WHERE percentage > 0.6 AND percentage <= 0.8""")
+def q_share_band(spark, sf):
+    """items whose running share lies in (0.6, 0.8]."""
+    from ledgerlens.operators.filters import share_band
+    return share_band(C.abc_analysis(positive_sales(bulk_log(spark, sf))), 0.6, 0.8)
+
+
+@register("filter_in_top_categories", WB + """,
+per_item AS (SELECT item_id, sum(item_cnt_day) AS u FROM bulk_sales GROUP BY item_id),
+top5 AS (SELECT c.item_category_id, c.item_category_name, sum(p.u) AS sales_sum
+         FROM per_item p JOIN bulk_items i ON p.item_id = i.item_id
+         JOIN bulk_categories c ON c.item_category_id = i.item_category_id
+         GROUP BY c.item_category_id, c.item_category_name
+         ORDER BY sales_sum DESC, c.item_category_id LIMIT 5)
+SELECT s.* FROM bulk_sales s JOIN bulk_items i ON s.item_id = i.item_id
+WHERE i.item_category_id IN (SELECT item_category_id FROM top5)""")
+def q_in_top(spark, sf):
+    """sale rows of the top-5 categories (a semi-join, no driver list)."""
+    from ledgerlens.plans.calendar import top_category_sales
+    s = positive_sales(bulk_log(spark, sf))
+    return top_category_sales(s, bulk_items(spark, sf), bulk_categories(spark, sf)).select(*s.columns)
+
+
+@register("sort_by_variation", WB + """,
+per AS (SELECT month_num, item_id, sum(item_cnt_day) AS m FROM bulk_sales GROUP BY month_num, item_id),
+st AS (SELECT item_id, round(stddev_pop(m) / nullif(avg(m), 0), 3) AS var_coeff FROM per GROUP BY item_id)
+SELECT CAST(row_number() OVER (ORDER BY var_coeff DESC NULLS LAST, item_id) - 1 AS INTEGER) AS index,
+       item_id, var_coeff FROM st""")
+def q_sort_cv(spark, sf):
+    """Items by variation coefficient, numerically descending, with the
+    position as a column (W5) so the order is part of the result."""
+    x = C.xyz_analysis(positive_sales(bulk_log(spark, sf))).select("item_id", "var_coeff")
+    return row_index(x, F.desc_nulls_last("var_coeff"), F.asc("item_id")).select(
+        "index", "item_id", "var_coeff")
+
+
+@register("format_functions", WB + """,
+d AS (SELECT sale_date, CAST(sum(CAST(item_price AS DECIMAL(18,2)) * CAST(item_cnt_day AS DECIMAL(18,2)))
+                             AS DOUBLE) AS total_daily_sale
+      FROM bulk_sales GROUP BY sale_date),
+t AS (SELECT sum(total_daily_sale) AS total FROM d)
+SELECT sale_date, printf('%.3f%%', total_daily_sale / (SELECT total FROM t) * 100) AS share_text
+FROM d""")
+def q_format(spark, sf):
+    """X18 (and X17 via ``format_millions``): text labels for reports."""
+    from ledgerlens.functions.numeric import format_percent
+    from ledgerlens.plans.calendar import daily_revenue
+    d = daily_revenue(positive_sales(bulk_log(spark, sf)))
+    total = d.select(F.sum("total_daily_sale")).scalar()
+    return d.select("sale_date", format_percent(F.col("total_daily_sale") / total).alias("share_text"))
+
+
+@register("daily_pipeline", WD + """
+SELECT c.item_category_id, c.item_category_name,
+       sum(s.item_cnt_day) AS num_sold,
+       CAST(sum(CAST(s.item_price AS DECIMAL(18,2)) * CAST(s.item_cnt_day AS DECIMAL(18,2))) AS DOUBLE) AS sales
+FROM daily_log s
+JOIN daily_items i ON s.item_id = i.item_id
+JOIN daily_categories c ON c.item_category_id = i.item_category_id
+WHERE s.sale_date IN (SELECT max(sale_date) FROM daily_log)
+GROUP BY c.item_category_id, c.item_category_name""")
+def q_pipeline(spark, sf):
+    """Ingest the landing files, then run the reports on the
+    month-partitioned table (report 1 returned; all four are built)."""
+    from ledgerlens.streaming.ingest import daily_pipeline
+    log, items, cats = daily_model(spark, sf)
+    drop = scratch(spark, "drop")
+    sinks.sales_log_to_csv(log, drop)
+    out = daily_pipeline(spark, drop, scratch(spark, "table"), scratch(spark, "ckpt"),
+                         items, cats, report_dir=scratch(spark, "reports"))
+    return out["by_category"]
