@@ -410,15 +410,17 @@ d AS (SELECT sale_date, CAST(sum(CAST(item_price AS DECIMAL(18,2)) * CAST(item_c
                              AS DOUBLE) AS total_daily_sale
       FROM bulk_sales GROUP BY sale_date),
 t AS (SELECT sum(total_daily_sale) AS total FROM d)
-SELECT sale_date, printf('%.3f%%', total_daily_sale / (SELECT total FROM t) * 100) AS share_text
+SELECT sale_date, printf('%.3f%%', total_daily_sale / (SELECT total FROM t) * 100) AS share_text,
+       format('{:,.0f}', total_daily_sale / 1000000.0) || 'M' AS sale_label
 FROM d""")
 def q_format(spark, sf):
-    """X18 (and X17 via ``format_millions``): text labels for reports."""
-    from ledgerlens.functions.numeric import format_percent
+    """Text labels for reports (millions, percent of total)."""
+    from ledgerlens.functions.numeric import format_millions, format_percent
     from ledgerlens.plans.calendar import daily_revenue
     d = daily_revenue(positive_sales(bulk_log(spark, sf)))
     total = d.select(F.sum("total_daily_sale")).scalar()
-    return d.select("sale_date", format_percent(F.col("total_daily_sale") / total).alias("share_text"))
+    return d.select("sale_date", format_percent(F.col("total_daily_sale") / total).alias("share_text"),
+                    format_millions("total_daily_sale").alias("sale_label"))
 
 
 @register("daily_pipeline", WD + """
