@@ -92,7 +92,7 @@ def prefix_sum(df: DataFrame, order_col: str, value_col: str, out_col: str = "cu
 
 def running_total(totals: DataFrame, value_col: str, key_col: str,
                   out_col: str = "cumsum", frame: str = "range",
-                  buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                  buckets: int = DEFAULT_BUCKETS, prepared: bool = False) -> DataFrame:
     """Running sum of ``value_col`` in descending order, one row per key.
 
     ``frame="range"``: rows with equal values share one running value (the
@@ -112,7 +112,8 @@ def running_total(totals: DataFrame, value_col: str, key_col: str,
 
     # One row per key, written once: it feeds the distinct values, the
     # position pass and the final join.
-    totals = materialize(totals)
+    if not prepared:
+        totals = materialize(totals)
     # One row per distinct value: hot values collapse before any window.
     distinct_values = materialize(totals.groupBy(v).agg(F.sum(v).alias("_rt_s"),
                                                         F.count(F.lit(1)).alias("_rt_n")))
@@ -155,6 +156,29 @@ def position_within(df: DataFrame, group_cols: list[str], order_col: str,
             .drop(b, "_pw_off"))
 
 
+def ordered_index(df: DataFrame, order_col: str, key_col: str, out_col: str = "index",
+                  descending: bool = True, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+    """0-based position of each row in the order (``order_col``, then
+    ``key_col`` ascending), nulls last, computed without a global window.
+
+    The number of rows before a row is the count of rows with a strictly
+    earlier value (a prefix count over distinct values) plus its position
+    among rows with the same value (split by key ranges for hot values).
+    """
+    edge = float("-inf") if descending else float("inf")
+    v = "_oi_v"
+    staged = materialize(df.withColumn(v, F.coalesce(F.col(order_col).cast("double"),
+                                                     F.lit(edge))))
+    counts = materialize(staged.groupBy(v).agg(F.count(F.lit(1)).alias("_oi_n")))
+    cum = prefix_sum(counts, v, "_oi_n", "_oi_cum", descending=descending, buckets=buckets,
+                     prepared=True)
+    before = cum.select(v, (F.col("_oi_cum") - F.col("_oi_n")).alias("_oi_before"))
+    pos = position_within(staged, [v], key_col, "_oi_pos", buckets=buckets, prepared=True)
+    return (pos.join(broadcast_if_small(before), on=v, how="inner")
+            .withColumn(out_col, F.col("_oi_before") + F.col("_oi_pos") - 1)
+            .drop(v, "_oi_before", "_oi_pos"))
+
+
 def row_index(df: DataFrame, *order_cols, out_col: str = "index") -> DataFrame:
     """0-based position after a total sort.
 

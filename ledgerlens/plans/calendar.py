@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import dates as D
 from ledgerlens.functions.numeric import amount_to_double, line_total
-from ledgerlens.operators.joins import join_items, join_star
+from ledgerlens.operators.joins import join_dimension, join_items, join_star
+from ledgerlens.session import materialize
 
 DAY = "total_daily_sale"
 _AMT = "_daily_amount"
@@ -35,29 +36,54 @@ def daily_revenue(sales: DataFrame, *keys: str, keep_amount: bool = False) -> Da
     return out if keep_amount else out.drop(_AMT)
 
 
+def _daily(sales: DataFrame, *keys: str) -> DataFrame:
+    """The daily table, written once: one row per day (and key). The
+    calendar's first-date subquery and every breakdown read it instead of
+    the fact table."""
+    return materialize(daily_revenue(sales, *keys, keep_amount=True))
+
+
 def _calendar(daily: DataFrame) -> DataFrame:
     return D.with_calendar(daily, "sale_date").withColumn(
         "week_monday", D.week_start_monday("sale_date"))
 
 
+def calendar_of_daily(daily: DataFrame, *keys: str) -> DataFrame:
+    """R13 columns over a daily table (``sale_date``, ``month_num``, keys,
+    exact amount)."""
+    return _calendar(daily).select(
+        "sale_date", *keys, "day_num", "week_num", "month_num", DAY,
+        "day_of_the_week", "day_of_the_month", "week_of_the_year", "month_of_the_year",
+        "week_monday")
+
+
+def weekly_of_daily(daily: DataFrame, *keys: str) -> DataFrame:
+    """A18 over a daily table."""
+    return _calendar(daily).groupBy(*keys, "week_num").agg(
+        F.min("sale_date").alias("week_start_date"),
+        F.min("week_monday").alias("week_monday"),
+        amount_to_double(F.sum(_AMT)).alias("weekly_sale"))
+
+
+def seasonal_of_daily(daily: DataFrame, kind: str, *keys: str) -> DataFrame:
+    """A20-A27 over a daily table."""
+    col = SEASONAL[kind]
+    cal = D.with_calendar(daily, "sale_date")
+    group = [col] + ([D.weekday_name("sale_date").alias("day_name")] if kind == "weekday" else [])
+    return cal.groupBy(*keys, *group).agg(amount_to_double(F.sum(_AMT)).alias(DAY))
+
+
 def sales_calendar(sales: DataFrame, *keys: str) -> DataFrame:
     """One row per day (and key) with revenue and calendar columns.
 
     ``week_num`` / ``day_num`` count from the first date of the frame.
     """
-    daily = _calendar(daily_revenue(sales, *keys))
-    return daily.select("sale_date", *keys, "day_num", "week_num", "month_num", DAY,
-                        "day_of_the_week", "day_of_the_month", "week_of_the_year",
-                        "month_of_the_year", "week_monday")
+    return calendar_of_daily(_daily(sales, *keys), *keys)
 
 
 def weekly_sales(sales: DataFrame, *keys: str) -> DataFrame:
     """Per relative week the first sale day, its Monday and revenue."""
-    daily = _calendar(daily_revenue(sales, *keys, keep_amount=True))
-    return daily.groupBy(*keys, "week_num").agg(
-        F.min("sale_date").alias("week_start_date"),
-        F.min("week_monday").alias("week_monday"),
-        amount_to_double(F.sum(_AMT)).alias("weekly_sale"))
+    return weekly_of_daily(_daily(sales, *keys), *keys)
 
 
 def monthly_sales(sales: DataFrame, *keys: str) -> DataFrame:
@@ -74,10 +100,7 @@ def seasonal_sales(sales: DataFrame, kind: str, *keys: str) -> DataFrame:
     ``kind`` is one of ``weekday`` (0 = Monday, with the day name),
     ``month_day``, ``year_week`` (ISO week) or ``year_month``.
     """
-    col = SEASONAL[kind]
-    daily = D.with_calendar(daily_revenue(sales, *keys, keep_amount=True), "sale_date")
-    group = [col] + ([D.weekday_name("sale_date").alias("day_name")] if kind == "weekday" else [])
-    return daily.groupBy(*keys, *group).agg(amount_to_double(F.sum(_AMT)).alias(DAY))
+    return seasonal_of_daily(_daily(sales, *keys), kind, *keys)
 
 
 def top_categories(sales: DataFrame, items: DataFrame, categories: DataFrame,
@@ -105,15 +128,45 @@ def top_category_sales(sales: DataFrame, items: DataFrame, categories: DataFrame
     return join_items(sales, top_items)
 
 
+CATEGORY_KEYS = ("item_category_id", "item_category_name")
+
+
+def category_daily(sales: DataFrame, items: DataFrame, categories: DataFrame,
+                   n: int = 5) -> DataFrame:
+    """Daily revenue of the top-``n`` categories from one fact scan.
+
+    Units and amounts are summed per (day, category) for all categories (a
+    table of days x categories, written once); the top ``n`` by units are
+    chosen from it and kept with a broadcast join of at most ``n`` rows.
+    """
+    per_day = materialize(
+        join_items(sales, items.select("item_id", "item_category_id"))
+        .groupBy("sale_date", "month_num", "item_category_id")
+        .agg(F.sum("item_cnt_day").alias("_units"),
+             F.sum(line_total("item_price", "item_cnt_day")).alias(_AMT)))
+    units = per_day.groupBy("item_category_id").agg(F.sum("_units").alias("sales_sum"))
+    top = (join_dimension(units, categories, "item_category_id")
+           .orderBy(F.desc("sales_sum"), F.asc("item_category_id")).limit(n)
+           .select(*CATEGORY_KEYS))
+    return (per_day.join(F.broadcast(top), "item_category_id", "inner")
+            .select("sale_date", "month_num", *CATEGORY_KEYS, _AMT,
+                    amount_to_double(_AMT).alias(DAY)))
+
+
 def category_sales_calendar(sales: DataFrame, items: DataFrame, categories: DataFrame,
                             n: int = 5) -> DataFrame:
     """R13's daily calendar per top-``n`` category."""
-    return sales_calendar(top_category_sales(sales, items, categories, n),
-                          "item_category_id", "item_category_name")
+    return calendar_of_daily(category_daily(sales, items, categories, n), *CATEGORY_KEYS)
+
+
+def category_weekly_sales(sales: DataFrame, items: DataFrame, categories: DataFrame,
+                          n: int = 5) -> DataFrame:
+    """A18 per top-``n`` category."""
+    return weekly_of_daily(category_daily(sales, items, categories, n), *CATEGORY_KEYS)
 
 
 def category_seasonal_sales(sales: DataFrame, items: DataFrame, categories: DataFrame,
                             kind: str, n: int = 5) -> DataFrame:
     """Seasonal revenue per top-``n`` category name."""
-    return seasonal_sales(top_category_sales(sales, items, categories, n), kind,
-                          "item_category_name")
+    return seasonal_of_daily(category_daily(sales, items, categories, n), kind,
+                             "item_category_name")

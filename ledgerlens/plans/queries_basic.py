@@ -395,14 +395,15 @@ def q_in_top(spark, sf):
 @register("sort_by_variation", WB + """,
 per AS (SELECT month_num, item_id, sum(item_cnt_day) AS m FROM bulk_sales GROUP BY month_num, item_id),
 st AS (SELECT item_id, round(stddev_pop(m) / nullif(avg(m), 0), 3) AS var_coeff FROM per GROUP BY item_id)
-SELECT CAST(row_number() OVER (ORDER BY var_coeff DESC NULLS LAST, item_id) - 1 AS INTEGER) AS index,
+SELECT CAST(row_number() OVER (ORDER BY var_coeff DESC NULLS LAST, item_id) - 1 AS BIGINT) AS index,
        item_id, var_coeff FROM st""")
 def q_sort_cv(spark, sf):
     """Items by variation coefficient, numerically descending, with the
-    position as a column (W5) so the order is part of the result."""
+    position as a column so the order is part of the result. Every item is
+    ranked, so the position comes from the distributed index, not a window."""
+    from ledgerlens.operators.running import ordered_index
     x = C.xyz_analysis(positive_sales(bulk_log(spark, sf))).select("item_id", "var_coeff")
-    return row_index(x, F.desc_nulls_last("var_coeff"), F.asc("item_id")).select(
-        "index", "item_id", "var_coeff")
+    return ordered_index(x, "var_coeff", "item_id").select("index", "item_id", "var_coeff")
 
 
 @register("format_functions", WB + """,

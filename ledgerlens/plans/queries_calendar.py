@@ -132,5 +132,4 @@ SELECT item_category_id, item_category_name, week_num, min(sale_date) AS week_st
        min(week_monday) AS week_monday, CAST(sum(dec_sale) AS DOUBLE) AS weekly_sale
 FROM cal GROUP BY item_category_id, item_category_name, week_num""")
 def q_cat_weekly(spark, sf):
-    return K.weekly_sales(K.top_category_sales(*model(spark, sf)),
-                          "item_category_id", "item_category_name")
+    return K.category_weekly_sales(*model(spark, sf))

@@ -169,9 +169,10 @@ WHERE c.abc = '{abc}' AND c.xyz = '{xyz}'
 ORDER BY r.total_sale DESC, c.item_key LIMIT 10""")
 
     def run(spark, sf):
-        s = type_sales(spark, sf)
-        classes = C.abc_xyz(s, key="item_key", period="quarter_num")
-        return C.top_sales_in_class(classes, s, None, abc, xyz, key="item_key")
+        per = C.period_totals(type_sales(spark, sf), "item_key", "quarter_num", with_revenue=True)
+        classes = C.abc_xyz(None, key="item_key", period="quarter_num", per=per)
+        return C.top_sales_in_class(classes, None, None, abc, xyz, key="item_key",
+                                    revenue=C.revenue_from_periods(per, "item_key"))
     return sql, run
 
 
@@ -183,8 +184,9 @@ WHERE c.abc = '{abc}' AND c.xyz = '{xyz}'
 ORDER BY r.total_sale DESC, c.item_id LIMIT 10""")
 
     def run(spark, sf):
-        s = sales(spark, sf)
-        return C.top_sales_in_class(C.abc_xyz(s), s, bulk_items(spark, sf), abc, xyz)
+        per = C.period_totals(sales(spark, sf), with_revenue=True)
+        return C.top_sales_in_class(C.abc_xyz(None, per=per), None, bulk_items(spark, sf),
+                                    abc, xyz, revenue=C.revenue_from_periods(per))
     return sql, run
 
 

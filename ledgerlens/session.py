@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,16 +62,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str | None = None) -> DataFrame:
-    """Cut lineage by writing ``df`` to the shared checkpoint folder.
+    """Cut lineage by writing ``df`` as Parquet under the shared checkpoint
+    folder and reading it back.
 
-    Reliable checkpoints survive executor loss (unlike local checkpoints).
-    With ``name`` the result is written as Parquet under the folder and read
-    back, which keeps column statistics for later joins.
+    The files live on the cluster's shared storage, so the result survives
+    the loss of any executor (unlike a local checkpoint). Reading back gives
+    a fresh relation with file statistics, which later joins use to decide
+    a broadcast, and fresh column identities, so self-joins of the result
+    plan cleanly.
     """
     spark = df.sparkSession
     base = checkpoint_dir(spark)
-    if name is None:
-        return df.checkpoint(eager=True)
-    path = os.path.join(base, name)
+    path = os.path.join(base, f"{name or 'stage'}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

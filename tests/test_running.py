@@ -58,3 +58,13 @@ def test_position_within_equals_row_number(spark):
     w = Window.partitionBy("g").orderBy("k")
     want = {r.k: r.pos for r in df.withColumn("pos", F.row_number().over(w)).collect()}
     assert got == want
+
+
+def test_ordered_index_equals_row_number(spark):
+    from ledgerlens.operators.running import ordered_index
+    rows = [(i, None if i % 11 == 0 else float(i % 4 if i % 3 else 9)) for i in range(200)]
+    df = spark.createDataFrame(rows, "item_id long, v double")
+    got = {r.item_id: r["index"] for r in ordered_index(df, "v", "item_id", buckets=4).collect()}
+    w = Window.orderBy(F.desc_nulls_last("v"), F.asc("item_id"))
+    want = {r.item_id: r.ix for r in df.withColumn("ix", F.row_number().over(w) - 1).collect()}
+    assert got == want
