@@ -67,3 +67,15 @@ def share_band(df: DataFrame, low: float | None, high: float,
     if low is not None:
         cond = cond & (F.col(share_col) > low)
     return df.filter(cond)
+
+
+def complete_periods(df: DataFrame, unit: str = "quarter", date_col: str = "sale_date") -> DataFrame:
+    """Rows of calendar periods (``month``, ``quarter``, ``year``) that the
+    data covers to their last day: a trailing period cut off by the latest
+    date would understate its total and distort a variation measure.
+
+    Keeps ``date < trunc(latest date + 1 day, unit)``; the latest date is a
+    scalar subquery, so the bound is one value for the whole table.
+    """
+    last = df.select(F.max(date_col)).scalar()
+    return df.filter(F.col(date_col) < F.trunc(F.date_add(last, 1), unit))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlens.catalog import register
-from ledgerlens.operators.filters import positive_sales
+from ledgerlens.operators.filters import complete_periods, positive_sales
 from ledgerlens.plans import classification as C
 from ledgerlens.sources.fixtures import BULK_CTE, bulk_items, bulk_log, bulk_type_log
 
@@ -17,9 +17,12 @@ def sales(spark, sf):
     return positive_sales(bulk_log(spark, sf))
 
 
-def type_sales(spark, sf):
-    """Sales keyed by part type, with a quarter counter as the period."""
+def type_sales(spark, sf, complete_quarters: bool = False):
+    """Sales keyed by part type, with a quarter counter as the period;
+    optionally only the quarters the data covers completely."""
     s = positive_sales(bulk_type_log(spark, sf))
+    if complete_quarters:
+        s = complete_periods(s, "quarter")
     q = ((F.year("sale_date") - 1995) * 4 + F.quarter("sale_date") - 1).cast("int")
     return s.withColumn("quarter_num", q)
 
@@ -88,6 +91,19 @@ _CLASSES_TYPE = W + _TYPE_SRC + _abc("item_key", "type_sales") + \
     _xyz("item_key", "type_sales", "quarter_num") + """,
 classes AS (SELECT a.item_key, a.abc, x.xyz FROM abc_c a JOIN xyz_c x ON a.item_key = x.item_key)"""
 
+# Complete quarters only: the trailing quarter cut off by the latest date
+# is left out.
+_TYPE_SRC_COMPLETE = """,
+type_sales AS (
+  SELECT s.*, p.p_type AS item_key,
+         CAST((year(s.sale_date) - 1995) * 4 + quarter(s.sale_date) - 1 AS INTEGER) AS quarter_num
+  FROM bulk_sales s JOIN part p ON p.p_partkey = s.item_id
+  WHERE s.sale_date < CAST(date_trunc('quarter', (SELECT max(sale_date) FROM bulk_sales) + 1) AS DATE))"""
+
+_CLASSES_TYPE_COMPLETE = W + _TYPE_SRC_COMPLETE + _abc("item_key", "type_sales") + \
+    _xyz("item_key", "type_sales", "quarter_num") + """,
+classes AS (SELECT a.item_key, a.abc, x.xyz FROM abc_c a JOIN xyz_c x ON a.item_key = x.item_key)"""
+
 _REVENUE = """,
 rev AS (SELECT {key}, CAST(sum(CAST(item_price AS DECIMAL(18,2)) * CAST(item_cnt_day AS DECIMAL(18,2)))
                       AS DOUBLE) AS total_sale
@@ -154,6 +170,13 @@ def q_grid_pivot(spark, sf):
     return C.abc_xyz_grid(C.abc_xyz(sales(spark, sf)), pivot=True)
 
 
+@register("abc_xyz_grid_complete_quarters", _CLASSES_TYPE_COMPLETE + _GRID
+          + "\nSELECT * FROM grid ORDER BY abc, xyz")
+def q_grid_type_complete(spark, sf):
+    s = type_sales(spark, sf, complete_quarters=True)
+    return C.abc_xyz_grid(C.abc_xyz(s, key="item_key", period="quarter_num"))
+
+
 @register("abc_xyz_grid_by_type_quarter", _CLASSES_TYPE + _GRID
           + "\nSELECT * FROM grid ORDER BY abc, xyz")
 def q_grid_type(spark, sf):
@@ -162,14 +185,15 @@ def q_grid_type(spark, sf):
 
 
 def _top_type(abc, xyz):
-    sql = (_CLASSES_TYPE + _REVENUE.format(key="item_key", src="type_sales") + f"""
+    sql = (_CLASSES_TYPE_COMPLETE + _REVENUE.format(key="item_key", src="type_sales") + f"""
 SELECT c.item_key, c.abc, c.xyz, r.total_sale
 FROM classes c JOIN rev r ON c.item_key = r.item_key
 WHERE c.abc = '{abc}' AND c.xyz = '{xyz}'
 ORDER BY r.total_sale DESC, c.item_key LIMIT 10""")
 
     def run(spark, sf):
-        per = C.period_totals(type_sales(spark, sf), "item_key", "quarter_num", with_revenue=True)
+        per = C.period_totals(type_sales(spark, sf, complete_quarters=True), "item_key",
+                              "quarter_num", with_revenue=True)
         classes = C.abc_xyz(None, key="item_key", period="quarter_num", per=per)
         return C.top_sales_in_class(classes, None, None, abc, xyz, key="item_key",
                                     revenue=C.revenue_from_periods(per, "item_key"))

@@ -73,3 +73,12 @@ def test_month_pruned_reports_equal_full_scan(spark):
     assert a == b
     assert (reports.report_by_category(log, items, cats, month_col="month_num").collect()
             == reports.report_by_category(log, items, cats).collect())
+
+
+def test_complete_periods_drops_only_a_cut_off_quarter(spark):
+    from ledgerlens.operators.filters import complete_periods
+    log = make_log(spark, [("2014-09-30", 1, 1, 1), ("2014-10-01", 2, 1, 1),
+                           ("2014-11-04", 3, 1, 1)])
+    assert sorted(r.item_id for r in complete_periods(log, "quarter").collect()) == [1]
+    full = make_log(spark, [("2014-09-30", 1, 1, 1), ("2014-12-31", 2, 1, 1)])
+    assert complete_periods(full, "quarter").count() == 2
