@@ -27,6 +27,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     return F.broadcast(df) if has_at_most(df, max_rows) else df
 
 
+def broadcast_if_subset_small(df: DataFrame, superset: DataFrame,
+                              max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` when a table it is a subset of (e.g. the dimension it
+    was filtered from) has at most ``max_rows`` rows: the bound is proven
+    without computing ``df`` itself."""
+    return F.broadcast(df) if has_at_most(superset, max_rows) else df
+
+
 def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
                    max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Fact ⋈ dimension with a USING join (one key column in the result)."""

@@ -85,7 +85,7 @@ def above_quantile(df: DataFrame, value_col: str, p: float = 0.95) -> DataFrame:
 def trim_upper_per_group(df: DataFrame, value_col: str, group_cols: list[str],
                          p: float = 0.95) -> DataFrame:
     """per group, keep rows at most that group's own ``p`` quantile."""
-    q = quantiles(df, value_col, [p], group_cols, names=["_trim_q"])
+    q = materialize(quantiles(df, value_col, [p], group_cols, names=["_trim_q"]))
     return (df.join(broadcast_if_small(q), on=group_cols, how="inner")
             .filter(F.col(value_col) <= F.col("_trim_q")).drop("_trim_q"))
 
@@ -126,7 +126,7 @@ def histogram(df: DataFrame, value_col: str, width: float,
     groups = list(group_cols or [])
     v = F.col(value_col)
     if groups:
-        lo = df.groupBy(*groups).agg(F.min(value_col).alias("_h_min"))
+        lo = materialize(df.groupBy(*groups).agg(F.min(value_col).alias("_h_min")))
         staged = df.join(broadcast_if_small(lo), on=groups, how="inner")
         origin = F.col("_h_min")
     else:
@@ -202,7 +202,7 @@ def kernel_density(df: DataFrame, value_col: str, group_cols: list[str] | None =
         F.count(v).alias("_k_n"), F.min(v).alias("_k_min"), F.max(v).alias("_k_max"),
         F.stddev_samp(v).alias("_k_sd"))
     stats = stats.withColumn("_k_h", F.col("_k_sd") * F.pow(F.col("_k_n"), F.lit(-0.2)))
-    stats = stats.filter(F.col("_k_h") > 0)
+    stats = materialize(stats.filter(F.col("_k_h") > 0))
     counts = clean.groupBy(*groups, v.alias("_k_v")).agg(F.count(F.lit(1)).alias("_k_c"))
     if groups:
         staged = counts.join(broadcast_if_small(stats), on=groups, how="inner")

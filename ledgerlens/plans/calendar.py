@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import dates as D
 from ledgerlens.functions.numeric import amount_to_double, line_total
-from ledgerlens.operators.joins import join_dimension, join_items, join_star
+from ledgerlens.operators.joins import broadcast_if_subset_small, join_dimension, join_items, join_star
 from ledgerlens.session import materialize
 
 DAY = "total_daily_sale"
@@ -122,10 +122,11 @@ def top_category_sales(sales: DataFrame, items: DataFrame, categories: DataFrame
     """
     top = top_categories(sales, items, categories, n).select(
         "item_category_id", "item_category_name")
-    # Items of those categories (a dimension-sized list), then one join.
+    # Items of those categories (a subset of the items, which bound its
+    # size), then one join.
     top_items = items.select("item_id", "item_category_id").join(
         F.broadcast(top), "item_category_id", "inner")
-    return join_items(sales, top_items)
+    return sales.join(broadcast_if_subset_small(top_items, items), "item_id")
 
 
 CATEGORY_KEYS = ("item_category_id", "item_category_name")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.numeric import hundredths, mean_of_cents
 from ledgerlens.operators import stats as S
 from ledgerlens.operators.aggregates import mean_price_by
-from ledgerlens.operators.joins import join_items, join_star
+from ledgerlens.operators.joins import broadcast_if_subset_small, join_items, join_star
 from ledgerlens.plans.calendar import top_categories
 
 # Histogram bin widths of the item and category price charts,
@@ -75,7 +75,8 @@ def top_category_item_prices(sales: DataFrame, items: DataFrame, categories: Dat
     top_items = items.select("item_id", "item_name", "item_category_id").join(
         F.broadcast(top), "item_category_id", "inner")
     means = mean_price_by(sales, "item_id")
-    return join_items(means, top_items).select(
+    # The top items are a subset of the items: the items table bounds them.
+    return means.join(broadcast_if_subset_small(top_items, items), "item_id").select(
         "item_id", "item_category_id", "item_category_name", "item_name", "mean_price")
 
 
