@@ -22,10 +22,13 @@ def write_sales_log(log: DataFrame, path: str, mode: str = "overwrite") -> None:
     Rows are range-partitioned by (month, date, item) before writing: each
     task then covers a contiguous slice and writes into one or two month
     folders, while a large month (or a hot day) is still spread over many
-    tasks instead of landing in one.
+    tasks instead of landing in one. Sorting inside each task keeps the
+    Parquet min/max statistics of ``sale_date`` tight, so a filter on a day
+    skips most row groups.
     """
     (log.select(*SALES_TABLE_COLUMNS)
      .repartitionByRange("month_num", "sale_date", "item_id")
+     .sortWithinPartitions("month_num", "sale_date", "item_id")
      .write.mode(mode).option("compression", PARQUET_COMPRESSION)
      .partitionBy("month_num").parquet(path))
 
