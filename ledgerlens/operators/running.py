@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.joins import broadcast_if_small
+from ledgerlens.operators.joins import broadcast_if_small, broadcast_if_subset_small
 from ledgerlens.session import materialize
 
 DEFAULT_BUCKETS = 64
@@ -119,17 +119,17 @@ def running_total(totals: DataFrame, value_col: str, key_col: str,
                                                         F.count(F.lit(1)).alias("_rt_n")))
     cum = prefix_sum(distinct_values, v, "_rt_s", "_rt_cum", buckets=buckets, prepared=True)
     if frame == "range":
-        # One row per distinct value, written once: the size check and the
-        # join read the same rows instead of recomputing the prefix sum.
-        cum = materialize(cum.select(v, F.col("_rt_cum").alias(out_col)))
-        return totals.join(broadcast_if_small(cum), on=v, how="inner")
+        # One row per distinct value: the written distinct-value table bounds
+        # its size, so the prefix sum itself is computed only once.
+        cum = cum.select(v, F.col("_rt_cum").alias(out_col))
+        return totals.join(broadcast_if_subset_small(cum, distinct_values), on=v, how="inner")
     if frame != "rows":
         raise ValueError(f"unknown frame {frame!r}")
 
     # ROWS: sum of all larger values, plus value * position among equals.
-    before = materialize(cum.select(v, (F.col("_rt_cum") - F.col("_rt_s")).alias("_rt_before")))
+    before = cum.select(v, (F.col("_rt_cum") - F.col("_rt_s")).alias("_rt_before"))
     pos = position_within(totals, [v], key_col, "_rt_pos", buckets=buckets, prepared=True)
-    return (pos.join(broadcast_if_small(before), on=v, how="inner")
+    return (pos.join(broadcast_if_subset_small(before, distinct_values), on=v, how="inner")
             .withColumn(out_col, F.col("_rt_before") + F.col(v) * F.col("_rt_pos"))
             .drop("_rt_before", "_rt_pos"))
 
@@ -174,9 +174,9 @@ def ordered_index(df: DataFrame, order_col: str, key_col: str, out_col: str = "i
     counts = materialize(staged.groupBy(v).agg(F.count(F.lit(1)).alias("_oi_n")))
     cum = prefix_sum(counts, v, "_oi_n", "_oi_cum", descending=descending, buckets=buckets,
                      prepared=True)
-    before = materialize(cum.select(v, (F.col("_oi_cum") - F.col("_oi_n")).alias("_oi_before")))
+    before = cum.select(v, (F.col("_oi_cum") - F.col("_oi_n")).alias("_oi_before"))
     pos = position_within(staged, [v], key_col, "_oi_pos", buckets=buckets, prepared=True)
-    return (pos.join(broadcast_if_small(before), on=v, how="inner")
+    return (pos.join(broadcast_if_subset_small(before, counts), on=v, how="inner")
             .withColumn(out_col, F.col("_oi_before") + F.col("_oi_pos") - 1)
             .drop(v, "_oi_before", "_oi_pos"))
 

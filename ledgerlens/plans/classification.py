@@ -82,6 +82,10 @@ def xyz_analysis(sales: DataFrame, key: str = "item_id", period: str = "month_nu
     data as a value, zero when nothing was sold.
     """
     per = sales.groupBy(period, key).agg(F.sum(measure).alias("item_cnt_month"))
+    if zero_fill:
+        # The period count and the statistics then read one written table
+        # instead of scanning the sales twice.
+        per = materialize(per)
     return xyz_from_periods(per, key, period, cuts, zero_fill, places)
 
 

@@ -23,7 +23,14 @@ _DEFAULTS = {
     # so day boundaries do not move with the cluster's locale.
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The analyses run many short jobs; keep the driver's status store small
+    # and its per-query plan text cheap.
+    "spark.sql.ui.retainedExecutions": "50",
+    "spark.ui.retainedJobs": "100",
+    "spark.ui.retainedStages": "100",
+    "spark.sql.ui.explainMode": "simple",
 }
 
 

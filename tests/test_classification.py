@@ -71,3 +71,10 @@ def test_top_sales_in_class(spark):
     # item 2 is C with a stable demand; 3 and 4 have equal units, revenue decides
     assert [r.item_id for r in top] == [2, 4, 3]
     assert top[1].total_sale == 104.0 * 100
+
+
+def test_class_shares_sum_to_one(spark):
+    log = _units_log(spark, {i: [i * 7 % 23 + 1, i % 5 + 1] for i in range(1, 40)})
+    shares = C.item_share_by_class(C.abc_analysis(log)).collect()
+    assert abs(sum(r.share for r in shares) - 1.0) < 1e-4
+    assert sum(r["items"] for r in shares) == 39
