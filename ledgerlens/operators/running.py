@@ -42,15 +42,33 @@ def range_bounds(df: DataFrame, col: str, buckets: int = DEFAULT_BUCKETS) -> lis
 
 
 def bucket_of(col, bounds: list, descending: bool) -> Column:
-    """Index of the value range holding ``col``, increasing in traversal order."""
+    """Index of the value range holding ``col``, increasing in traversal order.
+
+    A balanced CASE tree over the sorted boundaries (about log2(buckets)
+    comparisons per row) that stays inside whole-stage code generation.
+    Ascending: the number of boundaries below the value. Descending: the
+    number of boundaries above it.
+    """
     c = F.col(col) if isinstance(col, str) else col
-    if not bounds:
-        return F.lit(0)
-    arr = F.array(*[F.lit(float(b)) for b in bounds])
     x = c.cast("double")
+    bs = [float(b) for b in bounds]
+    n = len(bs)
+
+    def count_below(lo: int, hi: int, strict: bool) -> Column:
+        # Number of boundaries b with b < x (strict) or b <= x, known to lie
+        # in [lo, hi].
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        above = x > F.lit(bs[mid]) if strict else x >= F.lit(bs[mid])
+        return F.when(above, count_below(mid + 1, hi, strict)).otherwise(
+            count_below(lo, mid, strict))
+
+    if not bs:
+        return F.lit(0)
     if descending:
-        return F.size(F.filter(arr, lambda b: b > x))
-    return F.size(F.filter(arr, lambda b: b < x))
+        return F.lit(n) - count_below(0, n, strict=False)
+    return count_below(0, n, strict=True)
 
 
 def prefix_sum(df: DataFrame, order_col: str, value_col: str, out_col: str = "cumsum",
