@@ -12,7 +12,7 @@ from ledgerlens.functions.numeric import hundredths, mean_of_cents
 from ledgerlens.operators import stats as S
 from ledgerlens.operators.aggregates import mean_price_by
 from ledgerlens.operators.joins import broadcast_if_subset_small, join_items, join_star
-from ledgerlens.plans.calendar import top_categories
+from ledgerlens.session import materialize
 
 # Histogram bin widths of the item and category price charts,
 # and the trimming quantile.
@@ -67,14 +67,29 @@ def item_price_histogram_auto(prices: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------- categories
+def item_summary(sales: DataFrame) -> DataFrame:
+    """Per item: units, price sum in cents and number of priced rows, written
+    once. Category ranking and mean prices both derive from it, so the fact
+    table is read once."""
+    return materialize(sales.groupBy("item_id").agg(
+        F.sum("item_cnt_day").alias("item_cnt_day"),
+        F.sum(hundredths("item_price")).alias("_p_sum"),
+        F.count("item_price").alias("_p_n")))
+
+
 def top_category_item_prices(sales: DataFrame, items: DataFrame, categories: DataFrame,
                              n: int = 5) -> DataFrame:
     """Mean price per item inside the ``n`` best-selling categories."""
-    top = top_categories(sales, items, categories, n).select(
-        "item_category_id", "item_category_name")
+    summary = item_summary(sales)
+    star = join_star(summary.select("item_id", "item_cnt_day"),
+                     items.select("item_id", "item_category_id"), categories)
+    top = (star.groupBy("item_category_id", "item_category_name")
+           .agg(F.sum("item_cnt_day").alias("sales_sum"))
+           .orderBy(F.desc("sales_sum"), F.asc("item_category_id")).limit(n)
+           .select("item_category_id", "item_category_name"))
     top_items = items.select("item_id", "item_name", "item_category_id").join(
         F.broadcast(top), "item_category_id", "inner")
-    means = mean_price_by(sales, "item_id")
+    means = summary.select("item_id", mean_of_cents("_p_sum", "_p_n").alias("mean_price"))
     # The top items are a subset of the items: the items table bounds them.
     return means.join(broadcast_if_subset_small(top_items, items), "item_id").select(
         "item_id", "item_category_id", "item_category_name", "item_name", "mean_price")
