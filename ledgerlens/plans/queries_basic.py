@@ -26,7 +26,7 @@ from ledgerlens.plans import classification as C
 from ledgerlens.plans import prices as P
 from ledgerlens.plans import reports
 from ledgerlens.schema import ITEMS_SCHEMA
-from ledgerlens.session import checkpoint_dir
+from ledgerlens.session import scratch_root
 from ledgerlens.sources import files, sinks
 from ledgerlens.sources.fixtures import (BULK_CTE, DAILY_CTE, bulk_categories, bulk_items,
                                          bulk_log, daily_items, daily_log, daily_model)
@@ -37,8 +37,8 @@ WD = "WITH " + DAILY_CTE
 
 
 def scratch(spark, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder."""
-    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A fresh folder under this application's scratch folder."""
+    return os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 # ------------------------------------------------------------ sources/sinks

@@ -68,6 +68,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables, under the shared
+    checkpoint folder. Everything one run writes sits below it, so a
+    finished application's intermediates can be removed as one folder."""
+    return os.path.join(checkpoint_dir(spark), "ledgerlens",
+                        spark.sparkContext.applicationId)
+
+
 def materialize(df: DataFrame, name: str | None = None) -> DataFrame:
     """Cut lineage by writing ``df`` as Parquet under the shared checkpoint
     folder and reading it back.
@@ -79,7 +87,6 @@ def materialize(df: DataFrame, name: str | None = None) -> DataFrame:
     plan cleanly.
     """
     spark = df.sparkSession
-    base = checkpoint_dir(spark)
-    path = os.path.join(base, f"{name or 'stage'}-{uuid.uuid4().hex}")
+    path = os.path.join(scratch_root(spark), f"{name or 'stage'}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
