@@ -232,9 +232,9 @@ ranked AS (SELECT c.item_id, c.abc, c.xyz, u.item_cnt_day,
 SELECT r.item_id, r.abc, r.xyz, r.item_cnt_day, i.item_name
 FROM ranked r JOIN bulk_items i ON i.item_id = r.item_id WHERE rn <= 10""")
 def q_top_items_per_class(spark, sf):
-    s = sales(spark, sf)
-    units = s.groupBy("item_id").agg(F.sum("item_cnt_day").alias("item_cnt_day"))
-    return C.top_items_per_class(C.abc_xyz(s), bulk_items(spark, sf), units)
+    per = C.period_totals(sales(spark, sf))
+    units = per.groupBy("item_id").agg(F.sum("item_cnt_month").alias("item_cnt_day"))
+    return C.top_items_per_class(C.abc_xyz(None, per=per), bulk_items(spark, sf), units)
 
 
 @register("abc_class_share", W + _abc() + """
