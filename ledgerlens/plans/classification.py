@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.classes import ABC_CUTS, XYZ_CUTS, abc_class, xyz_class
 from ledgerlens.functions.numeric import amount_to_double, line_total, sum_money
-from ledgerlens.operators.aggregates import demand_stats
-from ledgerlens.operators.joins import broadcast_if_small, join_items
-from ledgerlens.operators.running import running_total
+from ledgerlens.operators.aggregates import class_share, demand_stats
+from ledgerlens.operators.joins import join_items
+from ledgerlens.operators.running import running_total, top_n_per_group
 from ledgerlens.session import materialize
 
 # The class labels, in report order.
@@ -160,7 +160,6 @@ def top_sales_in_class(classes: DataFrame, sales: DataFrame | None, items: DataF
 def top_items_per_class(classes: DataFrame, items: DataFrame, units: DataFrame,
                         n: int = 10) -> DataFrame:
     """Up to ``n`` items per class pair, most units first, with names."""
-    from ledgerlens.operators.running import top_n_per_group
     ranked = classes.join(units, on="item_id", how="inner")
     top = top_n_per_group(ranked, ["abc", "xyz"],
                           [F.desc("item_cnt_day"), F.asc("item_id")], n)
@@ -169,10 +168,5 @@ def top_items_per_class(classes: DataFrame, items: DataFrame, units: DataFrame,
 
 def item_share_by_class(abc: DataFrame) -> DataFrame:
     """A17 on R5: the fraction of items in A, B and C."""
-    from ledgerlens.operators.aggregates import class_share
     return class_share(abc, "abc")
 
-
-__all__ = ["abc_analysis", "xyz_analysis", "abc_xyz", "abc_xyz_grid",
-           "top_sales_in_class", "top_items_per_class", "revenue_by_key",
-           "class_pairs", "broadcast_if_small"]
