@@ -78,7 +78,7 @@ def q_ingest(spark, sf):
 def q_dimension(spark, sf):
     csv_path, table = scratch(spark, "items-csv"), scratch(spark, "items")
     items = daily_items(spark, sf).select(*ITEMS_SCHEMA.fieldNames())
-    sinks.write_report(items, csv_path, quote_all=True)
+    sinks.write_csv(items, csv_path, quote_all=True)
     sinks.load_dimension(files.read_items_csv(spark, csv_path), table)
     return files.load(spark, table)
 

@@ -50,6 +50,15 @@ def write_report(df: DataFrame, path: str, quote_all: bool = False) -> None:
      .csv(path))
 
 
+def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
+    """A table of any size as CSV part files written in parallel (header in
+    each part, quotes doubled inside quoted fields)."""
+    (df.write.mode("overwrite")
+     .option("header", "true").option("quote", '"').option("escape", '"')
+     .option("quoteAll", "true" if quote_all else "false")
+     .csv(path))
+
+
 def write_indexed_report(df: DataFrame, path: str, *order_cols) -> None:
     """K2: a report with a leading 0-based row index in sort order."""
     indexed = row_index(df, *order_cols, out_col="index")
