@@ -18,8 +18,20 @@ DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
 def has_at_most(df: DataFrame, n: int) -> bool:
-    """True when ``df`` has at most ``n`` rows; reads at most ``n + 1``."""
-    return df.limit(n + 1).count() <= n
+    """True when ``df`` has at most ``n`` rows; reads at most ``n + 1``.
+
+    The answer is remembered on the DataFrame object, so repeated checks of
+    one (written, immutable) intermediate table cost one job.
+    """
+    known = getattr(df, "_ledgerlens_bound", None)
+    if known is not None and known[0] == n:
+        return known[1]
+    result = df.limit(n + 1).count() <= n
+    try:
+        df._ledgerlens_bound = (n, result)
+    except AttributeError:
+        pass
+    return result
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.joins import broadcast_if_small, broadcast_if_subset_small
+from ledgerlens.operators.joins import broadcast_if_subset_small
 from ledgerlens.session import materialize
 
 DEFAULT_BUCKETS = 64
@@ -96,8 +96,9 @@ def prefix_sum(df: DataFrame, order_col: str, value_col: str, out_col: str = "cu
     w_off = Window.partitionBy(*parts).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
         *parts, b, F.coalesce(F.sum("_lr_bsum").over(w_off), F.lit(0)).alias("_lr_off"))
-    # Global case: offsets has at most ``buckets`` rows (proven bound).
-    offsets = F.broadcast(offsets) if not parts else broadcast_if_small(offsets)
+    # Global case: offsets has at most ``buckets`` rows (proven bound); per
+    # partition it has at most as many rows as the input.
+    offsets = F.broadcast(offsets) if not parts else broadcast_if_subset_small(offsets, df)
     order = F.desc(order_col) if descending else F.asc(order_col)
     orders = [order] + ([F.asc(tie_col)] if tie_col else [])
     w = (Window.partitionBy(*parts, b).orderBy(*orders)
@@ -171,7 +172,7 @@ def position_within(df: DataFrame, group_cols: list[str], order_col: str,
     offsets = counts.select(*group_cols, b,
                             F.coalesce(F.sum("_pw_n").over(w_off), F.lit(0)).alias("_pw_off"))
     w = Window.partitionBy(*group_cols, b).orderBy(F.asc(order_col))
-    return (staged.join(broadcast_if_small(offsets), on=[*group_cols, b], how="inner")
+    return (staged.join(broadcast_if_subset_small(offsets, df), on=[*group_cols, b], how="inner")
             .withColumn(out_col, F.col("_pw_off") + F.row_number().over(w))
             .drop(b, "_pw_off"))
 

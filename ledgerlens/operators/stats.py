@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.joins import broadcast_if_small
+from ledgerlens.operators.joins import broadcast_if_small, broadcast_if_subset_small
 from ledgerlens.operators.running import DEFAULT_BUCKETS, prefix_sum
 from ledgerlens.session import materialize
 
@@ -45,7 +45,7 @@ def quantiles(df: DataFrame, value_col: str, probs: list[float],
                      buckets=buckets, prepared=True)
     if groups:
         totals = counts.groupBy(*groups).agg(F.sum("_q_n").alias("_q_total"))
-        cum = cum.join(broadcast_if_small(totals), on=groups, how="inner")
+        cum = cum.join(broadcast_if_subset_small(totals, counts), on=groups, how="inner")
         total = F.col("_q_total")
     else:
         total = counts.select(F.sum("_q_n")).scalar()
