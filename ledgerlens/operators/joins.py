@@ -23,6 +23,9 @@ def has_at_most(df: DataFrame, n: int) -> bool:
     The answer is remembered on the DataFrame object, so repeated checks of
     one (written, immutable) intermediate table cost one job.
     """
+    rows = getattr(df, "_ledgerlens_rows", None)
+    if rows is not None:
+        return rows <= n
     known = getattr(df, "_ledgerlens_bound", None)
     if known is not None and known[0] == n:
         return known[1]
@@ -34,6 +37,19 @@ def has_at_most(df: DataFrame, n: int) -> bool:
     return result
 
 
+def row_count(df: DataFrame) -> int:
+    """Row count of a written, immutable intermediate table (answered from
+    Parquet footers), remembered on the DataFrame object."""
+    rows = getattr(df, "_ledgerlens_rows", None)
+    if rows is None:
+        rows = df.count()
+        try:
+            df._ledgerlens_rows = rows
+        except AttributeError:
+            pass
+    return rows
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast when its size is proven to be bounded."""
     return F.broadcast(df) if has_at_most(df, max_rows) else df

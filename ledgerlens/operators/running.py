@@ -21,22 +21,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.joins import broadcast_if_subset_small
+from ledgerlens.operators.joins import broadcast_if_subset_small, row_count
 from ledgerlens.session import materialize
 
+# Number of value ranges: about ROWS_PER_BUCKET rows each, at least
+# DEFAULT_BUCKETS and at most MAX_BUCKETS, so the per-range windows spread
+# over more tasks as the data grows while the offset table stays tiny.
 DEFAULT_BUCKETS = 64
-# Relative accuracy of the boundary sketch; only affects bucket balance,
-# never the result.
+MAX_BUCKETS = 4096
+ROWS_PER_BUCKET = 1_000_000
+# Relative accuracy of the boundary sketch (scaled with the number of
+# ranges); it only affects how even the ranges are, never the result.
 _SKETCH_ACCURACY = 10_000
 
 
+def auto_buckets(df: DataFrame) -> int:
+    """Number of ranges for a written input (its row count comes from the
+    Parquet footers)."""
+    n = row_count(df)
+    return max(DEFAULT_BUCKETS, min(MAX_BUCKETS, -(-n // ROWS_PER_BUCKET)))
+
+
 def range_bounds(df: DataFrame, col: str, buckets: int = DEFAULT_BUCKETS) -> list:
     """Up to ``buckets - 1`` ascending cut points of ``col`` (bounded fetch)."""
     if buckets <= 1:
         return []
     probs = [i / buckets for i in range(1, buckets)]
+    accuracy = max(_SKETCH_ACCURACY, 20 * buckets)
     row = df.select(F.percentile_approx(F.col(col).cast("double"), probs,
-                                        _SKETCH_ACCURACY).alias("b")).first()
+                                        accuracy).alias("b")).first()
     values = row["b"] if row is not None and row["b"] is not None else []
     return sorted(set(values))
 
@@ -73,7 +86,7 @@ def bucket_of(col, bounds: list, descending: bool) -> Column:
 
 def prefix_sum(df: DataFrame, order_col: str, value_col: str, out_col: str = "cumsum",
                partition_cols: list[str] | None = None, descending: bool = True,
-               tie_col: str | None = None, buckets: int = DEFAULT_BUCKETS,
+               tie_col: str | None = None, buckets: int | None = None,
                bounds: list | None = None, prepared: bool = False) -> DataFrame:
     """Inclusive running sum of ``value_col`` within ``partition_cols``.
 
@@ -89,14 +102,14 @@ def prefix_sum(df: DataFrame, order_col: str, value_col: str, out_col: str = "cu
         # the final job do not both recompute it from the fact table.
         if not prepared:
             df = materialize(df)
-        bounds = range_bounds(df, order_col, buckets)
+        bounds = range_bounds(df, order_col, buckets or auto_buckets(df))
     b = "_lr_bucket"
     staged = df.withColumn(b, bucket_of(order_col, bounds, descending))
     per_bucket = staged.groupBy(*parts, b).agg(F.sum(value_col).alias("_lr_bsum"))
     w_off = Window.partitionBy(*parts).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
         *parts, b, F.coalesce(F.sum("_lr_bsum").over(w_off), F.lit(0)).alias("_lr_off"))
-    # Global case: offsets has at most ``buckets`` rows (proven bound); per
+    # Global case: offsets has at most MAX_BUCKETS rows (proven bound); per
     # partition it has at most as many rows as the input.
     offsets = F.broadcast(offsets) if not parts else broadcast_if_subset_small(offsets, df)
     order = F.desc(order_col) if descending else F.asc(order_col)
@@ -111,7 +124,7 @@ def prefix_sum(df: DataFrame, order_col: str, value_col: str, out_col: str = "cu
 
 def running_total(totals: DataFrame, value_col: str, key_col: str,
                   out_col: str = "cumsum", frame: str = "range",
-                  buckets: int = DEFAULT_BUCKETS, prepared: bool = False) -> DataFrame:
+                  buckets: int | None = None, prepared: bool = False) -> DataFrame:
     """Running sum of ``value_col`` in descending order, one row per key.
 
     ``frame="range"``: rows with equal values share one running value (the
@@ -154,7 +167,7 @@ def running_total(totals: DataFrame, value_col: str, key_col: str,
 
 
 def position_within(df: DataFrame, group_cols: list[str], order_col: str,
-                    out_col: str = "position", buckets: int = DEFAULT_BUCKETS,
+                    out_col: str = "position", buckets: int | None = None,
                     prepared: bool = False) -> DataFrame:
     """1-based position of each row inside its group, ordered by ``order_col``.
 
@@ -164,7 +177,7 @@ def position_within(df: DataFrame, group_cols: list[str], order_col: str,
     """
     if not prepared:
         df = materialize(df)
-    bounds = range_bounds(df, order_col, buckets)
+    bounds = range_bounds(df, order_col, buckets or auto_buckets(df))
     b = "_pw_bucket"
     staged = df.withColumn(b, bucket_of(order_col, bounds, descending=False))
     counts = staged.groupBy(*group_cols, b).agg(F.count(F.lit(1)).alias("_pw_n"))
@@ -178,7 +191,7 @@ def position_within(df: DataFrame, group_cols: list[str], order_col: str,
 
 
 def ordered_index(df: DataFrame, order_col: str, key_col: str, out_col: str = "index",
-                  descending: bool = True, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                  descending: bool = True, buckets: int | None = None) -> DataFrame:
     """0-based position of each row in the order (``order_col``, then
     ``key_col`` ascending), nulls last, computed without a global window.
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.joins import broadcast_if_small, broadcast_if_subset_small
-from ledgerlens.operators.running import DEFAULT_BUCKETS, prefix_sum
+from ledgerlens.operators.running import prefix_sum
 from ledgerlens.session import materialize
 
 # Quantiles are rounded so that interpolation noise (~1e-13) cannot change a
@@ -29,7 +29,7 @@ def _pname(p: float) -> str:
 
 def quantiles(df: DataFrame, value_col: str, probs: list[float],
               group_cols: list[str] | None = None, names: list[str] | None = None,
-              places: int = QUANTILE_PLACES, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+              places: int = QUANTILE_PLACES, buckets: int | None = None) -> DataFrame:
     """Exact interpolated quantiles of ``value_col``, per group if given.
 
     One output row per group (one row in total without groups) with one

@@ -40,7 +40,7 @@ def period_totals(sales: DataFrame, key: str = "item_id", period: str = "month_n
 
 
 def abc_from_totals(totals: DataFrame, key: str = "item_id", cuts=ABC_CUTS,
-                    frame: str = "range", buckets: int = 64) -> DataFrame:
+                    frame: str = "range", buckets: int | None = None) -> DataFrame:
     """R5 on per-key units (``key``, ``item_cnt_day``), already materialized."""
     ran = running_total(totals, "item_cnt_day", key, "cumsum", frame=frame, buckets=buckets,
                         prepared=True)
@@ -62,7 +62,7 @@ def xyz_from_periods(per: DataFrame, key: str = "item_id", period: str = "month_
 
 
 def abc_analysis(sales: DataFrame, key: str = "item_id", measure: str = "item_cnt_day",
-                 cuts=ABC_CUTS, frame: str = "range", buckets: int = 64) -> DataFrame:
+                 cuts=ABC_CUTS, frame: str = "range", buckets: int | None = None) -> DataFrame:
     """Per key its units, running units, running share and ABC class.
 
     ``frame="range"`` (default): keys with equal units share one running
