@@ -78,3 +78,12 @@ def test_class_shares_sum_to_one(spark):
     shares = C.item_share_by_class(C.abc_analysis(log)).collect()
     assert abs(sum(r.share for r in shares) - 1.0) < 1e-4
     assert sum(r["items"] for r in shares) == 39
+
+
+def test_sql_class_functions(spark):
+    from ledgerlens.functions.classes import register_sql_functions
+    register_sql_functions(spark)
+    row = spark.sql("SELECT abc_class(0.6) AS a, abc_class(0.8) AS b, abc_class(0.801) AS c, "
+                    "xyz_class(0.1) AS x, xyz_class(0.25) AS y, xyz_class(0.3) AS z, "
+                    "abc_class(CAST(NULL AS DOUBLE)) AS n").first()
+    assert (row.a, row.b, row.c, row.x, row.y, row.z, row.n) == ("A", "B", "C", "X", "Y", "Z", None)
