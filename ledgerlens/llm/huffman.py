@@ -23,6 +23,8 @@ MAGIC = b"LLHB"
 VERSION = 1
 LANE = 256
 MAX_BITS = 20
+# Ids packed in one go; a multiple of LANE.
+_SLICE = 1 << 15
 _HEAD = "<4sHHQQII"
 
 
@@ -82,24 +84,41 @@ def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, int]:
     return table, top
 
 
-def pack(ids: np.ndarray, lengths: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def packing_tables(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bits, code moved to the top of 64 bits) per id."""
+    bits = lengths.astype(np.int64)
+    return bits, np.where(bits > 0, codes(lengths) << (64 - np.maximum(bits, 1)).astype(np.uint64),
+                          np.uint64(0))
+
+
+def pack(ids: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(bit stream words, bit offset of each lane)."""
-    if not len(ids):
-        return np.empty(0, np.uint32), np.empty(0, np.uint64)
-    bits = lengths[ids].astype(np.int64)
-    if not bits.all():
-        raise ValueError("an id has no code")
-    ends = np.cumsum(bits)
-    at = ends - bits
-    words = np.zeros((int(ends[-1]) + 31) // 32 + 1, np.uint32)
-    value = code[ids] << (64 - (at & 31) - bits).astype(np.uint64)
-    word = at >> 5
-    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-    head = np.add.reduceat(value >> np.uint64(32), first)
-    tail = np.add.reduceat(value & np.uint64(0xFFFFFFFF), first)
-    words[word[first]] = head
-    words[word[first] + 1] |= tail.astype(np.uint32)
-    return words, at[::LANE].astype(np.uint64)
+    lengths, tops = tables
+    lanes, pieces, at = [], [], 0
+    for k in range(0, len(ids), _SLICE):
+        part = ids[k:k + _SLICE]
+        bits = lengths[part]
+        if not bits.all():
+            raise ValueError("an id has no code")
+        ends = np.cumsum(bits)
+        ends += at
+        begin = ends - bits
+        lanes.append(begin[::LANE])
+        # A code of at most 32 bits touches the word it starts in and the next.
+        word = begin >> 5
+        value = tops[part] >> (begin & 31).astype(np.uint64)
+        word -= word[0]
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        value = np.add.reduceat(value, first)
+        here = np.zeros(int(word[-1]) + 2, np.uint32)
+        here[word[first]] = value >> np.uint64(32)
+        here[word[first] + 1] |= (value & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        pieces.append((int(begin[0] >> 5), here))
+        at = int(ends[-1])
+    words = np.zeros((at + 31) // 32 + 1, np.uint32)
+    for start, here in pieces:
+        words[start:start + len(here)] |= here[:len(words) - start]
+    return words, np.concatenate(lanes or [np.empty(0)]).astype(np.uint64)
 
 
 def unpack(words: np.ndarray, lanes: np.ndarray, n: int, table: np.ndarray, top: int) -> np.ndarray:
@@ -121,8 +140,8 @@ def unpack(words: np.ndarray, lanes: np.ndarray, n: int, table: np.ndarray, top:
 
 
 def write_block(doc_ids: np.ndarray, nulls: np.ndarray, sizes: np.ndarray, ids: np.ndarray,
-                lengths: np.ndarray, code: np.ndarray) -> bytes:
-    words, lanes = pack(ids, lengths, code)
+                tables: tuple[np.ndarray, np.ndarray]) -> bytes:
+    words, lanes = pack(ids, tables)
     head = struct.pack(_HEAD, MAGIC, VERSION, 0, len(doc_ids), len(ids), LANE, len(words))
     return b"".join([head, doc_ids.astype("<i8").tobytes(), nulls.astype("u1").tobytes(),
                      sizes.astype("<u8").tobytes(), lanes.astype("<u8").tobytes(),

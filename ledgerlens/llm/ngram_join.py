@@ -47,11 +47,12 @@ from ledgerlens.llm.components import connected
 
 ship(__name__, words.__name__, trie.__name__)
 
-# Text bytes per hash range (about 3 million shingles), shingles a task holds
-# before it sends them on, and elements a block of the tree join holds.
-RANGE_BYTES = 20 << 20
+# Text bytes per hash range (about 2.5 million shingles), shingles a task holds
+# before it sends them on, and elements a block of the tree join holds. Within
+# a range 48 bits tell shingles apart; the range adds up to 16 more.
+RANGE_BYTES = 16 << 20
 FLUSH = 1_500_000
-BLOCK_TOKENS = 400_000
+BLOCK_TOKENS = 100_000
 _NULL_ID = -(2 ** 63)
 _RECORD = np.dtype([("t", "<u8"), ("f", "<u2")])
 
@@ -90,7 +91,7 @@ def _send(ranges: int):
             tokens = tokens[np.repeat(first, sizes)]
             sizes, names = sizes[first], names[first]
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            bucket = ((tokens >> np.uint64(32)) % np.uint64(ranges)).astype(np.int32)
+            bucket = ((tokens >> np.uint64(16)) % np.uint64(ranges)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             tokens, owner = tokens[order], owner[order]
             ends = np.cumsum(np.bincount(bucket, minlength=ranges))
@@ -103,7 +104,8 @@ def _send(ranges: int):
                     rows.append(b)
                     payloads.append(struct.pack("<II", len(who), len(t)) + names[who].tobytes()
                                     + sizes[who].astype("<u4").tobytes()
-                                    + counts.astype("<u4").tobytes() + t.tobytes())
+                                    + counts.astype("<u4").tobytes()
+                                    + t.view("<u1").reshape(-1, 8)[:, :6].tobytes())
             return pa.RecordBatch.from_pydict({"range": pa.array(rows, pa.int32()),
                                                "payload": pa.array(payloads, pa.binary())})
 
@@ -153,10 +155,13 @@ def _frequencies(table: pa.Table) -> pa.Table:
         names.append(np.frombuffer(blob, "<u8", 2 * m, 8).reshape(-1, 2))
         sizes.append(np.frombuffer(blob, "<u4", m, 8 + 16 * m))
         counts.append(np.frombuffer(blob, "<u4", m, 8 + 20 * m))
-        tokens.append(np.frombuffer(blob, "<u8", t, 8 + 24 * m))
+        wide = np.zeros((t, 8), np.uint8)
+        wide[:, :6] = np.frombuffer(blob, "<u1", 6 * t, 8 + 24 * m).reshape(-1, 6)
+        tokens.append(wide.view("<u8").ravel())
     names, sizes, counts, tokens = (np.concatenate(x) for x in (names, sizes, counts, tokens))
     first = ~pd.DataFrame(names).duplicated().to_numpy()
-    tokens = tokens[np.repeat(first, counts)]
+    here = np.uint64(table.column("range")[0].as_py() & 0xFFFF) << np.uint64(48)
+    tokens = tokens[np.repeat(first, counts)] | here
     names, sizes, counts = names[first], sizes[first], counts[first]
     order = np.argsort(tokens, kind="stable")
     ordered = tokens[order]

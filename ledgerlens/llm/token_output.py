@@ -21,6 +21,7 @@ encoded whole, in one block; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import os
 import uuid
 import zlib
@@ -40,11 +41,11 @@ ship(__name__, huffman.__name__)
 END_ID = 2
 # Bytes of text a range is sized for (distinct pieces repeat more within
 # larger ranges) and ids a block is filled to.
-RANGE_BYTES = 64 << 20
+RANGE_BYTES = 128 << 20
 BLOCK_IDS = 1 << 20
 # Distinct pieces a task remembers before it starts afresh, and pieces that go
 # into one call of the library.
-MEMORY_PIECES = 1_500_000
+MEMORY_PIECES = 1_000_000
 CALL_PIECES = 4_000
 
 _CHUNK = "part int, chunk int, doc_ids binary, nulls binary, sizes binary, ids binary"
@@ -57,51 +58,104 @@ class Encoder:
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.end_id = Tokenizer.from_str(spec), end_id
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.folds = self._folds(spec)
+        self.closes = np.zeros(max([end_id, *vocabulary.values()]) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.forget()
 
+    @staticmethod
+    def _folds(spec: str) -> bool:
+        """Whether the tokenizer itself lowers case, and always cuts between a
+        letter and a full stop, comma and the like, never within a-z
+        (checked on its parts)."""
+        from tokenizers import Tokenizer
+        t = Tokenizer.from_str(spec)
+        if t.normalizer is None or t.pre_tokenizer is None or t.normalizer.normalize_str("Az") != "az":
+            return False
+        if [p for p, _ in t.pre_tokenizer.pre_tokenize_str("abz")] != ["abz"]:
+            return False
+        return all([p for p, _ in t.pre_tokenizer.pre_tokenize_str(f"ab{c}'s{c}b")]
+                   == [p for part in ("ab", f"{c}'s", f"{c}b")
+                       for p, _ in t.pre_tokenizer.pre_tokenize_str(part)] for c in ".,;:!?")
+
     def forget(self) -> None:
         self.known: dict[str, int] = {"": 0}
         # Piece k has ids ids[at[k]:at[k + 1]]; pieces 0 and 1 are the empty
         # piece and the end of a document.
-        self.ids, self.sizes = [np.array([self.end_id], np.uint32)], [np.array([0, 1], np.int64)]
+        self.ids, self.sizes = [np.array([self.end_id], np.uint32)], [np.array([0, 1], np.int32)]
         self.count = 2
 
     def learn(self, pieces: list[str]) -> None:
         for k in range(0, len(pieces), CALL_PIECES):
             part = pieces[k:k + CALL_PIECES]
             enc = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            lens = np.fromiter(map(len, part), np.int64, len(part))
-            starts = np.cumsum(lens + 1) - lens - 1
             ids = np.array(enc.ids, np.uint32)
-            begins = np.array(enc.offsets, np.int64).reshape(-1, 2)[:, 0]
-            owner = np.searchsorted(starts, begins, side="right") - 1
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(part) and all(map(str.isalpha, part)):
+                # Pieces of letters alone are one word each, whose last id
+                # closes it.
+                sizes = np.diff(ends, prepend=0)
+            else:
+                lens = np.fromiter(map(len, part), np.int64, len(part))
+                starts = np.cumsum(lens + 1) - lens - 1
+                begins = np.array(enc.offsets, np.int64).reshape(-1, 2)[:, 0]
+                owner = np.searchsorted(starts, begins, side="right") - 1
+                sizes = np.bincount(owner, minlength=len(part))
             self.ids.append(ids)
-            self.sizes.append(np.bincount(owner, minlength=len(part)).astype(np.int64))
-            for i, piece in enumerate(part):
-                self.known[piece] = self.count + i
+            self.sizes.append(sizes.astype(np.int32))
+            self.known.update(zip(part, range(self.count, self.count + len(part))))
             self.count += len(part)
 
+    def learn_words(self, pieces: list[str]) -> None:
+        """Lower-case a-z words: nothing to normalise or cut, so the library's
+        model is asked directly."""
+        tokenize = self.tokenizer.model.tokenize
+        ids = [[t.id for t in tokenize(p)] for p in pieces]
+        self.sizes.append(np.fromiter(map(len, ids), np.int32, len(ids)))
+        self.ids.append(np.fromiter(itertools.chain.from_iterable(ids), np.uint32))
+        self.known.update(zip(pieces, range(self.count, self.count + len(pieces))))
+        self.count += len(pieces)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by the end id; ids per text)."""
         if self.count > MEMORY_PIECES:
             self.forget()
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        texts = pc.fill_null(texts, "")
+        if self.folds:
+            # Fewer distinct pieces: fold A-Z and cut off closing marks, both
+            # of which the tokenizer does itself (special tokens are exact).
+            texts = pc.replace_substring_regex(texts, r"([A-Za-z])([.,;:!?])", r"\1 \2")
+            texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(texts)
         bounds = split.offsets.to_numpy().astype(np.int64)
         words = split.values.slice(bounds[0], bounds[-1] - bounds[0])
         bounds = bounds - bounds[0]
         coded = pc.dictionary_encode(words)
         distinct = coded.dictionary.to_pylist()
-        self.learn([p for p in distinct if p not in self.known])
-        piece = np.fromiter((self.known[p] for p in distinct), np.int64, len(distinct))
+        new = [p for p in distinct if p not in self.known]
+        if self.folds:
+            self.learn_words([p for p in new if p.isascii() and p.isalpha() and p.islower()])
+            new = [p for p in new if not (p.isascii() and p.isalpha() and p.islower())]
+        self.learn([p for p in new if p.isalpha()])
+        self.learn([p for p in new if not p.isalpha()])
+        piece = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
         order = piece[coded.indices.to_numpy()] if len(distinct) else np.empty(0, np.int64)
         order = np.insert(order, bounds[1:], 1)
         flat, sizes = np.concatenate(self.ids), np.concatenate(self.sizes)
         self.ids, self.sizes = [flat], [sizes]
-        at = np.cumsum(sizes) - sizes
+        at = np.cumsum(sizes, dtype=np.int64) - sizes
         n = sizes[order]
-        ends = np.cumsum(n)
+        ends = np.cumsum(n, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.repeat(at[order] - (ends - n), n) + np.arange(total)]
+        # One step on within a piece, a jump where the next piece starts.
+        some = n > 0
+        begin, stop = at[order[some]], ends[some]
+        step = np.ones(total, np.int64)
+        if total:
+            step[0] = begin[0]
+            step[stop[:-1]] = begin[1:] - (begin[:-1] + n[some][:-1] - 1)
+        ids = flat[np.cumsum(step, out=step)]
         closing = ends[bounds[1:] + np.arange(len(bounds) - 1)]
         return ids, np.diff(closing, prepend=0)
 
@@ -151,14 +205,13 @@ def _count(width: str, vocabulary: int):
 
 def _blocks(width: str, lengths):
     def run(batches):
-        bits = lengths.value
-        code = huffman.codes(bits)
+        tables = huffman.packing_tables(lengths.value)
         for batch in batches:
             for row in batch.to_pylist():
                 ids = np.frombuffer(row["ids"], width)
                 docs = np.frombuffer(row["doc_ids"], "<i8")
                 blob = huffman.write_block(docs, np.frombuffer(row["nulls"], "u1"),
-                                           np.frombuffer(row["sizes"], "<u8"), ids, bits, code)
+                                           np.frombuffer(row["sizes"], "<u8"), ids, tables)
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array([row["part"]], pa.int32()),
                     "chunk": pa.array([row["chunk"]], pa.int32()),
