@@ -39,13 +39,12 @@ from ledgerlens.session import scratch_root
 ship(__name__, huffman.__name__)
 
 END_ID = 2
-# Bytes of text a range is sized for (distinct pieces repeat more within
-# larger ranges) and ids a block is filled to.
-RANGE_BYTES = 128 << 20
+# Bytes of text a range is sized for, bytes encoded in one go (distinct pieces
+# repeat more within larger groups), ids a block is filled to, and pieces that
+# go into one call of the library.
+RANGE_BYTES = 20 << 20
+GROUP_BYTES = 24 << 20
 BLOCK_IDS = 1 << 20
-# Distinct pieces a task remembers before it starts afresh, and pieces that go
-# into one call of the library.
-MEMORY_PIECES = 1_000_000
 CALL_PIECES = 4_000
 
 _CHUNK = "part int, chunk int, doc_ids binary, nulls binary, sizes binary, ids binary"
@@ -62,7 +61,6 @@ class Encoder:
         self.folds = self._folds(spec)
         self.closes = np.zeros(max([end_id, *vocabulary.values()]) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.forget()
 
     @staticmethod
     def _folds(spec: str) -> bool:
@@ -79,48 +77,37 @@ class Encoder:
                    == [p for part in ("ab", f"{c}'s", f"{c}b")
                        for p, _ in t.pre_tokenizer.pre_tokenize_str(part)] for c in ".,;:!?")
 
-    def forget(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        # Piece k has ids ids[at[k]:at[k + 1]]; pieces 0 and 1 are the empty
-        # piece and the end of a document.
-        self.ids, self.sizes = [np.array([self.end_id], np.uint32)], [np.array([0, 1], np.int32)]
-        self.count = 2
+    def _spelled(self, pieces: pa.Array) -> tuple[list, list]:
+        """(ids, ids per piece) of a-z words: nothing to normalise or cut, so
+        the library's model is asked directly."""
+        tokenize = self.tokenizer.model.tokenize
+        ids = [[t.id for t in tokenize(p)] for p in _joined(pieces).split(" ")]
+        return ([np.fromiter(itertools.chain.from_iterable(ids), np.uint32)],
+                [np.fromiter(map(len, ids), np.int64, len(ids))])
 
-    def learn(self, pieces: list[str]) -> None:
+    def _encoded(self, pieces: pa.Array, letters: bool) -> tuple[list, list]:
+        """(ids, ids per piece) of other pieces, many to a call."""
+        all_ids, all_sizes = [], []
         for k in range(0, len(pieces), CALL_PIECES):
-            part = pieces[k:k + CALL_PIECES]
-            enc = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            part = pieces.slice(k, CALL_PIECES)
+            enc = self.tokenizer.encode(_joined(part), add_special_tokens=False)
             ids = np.array(enc.ids, np.uint32)
             ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(part) and all(map(str.isalpha, part)):
-                # Pieces of letters alone are one word each, whose last id
-                # closes it.
+            if letters and len(ends) == len(part):
+                # A piece of letters is one word, whose last id closes it.
                 sizes = np.diff(ends, prepend=0)
             else:
-                lens = np.fromiter(map(len, part), np.int64, len(part))
+                lens = pc.utf8_length(part).to_numpy().astype(np.int64)
                 starts = np.cumsum(lens + 1) - lens - 1
                 begins = np.array(enc.offsets, np.int64).reshape(-1, 2)[:, 0]
                 owner = np.searchsorted(starts, begins, side="right") - 1
                 sizes = np.bincount(owner, minlength=len(part))
-            self.ids.append(ids)
-            self.sizes.append(sizes.astype(np.int32))
-            self.known.update(zip(part, range(self.count, self.count + len(part))))
-            self.count += len(part)
-
-    def learn_words(self, pieces: list[str]) -> None:
-        """Lower-case a-z words: nothing to normalise or cut, so the library's
-        model is asked directly."""
-        tokenize = self.tokenizer.model.tokenize
-        ids = [[t.id for t in tokenize(p)] for p in pieces]
-        self.sizes.append(np.fromiter(map(len, ids), np.int32, len(ids)))
-        self.ids.append(np.fromiter(itertools.chain.from_iterable(ids), np.uint32))
-        self.known.update(zip(pieces, range(self.count, self.count + len(pieces))))
-        self.count += len(pieces)
+            all_ids.append(ids)
+            all_sizes.append(sizes)
+        return all_ids, all_sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by the end id; ids per text)."""
-        if self.count > MEMORY_PIECES:
-            self.forget()
         texts = pc.fill_null(texts, "")
         if self.folds:
             # Fewer distinct pieces: fold A-Z and cut off closing marks, both
@@ -129,35 +116,46 @@ class Encoder:
             texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         split = pc.ascii_split_whitespace(texts)
         bounds = split.offsets.to_numpy().astype(np.int64)
-        words = split.values.slice(bounds[0], bounds[-1] - bounds[0])
+        coded = pc.dictionary_encode(split.values.slice(bounds[0], bounds[-1] - bounds[0]))
         bounds = bounds - bounds[0]
-        coded = pc.dictionary_encode(words)
-        distinct = coded.dictionary.to_pylist()
-        new = [p for p in distinct if p not in self.known]
+        pieces = coded.dictionary
+        kind = np.full(len(pieces), 3)
+        kind[pc.match_substring_regex(pieces, r"^\pL+$").to_numpy(zero_copy_only=False)] = 2
         if self.folds:
-            self.learn_words([p for p in new if p.isascii() and p.isalpha() and p.islower()])
-            new = [p for p in new if not (p.isascii() and p.isalpha() and p.islower())]
-        self.learn([p for p in new if p.isalpha()])
-        self.learn([p for p in new if not p.isalpha()])
-        piece = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
-        order = piece[coded.indices.to_numpy()] if len(distinct) else np.empty(0, np.int64)
-        order = np.insert(order, bounds[1:], 1)
-        flat, sizes = np.concatenate(self.ids), np.concatenate(self.sizes)
-        self.ids, self.sizes = [flat], [sizes]
-        at = np.cumsum(sizes, dtype=np.int64) - sizes
-        n = sizes[order]
+            kind[pc.match_substring_regex(pieces, "^[a-z]+$").to_numpy(zero_copy_only=False)] = 1
+        kind[pc.equal(pieces, "").to_numpy(zero_copy_only=False)] = 0
+        # Ids of all pieces one after another; the last stands for the end of
+        # a document.
+        ids, sizes = [], [np.zeros(int((kind == 0).sum()), np.int64)]
+        for k in (1, 2, 3):
+            part = pieces.filter(pa.array(kind == k))
+            if len(part):
+                more = self._spelled(part) if k == 1 else self._encoded(part, k == 2)
+                ids += more[0]
+                sizes += more[1]
+        flat = np.concatenate([*ids, np.array([self.end_id], np.uint32)])
+        sizes = np.concatenate([*sizes, [1]])
+        place = np.empty(len(pieces) + 1, np.int64)
+        place[np.argsort(kind, kind="stable")] = np.arange(len(pieces))
+        place[-1] = len(pieces)
+        at, n = (np.cumsum(sizes) - sizes)[place].astype(np.int32), sizes[place].astype(np.int32)
+        order = np.insert(coded.indices.to_numpy(), bounds[1:], len(pieces))
+        n, begin = n[order], at[order]
         ends = np.cumsum(n, dtype=np.int64)
-        total = int(ends[-1]) if len(ends) else 0
+        closing = ends[bounds[1:] + np.arange(len(bounds) - 1)]
         # One step on within a piece, a jump where the next piece starts.
         some = n > 0
-        begin, stop = at[order[some]], ends[some]
-        step = np.ones(total, np.int64)
-        if total:
+        begin, n, ends = begin[some], n[some], ends[some]
+        step = np.ones(int(ends[-1]) if len(ends) else 0, np.int32)
+        if len(step):
             step[0] = begin[0]
-            step[stop[:-1]] = begin[1:] - (begin[:-1] + n[some][:-1] - 1)
-        ids = flat[np.cumsum(step, out=step)]
-        closing = ends[bounds[1:] + np.arange(len(bounds) - 1)]
-        return ids, np.diff(closing, prepend=0)
+            step[ends[:-1]] = begin[1:] - (begin[:-1] + n[:-1] - 1)
+        return flat[np.cumsum(step, out=step)], np.diff(closing, prepend=0)
+
+
+def _joined(pieces: pa.Array) -> str:
+    whole = pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces)
+    return pc.binary_join(whole, " ")[0].as_py()
 
 
 def _tokenize(spec, end_id: int, width: str):
@@ -166,28 +164,38 @@ def _tokenize(spec, end_id: int, width: str):
         part, chunk = TaskContext.get().partitionId(), 0
         encoder, held, size = Encoder(spec.value, end_id), [], 0
 
-        def flush():
-            ids, sizes, docs, nulls = (np.concatenate(x) for x in zip(*held))
-            return pa.RecordBatch.from_pydict({
-                "part": pa.array([part], pa.int32()), "chunk": pa.array([chunk], pa.int32()),
-                "doc_ids": pa.array([docs.astype("<i8").tobytes()], pa.binary()),
-                "nulls": pa.array([nulls.astype("u1").tobytes()], pa.binary()),
-                "sizes": pa.array([sizes.astype("<u8").tobytes()], pa.binary()),
-                "ids": pa.array([ids.astype(width).tobytes()], pa.binary())})
+        def blocks():
+            nonlocal chunk
+            table = pa.Table.from_batches(held).combine_chunks()
+            ids, sizes = encoder.encode(table.column("_text").combine_chunks()
+                                        if table.num_rows else pa.array([], pa.string()))
+            docs = table.column("_id").combine_chunks()
+            nulls = pc.is_null(docs).to_numpy(zero_copy_only=False)
+            docs = pc.fill_null(docs, 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            first = 0
+            while first < len(sizes):
+                base = int(ends[first - 1]) if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, base + BLOCK_IDS, side="right")))
+                here = slice(first, last)
+                yield pa.RecordBatch.from_pydict({
+                    "part": pa.array([part], pa.int32()), "chunk": pa.array([chunk], pa.int32()),
+                    "doc_ids": pa.array([docs[here].astype("<i8").tobytes()], pa.binary()),
+                    "nulls": pa.array([nulls[here].astype("u1").tobytes()], pa.binary()),
+                    "sizes": pa.array([sizes[here].astype("<u8").tobytes()], pa.binary()),
+                    "ids": pa.array([ids[base:ends[last - 1]].astype(width).tobytes()], pa.binary())})
+                chunk += 1
+                first = last
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, sizes = encoder.encode(batch.column("_text"))
-            docs = batch.column("_id")
-            held.append((ids, sizes, pc.fill_null(docs, 0).to_numpy(zero_copy_only=False),
-                         pc.is_null(docs).to_numpy(zero_copy_only=False)))
-            size += len(ids)
-            if size >= BLOCK_IDS:
-                yield flush()
-                held, size, chunk = [], 0, chunk + 1
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= GROUP_BYTES:
+                yield from blocks()
+                held, size = [], 0
         if held:
-            yield flush()
+            yield from blocks()
     return run
 
 
