@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.session import materialize
@@ -49,3 +49,22 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+
+
+def least_hashed(rows: DataFrame, group: str, id_col: str, sizes: dict, most: int) -> DataFrame:
+    """At most ``most`` rows of each group named in ``sizes`` (group: rows), the
+    ones whose id hashes least; nulls are left out.
+
+    Only ids hashing below about four times the wanted share are ranked, so
+    the rows that meet in a group's task are a few times ``most``, however
+    large the group.
+    """
+    h = F.xxhash64(id_col)
+    share = (F.shiftrightunsigned(h, 1) / F.lit(float(2 ** 63)))
+    near = F.lit(False)
+    for value, n in sizes.items():
+        near = near | ((F.col(group) == F.lit(value)) & (share < min(1.0, 4 * most / max(n, 1))))
+    order = Window.partitionBy(group).orderBy(share, id_col)
+    return (rows.filter(near & F.col(id_col).isNotNull())
+            .withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most)
+            .drop("_rank"))

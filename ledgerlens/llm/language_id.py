@@ -17,11 +17,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import ppm, ship, words
-from ledgerlens.llm.common import small_batches, text_of
+from ledgerlens.llm.common import least_hashed, small_batches, text_of
 
 ship(__name__, ppm.__name__, words.__name__)
 
@@ -47,14 +47,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang",
     chosen by a hash of the id."""
     named = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("_lang"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    # Only ids and labels are ranked (a top-k per language, cut down before
-    # the shuffle); the chosen texts, few by construction, are fetched after.
-    chosen = (named.select("_lang", "_id").withColumn("_r", F.row_number().over(order))
-              .filter(F.col("_r") <= per_language))
-    top = [r["_lang"] for r in named.groupBy("_lang").count()
-           .orderBy(F.desc("count"), "_lang").limit(MAX_LANGUAGES).collect()]
-    chosen = chosen.filter(F.col("_lang").isin(top)).select("_lang", "_id").distinct()
+    sizes = {r["_lang"]: r["count"] for r in named.groupBy("_lang").count()
+             .orderBy(F.desc("count"), "_lang").limit(MAX_LANGUAGES).collect()}
+    # Ids alone are ranked; the chosen texts, few by construction, come after.
+    chosen = least_hashed(named.select("_lang", "_id"), "_lang", "_id", sizes, per_language).distinct()
     small_batches(docs.sparkSession)
     sample = named.join(F.broadcast(chosen), ["_lang", "_id"], "left_semi")
     counts = (sample.select("_lang", "_text")
