@@ -49,7 +49,9 @@ def _names(*cols) -> list[Column]:
 def _repeated(rows: DataFrame) -> DataFrame:
     """The rows whose name occurs at two positions or more."""
     again = rows.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    return rows.join(again.select("_a", "_b"), ["_a", "_b"], "left_semi")
+    # Written first, so that both sides of the join are plain shuffles, whose
+    # hot keys adaptive execution can split.
+    return rows.join(saved(again.select("_a", "_b"), "line-names"), ["_a", "_b"], "left_semi")
 
 
 def rank_levels(lines: DataFrame, longest: int) -> list[DataFrame]:
@@ -135,6 +137,7 @@ def later_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     first = (all_runs.groupBy("_a", "_b").agg(F.min(place).alias("_first"),
                                               F.count(F.lit(1)).alias("_n"))
              .filter("_n > 1").drop("_n"))
+    first = saved(first, "line-first")
     return (all_runs.join(first, ["_a", "_b"]).filter(place > F.col("_first"))
             .select(*_KEY, "_s", "_len"))
 
