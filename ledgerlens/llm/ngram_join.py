@@ -280,7 +280,7 @@ def _join_families(sets: DataFrame, small_tasks: int) -> DataFrame:
               .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .withColumn("probe", F.lit(True)))
     stored = (stand.join(chunks, "family")
-              .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).cast("int"))
+              .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
               .withColumn("probe", F.lit(False)))
     fields = ["family", "block", "chunk", "probe", "sid", "n", "root", "records"]
     more = (probes.select(*fields).unionByName(stored.select(*fields))
