@@ -12,10 +12,9 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontamination, language_id, mixing, ngram_join, token_output
-from ledgerlens.llm.common import crc_bucket, saved, table
+from ledgerlens.llm.common import crc_bucket, table
 from ledgerlens.session import scratch_root
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -24,9 +23,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language cannot be told (no letter, null text) go."""
     model = language_id.train(docs.filter(crc_bucket("doc_id", 3) != 1))
-    found = saved(language_id.predict(docs, model), "pipeline-language")
-    gone = found.filter(F.col("lang_pred") == language_id.UNKNOWN).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return language_id.drop_unknown(docs, model, COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

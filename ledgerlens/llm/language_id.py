@@ -68,7 +68,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang",
     return ppm.Model(langs, per)
 
 
-def _score(shipped):
+def _score(shipped, keep: int):
     def run(batches):
         model = ppm.Model.restored(shipped.value)
         for batch in batches:
@@ -83,22 +83,32 @@ def _score(shipped):
             score = 1 / gain.sum(axis=1) if model.langs else np.zeros(len(bits))
             known = letters & bool(model.langs)
             names = np.array([*model.langs, UNKNOWN], object)
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("_id"),
-                "lang_pred": pa.array(np.where(known, names[best], UNKNOWN), pa.string()),
-                "score": pa.array(np.where(known, score, 0.0), pa.float64()),
-                "bits": pa.array(np.where(known, bits.min(axis=1) if model.langs else 0.0, 0.0),
-                                 pa.float64())})
+            found = [batch.column("_id"), pa.array(np.where(known, names[best], UNKNOWN), pa.string()),
+                     pa.array(np.where(known, score, 0.0), pa.float64()),
+                     pa.array(np.where(known, bits.min(axis=1) if model.langs else 0.0, 0.0),
+                              pa.float64())]
+            kept = [batch.column(f"_keep{k}") for k in range(keep)]
+            yield pa.RecordBatch.from_arrays(found + kept, [
+                "doc_id", "lang_pred", "score", "bits", *(f"kept{k}" for k in range(keep))])
     return run
 
 
 def predict(docs: DataFrame, model: ppm.Model, id_col: str = "doc_id",
-            text_col: str = "text") -> DataFrame:
+            text_col: str = "text", keep: tuple = ()) -> DataFrame:
     """``doc_id, lang_pred, score`` (posterior of the winner under equal
-    priors) and ``bits`` (its code length) for every document."""
+    priors) and ``bits`` (its code length) for every document, then the
+    columns of ``docs`` named in ``keep`` as ``kept0, kept1, ...``."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"),
-                       text_of(text_col).rlike(r"\p{L}").alias("_letters"))
-    return rows.mapInArrow(_score(spark.sparkContext.broadcast(vars(model))),
-                           "doc_id long, lang_pred string, score double, bits double")
+                       text_of(text_col).rlike(r"\p{L}").alias("_letters"),
+                       *[F.col(c).alias(f"_keep{k}") for k, c in enumerate(keep)])
+    kinds = "".join(f", kept{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep))
+    return rows.mapInArrow(_score(spark.sparkContext.broadcast(vars(model)), len(keep)),
+                           "doc_id long, lang_pred string, score double, bits double" + kinds)
+
+
+def drop_unknown(docs: DataFrame, model: ppm.Model, columns: tuple) -> DataFrame:
+    """The documents whose language can be told, with ``columns``."""
+    found = predict(docs, model, keep=columns).filter(F.col("lang_pred") != UNKNOWN)
+    return found.select(*[F.col(f"kept{k}").alias(c) for k, c in enumerate(columns)])

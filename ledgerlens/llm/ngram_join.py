@@ -51,8 +51,8 @@ ship(__name__, words.__name__, trie.__name__)
 # before it sends them on, and elements a block of the tree join holds. Within
 # a range 48 bits tell shingles apart; the range adds up to 16 more.
 RANGE_BYTES = 16 << 20
-FLUSH = 1_500_000
-BLOCK_TOKENS = 100_000
+FLUSH = 1_000_000
+BLOCK_TOKENS = 400_000
 _NULL_ID = -(2 ** 63)
 _RECORD = np.dtype([("t", "<u8"), ("f", "<u2")])
 
@@ -167,10 +167,11 @@ def _frequencies(table: pa.Table) -> pa.Table:
     ordered = tokens[order]
     start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     run = np.diff(np.append(start, len(ordered)))
-    freq = np.empty(len(tokens), np.int64)
-    freq[order] = np.repeat(run, run)
+    freq = np.empty(len(tokens), np.int32)
+    freq[order] = np.repeat(run.astype(np.int32), run)
     keep = freq > 1
-    owner = np.repeat(np.arange(len(counts)), counts)[keep]
+    del order, ordered, run
+    owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)[keep]
     records = np.empty(int(keep.sum()), _RECORD)
     records["t"], records["f"] = tokens[keep], np.minimum(freq[keep], 65535)
     kept = np.bincount(owner, minlength=len(counts))
@@ -247,13 +248,14 @@ def _blocked(sets: DataFrame, small_tasks: int) -> DataFrame:
 
 
 def _join_families(sets: DataFrame, small_tasks: int) -> DataFrame:
-    """Edges (a, b) that connect exactly the linked sets of each family."""
+    """``node, root`` of every set of ``sets``, by links within its family."""
     cols = ["sid", "n", "r", "records", "family"]
     dealt = saved(_blocked(sets.select(*cols), small_tasks), "ngram-blocks")
     edges = saved(dealt.groupBy("task").applyInPandas(_join_blocks, _EDGE), "ngram-edges")
     large = dealt.filter("blocks > 1")
     if large.isEmpty():
-        return edges
+        # Each edge leads to the least set of a whole component.
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     # One set per component stands for it until a family's fit one block.
     while True:
         roots = connected(edges)
@@ -272,7 +274,7 @@ def _join_families(sets: DataFrame, small_tasks: int) -> DataFrame:
     stand = stand.join(main, "family")
     minor = stand.filter("root != main")
     if minor.isEmpty():
-        return edges
+        return connected(edges)
     chunked = minor.join(minor.groupBy("family").agg(
         F.ceil(F.sum("r") / BLOCK_TOKENS).cast("int").alias("chunks")), "family")
     chunks = chunked.select("family", "chunks").distinct()
@@ -285,7 +287,7 @@ def _join_families(sets: DataFrame, small_tasks: int) -> DataFrame:
     fields = ["family", "block", "chunk", "probe", "sid", "n", "root", "records"]
     more = (probes.select(*fields).unionByName(stored.select(*fields))
             .groupBy("family", "block", "chunk").applyInPandas(_probe_blocks, _EDGE))
-    return edges.unionByName(saved(more, "ngram-edges"))
+    return connected(edges.unionByName(saved(more, "ngram-edges")))
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,7 +296,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     small_batches(spark)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("_id"),
                        text_of(text_col).alias("_text"))
-    ranges = max(2 * spark.sparkContext.defaultParallelism,
+    ranges = max(8 * spark.sparkContext.defaultParallelism,
                  text_volume(rows, "_text") // RANGE_BYTES)
     sent = rows.mapInArrow(_send(ranges), "range int, payload binary")
     back = saved(sent.groupBy("range").applyInArrow(
@@ -313,7 +315,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     families = connected(index.join(hubs, "token").filter("sid != hub")
                          .select(F.col("sid").alias("a"), F.col("hub").alias("b")))
     sets = alive.join(families.select(F.col("node").alias("sid"), F.col("root").alias("family")), "sid")
-    roots = connected(_join_families(sets, small_tasks=max(ranges, 32)))
+    roots = _join_families(sets, small_tasks=ranges)
 
     # Smallest document of each set, then of each component of several sets.
     least = members.groupBy("sid").agg(F.min("doc_id").alias("least"))

@@ -42,8 +42,8 @@ END_ID = 2
 # Bytes of text a range is sized for, bytes encoded in one go (distinct pieces
 # repeat more within larger groups), ids a block is filled to, and pieces that
 # go into one call of the library.
-RANGE_BYTES = 20 << 20
-GROUP_BYTES = 24 << 20
+RANGE_BYTES = 16 << 20
+GROUP_BYTES = 18 << 20
 BLOCK_IDS = 1 << 20
 CALL_PIECES = 4_000
 

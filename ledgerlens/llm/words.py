@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 # Bytes of text handled in one go (a longer text is a chunk of its own).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 SHINGLE = 5
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
