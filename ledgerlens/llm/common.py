@@ -42,7 +42,7 @@ def text_volume(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bound the rows of an Arrow batch, so a batch of very long texts still
     fits beside a worker's other arrays. A smaller setting is kept."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -90,6 +90,8 @@ def _score(shipped, keep: int):
             kept = [batch.column(f"_keep{k}") for k in range(keep)]
             yield pa.RecordBatch.from_arrays(found + kept, [
                 "doc_id", "lang_pred", "score", "bits", *(f"kept{k}" for k in range(keep))])
+        model = None
+        words.release()
     return run
 
 

@@ -183,6 +183,8 @@ def _scan(templates: dict[str, str], coverage: float):
             columns = list(zip(*rows)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
                                              list(names))
+        hasher = None
+        words.release()
     return run
 
 

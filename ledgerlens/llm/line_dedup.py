@@ -111,7 +111,9 @@ def later_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
                         .cast("long").alias("_w"), *_names("_line")).dropDuplicates([*_KEY, "_i"])
     lines = saved(lines, "lines")
     levels = rank_levels(lines, min_words)
-    runs = _shortest_runs(lines, min_words)
+    # Written before the joins: pushed below the windows, they would drop the
+    # rows that the windows look back on.
+    runs = saved(_shortest_runs(lines, min_words), "line-shortest")
     # A run can only repeat if its first and last line do.
     ends = levels[0].select(*_KEY, "_i")
     runs = (runs.join(ends.withColumnRenamed("_i", "_s"), [*_KEY, "_s"], "left_semi")

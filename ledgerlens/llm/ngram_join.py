@@ -51,7 +51,7 @@ ship(__name__, words.__name__, trie.__name__)
 # before it sends them on, and elements a block of the tree join holds. Within
 # a range 48 bits tell shingles apart; the range adds up to 16 more.
 RANGE_BYTES = 16 << 20
-FLUSH = 1_000_000
+FLUSH = 750_000
 BLOCK_TOKENS = 400_000
 _NULL_ID = -(2 ** 63)
 _RECORD = np.dtype([("t", "<u8"), ("f", "<u2")])
@@ -122,6 +122,8 @@ def _send(ranges: int):
                     held, held_tokens = [], 0
         if held:
             yield flush()
+        held = hasher = None
+        words.release()
     return run
 
 
@@ -176,6 +178,8 @@ def _frequencies(table: pa.Table) -> pa.Table:
     records["t"], records["f"] = tokens[keep], np.minimum(freq[keep], 65535)
     kept = np.bincount(owner, minlength=len(counts))
     some = kept > 0
+    del tokens, freq, keep, owner
+    words.release()
     return _row_table(1, names[some], sizes[some].astype(np.int32), None,
                       kept[some].astype(np.int32),
                       binaries(records.tobytes(), kept[some] * _RECORD.itemsize))

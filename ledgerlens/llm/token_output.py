@@ -32,11 +32,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import huffman, ship
+from ledgerlens.llm import huffman, ship, words
 from ledgerlens.llm.common import saved, small_batches, text_of, text_volume
 from ledgerlens.session import scratch_root
 
-ship(__name__, huffman.__name__)
+ship(__name__, huffman.__name__, words.__name__)
 
 END_ID = 2
 # Bytes of text a range is sized for, bytes encoded in one go (distinct pieces
@@ -196,6 +196,8 @@ def _tokenize(spec, end_id: int, width: str):
                 held, size = [], 0
         if held:
             yield from blocks()
+        held = encoder = None
+        words.release()
     return run
 
 
@@ -252,6 +254,7 @@ def _read(lengths, with_ids: bool):
                         pa.array(np.append(starts, ends[-1:]), pa.int32()),
                         pa.array(ids.astype(np.int64), pa.int64()))
                 yield pa.RecordBatch.from_pydict(out)
+        words.release()
     return run
 
 

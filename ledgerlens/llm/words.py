@@ -6,7 +6,10 @@ a-z. Hashes are 64 bits wide.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 
 # Bytes of text handled in one go (a longer text is a chunk of its own).
 CHUNK_BYTES = 1 << 20
@@ -28,6 +31,15 @@ IS_ALNUM[48:58] = IS_ALNUM[65:91] = IS_ALNUM[97:123] = True
 IS_ALNUM[128:] = True
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker outlives its
+    task, and idle workers count against the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Finaliser: every input bit reaches every output bit."""
     h = h ^ (h >> np.uint64(30))
