@@ -84,5 +84,10 @@ def semi_join(df: DataFrame, keys: DataFrame, on) -> DataFrame:
     return df.join(keys, on=on, how="left_semi")
 
 
-def anti_join(df: DataFrame, keys: DataFrame, on) -> DataFrame:
-    return df.join(keys, on=on, how="left_anti")
+def join_groups(left: DataFrame, right: DataFrame, groups: list[str]) -> DataFrame:
+    """Inner join on group columns in which a null group meets itself; the
+    group columns of ``left`` are kept."""
+    names = {g: f"_jg_{k}" for k, g in enumerate(groups)}
+    other = right.withColumnsRenamed(names)
+    on = [left[g].eqNullSafe(other[n]) for g, n in names.items()]
+    return left.join(other, on).drop(*names.values())

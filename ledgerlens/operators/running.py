@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.joins import broadcast_if_subset_small, row_count
+from ledgerlens.operators.joins import broadcast_if_subset_small, join_groups, row_count
 from ledgerlens.session import materialize
 
 # Number of value ranges: about ROWS_PER_BUCKET rows each, at least
@@ -116,7 +116,7 @@ def prefix_sum(df: DataFrame, order_col: str, value_col: str, out_col: str = "cu
     orders = [order] + ([F.asc(tie_col)] if tie_col else [])
     w = (Window.partitionBy(*parts, b).orderBy(*orders)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    joined = staged.join(offsets, on=[*parts, b], how="inner")
+    joined = join_groups(staged, offsets, [*parts, b])
     return joined.select(
         *[c for c in df.columns],
         (F.col("_lr_off") + F.sum(value_col).over(w)).alias(out_col))
@@ -185,7 +185,7 @@ def position_within(df: DataFrame, group_cols: list[str], order_col: str,
     offsets = counts.select(*group_cols, b,
                             F.coalesce(F.sum("_pw_n").over(w_off), F.lit(0)).alias("_pw_off"))
     w = Window.partitionBy(*group_cols, b).orderBy(F.asc(order_col))
-    return (staged.join(broadcast_if_subset_small(offsets, df), on=[*group_cols, b], how="inner")
+    return (join_groups(staged, broadcast_if_subset_small(offsets, df), [*group_cols, b])
             .withColumn(out_col, F.col("_pw_off") + F.row_number().over(w))
             .drop(b, "_pw_off"))
 

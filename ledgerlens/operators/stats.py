@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.joins import broadcast_if_small, broadcast_if_subset_small
+from ledgerlens.operators.joins import join_groups, broadcast_if_small, broadcast_if_subset_small
 from ledgerlens.operators.running import prefix_sum
 from ledgerlens.session import materialize
 
@@ -45,7 +45,7 @@ def quantiles(df: DataFrame, value_col: str, probs: list[float],
                      buckets=buckets, prepared=True)
     if groups:
         totals = counts.groupBy(*groups).agg(F.sum("_q_n").alias("_q_total"))
-        cum = cum.join(broadcast_if_subset_small(totals, counts), on=groups, how="inner")
+        cum = join_groups(cum, broadcast_if_subset_small(totals, counts), groups)
         total = F.col("_q_total")
     else:
         total = counts.select(F.sum("_q_n")).scalar()
@@ -86,7 +86,7 @@ def trim_upper_per_group(df: DataFrame, value_col: str, group_cols: list[str],
                          p: float = 0.95) -> DataFrame:
     """per group, keep rows at most that group's own ``p`` quantile."""
     q = materialize(quantiles(df, value_col, [p], group_cols, names=["_trim_q"]))
-    return (df.join(broadcast_if_small(q), on=group_cols, how="inner")
+    return (join_groups(df, broadcast_if_small(q), group_cols)
             .filter(F.col(value_col) <= F.col("_trim_q")).drop("_trim_q"))
 
 
@@ -111,7 +111,7 @@ def describe(df: DataFrame, value_col: str, group_cols: list[str] | None = None,
     q = quantiles(df, value_col, [0.25, 0.5, 0.75], groups, names=["p25", "p50", "p75"],
                   places=places)
     if groups:
-        return base.join(q, on=groups, how="inner")
+        return join_groups(base, q, groups)
     # One scalar subquery for the three quartiles.
     qs = q.select(F.struct("p25", "p50", "p75")).scalar()
     return base.select("*", *[qs[c].alias(c) for c in ("p25", "p50", "p75")])
@@ -202,10 +202,12 @@ def kernel_density(df: DataFrame, value_col: str, group_cols: list[str] | None =
         F.count(v).alias("_k_n"), F.min(v).alias("_k_min"), F.max(v).alias("_k_max"),
         F.stddev_samp(v).alias("_k_sd"))
     stats = stats.withColumn("_k_h", F.col("_k_sd") * F.pow(F.col("_k_n"), F.lit(-0.2)))
-    stats = materialize(stats.filter(F.col("_k_h") > 0))
+    # A group without spread has no bandwidth: its points, all at its one
+    # value, have a null density.
+    stats = materialize(stats.withColumn("_k_h", F.coalesce(F.col("_k_h"), F.lit(0.0))))
     counts = clean.groupBy(*groups, v.alias("_k_v")).agg(F.count(F.lit(1)).alias("_k_c"))
     if groups:
-        staged = counts.join(broadcast_if_small(stats), on=groups, how="inner")
+        staged = join_groups(counts, broadcast_if_small(stats), groups)
     else:
         staged = counts.select("*", *[stats.select(c).scalar().alias(c)
                                       for c in ("_k_n", "_k_min", "_k_max", "_k_h")])
@@ -215,10 +217,10 @@ def kernel_density(df: DataFrame, value_col: str, group_cols: list[str] | None =
                         step.alias("_k_step"),
                         F.explode(F.sequence(F.lit(0), F.lit(grid_size - 1))).alias("point"))
     x = F.col("_k_start") + F.col("point") * F.col("_k_step")
-    u = (x - F.col("_k_v")) / F.col("_k_h")
+    u = F.try_divide(x - F.col("_k_v"), F.col("_k_h"))
     term = F.col("_k_c") * F.exp(F.lit(-0.5) * u * u)
     norm = F.col("_k_n") * F.col("_k_h") * F.lit(math.sqrt(2 * math.pi))
     return (pts.groupBy(*groups, "point", F.round(x, places).alias("x"), norm.alias("_k_norm"))
             .agg(F.sum(term).alias("_k_sum"))
             .select(*groups, "point", "x",
-                    F.round(F.col("_k_sum") / F.col("_k_norm"), places).alias("density")))
+                    F.round(F.try_divide("_k_sum", "_k_norm"), places).alias("density")))

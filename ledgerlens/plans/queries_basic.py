@@ -56,6 +56,21 @@ def q_partitioned(spark, sf):
     return files.read_sales_table(spark, path)
 
 
+@register("ingest_shared_table", WD + "\nSELECT * FROM daily_log")
+def q_ingest_shared(spark, sf):
+    log = daily_log(spark, sf)
+    table, drop, ckpt = (scratch(spark, n) for n in ("shared", "shared-drop", "shared-ckpt"))
+    last = log.select(F.max("sale_date")).scalar()
+    sinks.write_sales_log(log.filter(F.col("sale_date") < F.date_sub(last, 2)), table)
+    for back in (2, 1):
+        day = log.filter(F.col("sale_date") == F.date_sub(last, back))
+        sinks.sales_log_to_csv(day, f"{drop}/day-{back}")
+        ingest_available(spark, f"{drop}/*", table, ckpt)
+    ingest_available(spark, f"{drop}/*", table, ckpt)  # nothing new: adds nothing
+    sinks.append_sales(log.filter(F.col("sale_date") == last), table)
+    return files.read_sales_table(spark, table)
+
+
 @register("append_latest_day", WD + "\nSELECT * FROM daily_log")
 def q_append(spark, sf):
     log = daily_log(spark, sf)
@@ -83,14 +98,12 @@ def q_dimension(spark, sf):
     return files.load(spark, table)
 
 
-_TOP_SALE = WD + """,
-s1 AS (SELECT item_id,
-              CAST(item_price AS DECIMAL(18,2)) * CAST(item_cnt_day AS DECIMAL(18,2)) AS shop_sale
-       FROM daily_log WHERE sale_date IN (SELECT max(sale_date) FROM daily_log))
-SELECT s1.item_id, i.item_name, CAST(sum(s1.shop_sale) AS DOUBLE) AS sale
-FROM s1 JOIN daily_items i ON i.item_id = s1.item_id
-GROUP BY s1.item_id, i.item_name
-ORDER BY sale DESC, s1.item_id LIMIT 10"""
+_TOP_SALE = WD + """
+SELECT item_id, item_name, CAST(sum(round(item_price, 2)::DECIMAL(18,2)
+                                    * item_cnt_day::DECIMAL(18,2)) AS DOUBLE) AS sale
+FROM daily_log JOIN daily_items USING (item_id)
+WHERE sale_date = (SELECT max(sale_date) FROM daily_log)
+GROUP BY ALL ORDER BY sale DESC, item_id LIMIT 10"""
 
 
 @register("report_csv_roundtrip", _TOP_SALE)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ledgerlens.catalog import register
 from ledgerlens.operators.filters import complete_periods, positive_sales
 from ledgerlens.plans import classification as C
-from ledgerlens.sources.fixtures import BULK_CTE, bulk_items, bulk_log, bulk_type_log
+from ledgerlens.sources.fixtures import (BULK_CTE, DAILY_CTE, bulk_items, bulk_log, bulk_type_log,
+                                         daily_log)
 
 W = "WITH " + BULK_CTE
 
@@ -170,13 +171,6 @@ def q_grid_pivot(spark, sf):
     return C.abc_xyz_grid(C.abc_xyz(sales(spark, sf)), pivot=True)
 
 
-@register("abc_xyz_grid_complete_quarters", _CLASSES_TYPE_COMPLETE + _GRID
-          + "\nSELECT * FROM grid ORDER BY abc, xyz")
-def q_grid_type_complete(spark, sf):
-    s = type_sales(spark, sf, complete_quarters=True)
-    return C.abc_xyz_grid(C.abc_xyz(s, key="item_key", period="quarter_num"))
-
-
 @register("abc_xyz_grid_by_type_quarter", _CLASSES_TYPE + _GRID
           + "\nSELECT * FROM grid ORDER BY abc, xyz")
 def q_grid_type(spark, sf):
@@ -184,17 +178,21 @@ def q_grid_type(spark, sf):
     return C.abc_xyz_grid(C.abc_xyz(s, key="item_key", period="quarter_num"))
 
 
-def _top_type(abc, xyz):
-    sql = (_CLASSES_TYPE_COMPLETE + _REVENUE.format(key="item_key", src="type_sales") + f"""
-SELECT c.item_key, c.abc, c.xyz, r.total_sale
-FROM classes c JOIN rev r ON c.item_key = r.item_key
+def _top_daily(abc, xyz):
+    sql = ("WITH " + DAILY_CTE + """,
+daily_sales AS (SELECT * FROM daily_log WHERE item_cnt_day > 0)""" + _abc("item_id", "daily_sales")
+           + _xyz("item_id", "daily_sales", "month_num") + """,
+classes AS (SELECT a.item_id, a.abc, x.xyz FROM abc_c a JOIN xyz_c x ON a.item_id = x.item_id)"""
+           + _REVENUE.format(key="item_id", src="daily_sales") + f"""
+SELECT c.item_id AS item_key, c.abc, c.xyz, r.total_sale
+FROM classes c JOIN rev r ON c.item_id = r.item_id
 WHERE c.abc = '{abc}' AND c.xyz = '{xyz}'
-ORDER BY r.total_sale DESC, c.item_key LIMIT 10""")
+ORDER BY r.total_sale DESC, c.item_id LIMIT 10""")
 
     def run(spark, sf):
-        per = C.period_totals(type_sales(spark, sf, complete_quarters=True), "item_key",
-                              "quarter_num", with_revenue=True)
-        classes = C.abc_xyz(None, key="item_key", period="quarter_num", per=per)
+        log = positive_sales(daily_log(spark, sf)).withColumn("item_key", F.col("item_id"))
+        per = C.period_totals(log, "item_key", "month_num", with_revenue=True)
+        classes = C.abc_xyz(None, key="item_key", period="month_num", per=per)
         return C.top_sales_in_class(classes, None, None, abc, xyz, key="item_key",
                                     revenue=C.revenue_from_periods(per, "item_key"))
     return sql, run
@@ -215,7 +213,7 @@ ORDER BY r.total_sale DESC, c.item_id LIMIT 10""")
 
 
 for _a, _x in [("A", "X"), ("B", "X"), ("C", "X")]:
-    _sql, _run = _top_type(_a, _x)
+    _sql, _run = _top_daily(_a, _x)
     register(f"top_sales_in_class_{_a.lower()}{_x.lower()}", _sql)(_run)
 
 for _a, _x in [("A", "Z"), ("B", "Z"), ("C", "Z")]:

@@ -36,28 +36,25 @@ def q_report_top_goods(spark, sf):
     return reports.report_top_goods(log, items)
 
 
-@register("report_top_goods_sale", W + f""",
-s1 AS (SELECT item_id,
-              CAST(item_price AS DECIMAL(18,2)) * CAST(item_cnt_day AS DECIMAL(18,2)) AS shop_sale
-       FROM daily_log WHERE sale_date IN {_LAST})
-SELECT s1.item_id, i.item_name, CAST(sum(s1.shop_sale) AS DOUBLE) AS sale
-FROM s1 JOIN daily_items i ON i.item_id = s1.item_id
-GROUP BY s1.item_id, i.item_name
-ORDER BY sale DESC, s1.item_id LIMIT 10""")
+@register("report_top_goods_sale", W + f"""
+SELECT item_id, item_name, CAST(sum(round(item_price, 2)::DECIMAL(18,2)
+                                    * item_cnt_day::DECIMAL(18,2)) AS DOUBLE) AS sale
+FROM daily_log JOIN daily_items USING (item_id)
+WHERE sale_date = {_LAST}
+GROUP BY ALL ORDER BY sale DESC, item_id LIMIT 10""")
 def q_report_top_goods_sale(spark, sf):
     log, items, _ = daily_model(spark, sf)
     return reports.report_top_goods_sale(log, items)
 
 
 _DIFF_SQL = W + f""",
-s1 AS (SELECT sale_date, item_id, sum(item_cnt_day) AS total_count FROM daily_log
-       WHERE sale_date IN {_LAST} GROUP BY sale_date, item_id),
-s2 AS (SELECT sale_date, item_id, sum(item_cnt_day) AS total_count FROM daily_log
-       WHERE sale_date + 1 IN {_LAST} GROUP BY sale_date, item_id)
-SELECT s1.sale_date, s1.item_id, i.item_name, abs(s1.total_count - s2.total_count) AS difference
-FROM s1 JOIN s2 ON s1.item_id = s2.item_id
-JOIN daily_items i ON i.item_id = s1.item_id
-ORDER BY difference DESC, s1.item_id LIMIT 10"""
+changes AS (
+  SELECT item_id, sum(CASE WHEN sale_date = {_LAST} THEN item_cnt_day ELSE -item_cnt_day END) AS change,
+         count(DISTINCT sale_date) AS days
+  FROM daily_log WHERE sale_date BETWEEN {_LAST} - 1 AND {_LAST} GROUP BY item_id)
+SELECT {_LAST} AS sale_date, item_id, item_name, abs(change) AS difference
+FROM changes JOIN daily_items USING (item_id) WHERE days = 2
+ORDER BY difference DESC, item_id LIMIT 10"""
 
 
 @register("report_top_difference", _DIFF_SQL)
@@ -66,17 +63,7 @@ def q_report_top_difference(spark, sf):
     return reports.report_top_difference(log, items)
 
 
-@register("report_top_difference_outer", W + f""",
-s1 AS (SELECT item_id, sum(item_cnt_day) AS total_count FROM daily_log
-       WHERE sale_date IN {_LAST} GROUP BY item_id),
-s2 AS (SELECT item_id, sum(item_cnt_day) AS total_count FROM daily_log
-       WHERE sale_date + 1 IN {_LAST} GROUP BY item_id),
-j AS (SELECT coalesce(s1.item_id, s2.item_id) AS item_id,
-             abs(coalesce(s1.total_count, 0) - coalesce(s2.total_count, 0)) AS difference
-      FROM s1 FULL OUTER JOIN s2 ON s1.item_id = s2.item_id)
-SELECT {_LAST} AS sale_date, j.item_id, i.item_name, j.difference
-FROM j JOIN daily_items i ON i.item_id = j.item_id
-ORDER BY difference DESC, j.item_id LIMIT 10""")
+@register("report_top_difference_outer", _DIFF_SQL.replace(" WHERE days = 2", ""))
 def q_report_top_difference_outer(spark, sf):
     log, items, _ = daily_model(spark, sf)
     return reports.report_top_difference(log, items, how="outer")

@@ -101,59 +101,49 @@ def report_top_difference(log: DataFrame, items: DataFrame, k: int = TOP_K,
 
 # ---------------------------------------------------------------- SQL form
 # The same reports as Spark SQL over the views ``sales_log``, ``items`` and
-# ``item_categories``. The latest day is an IN-subquery, which Catalyst
-# plans as a left-semi join against the one-row maximum.
-REPORT_SQL = {
-    "by_category": """
-        SELECT c.item_category_id, c.item_category_name,
-               sum(s.item_cnt_day) AS num_sold,
-               CAST(sum(CAST(s.item_price AS DECIMAL(18,2)) *
-                        CAST(s.item_cnt_day AS DECIMAL(18,2))) AS DOUBLE) AS sales
-        FROM sales_log s
-        JOIN items i ON s.item_id = i.item_id
-        JOIN item_categories c ON c.item_category_id = i.item_category_id
-        WHERE s.sale_date IN (SELECT max(sale_date) FROM sales_log)
-        GROUP BY c.item_category_id, c.item_category_name
-        ORDER BY sales, item_category_id""",
-    "top_goods": """
-        SELECT s.item_id, i.item_name, count(s.item_cnt_day) AS daily_count
-        FROM sales_log s JOIN items i ON s.item_id = i.item_id
-        WHERE s.sale_date IN (SELECT max(sale_date) FROM sales_log)
-        GROUP BY s.item_id, i.item_name
-        ORDER BY daily_count DESC, item_id
-        LIMIT :k""",
-    "top_goods_sale": """
-        WITH day AS (
+# ``item_categories``. All four start from one reduction: per item, what the
+# newest day and the day before it sold, in a single pass with conditional
+# sums; names are joined to the reduced rows.
+_PER_ITEM = """
+        WITH dated AS (
+          SELECT *, (SELECT max(sale_date) FROM sales_log) AS at FROM sales_log),
+        per_item AS (
           SELECT item_id,
-                 CAST(item_price AS DECIMAL(18,2)) * CAST(item_cnt_day AS DECIMAL(18,2)) AS shop_sale
-          FROM sales_log
-          WHERE sale_date IN (SELECT max(sale_date) FROM sales_log))
-        SELECT d.item_id, i.item_name, CAST(sum(d.shop_sale) AS DOUBLE) AS sale
-        FROM day d JOIN items i ON i.item_id = d.item_id
-        GROUP BY d.item_id, i.item_name
-        ORDER BY sale DESC, item_id
-        LIMIT :k""",
-    "top_difference": """
-        WITH last_day AS (
-          SELECT sale_date, item_id, sum(item_cnt_day) AS total_count
-          FROM sales_log
-          WHERE sale_date IN (SELECT max(sale_date) FROM sales_log)
-          GROUP BY sale_date, item_id),
-        prev_day AS (
-          SELECT sale_date, item_id, sum(item_cnt_day) AS total_count
-          FROM sales_log
-          WHERE date_add(sale_date, 1) IN (SELECT max(sale_date) FROM sales_log)
-          GROUP BY sale_date, item_id)
-        SELECT l.sale_date, l.item_id, i.item_name,
-               abs(l.total_count - p.total_count) AS difference
-        FROM last_day l
-        JOIN prev_day p ON l.item_id = p.item_id
-        JOIN items i ON i.item_id = l.item_id
-        ORDER BY difference DESC, item_id
-        LIMIT :k""",
+                 count_if(sale_date = at AND item_cnt_day IS NOT NULL) AS n_rows,
+                 count_if(sale_date = at) AS n_now,
+                 count_if(sale_date < at) AS n_before,
+                 sum(item_cnt_day) FILTER (WHERE sale_date = at) AS units,
+                 sum(item_cnt_day) FILTER (WHERE sale_date < at) AS units_before,
+                 sum(CAST(item_price AS DECIMAL(18,2)) * CAST(item_cnt_day AS DECIMAL(18,2)))
+                   FILTER (WHERE sale_date = at) AS revenue,
+                 max(at) AS at
+          FROM dated
+          WHERE sale_date >= date_sub(at, 1)
+          GROUP BY item_id)"""
+REPORT_SQL = {
+    "by_category": _PER_ITEM + """
+        SELECT item_category_id, item_category_name, sum(units) AS num_sold,
+               CAST(sum(revenue) AS DOUBLE) AS sales
+        FROM per_item JOIN items USING (item_id) JOIN item_categories USING (item_category_id)
+        WHERE n_now > 0
+        GROUP BY ALL ORDER BY sales, item_category_id""",
+    "top_goods": _PER_ITEM + """
+        SELECT item_id, item_name, n_rows AS daily_count
+        FROM per_item JOIN items USING (item_id)
+        WHERE n_now > 0
+        ORDER BY daily_count DESC, item_id LIMIT :k""",
+    "top_goods_sale": _PER_ITEM + """
+        SELECT item_id, item_name, CAST(revenue AS DOUBLE) AS sale
+        FROM per_item JOIN items USING (item_id)
+        WHERE n_now > 0
+        ORDER BY sale DESC, item_id LIMIT :k""",
+    "top_difference": _PER_ITEM + """
+        SELECT at AS sale_date, item_id, item_name, abs(units - units_before) AS difference
+        FROM per_item JOIN items USING (item_id)
+        WHERE n_now > 0 AND n_before > 0
+        ORDER BY difference DESC, item_id LIMIT :k""",
 }
 
-
 def register_model(spark: SparkSession, log: DataFrame, items: DataFrame,
                    categories: DataFrame) -> None:
     """Expose the model as the views the SQL reports read."""

@@ -11,6 +11,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job here relies on. They are applied with setIfMissing
@@ -41,27 +42,33 @@ def build_session(master: str | None = None, app_name: str = "ledgerlens",
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    # What spark-submit or a properties file set explicitly is in the JVM's
+    # system properties, which a fresh SparkConf reads.
+    SparkContext._ensure_initialized()
+    given = SparkConf()
     for key, value in _DEFAULTS.items():
-        builder = builder.config(key, value)
+        if not given.contains(key):
+            builder = builder.config(key, value)
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)
-    spark = builder.getOrCreate()
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark
+    return builder.getOrCreate()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting points at shared storage and is read as is.
-    Only when it is unset (local tests) a scratch folder is created.
+    Only when it is unset on a local master (tests) a scratch folder is
+    created; on a cluster that is an error, as executors do not share one.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     spark.sparkContext.setCheckpointDir(configured)

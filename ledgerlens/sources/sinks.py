@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlens.functions.dates import format_date
 from ledgerlens.operators.running import row_index
@@ -16,26 +19,35 @@ def load_dimension(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", PARQUET_COMPRESSION).parquet(path)
 
 
-def write_sales_log(log: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """The fact table, partitioned by month (partition column last).
+def write_sales_log(log: DataFrame, path: str, mode: str = "overwrite",
+                    load_id: str = "bulk") -> None:
+    """The fact table, partitioned by month and load.
 
-    Rows are range-partitioned by (month, date, item) before writing: each
-    task then covers a contiguous slice and writes into one or two month
-    folders, while a large month (or a hot day) is still spread over many
-    tasks instead of landing in one. Sorting inside each task keeps the
+    Rows are range-partitioned by (month, date, item, shop, price) before
+    writing: each task then covers a contiguous slice and writes into one or
+    two month folders, while a large month, a hot day or a hot item of one
+    day is still spread over many tasks. Sorting inside each task keeps the
     Parquet min/max statistics of ``sale_date`` tight, so a filter on a day
     skips most row groups.
-    """
-    (log.select(*SALES_TABLE_COLUMNS)
-     .repartitionByRange("month_num", "sale_date", "item_id")
-     .sortWithinPartitions("month_num", "sale_date", "item_id")
-     .write.mode(mode).option("compression", PARQUET_COMPRESSION)
-     .partitionBy("month_num").parquet(path))
 
-
-def append_sales(log: DataFrame, path: str) -> None:
+    ``load_id`` names the load. ``mode="load"`` replaces what an earlier
+    attempt of the same load wrote and nothing else, so a retried load adds
+    its rows once.
+    """
+    keys = ["month_num", "sale_date", "item_id"]
+    rows = (log.select(*SALES_TABLE_COLUMNS).withColumn("load_id", F.lit(load_id))
+            .repartitionByRange(*keys, "shop_id", "item_price")
+            .sortWithinPartitions(*keys))
+    writer = rows.write.mode("append" if mode == "append" else "overwrite")
+    if mode == "load":
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    (writer.option("compression", PARQUET_COMPRESSION)
+     .partitionBy("month_num", "load_id").parquet(path))
+
+
+def append_sales(log: DataFrame, path: str, load_id: str | None = None) -> None:
     """Append new rows; the partitions come from the rows' own month."""
-    write_sales_log(log, path, mode="append")
+    write_sales_log(log, path, mode="append", load_id=load_id or f"append-{uuid.uuid4().hex}")
 
 
 def write_report(df: DataFrame, path: str, quote_all: bool = False) -> None:

@@ -14,9 +14,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.plans import reports
-from ledgerlens.schema import SALES_FILE_SCHEMA, SALES_TABLE_COLUMNS
+from ledgerlens.schema import SALES_FILE_SCHEMA
 from ledgerlens.sources.files import CSV_OPTIONS, read_sales_table, to_sales_log
-from ledgerlens.sources.sinks import write_report
+from ledgerlens.sources.sinks import write_report, write_sales_log
 
 
 def sales_stream(spark: SparkSession, drop_dir: str, archive_dir: str | None = None,
@@ -37,16 +37,20 @@ def ingest_available(spark: SparkSession, drop_dir: str, table_dir: str, checkpo
     table at ``table_dir`` once, then stop.
 
     Rows go to the partition of their own ``month_num``, so a late file lands
-    in its old month. The file sink's commit log makes the table consistent
-    for readers and the checkpoint makes reruns idempotent.
+    in its old month. Every micro-batch goes through the batch writer as a
+    load of its own (named by the stream and the batch), so back-filled,
+    appended and ingested rows share one table, and a batch that is run
+    again after a failure replaces what its first attempt wrote.
     """
+    def load(batch: DataFrame, batch_id: int) -> None:
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        write_sales_log(batch, table_dir, mode="load", load_id=f"{stream}-{batch_id}")
+
     query = (sales_stream(spark, drop_dir, archive_dir)
-             .select(*SALES_TABLE_COLUMNS)
-             .writeStream.format("parquet")
+             .writeStream.foreachBatch(load)
              .option("checkpointLocation", checkpoint)
-             .partitionBy("month_num")
              .trigger(availableNow=True)
-             .start(table_dir))
+             .start())
     query.awaitTermination()
 
 
