@@ -1,9 +1,8 @@
 """Joins of the star schema.
 
-Dimension tables are broadcast only behind a size check: a bounded count
-(``limit(n + 1).count()``) proves the side has at most ``n`` rows. Above the
-bound the join stays a shuffle join and adaptive execution (with skew-join
-splitting) picks the strategy at run time.
+A table is broadcast on a hint only when the planner's estimate of its bytes is
+within a fixed bound. Beyond it the join stays a shuffle join, and statistics
+and adaptive execution (with skew-join splitting) pick the strategy.
 """
 
 from __future__ import annotations
@@ -11,30 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest dimension (rows) that is broadcast without further thought. A
-# dimension row here is a few dozen bytes, so this keeps a broadcast well
-# under the default 8 GB broadcast limit and typical executor memory.
-DEFAULT_BROADCAST_ROWS = 2_000_000
+# Largest table (estimated bytes, uncompressed or as stored) that is broadcast
+# on a hint; far below what an executor holds.
+BROADCAST_BYTES = 64 << 20
 
 
-def has_at_most(df: DataFrame, n: int) -> bool:
-    """True when ``df`` has at most ``n`` rows; reads at most ``n + 1``.
-
-    The answer is remembered on the DataFrame object, so repeated checks of
-    one (written, immutable) intermediate table cost one job.
-    """
-    rows = getattr(df, "_ledgerlens_rows", None)
-    if rows is not None:
-        return rows <= n
-    known = getattr(df, "_ledgerlens_bound", None)
-    if known is not None and known[0] == n:
-        return known[1]
-    result = df.limit(n + 1).count() <= n
-    try:
-        df._ledgerlens_bound = (n, result)
-    except AttributeError:
-        pass
-    return result
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate; runs no job."""
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    return int(str(stats.sizeInBytes()))
 
 
 def row_count(df: DataFrame) -> int:
@@ -50,23 +34,25 @@ def row_count(df: DataFrame) -> int:
     return rows
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast when its size is proven to be bounded."""
-    return F.broadcast(df) if has_at_most(df, max_rows) else df
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast when the planner's size estimate, which for
+    a written table comes from its files, is within ``max_bytes``; otherwise
+    leave the choice to the planner and adaptive execution."""
+    return F.broadcast(df) if estimated_bytes(df) <= max_bytes else df
 
 
 def broadcast_if_subset_small(df: DataFrame, superset: DataFrame,
-                              max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                              max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Broadcast ``df`` when a table it is a subset of (e.g. the dimension it
-    was filtered from) has at most ``max_rows`` rows: the bound is proven
-    without computing ``df`` itself."""
-    return F.broadcast(df) if has_at_most(superset, max_rows) else df
+    was filtered from) is within ``max_bytes``: the bound is proven without
+    computing ``df`` itself."""
+    return F.broadcast(df) if estimated_bytes(superset) <= max_bytes else df
 
 
 def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "inner",
-                   max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                   max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Fact ⋈ dimension with a USING join (one key column in the result)."""
-    return fact.join(broadcast_if_small(dim, max_rows), on=on, how=how)
+    return fact.join(broadcast_if_small(dim, max_bytes), on=on, how=how)
 
 
 def join_items(log: DataFrame, items: DataFrame, how: str = "inner", **kw) -> DataFrame:

@@ -42,13 +42,22 @@ def auto_buckets(df: DataFrame) -> int:
     return max(DEFAULT_BUCKETS, min(MAX_BUCKETS, -(-n // ROWS_PER_BUCKET)))
 
 
+def order_value(df: DataFrame, col: str) -> Column:
+    """A double that never falls as ``col`` rises: the number itself, or for
+    text the number its first six bytes spell (text sorts by bytes)."""
+    if df.schema[col].dataType.typeName() != "string":
+        return F.col(col).cast("double")
+    head = F.rpad(F.hex(F.substring(F.col(col).cast("binary"), 1, 6)), 12, "0")
+    return F.conv(head, 16, 10).cast("double")
+
+
 def range_bounds(df: DataFrame, col: str, buckets: int = DEFAULT_BUCKETS) -> list:
     """Up to ``buckets - 1`` ascending cut points of ``col`` (bounded fetch)."""
     if buckets <= 1:
         return []
     probs = [i / buckets for i in range(1, buckets)]
     accuracy = max(_SKETCH_ACCURACY, 20 * buckets)
-    row = df.select(F.percentile_approx(F.col(col).cast("double"), probs,
+    row = df.select(F.percentile_approx(order_value(df, col), probs,
                                         accuracy).alias("b")).first()
     values = row["b"] if row is not None and row["b"] is not None else []
     return sorted(set(values))
@@ -104,7 +113,7 @@ def prefix_sum(df: DataFrame, order_col: str, value_col: str, out_col: str = "cu
             df = materialize(df)
         bounds = range_bounds(df, order_col, buckets or auto_buckets(df))
     b = "_lr_bucket"
-    staged = df.withColumn(b, bucket_of(order_col, bounds, descending))
+    staged = df.withColumn(b, bucket_of(order_value(df, order_col), bounds, descending))
     per_bucket = staged.groupBy(*parts, b).agg(F.sum(value_col).alias("_lr_bsum"))
     w_off = Window.partitionBy(*parts).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
@@ -179,7 +188,7 @@ def position_within(df: DataFrame, group_cols: list[str], order_col: str,
         df = materialize(df)
     bounds = range_bounds(df, order_col, buckets or auto_buckets(df))
     b = "_pw_bucket"
-    staged = df.withColumn(b, bucket_of(order_col, bounds, descending=False))
+    staged = df.withColumn(b, bucket_of(order_value(df, order_col), bounds, descending=False))
     counts = staged.groupBy(*group_cols, b).agg(F.count(F.lit(1)).alias("_pw_n"))
     w_off = Window.partitionBy(*group_cols).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group_cols, b,

@@ -28,9 +28,10 @@ def normalise_columns(df: DataFrame) -> DataFrame:
 
 
 def to_sales_log(raw: DataFrame, date_format: str = SALE_DATE_FORMAT,
-                 drop_bad_dates: bool = True) -> DataFrame:
+                 drop_bad_dates: bool = False) -> DataFrame:
     """Canonical sales log from landing rows: a real DATE, widened types,
-    columns selected by name (never by position)."""
+    columns selected by name (never by position). A date that cannot be read
+    is null; its row stays, in the month the file names."""
     raw = normalise_columns(raw)
     d = raw["sale_date"]
     date = d if isinstance(raw.schema["sale_date"].dataType, T.DateType) \

@@ -6,6 +6,7 @@ import os
 
 from conftest import make_categories, make_items, make_log
 
+from ledgerlens.session import materialize
 from ledgerlens.plans import reports
 from ledgerlens.sources import files, sinks
 
@@ -30,6 +31,8 @@ def test_reports_prune_month_partitions_and_broadcast_dimensions(spark, tmp_dir)
     log = _table(spark, tmp_dir)
     items = make_items(spark, [(i, f"n{i}", 1) for i in range(1, 4)])
     cats = make_categories(spark, [(1, "one")])
+    # Stored tables, as dimensions are: their size is known from the files.
+    items, cats = materialize(items), materialize(cats)
     plan = _plan(reports.report_by_category(log, items, cats, month_col="month_num"))
     assert "PartitionFilters: [isnotnull(month_num" in plan
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -68,3 +68,13 @@ def test_ordered_index_equals_row_number(spark):
     w = Window.orderBy(F.desc_nulls_last("v"), F.asc("item_id"))
     want = {r.item_id: r.ix for r in df.withColumn("ix", F.row_number().over(w) - 1).collect()}
     assert got == want
+
+
+def test_positions_by_a_text_key(spark):
+    from ledgerlens.operators.running import position_within
+    rows = [(k % 2, f"item {'é' if k % 3 else 'z'}{k:03d}") for k in range(200)]
+    df = spark.createDataFrame(rows, "g int, k string")
+    got = {(r.g, r.k): r.position for r in position_within(df, ["g"], "k", buckets=8).collect()}
+    for g in (0, 1):
+        mine = sorted((k for h, k in rows if h == g), key=lambda s: s.encode())
+        assert [got[g, k] for k in mine] == list(range(1, len(mine) + 1))

@@ -26,12 +26,13 @@ def test_quoted_names_with_doubled_quotes(spark, tmp_dir):
     assert rows[1].item_name == "plain"
 
 
-def test_sales_csv_parses_dates_and_drops_bad_ones(spark, tmp_dir):
+def test_sales_csv_parses_dates(spark, tmp_dir):
     p = os.path.join(tmp_dir, "day1.csv")
     _write(p, HEADER + "01.02.2013,1,0,5,2499.5,1.0\n13.01.2013,0,0,6,10,2\n"
                "31.02.2013,1,0,7,1,1\n,1,0,8,1,1\nnot a date,1,0,9,1,1\n")
     rows = files.read_sales_csv(spark, p).orderBy("item_id").collect()
-    assert [(str(r.sale_date), r.item_id) for r in rows] == [("2013-02-01", 5), ("2013-01-13", 6)]
+    assert [(r.sale_date and str(r.sale_date), r.item_id) for r in rows] == [
+        ("2013-02-01", 5), ("2013-01-13", 6), (None, 7), (None, 8), (None, 9)]
     assert rows[0].item_price == 2499.5
 
 
@@ -94,3 +95,36 @@ def test_ingest_is_incremental_and_idempotent(spark, tmp_dir):
     back = files.read_sales_table(spark, table)
     assert back.count() == 3
     assert back.groupBy("item_id").count().filter("count > 1").count() == 0
+
+
+def test_backfill_ingestion_and_append_share_one_table(spark, tmp_dir):
+    import os
+
+    from ledgerlens.sources.files import read_sales_table
+    from ledgerlens.sources.sinks import append_sales, sales_log_to_csv, write_sales_log
+    from conftest import make_log
+
+    table, drop, ckpt = (os.path.join(tmp_dir, n) for n in ("t", "d", "c"))
+    write_sales_log(make_log(spark, [("2013-01-02", k, 1.5, 1) for k in range(3)]), table)
+    sales_log_to_csv(make_log(spark, [("2013-02-01", 7, 2.0, 1)]), drop + "/a")
+    ingest_available(spark, drop + "/*", table, ckpt)
+    assert read_sales_table(spark, table).count() == 4
+    append_sales(make_log(spark, [("2013-02-02", 8, 2.0, 1)]), table)
+    ingest_available(spark, drop + "/*", table, ckpt)
+    assert read_sales_table(spark, table).count() == 5
+    # A load that is run again replaces its own rows only.
+    for _ in range(2):
+        write_sales_log(make_log(spark, [("2013-02-03", 9, 2.0, 1)]), table, mode="load", load_id="x")
+    assert read_sales_table(spark, table).count() == 6
+
+
+def test_rows_with_unreadable_dates_are_kept(spark, tmp_dir):
+    import os
+
+    from ledgerlens.sources.files import read_sales_csv
+    path = os.path.join(tmp_dir, "bad.csv")
+    with open(path, "w") as f:
+        f.write("date,date_block_num,shop_id,item_id,item_price,item_cnt_day\n"
+                "02.01.2013,0,1,2,3.0,1\nnot a date,0,1,3,3.0,1\n")
+    rows = read_sales_csv(spark, path).orderBy("item_id").collect()
+    assert [r.sale_date is None for r in rows] == [False, True]

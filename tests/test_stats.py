@@ -77,3 +77,18 @@ def test_kernel_density_matches_formula(spark):
                 for p in grid]
         for i, d in enumerate(dens):
             assert abs(out[(g, i)] - d) < 1e-9
+
+
+def test_null_groups_and_groups_without_spread_stay(spark):
+    from ledgerlens.operators import stats
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), (None, 7.0), ("b", 2.0)],
+                               "g string, v double")
+    q = {r.g: r.q for r in stats.quantiles(df, "v", [0.5], ["g"], names=["q"]).collect()}
+    assert q == {"a": 2.0, None: 6.0, "b": 2.0}
+    d = {r.g: r.p50 for r in stats.describe(df, "v", ["g"]).collect()}
+    assert d == q
+    trimmed = stats.trim_upper_per_group(df, "v", ["g"], 0.5).collect()
+    assert {(r.g, r.v) for r in trimmed} == {("a", 1.0), (None, 5.0), ("b", 2.0)}
+    k = stats.kernel_density(df, "v", ["g"], grid_size=5).collect()
+    assert {r.g for r in k} == {"a", "b", None}
+    assert all(r.density is None for r in k if r.g == "b")
