@@ -16,7 +16,6 @@ import argparse
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerlens.operators.filters import positive_sales
 from ledgerlens.plans import calendar as K
@@ -24,7 +23,7 @@ from ledgerlens.plans import classification as C
 from ledgerlens.plans import prices as P
 from ledgerlens.plans import reports as R
 from ledgerlens.schema import CATEGORIES_SCHEMA, ITEMS_SCHEMA
-from ledgerlens.session import build_session
+from ledgerlens.session import build_session, materialize, remove_scratch
 from ledgerlens.sources import files, sinks
 from ledgerlens.streaming.ingest import ingest_available
 
@@ -41,8 +40,8 @@ def _dimension(spark: SparkSession, path: str, schema) -> DataFrame:
 def run_ingest(spark: SparkSession, drop: str, table: str, archive: str | None = None,
                checkpoint: str | None = None) -> None:
     """The checkpoint must stay the same from run to run (it records which
-    files were loaded); by default it lives next to the file sink's own
-    ``_spark_metadata`` inside the table folder, which readers skip."""
+    files were loaded); by default it lives inside the table folder, in a
+    folder that readers skip."""
     checkpoint = checkpoint or os.path.join(table, "_ingest_checkpoint")
     ingest_available(spark, drop, table, checkpoint, archive)
 
@@ -64,44 +63,50 @@ def run_reports(spark: SparkSession, table: str, items: DataFrame, categories: D
 
 def run_analysis(spark: SparkSession, table: str, items: DataFrame, categories: DataFrame,
                  out: str) -> dict[str, DataFrame]:
-    """R7-R14 on positive sales; small results as (indexed) CSV files."""
+    """R7-R14 on positive sales; small results as (indexed) CSV files. The
+    log is read four times: per (month, item), per item, per day and per
+    (day, category); everything else derives from these written tables."""
     sales = positive_sales(files.read_sales_table(spark, table))
     per = C.period_totals(sales, with_revenue=True)
-    classes = C.abc_xyz(None, per=per)
+    classes = materialize(C.abc_xyz(None, per=per))
     revenue = C.revenue_from_periods(per)
-    item_prices = P.mean_product_prices(sales, items)
-    cat_prices = P.mean_category_prices(sales, items, categories)
-    top_cat_items = P.top_category_item_prices(sales, items, categories)
+    summary = P.item_summary(sales)
+    item_prices = P.mean_product_prices(None, items, summary)
+    cat_prices = P.mean_category_prices(None, items, categories, summary)
+    top_cat_items = P.top_category_item_prices(None, items, categories, summary=summary)
+    daily = K.daily_table(sales)
+    cat_daily = materialize(K.category_daily(sales, items, categories))
     result = {
         "abc_xyz": classes,
         "abc_xyz_grid": C.abc_xyz_grid(classes),
         "mean_product_prices_sorted": item_prices,
         "mean_price_for_category": cat_prices,
         "mean_category_prices_top_5": top_cat_items,
-        "total_price_to_date": K.daily_revenue(sales),
-        "weekly_sales": K.weekly_sales(sales),
-        "monthly_sales": K.monthly_sales(sales),
+        "total_price_to_date": daily.select("sale_date", "month_num", K.DAY),
+        "weekly_sales": K.weekly_of_daily(daily),
+        "monthly_sales": K.monthly_of_daily(daily),
     }
     for a, x in REPORTED_CLASS_PAIRS:
         result[f"top_10_products_by_sale_in_{a.lower()}{x.lower()}"] = C.top_sales_in_class(
             classes, None, items, a, x, revenue=revenue)
     for kind in K.SEASONAL:
-        result[f"sales_by_{kind}"] = K.seasonal_sales(sales, kind)
-        result[f"category_sales_by_{kind}"] = K.category_seasonal_sales(sales, items, categories,
-                                                                        kind)
-    # Per-item and per-day outputs as Parquet (written in parallel); small
-    # results as one CSV file each.
+        result[f"sales_by_{kind}"] = K.seasonal_of_daily(daily, kind)
+        result[f"category_sales_by_{kind}"] = K.seasonal_of_daily(cat_daily, kind,
+                                                                  "item_category_name")
+    # Per-item and per-day outputs are written in parallel; small results as
+    # one CSV file each.
     for name, df in result.items():
-        if name in ("abc_xyz", "mean_product_prices_sorted", "mean_category_prices_top_5",
-                    "total_price_to_date"):
-            df.write.mode("overwrite").parquet(os.path.join(out, name))
-        elif name.startswith("top_10") or name == "mean_price_for_category":
-            sinks.write_indexed_report(df, os.path.join(out, name),
-                                       *([F.desc("total_sale"), F.asc("item_id")]
-                                         if name.startswith("top_10")
-                                         else [F.desc("mean_price"), F.asc("item_category_id")]))
+        path = os.path.join(out, name)
+        if name in ("abc_xyz", "mean_category_prices_top_5", "total_price_to_date"):
+            df.write.mode("overwrite").parquet(path)
+        elif name.startswith("top_10"):
+            sinks.write_indexed_report(df, path, "total_sale", "item_id")
+        elif name == "mean_product_prices_sorted":
+            sinks.write_indexed_report(df, path, "mean_price", "item_id")
+        elif name == "mean_price_for_category":
+            sinks.write_indexed_report(df, path, "mean_price", "item_category_id")
         else:
-            sinks.write_report(df, os.path.join(out, name))
+            sinks.write_report(df, path)
     return result
 
 
@@ -128,6 +133,7 @@ def main(argv: list[str] | None = None) -> None:
     categories = _dimension(spark, args.categories, CATEGORIES_SCHEMA)
     job = run_reports if args.job == "reports" else run_analysis
     job(spark, args.table, items, categories, args.out)
+    remove_scratch(spark)
 
 
 if __name__ == "__main__":

@@ -10,14 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.numeric import amount_to_double, hundredths, line_total, mean_of_cents
+from ledgerlens.functions.numeric import (amount_to_double, line_total, mean_of_prices, sum_amount,
+                                          sum_price)
 
 MEAN_PLACES = 4
 
 
 def with_total_sale(df: DataFrame, price: str = "item_price",
                     qty: str = "item_cnt_day", out: str = "total_sale") -> DataFrame:
-    """The amount of each row, ``price * count``, exact (1e-4 units)."""
+    """The amount of each row, ``price * count``, exact."""
     return df.withColumn(out, line_total(price, qty))
 
 
@@ -31,7 +32,7 @@ def revenue_by(df: DataFrame, *keys: str, out: str = "total_sale",
                price: str = "item_price", qty: str = "item_cnt_day",
                as_double: bool = True) -> DataFrame:
     """Exact sum of ``price * count`` per key."""
-    total = F.sum(line_total(price, qty))
+    total = sum_amount(price, qty)
     return df.groupBy(*keys).agg((amount_to_double(total) if as_double else total).alias(out))
 
 
@@ -39,10 +40,10 @@ def mean_price_by(df: DataFrame, *keys: str, price: str = "item_price",
                   out: str = "mean_price", places: int = MEAN_PLACES) -> DataFrame:
     """Unweighted mean price per sale row, rounded to ``places``.
 
-    The mean is computed from the exact sum of cents and rounded half up
-    once, so it does not depend on the order partitions are combined in.
+    The mean is computed from the exact price sum and rounded half up once,
+    so it does not depend on the order partitions are combined in.
     """
-    mean = mean_of_cents(F.sum(hundredths(price)), F.count(price), places)
+    mean = mean_of_prices(sum_price(price), F.count(price), places)
     return df.groupBy(*keys).agg(mean.alias(out))
 
 
@@ -51,16 +52,17 @@ def demand_stats(monthly: DataFrame, key: str = "item_id", value: str = "item_cn
     """A3: mean and population std of per-period units per key.
 
     With ``periods`` (a Column holding the number of periods) absent periods
-    count as zero: mean = S / N and var = Q / N - mean^2, so no key x period
-    grid is materialised.
+    count as zero without a key x period grid: with n periods of mean m and
+    std s present, the mean over all N is M = n m / N and the variance
+    (n (s^2 + (m - M)^2) + (N - n) M^2) / N, a sum of squares only.
     """
     v = F.col(value)
-    if periods is None:
-        mean, std = F.avg(v), F.stddev_pop(v)
-    else:
-        s, q = F.sum(v), F.sum(v * v)
-        mean = s / periods
-        std = F.sqrt(F.greatest(q / periods - mean * mean, F.lit(0.0)))
+    mean, std = F.avg(v), F.stddev_pop(v)
+    if periods is not None:
+        n, here, spread = F.count(v), mean, std
+        mean = F.sum(v) / periods
+        std = F.sqrt((n * (spread * spread + F.pow(here - mean, F.lit(2.0)))
+                      + (periods - n) * mean * mean) / periods)
     return monthly.groupBy(key).agg(mean.alias("mean"), std.alias("std"))
 
 

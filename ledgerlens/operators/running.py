@@ -139,18 +139,8 @@ def running_total(totals: DataFrame, value_col: str, key_col: str,
     ``frame="range"``: rows with equal values share one running value (the
     default frame of ``sum() OVER (ORDER BY v DESC)``).
     ``frame="rows"``: row by row, ties broken by ``key_col`` ascending.
-    ``frame="window"``: the plain single-partition window, for small inputs
-    and for checking the distributed forms.
     """
     v = value_col
-    if frame == "window":
-        w = Window.orderBy(F.desc(v))
-        return totals.withColumn(out_col, F.sum(v).over(w))
-    if frame == "window_rows":
-        w = (Window.orderBy(F.desc(v), F.asc(key_col))
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return totals.withColumn(out_col, F.sum(v).over(w))
-
     # One row per key, written once: it feeds the distinct values, the
     # position pass and the final join.
     if not prepared:
@@ -222,14 +212,6 @@ def ordered_index(df: DataFrame, order_col: str, key_col: str, out_col: str = "i
             .drop(v, "_oi_before", "_oi_pos"))
 
 
-def row_index(df: DataFrame, *order_cols, out_col: str = "index") -> DataFrame:
-    """0-based position after a total sort.
-
-    Meant for small final results (a report); it uses one window partition.
-    """
-    return df.withColumn(out_col, F.row_number().over(Window.orderBy(*order_cols)) - 1)
-
-
 def top_n_per_group(df: DataFrame, group_cols: list[str], order_cols: list,
                     n: int = 10, rank_col: str | None = None) -> DataFrame:
     """First ``n`` rows per group (Catalyst plans a map-side group limit)."""

@@ -73,18 +73,22 @@ def quantile(df: DataFrame, value_col: str, p: float) -> Column:
 
 
 def trim_upper(df: DataFrame, value_col: str, p: float = 0.95) -> DataFrame:
-    """rows whose value is at most the global ``p`` quantile."""
+    """rows whose value is at most the global ``p`` quantile. The rows are
+    written once, so threshold and filter do not compute them twice."""
+    df = materialize(df)
     return df.filter(F.col(value_col) <= quantile(df, value_col, p))
 
 
 def above_quantile(df: DataFrame, value_col: str, p: float = 0.95) -> DataFrame:
     """F8: rows above the global ``p`` quantile (the outliers of F7)."""
+    df = materialize(df)
     return df.filter(F.col(value_col) > quantile(df, value_col, p))
 
 
 def trim_upper_per_group(df: DataFrame, value_col: str, group_cols: list[str],
                          p: float = 0.95) -> DataFrame:
     """per group, keep rows at most that group's own ``p`` quantile."""
+    df = materialize(df)
     q = materialize(quantiles(df, value_col, [p], group_cols, names=["_trim_q"]))
     return (join_groups(df, broadcast_if_small(q), group_cols)
             .filter(F.col(value_col) <= F.col("_trim_q")).drop("_trim_q"))
@@ -95,9 +99,12 @@ def describe(df: DataFrame, value_col: str, group_cols: list[str] | None = None,
     """Count, mean, sample std, min, (quartiles), max.
 
     Numbers stay numeric (``DataFrame.describe`` returns strings, and
-    ``summary`` gives approximate quartiles).
+    ``summary`` gives approximate quartiles). With quartiles the rows are
+    written once and read for both parts.
     """
     groups = list(group_cols or [])
+    if with_quartiles:
+        df = materialize(df)
     v = F.col(value_col)
     base = df.groupBy(*groups).agg(
         F.count(v).alias("count"),
@@ -125,9 +132,10 @@ def histogram(df: DataFrame, value_col: str, width: float,
     """
     groups = list(group_cols or [])
     v = F.col(value_col)
+    df = materialize(df)
     if groups:
         lo = materialize(df.groupBy(*groups).agg(F.min(value_col).alias("_h_min")))
-        staged = df.join(broadcast_if_small(lo), on=groups, how="inner")
+        staged = join_groups(df, broadcast_if_small(lo), groups)
         origin = F.col("_h_min")
     else:
         staged = df
@@ -169,6 +177,7 @@ def auto_bin_width(df: DataFrame, value_col: str) -> DataFrame:
 
 def histogram_auto(df: DataFrame, value_col: str) -> DataFrame:
     """Histogram with the automatic layout; the top edge is inclusive."""
+    df = materialize(df)
     # A one-row layout, written once and read by the three scalars below.
     layout = materialize(auto_bin_width(df, value_col))
     lo = layout.select("lo").scalar()
@@ -192,12 +201,13 @@ def kernel_density(df: DataFrame, value_col: str, group_cols: list[str] | None =
     Bandwidth is Scott's rule (sample std * n^-1/5); the grid runs from
     ``min - cut*h`` to ``max + cut*h``. Values are first reduced to
     (value, count) pairs, then every distinct value is spread over the
-    ``grid_size`` grid points and summed per (group, point): the work is
-    distinct values x grid points, partitioned like any aggregation.
+    ``grid_size`` grid points and summed per (group, point), map-side first:
+    what is shuffled is groups x grid points per task. Position and norm of
+    a point are added to the sums.
     """
     groups = list(group_cols or [])
     v = F.col(value_col)
-    clean = df.filter(v.isNotNull())
+    clean = materialize(df.filter(v.isNotNull()).select(*groups, v))
     stats = clean.groupBy(*groups).agg(
         F.count(v).alias("_k_n"), F.min(v).alias("_k_min"), F.max(v).alias("_k_max"),
         F.stddev_samp(v).alias("_k_sd"))
@@ -206,21 +216,26 @@ def kernel_density(df: DataFrame, value_col: str, group_cols: list[str] | None =
     # value, have a null density.
     stats = materialize(stats.withColumn("_k_h", F.coalesce(F.col("_k_h"), F.lit(0.0))))
     counts = clean.groupBy(*groups, v.alias("_k_v")).agg(F.count(F.lit(1)).alias("_k_c"))
-    if groups:
-        staged = join_groups(counts, broadcast_if_small(stats), groups)
-    else:
-        staged = counts.select("*", *[stats.select(c).scalar().alias(c)
-                                      for c in ("_k_n", "_k_min", "_k_max", "_k_h")])
     start = F.col("_k_min") - F.lit(cut) * F.col("_k_h")
     step = (F.col("_k_max") - F.col("_k_min") + F.lit(2 * cut) * F.col("_k_h")) / F.lit(grid_size - 1)
-    pts = staged.select(*groups, "_k_v", "_k_c", "_k_n", "_k_h", start.alias("_k_start"),
-                        step.alias("_k_step"),
-                        F.explode(F.sequence(F.lit(0), F.lit(grid_size - 1))).alias("point"))
+    norm = F.col("_k_n") * F.col("_k_h") * F.lit(math.sqrt(2 * math.pi))
+    layout = stats.select(*groups, start.alias("_k_start"), step.alias("_k_step"), "_k_h",
+                          norm.alias("_k_norm"))
+    if groups:
+        layout = broadcast_if_subset_small(layout, stats)
     x = F.col("_k_start") + F.col("point") * F.col("_k_step")
     u = F.try_divide(x - F.col("_k_v"), F.col("_k_h"))
     term = F.col("_k_c") * F.exp(F.lit(-0.5) * u * u)
-    norm = F.col("_k_n") * F.col("_k_h") * F.lit(math.sqrt(2 * math.pi))
-    return (pts.groupBy(*groups, "point", F.round(x, places).alias("x"), norm.alias("_k_norm"))
-            .agg(F.sum(term).alias("_k_sum"))
-            .select(*groups, "point", "x",
-                    F.round(F.try_divide("_k_sum", "_k_norm"), places).alias("density")))
+
+    def with_layout(rows: DataFrame) -> DataFrame:
+        if groups:
+            return join_groups(rows, layout, groups)
+        one = layout.select(F.struct("*")).scalar()
+        return rows.select("*", *[one[c].alias(c) for c in layout.columns])
+
+    sums = (with_layout(counts)
+            .select("*", F.explode(F.sequence(F.lit(0), F.lit(grid_size - 1))).alias("point"))
+            .groupBy(*groups, "point").agg(F.sum(term).alias("_k_sum")))
+    return with_layout(sums).select(
+        *groups, "point", F.round(x, places).alias("x"),
+        F.round(F.try_divide("_k_sum", "_k_norm"), places).alias("density"))

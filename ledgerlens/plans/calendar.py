@@ -2,7 +2,7 @@
 monthly totals, and seasonal breakdowns (R13), and the same for the five
 best-selling categories (R14).
 
-Daily totals are kept as exact integer amounts until the last step, so weekly,
+Daily totals are kept as exact amounts until the last step, so weekly,
 monthly and seasonal totals equal the daily total exactly.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import dates as D
-from ledgerlens.functions.numeric import amount_to_double, line_total
+from ledgerlens.functions.numeric import amount_to_double, sum_amount
 from ledgerlens.operators.joins import broadcast_if_subset_small, join_dimension, join_items, join_star
 from ledgerlens.session import materialize
 
@@ -31,12 +31,12 @@ SEASONAL = {
 def daily_revenue(sales: DataFrame, *keys: str, keep_amount: bool = False) -> DataFrame:
     """Revenue per (sale_date, month_num, *keys)."""
     out = sales.groupBy("sale_date", "month_num", *keys).agg(
-        F.sum(line_total("item_price", "item_cnt_day")).alias(_AMT))
+        sum_amount("item_price", "item_cnt_day").alias(_AMT))
     out = out.withColumn(DAY, amount_to_double(_AMT))
     return out if keep_amount else out.drop(_AMT)
 
 
-def _daily(sales: DataFrame, *keys: str) -> DataFrame:
+def daily_table(sales: DataFrame, *keys: str) -> DataFrame:
     """The daily table, written once: one row per day (and key). The
     calendar's first-date subquery and every breakdown read it instead of
     the fact table."""
@@ -78,17 +78,21 @@ def sales_calendar(sales: DataFrame, *keys: str) -> DataFrame:
 
     ``week_num`` / ``day_num`` count from the first date of the frame.
     """
-    return calendar_of_daily(_daily(sales, *keys), *keys)
+    return calendar_of_daily(daily_table(sales, *keys), *keys)
 
 
 def weekly_sales(sales: DataFrame, *keys: str) -> DataFrame:
     """Per relative week the first sale day, its Monday and revenue."""
-    return weekly_of_daily(_daily(sales, *keys), *keys)
+    return weekly_of_daily(daily_table(sales, *keys), *keys)
 
 
 def monthly_sales(sales: DataFrame, *keys: str) -> DataFrame:
     """Per month counter the first sale day and revenue."""
-    daily = daily_revenue(sales, *keys, keep_amount=True)
+    return monthly_of_daily(daily_revenue(sales, *keys, keep_amount=True), *keys)
+
+
+def monthly_of_daily(daily: DataFrame, *keys: str) -> DataFrame:
+    """A19 over a daily table."""
     return daily.groupBy(*keys, "month_num").agg(
         F.min("sale_date").alias("month_start_date"),
         amount_to_double(F.sum(_AMT)).alias("monthly_sale"))
@@ -100,7 +104,7 @@ def seasonal_sales(sales: DataFrame, kind: str, *keys: str) -> DataFrame:
     ``kind`` is one of ``weekday`` (0 = Monday, with the day name),
     ``month_day``, ``year_week`` (ISO week) or ``year_month``.
     """
-    return seasonal_of_daily(_daily(sales, *keys), kind, *keys)
+    return seasonal_of_daily(daily_table(sales, *keys), kind, *keys)
 
 
 def top_categories(sales: DataFrame, items: DataFrame, categories: DataFrame,
@@ -129,6 +133,14 @@ def top_category_sales(sales: DataFrame, items: DataFrame, categories: DataFrame
     return sales.join(broadcast_if_subset_small(top_items, items), "item_id")
 
 
+def in_top_categories(sales: DataFrame, items: DataFrame, categories: DataFrame,
+                      n: int = 5) -> DataFrame:
+    """the sales rows of the top-``n`` categories, each once (semi-join)."""
+    top = top_categories(sales, items, categories, n).select("item_category_id")
+    top_items = items.join(F.broadcast(top), "item_category_id", "left_semi").select("item_id")
+    return sales.join(broadcast_if_subset_small(top_items, items), "item_id", "left_semi")
+
+
 CATEGORY_KEYS = ("item_category_id", "item_category_name")
 
 
@@ -136,15 +148,19 @@ def category_daily(sales: DataFrame, items: DataFrame, categories: DataFrame,
                    n: int = 5) -> DataFrame:
     """Daily revenue of the top-``n`` categories from one fact scan.
 
-    Units and amounts are summed per (day, category) for all categories (a
-    table of days x categories, written once); the top ``n`` by units are
-    chosen from it and kept with a broadcast join of at most ``n`` rows.
+    Units and amounts are summed per (day, item) first, so the join with the
+    items never sees the rows of a hot item, then per (day, category) for all
+    categories (a table of days x categories, written once); the top ``n`` by
+    units are chosen from it and kept with a broadcast join of at most ``n``
+    rows.
     """
+    per_item = sales.groupBy("sale_date", "month_num", "item_id").agg(
+        F.sum("item_cnt_day").alias("_units"),
+        sum_amount("item_price", "item_cnt_day").alias(_AMT))
     per_day = materialize(
-        join_items(sales, items.select("item_id", "item_category_id"))
+        join_items(per_item, items.select("item_id", "item_category_id"))
         .groupBy("sale_date", "month_num", "item_category_id")
-        .agg(F.sum("item_cnt_day").alias("_units"),
-             F.sum(line_total("item_price", "item_cnt_day")).alias(_AMT)))
+        .agg(F.sum("_units").alias("_units"), F.sum(_AMT).alias(_AMT)))
     units = per_day.groupBy("item_category_id").agg(F.sum("_units").alias("sales_sum"))
     top = (join_dimension(units, categories, "item_category_id")
            .orderBy(F.desc("sales_sum"), F.asc("item_category_id")).limit(n)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.classes import ABC_CUTS, XYZ_CUTS, abc_class, xyz_class
-from ledgerlens.functions.numeric import amount_to_double, line_total, sum_money
+from ledgerlens.functions.numeric import amount_to_double, sum_amount
 from ledgerlens.operators.aggregates import class_share, demand_stats
 from ledgerlens.operators.joins import join_items
 from ledgerlens.operators.running import running_total, top_n_per_group
@@ -35,7 +35,7 @@ def period_totals(sales: DataFrame, key: str = "item_id", period: str = "month_n
     """
     aggs = [F.sum(measure).alias("item_cnt_month")]
     if with_revenue:
-        aggs.append(F.sum(line_total("item_price", "item_cnt_day")).alias("_amount"))
+        aggs.append(sum_amount("item_price", "item_cnt_day").alias("_amount"))
     return materialize(sales.groupBy(period, key).agg(*aggs))
 
 
@@ -129,7 +129,7 @@ def abc_xyz_grid(classes: DataFrame, pivot: bool = False) -> DataFrame:
 def revenue_by_key(sales: DataFrame, key: str = "item_id") -> DataFrame:
     """Exact revenue per key."""
     return sales.groupBy(key).agg(
-        sum_money(line_total("item_price", "item_cnt_day")).alias("total_sale"))
+        amount_to_double(sum_amount("item_price", "item_cnt_day")).alias("total_sale"))
 
 
 def revenue_from_periods(per: DataFrame, key: str = "item_id") -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.numeric import hundredths, mean_of_cents
+from ledgerlens.functions.numeric import mean_of_prices, sum_price
 from ledgerlens.operators import stats as S
 from ledgerlens.operators.aggregates import mean_price_by
 from ledgerlens.operators.joins import broadcast_if_subset_small, join_items, join_star
@@ -22,9 +22,11 @@ TRIM_Q = 0.95
 
 
 # ------------------------------------------------------------------ items
-def mean_product_prices(sales: DataFrame, items: DataFrame) -> DataFrame:
-    """A4 + J6: mean price per item (aggregate first, then add names)."""
-    means = mean_price_by(sales, "item_id")
+def mean_product_prices(sales: DataFrame | None, items: DataFrame,
+                        summary: DataFrame | None = None) -> DataFrame:
+    """A4 + J6: mean price per item (aggregate first, then add names), from
+    an :func:`item_summary` if given."""
+    means = mean_price_by(sales, "item_id") if summary is None else _means(summary)
     return join_items(means, items.select("item_id", "item_name", "item_category_id"))
 
 
@@ -67,20 +69,24 @@ def item_price_histogram_auto(prices: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------- categories
+def _means(summary: DataFrame) -> DataFrame:
+    return summary.select("item_id", mean_of_prices("_p_sum", "_p_n").alias("mean_price"))
+
+
 def item_summary(sales: DataFrame) -> DataFrame:
-    """Per item: units, price sum in cents and number of priced rows, written
+    """Per item: units, exact price sum and number of priced rows, written
     once. Category ranking and mean prices both derive from it, so the fact
     table is read once."""
     return materialize(sales.groupBy("item_id").agg(
         F.sum("item_cnt_day").alias("item_cnt_day"),
-        F.sum(hundredths("item_price")).alias("_p_sum"),
+        sum_price("item_price").alias("_p_sum"),
         F.count("item_price").alias("_p_n")))
 
 
-def top_category_item_prices(sales: DataFrame, items: DataFrame, categories: DataFrame,
-                             n: int = 5) -> DataFrame:
+def top_category_item_prices(sales: DataFrame | None, items: DataFrame, categories: DataFrame,
+                             n: int = 5, summary: DataFrame | None = None) -> DataFrame:
     """Mean price per item inside the ``n`` best-selling categories."""
-    summary = item_summary(sales)
+    summary = item_summary(sales) if summary is None else summary
     star = join_star(summary.select("item_id", "item_cnt_day"),
                      items.select("item_id", "item_category_id"), categories)
     top = (star.groupBy("item_category_id", "item_category_name")
@@ -89,7 +95,7 @@ def top_category_item_prices(sales: DataFrame, items: DataFrame, categories: Dat
            .select("item_category_id", "item_category_name"))
     top_items = items.select("item_id", "item_name", "item_category_id").join(
         F.broadcast(top), "item_category_id", "inner")
-    means = summary.select("item_id", mean_of_cents("_p_sum", "_p_n").alias("mean_price"))
+    means = _means(summary)
     # The top items are a subset of the items: the items table bounds them.
     return means.join(broadcast_if_subset_small(top_items, items), "item_id").select(
         "item_id", "item_category_id", "item_category_name", "item_name", "mean_price")
@@ -113,18 +119,18 @@ def category_price_density(prices: DataFrame, q: float = TRIM_Q,
                             ["item_category_id", "item_category_name"], grid_size=grid_size)
 
 
-def mean_category_prices(sales: DataFrame, items: DataFrame,
-                         categories: DataFrame) -> DataFrame:
+def mean_category_prices(sales: DataFrame | None, items: DataFrame, categories: DataFrame,
+                         summary: DataFrame | None = None) -> DataFrame:
     """A5: mean price per category over its sale rows (dearest first).
 
     Price sums and row counts are taken per item first, so the dimension
     joins see one row per item; the mean is still per sale row.
     """
-    per_item = sales.groupBy("item_id").agg(
-        F.sum(hundredths("item_price")).alias("_p_sum"),
+    per_item = summary if summary is not None else sales.groupBy("item_id").agg(
+        sum_price("item_price").alias("_p_sum"),
         F.count("item_price").alias("_p_n"))
-    star = join_star(per_item, items.select("item_id", "item_category_id"), categories)
-    mean = mean_of_cents(F.sum("_p_sum"), F.sum("_p_n"))
+    star = join_star(per_item.select("item_id", "_p_sum", "_p_n"), items.select("item_id", "item_category_id"), categories)
+    mean = mean_of_prices(F.sum("_p_sum"), F.sum("_p_n"))
     return (star.groupBy("item_category_id", "item_category_name")
             .agg(mean.alias("mean_price"))
             .orderBy(F.desc("mean_price"), F.asc("item_category_id")))

@@ -11,7 +11,6 @@ and return what the readers give back.
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -21,12 +20,11 @@ from ledgerlens.functions.classes import register_sql_functions
 from ledgerlens.operators import aggregates as A
 from ledgerlens.operators.filters import latest_day, max_date, positive_sales, previous_day
 from ledgerlens.operators.joins import join_star
-from ledgerlens.operators.running import row_index
 from ledgerlens.plans import classification as C
 from ledgerlens.plans import prices as P
 from ledgerlens.plans import reports
 from ledgerlens.schema import ITEMS_SCHEMA
-from ledgerlens.session import scratch_root
+from ledgerlens.session import scratch
 from ledgerlens.sources import files, sinks
 from ledgerlens.sources.fixtures import (BULK_CTE, DAILY_CTE, bulk_categories, bulk_items,
                                          bulk_log, daily_items, daily_log, daily_model)
@@ -36,11 +34,6 @@ WB = "WITH " + BULK_CTE
 WD = "WITH " + DAILY_CTE
 
 
-def scratch(spark, name: str) -> str:
-    """A fresh folder under this application's scratch folder."""
-    return os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
-
-
 # ------------------------------------------------------------ sources/sinks
 @register("scan_sales_csv", WD + "\nSELECT * FROM daily_log")
 def q_scan_csv(spark, sf):
@@ -99,8 +92,8 @@ def q_dimension(spark, sf):
 
 
 _TOP_SALE = WD + """
-SELECT item_id, item_name, CAST(sum(round(item_price, 2)::DECIMAL(18,2)
-                                    * item_cnt_day::DECIMAL(18,2)) AS DOUBLE) AS sale
+SELECT item_id, item_name, CAST(sum(item_price::DECIMAL(18,6)
+                                    * item_cnt_day::DECIMAL(18,4)) AS DOUBLE) AS sale
 FROM daily_log JOIN daily_items USING (item_id)
 WHERE sale_date = (SELECT max(sale_date) FROM daily_log)
 GROUP BY ALL ORDER BY sale DESC, item_id LIMIT 10"""
@@ -131,11 +124,11 @@ def q_tsv(spark, sf):
 
 
 @register("indexed_category_prices", WB + """,
-per_item AS (SELECT item_id, sum(CAST(round(item_price * 100) AS HUGEINT)) AS ps,
+per_item AS (SELECT item_id, sum(CAST(CAST(item_price AS DECIMAL(18,6)) * 1000000 AS HUGEINT)) AS ps,
                     count(item_price) AS pn
              FROM bulk_sales GROUP BY item_id),
 catp AS (SELECT c.item_category_id, c.item_category_name,
-                CAST((sum(p.ps) * 200 + sum(p.pn)) // (2 * sum(p.pn)) AS DOUBLE) / 10000.0 AS mean_price
+                CAST((sum(p.ps) * 2 + 100 * sum(p.pn)) // (200 * sum(p.pn)) AS DOUBLE) / 10000.0 AS mean_price
          FROM per_item p JOIN bulk_items i ON p.item_id = i.item_id
          JOIN bulk_categories c ON c.item_category_id = i.item_category_id
          GROUP BY c.item_category_id, c.item_category_name)
@@ -145,9 +138,43 @@ def q_indexed(spark, sf):
     cat = P.mean_category_prices(positive_sales(bulk_log(spark, sf)), bulk_items(spark, sf),
                                  bulk_categories(spark, sf))
     path = scratch(spark, "indexed")
-    order = [F.desc("mean_price"), F.asc("item_category_id")]
-    sinks.write_indexed_report(cat, path, *order)
-    return row_index(cat, *order)
+    sinks.write_indexed_report(cat, path, "mean_price", "item_category_id")
+    return files.read_dim_csv(spark, path, "index int, item_category_id int, "
+                              "item_category_name string, mean_price double")
+
+
+@register("indexed_product_prices", WB + """,
+per_item AS (SELECT item_id, sum(CAST(CAST(item_price AS DECIMAL(18,6)) * 1000000 AS HUGEINT)) AS ps,
+                    count(item_price) AS pn
+             FROM bulk_sales GROUP BY item_id),
+mp AS (SELECT p.item_id, i.item_name, CAST((ps * 2 + 100 * pn) // (200 * pn) AS DOUBLE) / 10000.0 AS mean_price
+       FROM per_item p JOIN bulk_items i ON p.item_id = i.item_id)
+SELECT row_number() OVER (ORDER BY mean_price DESC, item_id) - 1 AS index, * FROM mp""")
+def q_indexed_items(spark, sf):
+    """K2 at item scale: the indexed price list of all items, read back."""
+    prices = P.mean_product_prices(positive_sales(bulk_log(spark, sf)), bulk_items(spark, sf))
+    path = scratch(spark, "indexed-items")
+    sinks.write_indexed_report(prices.select("item_id", "item_name", "mean_price"), path,
+                               "mean_price", "item_id")
+    return files.read_dim_csv(spark, path, "index long, item_id long, item_name string, "
+                              "mean_price double")
+
+
+@register("first_files_by_time", WD + """
+SELECT * FROM daily_log WHERE sale_date = (SELECT max(sale_date) FROM daily_log) - 1""")
+def q_first_files(spark, sf):
+    """Three loads land one after the other (older days, the day before
+    the last, the last day); the files of the second are read by their place
+    in time."""
+    log = daily_log(spark, sf)
+    root = scratch(spark, "timed")
+    last = log.select(F.max("sale_date")).scalar()
+    d, prev = F.col("sale_date"), F.date_sub(last, 1)
+    loads = {"older": d < prev, "previous": d == prev, "last": d == last}
+    for name, rows in loads.items():
+        sinks.sales_log_to_csv(log.filter(rows), f"{root}/{name}")
+    older, previous = (files.count_files(spark, f"{root}/{n}") for n in ("older", "previous"))
+    return files.read_first_n_files(spark, f"{root}/*", n=previous, skip=older)
 
 
 # ------------------------------------------------------- filters and joins
@@ -213,7 +240,7 @@ def q_max_date(spark, sf):
 
 
 @register("revenue_by_item", WB + """
-SELECT item_id, CAST(sum(CAST(item_price AS DECIMAL(18,2)) * CAST(item_cnt_day AS DECIMAL(18,2)))
+SELECT item_id, CAST(sum(CAST(item_price AS DECIMAL(18,6)) * CAST(item_cnt_day AS DECIMAL(18,4)))
        AS DOUBLE) AS total_sale
 FROM bulk_sales GROUP BY item_id""")
 def q_revenue_item(spark, sf):
@@ -266,8 +293,9 @@ FROM r"""
 def q_abc_sql(spark, sf):
     """G1: the SQL function ``abc_class`` applied in Spark SQL."""
     register_sql_functions(spark)
-    C.abc_analysis(positive_sales(bulk_log(spark, sf))).createOrReplaceTempView("abc_result")
-    return spark.sql("SELECT item_id, percentage, abc_class(percentage) AS abc FROM abc_result")
+    shares = C.abc_analysis(positive_sales(bulk_log(spark, sf)))
+    return spark.sql("SELECT item_id, percentage, abc_class(percentage) AS abc FROM {shares}",
+                     shares=shares)
 
 
 @register("xyz_sql_function", WB + """,
@@ -279,8 +307,9 @@ FROM st""")
 def q_xyz_sql(spark, sf):
     """The SQL function ``xyz_class`` applied in Spark SQL."""
     register_sql_functions(spark)
-    C.xyz_analysis(positive_sales(bulk_log(spark, sf))).createOrReplaceTempView("xyz_result")
-    return spark.sql("SELECT item_id, var_coeff, xyz_class(var_coeff) AS xyz FROM xyz_result")
+    variation = C.xyz_analysis(positive_sales(bulk_log(spark, sf)))
+    return spark.sql("SELECT item_id, var_coeff, xyz_class(var_coeff) AS xyz FROM {variation}",
+                     variation=variation)
 
 
 # ------------------------------------------------------------ more §2 rows
@@ -310,7 +339,7 @@ def q_union(spark, sf):
 
 
 @register("derive_total_sale", WB + """
-SELECT *, CAST(CAST(item_price AS DECIMAL(18,2)) * CAST(item_cnt_day AS DECIMAL(18,2)) AS DOUBLE)
+SELECT *, CAST(CAST(item_price AS DECIMAL(18,6)) * CAST(item_cnt_day AS DECIMAL(18,4)) AS DOUBLE)
           AS total_sale
 FROM bulk_sales""")
 def q_total_sale(spark, sf):
@@ -400,9 +429,9 @@ SELECT s.* FROM bulk_sales s JOIN bulk_items i ON s.item_id = i.item_id
 WHERE i.item_category_id IN (SELECT item_category_id FROM top5)""")
 def q_in_top(spark, sf):
     """sale rows of the top-5 categories (a semi-join, no driver list)."""
-    from ledgerlens.plans.calendar import top_category_sales
+    from ledgerlens.plans.calendar import in_top_categories
     s = positive_sales(bulk_log(spark, sf))
-    return top_category_sales(s, bulk_items(spark, sf), bulk_categories(spark, sf)).select(*s.columns)
+    return in_top_categories(s, bulk_items(spark, sf), bulk_categories(spark, sf))
 
 
 @register("sort_by_variation", WB + """,
@@ -420,7 +449,7 @@ def q_sort_cv(spark, sf):
 
 
 @register("format_functions", WB + """,
-d AS (SELECT sale_date, CAST(sum(CAST(item_price AS DECIMAL(18,2)) * CAST(item_cnt_day AS DECIMAL(18,2)))
+d AS (SELECT sale_date, CAST(sum(CAST(item_price AS DECIMAL(18,6)) * CAST(item_cnt_day AS DECIMAL(18,4)))
                              AS DOUBLE) AS total_daily_sale
       FROM bulk_sales GROUP BY sale_date),
 t AS (SELECT sum(total_daily_sale) AS total FROM d)
@@ -440,7 +469,7 @@ def q_format(spark, sf):
 @register("daily_pipeline", WD + """
 SELECT c.item_category_id, c.item_category_name,
        sum(s.item_cnt_day) AS num_sold,
-       CAST(sum(CAST(s.item_price AS DECIMAL(18,2)) * CAST(s.item_cnt_day AS DECIMAL(18,2))) AS DOUBLE) AS sales
+       CAST(sum(CAST(s.item_price AS DECIMAL(18,6)) * CAST(s.item_cnt_day AS DECIMAL(18,4))) AS DOUBLE) AS sales
 FROM daily_log s
 JOIN daily_items i ON s.item_id = i.item_id
 JOIN daily_categories c ON c.item_category_id = i.item_category_id

@@ -19,7 +19,7 @@ def model(spark, sf):
     return sales(spark, sf), bulk_items(spark, sf), bulk_categories(spark, sf)
 
 
-_AMOUNT = "CAST(item_price AS DECIMAL(18,2)) * CAST(item_cnt_day AS DECIMAL(18,2))"
+_AMOUNT = "CAST(item_price AS DECIMAL(18,6)) * CAST(item_cnt_day AS DECIMAL(18,4))"
 
 _DAILY = f""",
 daily AS (SELECT sale_date, month_num {{keys}}, sum({_AMOUNT}) AS dec_sale

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlens.catalog import register
-from ledgerlens.operators.filters import complete_periods, positive_sales
+from ledgerlens.operators.filters import positive_sales
 from ledgerlens.plans import classification as C
 from ledgerlens.sources.fixtures import (BULK_CTE, DAILY_CTE, bulk_items, bulk_log, bulk_type_log,
                                          daily_log)
@@ -18,12 +18,9 @@ def sales(spark, sf):
     return positive_sales(bulk_log(spark, sf))
 
 
-def type_sales(spark, sf, complete_quarters: bool = False):
-    """Sales keyed by part type, with a quarter counter as the period;
-    optionally only the quarters the data covers completely."""
+def type_sales(spark, sf):
+    """Sales keyed by part type, with a quarter counter as the period."""
     s = positive_sales(bulk_type_log(spark, sf))
-    if complete_quarters:
-        s = complete_periods(s, "quarter")
     q = ((F.year("sale_date") - 1995) * 4 + F.quarter("sale_date") - 1).cast("int")
     return s.withColumn("quarter_num", q)
 
@@ -55,11 +52,10 @@ xyz_c AS (SELECT {key}, round(mean, 6) AS mean, round(std, 6) AS std,
 _XYZ_ZERO_SQL = """,
 xyz_per AS (SELECT {period}, {key}, sum(item_cnt_day) AS item_cnt_month
             FROM {src} GROUP BY {period}, {key}),
-xyz_n AS (SELECT count(DISTINCT {period}) AS n FROM {src}),
-xyz_st AS (SELECT {key}, sum(item_cnt_month) / (SELECT n FROM xyz_n) AS mean,
-                  sqrt(greatest(sum(item_cnt_month * item_cnt_month) / (SELECT n FROM xyz_n)
-                       - (sum(item_cnt_month) / (SELECT n FROM xyz_n)) ^ 2, 0)) AS std
-           FROM xyz_per GROUP BY {key}),
+xyz_grid AS (SELECT {key}, {period}, coalesce(item_cnt_month, 0) AS units
+             FROM (SELECT DISTINCT {key} FROM xyz_per) CROSS JOIN (SELECT DISTINCT {period} FROM {src})
+             LEFT JOIN xyz_per USING ({key}, {period})),
+xyz_st AS (SELECT {key}, avg(units) AS mean, stddev_pop(units) AS std FROM xyz_grid GROUP BY {key}),
 xyz_c AS (SELECT {key}, round(mean, 6) AS mean, round(std, 6) AS std,
                  round(std / nullif(mean, 0), 3) AS var_coeff,
                  CASE WHEN round(std / nullif(mean, 0), 3) <= 0.1 THEN 'X'
@@ -92,21 +88,8 @@ _CLASSES_TYPE = W + _TYPE_SRC + _abc("item_key", "type_sales") + \
     _xyz("item_key", "type_sales", "quarter_num") + """,
 classes AS (SELECT a.item_key, a.abc, x.xyz FROM abc_c a JOIN xyz_c x ON a.item_key = x.item_key)"""
 
-# Complete quarters only: the trailing quarter cut off by the latest date
-# is left out.
-_TYPE_SRC_COMPLETE = """,
-type_sales AS (
-  SELECT s.*, p.p_type AS item_key,
-         CAST((year(s.sale_date) - 1995) * 4 + quarter(s.sale_date) - 1 AS INTEGER) AS quarter_num
-  FROM bulk_sales s JOIN part p ON p.p_partkey = s.item_id
-  WHERE s.sale_date < CAST(date_trunc('quarter', (SELECT max(sale_date) FROM bulk_sales) + 1) AS DATE))"""
-
-_CLASSES_TYPE_COMPLETE = W + _TYPE_SRC_COMPLETE + _abc("item_key", "type_sales") + \
-    _xyz("item_key", "type_sales", "quarter_num") + """,
-classes AS (SELECT a.item_key, a.abc, x.xyz FROM abc_c a JOIN xyz_c x ON a.item_key = x.item_key)"""
-
 _REVENUE = """,
-rev AS (SELECT {key}, CAST(sum(CAST(item_price AS DECIMAL(18,2)) * CAST(item_cnt_day AS DECIMAL(18,2)))
+rev AS (SELECT {key}, CAST(sum(CAST(item_price AS DECIMAL(18,6)) * CAST(item_cnt_day AS DECIMAL(18,4)))
                       AS DOUBLE) AS total_sale
         FROM {src} GROUP BY {key})"""
 
@@ -128,6 +111,12 @@ def q_abc_type(spark, sf):
     return C.abc_analysis(type_sales(spark, sf), key="item_key")
 
 
+@register("abc_analysis_rows_by_type", W + _TYPE_SRC
+          + _abc("item_key", "type_sales", _ROWS.replace("item_id", "item_key")) + "\nSELECT * FROM abc_c")
+def q_abc_rows_type(spark, sf):
+    return C.abc_analysis(type_sales(spark, sf), key="item_key", frame="rows")
+
+
 @register("xyz_analysis", W + _xyz() + "\nSELECT * FROM xyz_c")
 def q_xyz(spark, sf):
     return C.xyz_analysis(sales(spark, sf))

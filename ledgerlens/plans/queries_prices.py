@@ -30,10 +30,10 @@ def cat_prices(spark, sf):
                                   bulk_categories(spark, sf))
 
 
-# Mean of 2-decimal prices rounded half up to 4 places, in integer arithmetic
+# Mean of prices (6 decimals) rounded half up to 4 places, in integer arithmetic
 # so that exact ties round the same way as a decimal quotient.
-_MEAN = ("CAST((sum(CAST(round(item_price * 100) AS HUGEINT)) * 200 + count(item_price))"
-         " // (2 * count(item_price)) AS DOUBLE) / 10000.0")
+_MEAN = ("CAST((sum(CAST(CAST(item_price AS DECIMAL(18,6)) * 1000000 AS HUGEINT)) * 2"
+         " + 100 * count(item_price)) // (200 * count(item_price)) AS DOUBLE) / 10000.0")
 
 _PRICES = W + """,
 mp AS (SELECT item_id, {mean} AS mean_price FROM bulk_sales GROUP BY item_id),
@@ -58,11 +58,11 @@ ctrim AS (SELECT p.* FROM cprices p JOIN cq ON p.item_category_id = cq.item_cate
           WHERE p.mean_price <= cq.q)"""
 
 _CATS = W + """,
-per_item AS (SELECT item_id, sum(CAST(round(item_price * 100) AS HUGEINT)) AS ps,
+per_item AS (SELECT item_id, sum(CAST(CAST(item_price AS DECIMAL(18,6)) * 1000000 AS HUGEINT)) AS ps,
                     count(item_price) AS pn
              FROM bulk_sales GROUP BY item_id),
 catp AS (SELECT c.item_category_id, c.item_category_name,
-                CAST((sum(p.ps) * 200 + sum(p.pn)) // (2 * sum(p.pn)) AS DOUBLE) / 10000.0 AS mean_price
+                CAST((sum(p.ps) * 2 + 100 * sum(p.pn)) // (200 * sum(p.pn)) AS DOUBLE) / 10000.0 AS mean_price
          FROM per_item p JOIN bulk_items i ON p.item_id = i.item_id
          JOIN bulk_categories c ON c.item_category_id = i.item_category_id
          GROUP BY c.item_category_id, c.item_category_name)"""

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.numeric import amount_to_double, line_total
+from ledgerlens.functions.numeric import amount_to_double, sum_amount
 from ledgerlens.operators.filters import latest_day, max_date, recent_months
 from ledgerlens.operators.joins import join_dimension, join_items
 
@@ -29,7 +29,7 @@ def report_by_category(log: DataFrame, items: DataFrame, categories: DataFrame,
     day = latest_day(log, month_col=month_col)
     per_item = day.groupBy("item_id").agg(
         F.sum("item_cnt_day").alias("num_sold"),
-        F.sum(line_total("item_price", "item_cnt_day")).alias("sales"))
+        sum_amount("item_price", "item_cnt_day").alias("sales"))
     star = join_dimension(join_items(per_item, items.select("item_id", "item_category_id")),
                           categories, "item_category_id")
     return (star.groupBy("item_category_id", "item_category_name")
@@ -53,7 +53,7 @@ def report_top_goods_sale(log: DataFrame, items: DataFrame, k: int = TOP_K,
     """The ``k`` items with the most revenue on the latest day."""
     day = latest_day(log, month_col=month_col)
     sale = day.groupBy("item_id").agg(
-        amount_to_double(F.sum(line_total("item_price", "item_cnt_day"))).alias("sale"))
+        amount_to_double(sum_amount("item_price", "item_cnt_day")).alias("sale"))
     named = join_items(sale, items.select("item_id", "item_name"))
     return (named.select("item_id", "item_name", "sale")
             .orderBy(F.desc("sale"), F.asc("item_id")).limit(k))
@@ -114,7 +114,7 @@ _PER_ITEM = """
                  count_if(sale_date < at) AS n_before,
                  sum(item_cnt_day) FILTER (WHERE sale_date = at) AS units,
                  sum(item_cnt_day) FILTER (WHERE sale_date < at) AS units_before,
-                 sum(CAST(item_price AS DECIMAL(18,2)) * CAST(item_cnt_day AS DECIMAL(18,2)))
+                 sum(CAST(item_price AS DECIMAL(18,6)) * CAST(item_cnt_day AS DECIMAL(18,4)))
                    FILTER (WHERE sale_date = at) AS revenue,
                  max(at) AS at
           FROM dated

@@ -83,6 +83,19 @@ def scratch_root(spark: SparkSession) -> str:
                         spark.sparkContext.applicationId)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder under this application's scratch folder."""
+    return os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote under its scratch folder. Call it
+    when nothing reads its tables any more (the end of a job)."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+
+
 def materialize(df: DataFrame, name: str | None = None) -> DataFrame:
     """Cut lineage by writing ``df`` as Parquet under the shared checkpoint
     folder and reading it back.
@@ -94,6 +107,6 @@ def materialize(df: DataFrame, name: str | None = None) -> DataFrame:
     plan cleanly.
     """
     spark = df.sparkSession
-    path = os.path.join(scratch_root(spark), f"{name or 'stage'}-{uuid.uuid4().hex}")
+    path = scratch(spark, name or "stage")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -6,7 +6,7 @@ multi-file scan; per-file work uses the hidden ``_metadata`` column.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,18 +71,20 @@ def read_first_n_files(spark: SparkSession, path, n: int, skip: int = 0,
     """Rows of the first ``n`` files in modification-time order (ties by
     name), after skipping the first ``skip`` files.
 
-    The ranking runs over the distinct file list (one row per file), not
-    over the rows; the rows are then kept with a semi-join.
+    The order comes from a file listing that reads no content; the chosen
+    files' rows are then kept with a semi-join on the file path.
     """
-    df = (spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
-          .select("*", F.col("_metadata.file_path").alias("_file"),
-                  F.col("_metadata.file_modification_time").alias("_mtime")))
-    files = df.select("_file", "_mtime").distinct()
-    ranked = files.withColumn(
-        "_rank", F.row_number().over(Window.orderBy("_mtime", "_file")))
-    chosen = ranked.filter((F.col("_rank") > skip) & (F.col("_rank") <= skip + n)).select("_file")
-    return to_sales_log(df.join(F.broadcast(chosen), "_file", "left_semi")
-                        .drop("_file", "_mtime"))
+    listing = spark.read.format("binaryFile").load(path).select(
+        F.col("_metadata.file_path").alias("_file"), "modificationTime")
+    chosen = listing.orderBy("modificationTime", "_file").offset(skip).limit(n).select("_file")
+    rows = (spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+            .select("*", F.col("_metadata.file_path").alias("_file")))
+    return to_sales_log(rows.join(chosen, "_file", "left_semi").drop("_file"))
+
+
+def count_files(spark: SparkSession, path) -> int:
+    """Number of data files under ``path`` (a listing, no content is read)."""
+    return spark.read.format("binaryFile").load(path).select("path").count()
 
 
 def load(spark: SparkSession, name_or_path: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.dates import format_date
-from ledgerlens.operators.running import row_index
+from ledgerlens.operators.running import ordered_index
 from ledgerlens.schema import SALES_TABLE_COLUMNS
 
 PARQUET_COMPRESSION = "snappy"
@@ -71,10 +71,13 @@ def write_csv(df: DataFrame, path: str, quote_all: bool = False) -> None:
      .csv(path))
 
 
-def write_indexed_report(df: DataFrame, path: str, *order_cols) -> None:
-    """K2: a report with a leading 0-based row index in sort order."""
-    indexed = row_index(df, *order_cols, out_col="index")
-    write_report(indexed.select("index", *df.columns), path)
+def write_indexed_report(df: DataFrame, path: str, order_col: str, key_col: str,
+                         descending: bool = True) -> None:
+    """K2: a table of any size as CSV with a leading 0-based row index, in the
+    order of ``order_col`` (ties by ``key_col``). The part files follow each
+    other in that order."""
+    indexed = ordered_index(df, order_col, key_col, descending=descending)
+    write_csv(indexed.select("index", *df.columns).orderBy("index"), path)
 
 
 def sales_log_to_csv(log: DataFrame, path: str) -> None:
@@ -85,9 +88,10 @@ def sales_log_to_csv(log: DataFrame, path: str) -> None:
 
 
 def tsv_to_csv(spark: SparkSession, src: str, dst: str) -> DataFrame:
-    """K4: re-encode a tab-separated report (with header) as quoted CSV."""
+    """K4: re-encode a tab-separated report (with header) as quoted CSV,
+    a part file for each part read."""
     df = spark.read.option("sep", "\t").option("header", "true").csv(src)
-    write_report(df, dst)
+    write_csv(df, dst)
     return df
 
 

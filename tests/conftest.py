@@ -45,3 +45,14 @@ def make_items(spark, rows):
 def make_categories(spark, rows):
     from ledgerlens.schema import CATEGORIES_SCHEMA
     return spark.createDataFrame([(n, i) for i, n in rows], CATEGORIES_SCHEMA)
+
+
+def plain_running_total(df, value, key, frame):
+    """The single-partition windows the distributed running sums must equal."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    w = Window.orderBy(F.desc(value))
+    if frame == "rows":
+        w = (Window.orderBy(F.desc(value), F.asc(key))
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return df.withColumn("cumsum", F.sum(value).over(w))

@@ -64,3 +64,21 @@ def test_running_total_has_no_global_window_over_keys(spark):
         assert "ASC" not in first and "DESC" not in first, sp
     assert all(sp.startswith("_lr_bucket") or sp.startswith("_pw_bucket")
                for sp in specs if sp not in over_keys), specs
+
+
+def test_price_statistics_read_the_log_once(spark, tmp_dir):
+    from ledgerlens.plans import prices as P
+    log = _table(spark, tmp_dir)
+    items = materialize(make_items(spark, [(i, f"n{i}", 1) for i in range(1, 4)]))
+    for analysis in (P.describe_trimmed_prices, P.item_price_histogram_auto,
+                     P.item_price_histogram):
+        plan = analysis(P.mean_product_prices(log, items))._jdf.queryExecution().toString()
+        assert tmp_dir not in plan
+
+
+def test_remove_scratch_deletes_this_applications_tables(spark):
+    from ledgerlens.session import remove_scratch, scratch_root
+    assert materialize(spark.range(3)).count() == 3
+    assert os.path.exists(scratch_root(spark))
+    remove_scratch(spark)
+    assert not os.path.exists(scratch_root(spark))

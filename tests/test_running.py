@@ -1,5 +1,6 @@
 import random
 
+from conftest import plain_running_total
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -23,14 +24,14 @@ def _by_key(df, col):
 def test_range_frame_equals_plain_window(spark):
     t = _totals(spark)
     got = _by_key(running_total(t, "units", "item_id", frame="range", buckets=8), "cumsum")
-    want = _by_key(running_total(t, "units", "item_id", frame="window"), "cumsum")
+    want = _by_key(plain_running_total(t, "units", "item_id", "range"), "cumsum")
     assert got == want
 
 
 def test_rows_frame_equals_plain_window(spark):
     t = _totals(spark, seed=2)
     got = _by_key(running_total(t, "units", "item_id", frame="rows", buckets=8), "cumsum")
-    want = _by_key(running_total(t, "units", "item_id", frame="window_rows"), "cumsum")
+    want = _by_key(plain_running_total(t, "units", "item_id", "rows"), "cumsum")
     assert got == want
 
 

@@ -72,8 +72,8 @@ def test_reports_sinks(spark, tmp_dir):
     back = files.read_dim_csv(spark, p, "item_id long, item_name string, sale double")
     assert sorted(back.collect()) == sorted(df.collect())
     ip = os.path.join(tmp_dir, "ix")
-    sinks.write_indexed_report(df, ip, F.desc("sale"))
-    idx = spark.read.option("header", True).csv(ip).collect()
+    sinks.write_indexed_report(df, ip, "sale", "item_id")
+    idx = sorted(spark.read.option("header", True).csv(ip).collect())
     assert [(r["index"], r.item_id) for r in idx] == [("0", "1"), ("1", "2")]
     tsv = os.path.join(tmp_dir, "t.tsv")
     _write(tsv, "a\tb\nx\t\"y\"\n")

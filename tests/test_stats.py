@@ -92,3 +92,28 @@ def test_null_groups_and_groups_without_spread_stay(spark):
     k = stats.kernel_density(df, "v", ["g"], grid_size=5).collect()
     assert {r.g for r in k} == {"a", "b", None}
     assert all(r.density is None for r in k if r.g == "b")
+
+
+def test_money_is_exact_below_a_cent_and_below_zero(spark):
+    from ledgerlens.functions.numeric import amount_to_double, sum_amount
+    from ledgerlens.operators.aggregates import mean_price_by
+    rows = [(1, 0.004, 1000.0), (2, 1.125, 1.0), (3, -1.0, 1.0), (3, -1.01, 1.0), (3, -1.01, 1.0),
+            (4, 874.666667, 2.5), (5, None, 1.0), (6, 123456789.123456, 1e6), (7, 133.38, -3.0)]
+    df = spark.createDataFrame(rows, "item_id long, item_price double, item_cnt_day double")
+    total = {r.item_id: r.a for r in df.groupBy("item_id").agg(
+        amount_to_double(sum_amount("item_price", "item_cnt_day")).alias("a")).collect()}
+    assert total == {1: 4.0, 2: 1.125, 3: -3.02, 4: 2186.6666675, 5: None,
+                     6: 123456789123456.0, 7: -400.14}
+    mean = {r.item_id: r.mean_price for r in mean_price_by(df, "item_id").collect()}
+    assert mean == {1: 0.004, 2: 1.125, 3: -1.0067, 4: 874.6667, 5: None,
+                    6: 123456789.1235, 7: 133.38}
+
+
+def test_zero_filled_variance_keeps_small_spread_of_large_units(spark):
+    from ledgerlens.operators.aggregates import demand_stats
+    rows = [(1, 1e9), (1, 1e9 + 1), (2, 5.0)]
+    df = spark.createDataFrame(rows, "item_id long, item_cnt_month double")
+    from pyspark.sql import functions as F
+    got = {r.item_id: (r.mean, r.std) for r in demand_stats(df, periods=F.lit(2)).collect()}
+    assert abs(got[1][1] - 0.5) < 1e-9 and got[1][0] == 1e9 + 0.5
+    assert got[2] == (2.5, 2.5)
