@@ -18,6 +18,8 @@ Spark combines map-side), so no task receives one value's rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,34 +65,36 @@ def range_bounds(df: DataFrame, col: str, buckets: int = DEFAULT_BUCKETS) -> lis
     return sorted(set(values))
 
 
-def bucket_of(col, bounds: list, descending: bool) -> Column:
-    """Index of the value range holding ``col``, increasing in traversal order.
+def bucket_of(col: str, bounds: list, descending: bool) -> Column:
+    """Index of the value range holding the double column ``col``, increasing
+    in traversal order.
 
     A balanced CASE tree over the sorted boundaries (about log2(buckets)
-    comparisons per row) that stays inside whole-stage code generation.
-    Ascending: the number of boundaries below the value. Descending: the
-    number of boundaries above it.
+    comparisons per row) that stays inside whole-stage code generation; it is
+    handed over as one SQL text. Ascending: the number of boundaries below
+    the value. Descending: the number of boundaries above it.
     """
-    c = F.col(col) if isinstance(col, str) else col
-    x = c.cast("double")
     bs = [float(b) for b in bounds]
-    n = len(bs)
+    beyond = ">=" if descending else ">"
 
-    def count_below(lo: int, hi: int, strict: bool) -> Column:
-        # Number of boundaries b with b < x (strict) or b <= x, known to lie
-        # in [lo, hi].
+    def count_below(lo: int, hi: int) -> str:
+        # Number of boundaries below the value, known to lie in [lo, hi].
         if lo == hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi) // 2
-        above = x > F.lit(bs[mid]) if strict else x >= F.lit(bs[mid])
-        return F.when(above, count_below(mid + 1, hi, strict)).otherwise(
-            count_below(lo, mid, strict))
+        bound = f"{bs[mid]!r}D" if math.isfinite(bs[mid]) else f"double('{bs[mid]}')"
+        return (f"CASE WHEN `{col}` {beyond} {bound} THEN {count_below(mid + 1, hi)} "
+                f"ELSE {count_below(lo, mid)} END")
+
+    below = F.expr(count_below(0, len(bs)))
+    return F.lit(len(bs)) - below if descending else below
+
 
-    if not bs:
-        return F.lit(0)
-    if descending:
-        return F.lit(n) - count_below(0, n, strict=False)
-    return count_below(0, n, strict=True)
+def _with_bucket(df: DataFrame, order_col: str, out: str, bounds: list,
+                 descending: bool) -> DataFrame:
+    x = "_lr_x"
+    return (df.withColumn(x, order_value(df, order_col))
+            .withColumn(out, bucket_of(x, bounds, descending)).drop(x))
 
 
 def prefix_sum(df: DataFrame, order_col: str, value_col: str, out_col: str = "cumsum",
@@ -113,7 +117,7 @@ def prefix_sum(df: DataFrame, order_col: str, value_col: str, out_col: str = "cu
             df = materialize(df)
         bounds = range_bounds(df, order_col, buckets or auto_buckets(df))
     b = "_lr_bucket"
-    staged = df.withColumn(b, bucket_of(order_value(df, order_col), bounds, descending))
+    staged = _with_bucket(df, order_col, b, bounds, descending)
     per_bucket = staged.groupBy(*parts, b).agg(F.sum(value_col).alias("_lr_bsum"))
     w_off = Window.partitionBy(*parts).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
@@ -178,7 +182,7 @@ def position_within(df: DataFrame, group_cols: list[str], order_col: str,
         df = materialize(df)
     bounds = range_bounds(df, order_col, buckets or auto_buckets(df))
     b = "_pw_bucket"
-    staged = df.withColumn(b, bucket_of(order_value(df, order_col), bounds, descending=False))
+    staged = _with_bucket(df, order_col, b, bounds, descending=False)
     counts = staged.groupBy(*group_cols, b).agg(F.count(F.lit(1)).alias("_pw_n"))
     w_off = Window.partitionBy(*group_cols).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group_cols, b,
