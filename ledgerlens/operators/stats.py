@@ -89,8 +89,8 @@ def trim_upper_per_group(df: DataFrame, value_col: str, group_cols: list[str],
                          p: float = 0.95) -> DataFrame:
     """per group, keep rows at most that group's own ``p`` quantile."""
     df = materialize(df)
-    q = materialize(quantiles(df, value_col, [p], group_cols, names=["_trim_q"]))
-    return (join_groups(df, broadcast_if_small(q), group_cols)
+    q = quantiles(df, value_col, [p], group_cols, names=["_trim_q"])
+    return (join_groups(df, broadcast_if_subset_small(q, df), group_cols)
             .filter(F.col(value_col) <= F.col("_trim_q")).drop("_trim_q"))
 
 
@@ -214,7 +214,7 @@ def kernel_density(df: DataFrame, value_col: str, group_cols: list[str] | None =
     stats = stats.withColumn("_k_h", F.col("_k_sd") * F.pow(F.col("_k_n"), F.lit(-0.2)))
     # A group without spread has no bandwidth: its points, all at its one
     # value, have a null density.
-    stats = materialize(stats.withColumn("_k_h", F.coalesce(F.col("_k_h"), F.lit(0.0))))
+    stats = stats.withColumn("_k_h", F.coalesce(F.col("_k_h"), F.lit(0.0)))
     counts = clean.groupBy(*groups, v.alias("_k_v")).agg(F.count(F.lit(1)).alias("_k_c"))
     start = F.col("_k_min") - F.lit(cut) * F.col("_k_h")
     step = (F.col("_k_max") - F.col("_k_min") + F.lit(2 * cut) * F.col("_k_h")) / F.lit(grid_size - 1)
@@ -222,7 +222,7 @@ def kernel_density(df: DataFrame, value_col: str, group_cols: list[str] | None =
     layout = stats.select(*groups, start.alias("_k_start"), step.alias("_k_step"), "_k_h",
                           norm.alias("_k_norm"))
     if groups:
-        layout = broadcast_if_subset_small(layout, stats)
+        layout = broadcast_if_subset_small(layout, clean)
     x = F.col("_k_start") + F.col("point") * F.col("_k_step")
     u = F.try_divide(x - F.col("_k_v"), F.col("_k_h"))
     term = F.col("_k_c") * F.exp(F.lit(-0.5) * u * u)

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import dates as D
 from ledgerlens.functions.numeric import amount_to_double, sum_amount
-from ledgerlens.operators.joins import broadcast_if_subset_small, join_dimension, join_items, join_star
+from ledgerlens.operators.joins import (BROADCAST_BYTES, broadcast_if_subset_small, estimated_bytes,
+                                        join_dimension, join_items, join_star)
 from ledgerlens.session import materialize
 
 DAY = "total_daily_sale"
@@ -148,19 +149,25 @@ def category_daily(sales: DataFrame, items: DataFrame, categories: DataFrame,
                    n: int = 5) -> DataFrame:
     """Daily revenue of the top-``n`` categories from one fact scan.
 
-    Units and amounts are summed per (day, item) first, so the join with the
-    items never sees the rows of a hot item, then per (day, category) for all
-    categories (a table of days x categories, written once); the top ``n`` by
-    units are chosen from it and kept with a broadcast join of at most ``n``
-    rows.
+    Units and amounts are summed per (day, category) for all categories (a
+    table of days x categories, written once); the top ``n`` by units are
+    chosen from it and kept with a broadcast join of at most ``n`` rows.
+
+    Items within the broadcast bound are joined before the shuffle. Beyond it
+    the join has to shuffle too, so the sales are summed per (day, item)
+    first and the rows of a hot item do not meet in the join.
     """
-    per_item = sales.groupBy("sale_date", "month_num", "item_id").agg(
-        F.sum("item_cnt_day").alias("_units"),
-        sum_amount("item_price", "item_cnt_day").alias(_AMT))
-    per_day = materialize(
-        join_items(per_item, items.select("item_id", "item_category_id"))
-        .groupBy("sale_date", "month_num", "item_category_id")
-        .agg(F.sum("_units").alias("_units"), F.sum(_AMT).alias(_AMT)))
+    names = items.select("item_id", "item_category_id")
+    units, amount = F.sum("item_cnt_day"), sum_amount("item_price", "item_cnt_day")
+    day = ["sale_date", "month_num"]
+    if estimated_bytes(names) <= BROADCAST_BYTES:
+        per_day = join_items(sales, names).groupBy(*day, "item_category_id").agg(
+            units.alias("_units"), amount.alias(_AMT))
+    else:
+        per_item = sales.groupBy(*day, "item_id").agg(units.alias("_units"), amount.alias(_AMT))
+        per_day = join_items(per_item, names).groupBy(*day, "item_category_id").agg(
+            F.sum("_units").alias("_units"), F.sum(_AMT).alias(_AMT))
+    per_day = materialize(per_day)
     units = per_day.groupBy("item_category_id").agg(F.sum("_units").alias("sales_sum"))
     top = (join_dimension(units, categories, "item_category_id")
            .orderBy(F.desc("sales_sum"), F.asc("item_category_id")).limit(n)

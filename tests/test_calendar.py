@@ -49,3 +49,15 @@ def test_top_categories_calendar(spark):
     cal = K.category_sales_calendar(log, items, cats, n=1)
     assert cal.select("item_category_name").distinct().collect()[0][0] == "seven"
     assert cal.agg(F.sum("total_daily_sale")).first()[0] == 8 * 21.0
+
+
+def test_category_days_do_not_depend_on_the_size_of_items(spark, monkeypatch):
+    from ledgerlens.plans import calendar
+    log = make_log(spark, [("2014-01-01", 1, 1.5, 2), ("2014-01-01", 1, 0.004, 10),
+                           ("2014-01-01", 2, 3.0, 1), ("2014-01-02", 3, 7.0, 1)])
+    items = make_items(spark, [(1, "a", 1), (2, "b", 1), (3, "c", 2)])
+    cats = make_categories(spark, [(1, "one"), (2, "two")])
+    small = sorted(calendar.category_daily(log, items, cats).drop("_daily_amount").collect())
+    monkeypatch.setattr(calendar, "BROADCAST_BYTES", 0)
+    assert sorted(calendar.category_daily(log, items, cats).drop("_daily_amount").collect()) == small
+    assert sorted(r.total_daily_sale for r in small) == [6.04, 7.0]
