@@ -1,6 +1,6 @@
 import datetime as dt
 
-from conftest import make_categories, make_items, make_log
+from builders import make_categories, make_items, make_log
 from pyspark.sql import functions as F
 
 from ledgerlens.plans import calendar as K

@@ -1,4 +1,4 @@
-from conftest import make_items, make_log
+from builders import make_items, make_log
 
 from ledgerlens.plans import classification as C
 

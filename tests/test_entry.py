@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-from conftest import SMOKE_DIR
+from builders import SMOKE_DIR
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()

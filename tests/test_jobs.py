@@ -1,6 +1,6 @@
 import os
 
-from conftest import make_categories, make_items, make_log
+from builders import make_categories, make_items, make_log
 
 from ledgerlens import jobs
 from ledgerlens.sources import sinks

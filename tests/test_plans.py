@@ -4,7 +4,7 @@ import contextlib
 import io
 import os
 
-from conftest import make_categories, make_items, make_log
+from builders import make_categories, make_items, make_log
 
 from ledgerlens.session import materialize
 from ledgerlens.plans import reports

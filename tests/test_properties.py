@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from conftest import plain_running_total
+from builders import plain_running_total
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 

@@ -1,4 +1,4 @@
-from conftest import make_categories, make_items, make_log
+from builders import make_categories, make_items, make_log
 
 from ledgerlens.plans import reports
 

@@ -1,6 +1,6 @@
 import random
 
-from conftest import plain_running_total
+from builders import plain_running_total
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 

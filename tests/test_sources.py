@@ -1,7 +1,7 @@
 import os
 import time
 
-from conftest import make_log
+from builders import make_log
 from pyspark.sql import functions as F
 
 from ledgerlens.schema import ITEMS_SCHEMA
@@ -102,7 +102,7 @@ def test_backfill_ingestion_and_append_share_one_table(spark, tmp_dir):
 
     from ledgerlens.sources.files import read_sales_table
     from ledgerlens.sources.sinks import append_sales, sales_log_to_csv, write_sales_log
-    from conftest import make_log
+    from builders import make_log
 
     table, drop, ckpt = (os.path.join(tmp_dir, n) for n in ("t", "d", "c"))
     write_sales_log(make_log(spark, [("2013-01-02", k, 1.5, 1) for k in range(3)]), table)
