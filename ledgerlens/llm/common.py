@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +38,26 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name)
 
 
+def row_keyed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with ``_row``, a long of its own for every row that stays the same
+    when the rows are read again: the place in its file where ``df`` is a table
+    of files read as it is, else a number written once with the rows."""
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            placed = df.select("*", F.col("_metadata.file_path").alias("_file"),
+                               F.col("_metadata.row_index").alias("_place"))
+        except AnalysisException:  # a store that does not number its rows
+            placed = None
+        if placed is not None:
+            files = sorted(r[0] for r in placed.select("_file").distinct().collect())
+            numbers = df.sparkSession.createDataFrame(
+                [(f, n << 40) for n, f in enumerate(files)], "_file string, _base long")
+            return (placed.join(F.broadcast(numbers), "_file")
+                    .withColumn("_row", F.col("_base") + F.col("_place"))
+                    .select(*df.columns, "_row"))
+    return saved(df.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
 def text_volume(docs: DataFrame, column: str = "text") -> int:
     """Bytes of text, to size the number of groups a stage works in."""
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import ship, trie, words
-from ledgerlens.llm.common import saved, small_batches, text_of, text_volume
+from ledgerlens.llm.common import row_keyed, saved, small_batches, text_of, text_volume
 from ledgerlens.llm.components import connected
 
 ship(__name__, words.__name__, trie.__name__)
@@ -296,10 +296,18 @@ def _join_families(sets: DataFrame, small_tasks: int) -> DataFrame:
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``."""
-    spark = docs.sparkSession
+    out = _components(docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("_id"),
+        text_of(text_col).alias("_text")))
+    return out.select(F.nullif("doc_id", F.lit(_NULL_ID)).alias("doc_id"), "n_shingles",
+                      F.nullif("component", F.lit(_NULL_ID)).alias("component_id"))
+
+
+def _components(rows: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """``doc_id, n_shingles, place, component`` of rows ``_id, _text``. A component
+    is named by its least place: ``_id``, or as ``places`` (``doc_id, place``) say."""
+    spark = rows.sparkSession
     small_batches(spark)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("_id"),
-                       text_of(text_col).alias("_text"))
     ranges = max(8 * spark.sparkContext.defaultParallelism,
                  text_volume(rows, "_text") // RANGE_BYTES)
     sent = rows.mapInArrow(_send(ranges), "range int, payload binary")
@@ -307,6 +315,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         _frequencies, "kind int, sid binary, n int, doc_id long, count int, payload binary"),
         "ngram-frequencies")
     members = back.filter("kind = 0").select("doc_id", "sid", "n")
+    if places is None:
+        members = members.withColumn("place", F.col("doc_id"))
+    else:
+        members = members.join(places, "doc_id")
     alive = (back.filter("kind = 1").groupBy("sid")
              .agg(F.max("n").alias("n"), F.sum("count").cast("int").alias("r"),
                   F.collect_list("payload").alias("parts"))
@@ -322,20 +334,25 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     roots = _join_families(sets, small_tasks=ranges)
 
     # Smallest document of each set, then of each component of several sets.
-    least = members.groupBy("sid").agg(F.min("doc_id").alias("least"))
+    least = members.groupBy("sid").agg(F.min("place").alias("least"))
     joined = least.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
         "root", F.coalesce("root", "sid"))
     best = joined.groupBy("root").agg(F.min("least").alias("component"))
     named = saved(joined.join(best, "root").select("sid", "component"), "ngram-components")
     out = members.join(named, "sid")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select(F.nullif("doc_id", F.lit(_NULL_ID)).alias("doc_id"),
-                      F.col("n").cast("long").alias("n_shingles"),
-                      F.nullif(component, F.lit(_NULL_ID)).alias("component_id"))
+    component = F.when(F.col("n") == 0, F.col("place")).otherwise(F.col("component"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "place",
+                      component.alias("component"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents whose component has a smaller id."""
-    found = ngram_components(docs, id_col, text_col)
-    gone = found.filter("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """``docs`` with the rows of the smallest id of each component. A null id is
+    the smallest and names no row: of rows without an id the first stays."""
+    keyed = row_keyed(docs, "ngram-rows")
+    places = keyed.select(F.col("_row").alias("doc_id"), F.struct(
+        F.col(id_col).cast("long").alias("id"), F.col("_row").alias("row")).alias("place"))
+    found = _components(keyed.select(F.col("_row").alias("_id"), text_of(text_col).alias("_text")),
+                        places)
+    gone = (found.filter("component.row != doc_id AND NOT coalesce(component.id = place.id, false)")
+            .select(F.col("doc_id").alias("_row")))
+    return keyed.join(gone, "_row", "left_anti").select(*docs.columns)
