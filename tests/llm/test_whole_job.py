@@ -1,6 +1,10 @@
 """Cases in which an operator once did less than the whole job."""
 
-from ledgerlens.llm import decontamination, ngram_join
+import random
+
+import numpy as np
+
+from ledgerlens.llm import cgk, decontamination, ngram_join
 
 
 # pipeline
@@ -48,3 +52,44 @@ def test_contaminated_rows_go_whatever_their_ids(docs, spark, tmp_path):
         left = decontamination.drop_contaminated(table(docs, rows, tmp_path, written), bench)
         assert left.columns == docs([]).columns
         assert sorted((r.text for r in left.collect())) == ["clean", "clean as well", "clean too"]
+
+
+# 6
+def invented(rng, n):
+    return ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9))) for _ in range(n)]
+
+
+def test_copies_with_a_typo_in_every_second_word_are_found(docs, spark):
+    rng = random.Random(3)
+    items = [" ".join(invented(rng, rng.randrange(15, 60))) for _ in range(40)]
+    rows = []
+    for k, item in enumerate(items):
+        copy = item.split()
+        for j in range(0, len(copy), 2):
+            at = rng.randrange(len(copy[j]))
+            copy[j] = copy[j][:at] + "z" + copy[j][at + 1:]
+        rows.append((k, " ".join(invented(rng, 30) + copy + invented(rng, 30))))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in decontamination.contaminated(docs(rows), bench).collect()}
+    assert len(found) >= 38 and all(a == b for a, b in found)
+    assert all(r.distance == cgk.best_match(items[k], rows[k][1])[0] for (k, _), r in found.items())
+
+
+def test_recall_holds_at_each_rate_for_items_of_any_size():
+    rng = random.Random(5)
+    texts = [" ".join(invented(rng, n)) for n in (5, 6, 7, 9, 12, 15, 30, 60, 150) for _ in range(8)]
+    reader = cgk.Reader()
+    sizes = np.diff(reader.read(texts).first)
+    for w, members, *step in cgk.plan(texts, reader, 0.25, sizes):
+        assert 2 * w <= 2 * cgk.MAX_WINDOW and cgk.Walk(w, 0).steps[-1] < 2 * w
+        recall = cgk.recalls([texts[k] for k in members], reader, 0.25, w)(*step)
+        assert min(recall.values()) >= 0.9
+
+
+def test_parts_abreast_have_the_least_edit_distance():
+    rng = random.Random(6)
+    pairs = [("".join(rng.choice("abc ") for _ in range(rng.randrange(1, 65))),
+              "".join(rng.choice("abcd ") for _ in range(rng.randrange(0, 90)))) for _ in range(60)]
+    codes = [[np.array([ord(c) for c in x], np.uint32) for x in pair] for pair in pairs]
+    got = cgk.least_distances([p for p, _ in codes], np.arange(60), [t for _, t in codes])
+    assert got.tolist() == [cgk.best_match(p, t)[0] for p, t in pairs]
