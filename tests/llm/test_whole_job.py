@@ -93,3 +93,17 @@ def test_parts_abreast_have_the_least_edit_distance():
     codes = [[np.array([ord(c) for c in x], np.uint32) for x in pair] for pair in pairs]
     got = cgk.least_distances([p for p, _ in codes], np.arange(60), [t for _, t in codes])
     assert got.tolist() == [cgk.best_match(p, t)[0] for p, t in pairs]
+
+
+def test_short_items_and_scripts_without_spaces_are_found(docs, spark):
+    items = ["Quo vadis?", "模型在测试集上的准确率是多少", "ภาษาไทยไม่มีช่องว่าง", "one two three four", None, "?!", "東京"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(0, "he asked: quo, VADIS"), (1, "问题：“模型在测试集的准确率是多少？”请回答。"),
+            (2, "ดูภาษาไทยไม่มีช่องว่างนี้"), (3, "zero one two three four five"),
+            (4, "quo non vadis"), (5, "one two three"), (6, "我住在東京都。"), (7, "京東"), (8, None)]
+    found = {(r.doc_id, r.item_id): r for r in decontamination.contaminated(docs(rows), bench).collect()}
+    assert set(found) == {(0, 0), (1, 1), (2, 2), (3, 3), (6, 6)}
+    assert found[1, 1].distance == 1 and found[2, 2].distance == 0
+    text = dict(rows)
+    spans = {k: text[k[0]][r.start:r.start + r.length] for k, r in found.items()}
+    assert spans[0, 0] == "quo, VADIS" and spans[1, 1] == "模型在测试集的准确率是多少" and spans[6, 6] == "東京"
