@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ledgerlens.session import materialize
 
@@ -12,6 +13,8 @@ from ledgerlens.session import materialize
 # return) and its complement, as Java regular expressions.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+# Groups beyond which their shares are a table and no longer one expression.
+MANY_GROUPS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,8 +86,17 @@ def least_hashed(rows: DataFrame, group: str, id_col: str, sizes: dict, most: in
     h = F.xxhash64(id_col)
     share = (F.shiftrightunsigned(h, 1) / F.lit(float(2 ** 63)))
     near = F.lit(False)
-    for value, n in sizes.items():
-        near = near | ((F.col(group) == F.lit(value)) & (share < min(1.0, 4 * most / max(n, 1))))
+    if len(sizes) > MANY_GROUPS:
+        shares = rows.sparkSession.createDataFrame(
+            [(value, min(1.0, 4 * most / max(n, 1))) for value, n in sizes.items()],
+            StructType([rows.select(F.col(group).alias("_group")).schema["_group"],
+                        StructField("_share", DoubleType())]))
+        rows = rows.join(F.broadcast(shares), F.col(group) == F.col("_group")).filter(
+            share < F.col("_share")).drop("_group", "_share")
+        near = F.lit(True)
+    else:
+        for value, n in sizes.items():
+            near = near | ((F.col(group) == F.lit(value)) & (share < min(1.0, 4 * most / max(n, 1))))
     order = Window.partitionBy(group).orderBy(share, id_col)
     return (rows.filter(near & F.col(id_col).isNotNull())
             .withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most)

@@ -1,10 +1,11 @@
 """Language identification by prediction by partial matching.
 
 Training reads a bounded sample of labelled rows (``TRAIN_DOCS`` whole texts a
-language, at most ``MAX_LANGUAGES`` languages, the most frequent first): tasks
-count byte contexts, Spark adds the counts up, and the frozen models travel
-to the tasks that score. Scoring reads every whole text once and compares its
-exact code length under each language's model; the shortest wins.
+language): tasks count byte contexts, Spark adds the counts up, and the frozen
+models travel to the tasks that score. Scoring reads every whole text and
+compares its exact code length under each language's model; the shortest wins.
+The models travel in slices of ``SLICE_LANGUAGES``, each a pass over the
+documents, so what a task holds is bounded whatever the number of languages.
 
 Defined cases: a null text, a text without a letter, and any text when
 nothing could be learned are ``und`` with score 0; ties go to the language
@@ -21,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import ppm, ship, words
-from ledgerlens.llm.common import least_hashed, small_batches, text_of
+from ledgerlens.llm.common import least_hashed, row_keyed, small_batches, text_of
 
 ship(__name__, ppm.__name__, words.__name__)
 
 UNKNOWN = "und"
 TRAIN_DOCS = 400
-MAX_LANGUAGES = 64
+SLICE_LANGUAGES = 64
 
 
 def _gram_counts(batches):
@@ -42,13 +43,12 @@ def _gram_counts(batches):
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang",
-          text_col: str = "text", per_language: int = TRAIN_DOCS) -> ppm.Model:
-    """Frozen models from at most ``per_language`` labelled texts a language,
-    chosen by a hash of the id."""
+          text_col: str = "text", per_language: int = TRAIN_DOCS) -> list[tuple]:
+    """(languages, counts) of each slice of models, from at most ``per_language``
+    labelled texts a language, chosen by a hash of the id."""
     named = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("_lang"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    sizes = {r["_lang"]: r["count"] for r in named.groupBy("_lang").count()
-             .orderBy(F.desc("count"), "_lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["_lang"]: r["count"] for r in named.groupBy("_lang").count().orderBy("_lang").collect()}
     # Ids alone are ranked; the chosen texts, few by construction, come after.
     chosen = least_hashed(named.select("_lang", "_id"), "_lang", "_id", sizes, per_language).distinct()
     small_batches(docs.sparkSession)
@@ -56,16 +56,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang",
     counts = (sample.select("_lang", "_text")
               .mapInArrow(_gram_counts, "lang string, gram long, n long")
               .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    table = counts.toArrow()  # bounded by the sample
-    langs = sorted(set(table.column("lang").to_pylist()))
+    table = counts.toArrow().sort_by([("lang", "ascending"), ("gram", "ascending")])  # bounded by the sample
+    names = table.column("lang").to_numpy()
     grams, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
-    which = np.array(table.column("lang").to_pylist(), object)
-    per = []
-    for lang in langs:
-        mine = which == lang
-        order = np.argsort(grams[mine])
-        per.append((grams[mine][order], n[mine][order]))
-    return ppm.Model(langs, per)
+    first = np.flatnonzero(np.append(True, names[1:] != names[:-1])[:len(names)])
+    per = [(grams[a:b], n[a:b]) for a, b in zip(first, np.append(first, len(names))[1:])]
+    langs = names[first].tolist()
+    return [(langs[k:k + SLICE_LANGUAGES], per[k:k + SLICE_LANGUAGES])
+            for k in range(0, max(len(langs), 1), SLICE_LANGUAGES)]
 
 
 def _score(shipped, keep: int):
@@ -95,22 +93,48 @@ def _score(shipped, keep: int):
     return run
 
 
-def predict(docs: DataFrame, model: ppm.Model, id_col: str = "doc_id",
-            text_col: str = "text", keep: tuple = ()) -> DataFrame:
-    """``doc_id, lang_pred, score`` (posterior of the winner under equal
-    priors) and ``bits`` (its code length) for every document, then the
-    columns of ``docs`` named in ``keep`` as ``kept0, kept1, ...``."""
+def _scored(docs: DataFrame, trained: tuple, id_col: str, text_col: str, keep: tuple) -> DataFrame:
+    """:func:`predict` with one slice of models."""
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"),
                        text_of(text_col).rlike(r"\p{L}").alias("_letters"),
                        *[F.col(c).alias(f"_keep{k}") for k, c in enumerate(keep)])
     kinds = "".join(f", kept{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep))
-    return rows.mapInArrow(_score(spark.sparkContext.broadcast(vars(model)), len(keep)),
+    model = spark.sparkContext.broadcast(vars(ppm.Model(*trained)))
+    return rows.mapInArrow(_score(model, len(keep)),
                            "doc_id long, lang_pred string, score double, bits double" + kinds)
 
 
-def drop_unknown(docs: DataFrame, model: ppm.Model, columns: tuple) -> DataFrame:
+def predict(docs: DataFrame, model: list[tuple], id_col: str = "doc_id",
+            text_col: str = "text", keep: tuple = ()) -> DataFrame:
+    """``doc_id, lang_pred, score`` (posterior of the winner under equal
+    priors) and ``bits`` (its code length) for every document, then the
+    columns of ``docs`` named in ``keep`` as ``kept0, kept1, ...``."""
+    small_batches(docs.sparkSession)
+    if len(model) == 1:
+        return _scored(docs, model[0], id_col, text_col, keep)
+    keyed = row_keyed(docs, "language-rows")
+    found = None
+    for trained in model:
+        part = _scored(keyed, trained, "_row", text_col, ())
+        found = part if found is None else found.unionByName(part)
+    # The inverse of a slice's score is the sum of 2 ** (least - bits) over it.
+    best = found.groupBy("doc_id").agg(
+        F.min(F.struct("bits", "lang_pred", "score")).alias("best"),
+        F.collect_list(F.struct("bits", "score")).alias("slices"))
+    total = F.aggregate("slices", F.lit(0.0), lambda sum_, s: sum_ + F.when(
+        s["score"] > 0, F.pow(F.lit(2.0), F.greatest(F.col("best.bits") - s["bits"], F.lit(-1000.0))) / s["score"])
+        .otherwise(0.0))
+    best = best.select(F.col("doc_id").alias("_row"), F.col("best.lang_pred").alias("_lang"),
+                       F.when(total > 0, 1 / total).otherwise(0.0).alias("_score"),
+                       F.col("best.bits").alias("_bits"))
+    return keyed.withColumnsRenamed({c: f"_doc {c}" for c in docs.columns}).join(best, "_row").select(
+        F.col(f"`_doc {id_col}`").cast("long").alias("doc_id"), F.col("_lang").alias("lang_pred"),
+        F.col("_score").alias("score"), F.col("_bits").alias("bits"),
+        *[F.col(f"`_doc {c}`").alias(f"kept{k}") for k, c in enumerate(keep)])
+
+
+def drop_unknown(docs: DataFrame, model: list[tuple], columns: tuple) -> DataFrame:
     """The documents whose language can be told, with ``columns``."""
     found = predict(docs, model, keep=columns).filter(F.col("lang_pred") != UNKNOWN)
     return found.select(*[F.col(f"kept{k}").alias(c) for k, c in enumerate(columns)])

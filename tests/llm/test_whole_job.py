@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from ledgerlens.llm import cgk, decontamination, ngram_join
+from ledgerlens.llm import cgk, decontamination, language_id, ngram_join, ppm
 
 
 # pipeline
@@ -107,3 +107,24 @@ def test_short_items_and_scripts_without_spaces_are_found(docs, spark):
     text = dict(rows)
     spans = {k: text[k[0]][r.start:r.start + r.length] for k, r in found.items()}
     assert spans[0, 0] == "quo, VADIS" and spans[1, 1] == "模型在测试集的准确率是多少" and spans[6, 6] == "東京"
+
+
+# 2
+def test_every_language_is_learned(docs):
+    rng = random.Random(9)
+    syllables = [a + b for a in "bcdfghjklm" for b in "aeiou"]
+    own = {f"l{k:02}": rng.sample(syllables, 4) for k in range(70)}
+    rows = []
+    for k, lang in enumerate(own):
+        for copy in range(2 if k % 7 else 1):  # the rare ones come last by frequency
+            rows.append((10 * k + copy, " ".join(rng.choice(own[lang]) for _ in range(60)), lang))
+    df = docs(rows + [(None, "12 34", None)])
+    model = language_id.train(df)
+    assert [len(langs) for langs, _ in model] == [64, 6]
+    out = {r.doc_id: r for r in language_id.predict(df, model, keep=("lang", "text")).collect()}
+    assert len(out) == len(rows) + 1 and (out[None].lang_pred, out[None].score) == ("und", 0.0)
+    one = ppm.Model([x for langs, _ in model for x in langs], [c for _, per in model for c in per], 10 ** 9)
+    for i, text, lang in rows:
+        r, bits = out[i], one.bits([text.encode()])[0]
+        assert r.lang_pred == r.kept0 == lang and r.kept1 == text
+        assert abs(r.score - 1 / np.exp2(bits.min() - bits).sum()) < 1e-6
