@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import (chat, decontamination, exact_dedup, language_id, licenses, line_dedup,
-                            mixing, ngram_join, quality, token_output)
+from ledgerlens.llm import (chat, decontamination, exact_dedup, fill_middle, language_id, licenses,
+                            line_dedup, mixing, ngram_join, quality, token_output)
 from ledgerlens.llm.common import crc_bucket, table
 
 QUERIES = {}
@@ -125,3 +125,42 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_output.write_tokens(table(spark, sf_dir, "documents"), path,
                               public_tokenizers.path("word_bpe_49k.json"))
     return token_output.read_tokens(spark, path)
+
+
+_MIDDLE_SQL = """
+WITH hashed AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+units AS (
+  SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u,
+         CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+         CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4
+  FROM hashed),
+ranks AS (
+  SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a,
+         greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                   OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM units),
+parts AS (
+  SELECT doc_id, t, n, form, array_to_string(u[1:a], '') AS p,
+         array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s
+  FROM ranks)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m
+                        ELSE t END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
+@query("op13_fill_middle", _MIDDLE_SQL)
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                      F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fill_middle.restored(), 256).alias("restored_sha256"))
