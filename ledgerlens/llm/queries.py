@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import (chat, decontamination, exact_dedup, fill_middle, language_id, licenses,
-                            line_dedup, mixing, ngram_join, quality, token_output)
+from ledgerlens.llm import (chat, decontamination, exact_dedup, fertility, fill_middle, language_id,
+                            licenses, line_dedup, mixing, ngram_join, quality, token_output)
 from ledgerlens.llm.common import crc_bucket, table
 
 QUERIES = {}
@@ -127,6 +127,16 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_tokens(spark, path)
 
 
+@query("op12_fertility_rules")
+def fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [public_tokenizers.path(p) for p in ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")]
+    out = fertility.quality_rules(table(spark, sf_dir, "documents"), paths, public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                      "base_failed", "kept", "script", "broken",
+                      F.col("chars_0").alias("chars_per_token"), F.col("bytes_0").alias("byte_share"),
+                      F.col("bits_0").alias("token_bits"))
+
+
 _MIDDLE_SQL = """
 WITH hashed AS (
   SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
