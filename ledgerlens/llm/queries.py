@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import (chat, decontamination, exact_dedup, fertility, fill_middle, language_id,
-                            licenses, line_dedup, mixing, ngram_join, quality, token_output)
+                            lexical, licenses, line_dedup, mixing, ngram_join, quality,
+                            token_output)
 from ledgerlens.llm.common import crc_bucket, table
 
 QUERIES = {}
@@ -127,6 +128,46 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_tokens(spark, path)
 
 
+_RANKED_SQL = """
+WITH found AS (
+  SELECT doc_id, rowid AS r,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+  FROM (SELECT doc_id, text, row_number() OVER () AS rowid FROM documents)),
+docs AS (SELECT doc_id, r, terms, CAST(len(terms) AS BIGINT) AS n FROM found WHERE len(terms) > 0),
+corpus AS (SELECT count(*) AS big_n, CAST(sum(n) AS HUGEINT) AS big_l FROM docs),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM benchmark),
+counted AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM docs)
+  WHERE term IN (SELECT term FROM asked) GROUP BY r, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE)))
+                    AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM counted GROUP BY term), corpus),
+parts AS (
+  SELECT r, term, w * ((1000000000 * tf) // (1000 * tf + 20 * m)) AS part
+  FROM counted JOIN weights USING (term)
+  JOIN (SELECT r, CAST(50 + ((50 * n * big_n) // big_l) AS BIGINT) AS m FROM docs, corpus) USING (r)),
+scores AS (
+  SELECT item_id, r, CAST(sum(part) AS BIGINT) AS score FROM asked JOIN parts USING (term)
+  GROUP BY item_id, r HAVING sum(part) > 0),
+ranked AS (
+  SELECT item_id, doc_id, score,
+         CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+  FROM scores JOIN docs USING (r))
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
+@query("op11_ranked_search", _RANKED_SQL)
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op12_fertility_rules")
 def fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = [public_tokenizers.path(p) for p in ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")]
