@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ledgerlens.operators.joins import broadcast_if_small
 from ledgerlens.session import materialize
 
 # ASCII white space (space, tab, line feed, vertical tab, form feed, carriage
 # return) and its complement, as Java regular expressions.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-# Groups beyond which their shares are a table and no longer one expression.
-MANY_GROUPS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,29 +73,21 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(key, str(rows))
 
 
-def least_hashed(rows: DataFrame, group: str, id_col: str, sizes: dict, most: int) -> DataFrame:
-    """At most ``most`` rows of each group named in ``sizes`` (group: rows), the
-    ones whose id hashes least; nulls are left out.
+def least_hashed(rows: DataFrame, group: str, mark: str, most: int) -> DataFrame:
+    """At most ``most`` distinct values of ``mark`` (a long hash) of each
+    ``group``, the least ones by hash; nulls are left out.
 
-    Only ids hashing below about four times the wanted share are ranked, so
-    the rows that meet in a group's task are a few times ``most``, however
-    large the group.
+    A group's number of distinct marks is estimated first (a sketch, folded
+    map-side); only marks hashing below about four times the wanted share are
+    ranked, so the rows that meet in a group's task are a few times ``most``,
+    however large the group and however often a mark repeats.
     """
-    h = F.xxhash64(id_col)
-    share = (F.shiftrightunsigned(h, 1) / F.lit(float(2 ** 63)))
-    near = F.lit(False)
-    if len(sizes) > MANY_GROUPS:
-        shares = rows.sparkSession.createDataFrame(
-            [(value, min(1.0, 4 * most / max(n, 1))) for value, n in sizes.items()],
-            StructType([rows.select(F.col(group).alias("_group")).schema["_group"],
-                        StructField("_share", DoubleType())]))
-        rows = rows.join(F.broadcast(shares), F.col(group) == F.col("_group")).filter(
-            share < F.col("_share")).drop("_group", "_share")
-        near = F.lit(True)
-    else:
-        for value, n in sizes.items():
-            near = near | ((F.col(group) == F.lit(value)) & (share < min(1.0, 4 * most / max(n, 1))))
-    order = Window.partitionBy(group).orderBy(share, id_col)
-    return (rows.filter(near & F.col(id_col).isNotNull())
-            .withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most)
+    share = F.shiftrightunsigned(F.xxhash64(mark), 1) / F.lit(float(2 ** 63))
+    known = rows.filter(F.col(mark).isNotNull() & F.col(group).isNotNull()).select(group, mark)
+    sizes = saved(known.groupBy(F.col(group).alias("_group")).agg(
+        F.approx_count_distinct(mark, 0.05).alias("_marks")), "sample-sizes")
+    near = (known.join(broadcast_if_small(sizes), F.col(group) == F.col("_group"))
+            .filter(share * F.col("_marks") < 4 * most).select(group, mark).distinct())
+    order = Window.partitionBy(group).orderBy(share, mark)
+    return (near.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most)
             .drop("_rank"))

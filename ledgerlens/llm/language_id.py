@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import ppm, ship, words
-from ledgerlens.llm.common import least_hashed, row_keyed, small_batches, text_of
+from ledgerlens.llm.common import least_hashed, row_keyed, saved, small_batches, text_of
+from ledgerlens.operators.joins import broadcast_if_small
 
 ship(__name__, ppm.__name__, words.__name__)
 
@@ -45,14 +46,16 @@ def _gram_counts(batches):
 def train(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang",
           text_col: str = "text", per_language: int = TRAIN_DOCS) -> list[tuple]:
     """(languages, counts) of each slice of models, from at most ``per_language``
-    labelled texts a language, chosen by a hash of the id."""
+    labelled texts a language, chosen by a hash of id and text; rows that repeat
+    both are one text."""
     named = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).alias("_lang"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    sizes = {r["_lang"]: r["count"] for r in named.groupBy("_lang").count().orderBy("_lang").collect()}
-    # Ids alone are ranked; the chosen texts, few by construction, come after.
-    chosen = least_hashed(named.select("_lang", "_id"), "_lang", "_id", sizes, per_language).distinct()
+        F.col(lang_col).alias("_lang"), F.xxhash64(id_col, text_col).alias("_mark"),
+        F.col(text_col).alias("_text"))
+    # Hashes alone are ranked; the chosen texts, few by construction, come after.
+    chosen = saved(least_hashed(named, "_lang", "_mark", per_language), "language-sample")
     small_batches(docs.sparkSession)
-    sample = named.join(F.broadcast(chosen), ["_lang", "_id"], "left_semi")
+    sample = (named.join(broadcast_if_small(chosen), ["_lang", "_mark"], "left_semi")
+              .groupBy("_lang", "_mark").agg(F.min("_text").alias("_text")))
     counts = (sample.select("_lang", "_text")
               .mapInArrow(_gram_counts, "lang string, gram long, n long")
               .groupBy("lang", "gram").agg(F.sum("n").alias("n")))

@@ -346,13 +346,12 @@ def _components(rows: DataFrame, places: DataFrame | None = None) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the rows of the smallest id of each component. A null id is
-    the smallest and names no row: of rows without an id the first stays."""
+    """``docs`` with one row of each component: that of the smallest id (null
+    first); of rows that share it, the first."""
     keyed = row_keyed(docs, "ngram-rows")
     places = keyed.select(F.col("_row").alias("doc_id"), F.struct(
         F.col(id_col).cast("long").alias("id"), F.col("_row").alias("row")).alias("place"))
     found = _components(keyed.select(F.col("_row").alias("_id"), text_of(text_col).alias("_text")),
                         places)
-    gone = (found.filter("component.row != doc_id AND NOT coalesce(component.id = place.id, false)")
-            .select(F.col("doc_id").alias("_row")))
+    gone = found.filter("component.row != doc_id").select(F.col("doc_id").alias("_row"))
     return keyed.join(gone, "_row", "left_anti").select(*docs.columns)

@@ -80,7 +80,7 @@ def test_edge_cases(docs):
             (8, "one two three four five"), (8, "one two three four five"), (7, "x")]
     assert result(docs(rows)) == brute(rows)
     kept = ngram_join.drop_near_copies(docs(rows))
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 7, 8, 8]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 7, 8]  # one of the two 8s
 
 
 def test_null_id_is_least(docs):

@@ -4,7 +4,8 @@ import random
 
 import numpy as np
 
-from ledgerlens.llm import cgk, decontamination, language_id, ngram_join, ppm
+from ledgerlens.llm import cgk, decontamination, language_id, ngram_join, ppm, quality
+from ledgerlens.llm.common import least_hashed
 
 
 # pipeline
@@ -30,8 +31,10 @@ def near_copies_left(docs, tmp_path, written):
     return sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
 
 
+# One row of each group stays, also of rows that repeat id and text; texts
+# without words are linked with nothing.
 WANT_LEFT = sorted([(None, "one two three four five six seven eight"), (3, "a text of its own"),
-                    (4, "twice the same row"), (4, "twice the same row"), (5, None), (5, None),
+                    (4, "twice the same row"), (5, None), (5, None),
                     (6, "left alone by the others"), (6, "but with an id that is shared")], key=str)
 
 
@@ -128,3 +131,35 @@ def test_every_language_is_learned(docs):
         r, bits = out[i], one.bits([text.encode()])[0]
         assert r.lang_pred == r.kept0 == lang and r.kept1 == text
         assert abs(r.score - 1 / np.exp2(bits.min() - bits).sum()) < 1e-6
+
+
+# The sample of a training set
+def test_a_language_under_few_ids_is_learned(docs):
+    german = "der Hund und die Katze gehen durch den Wald nach Hause "
+    english = "the dog and the cat go through the wood on their way home "
+    rows = [(k % 10, german + str(k % 500), "de") for k in range(4000)]
+    rows += [(10_000 + k, english + str(k), "en") for k in range(200)]
+    model = language_id.train(docs(rows))
+    assert [lang for langs, _ in model for lang in langs] == ["de", "en"]
+    found = {r.doc_id: r.lang_pred for r in language_id.predict(
+        docs([(1, german), (2, english)]), model).collect()}
+    assert found == {1: "de", 2: "en"}
+
+
+def test_the_sample_is_bounded_and_no_group_is_lost(spark):
+    rows = spark.range(20_000).selectExpr(
+        "CASE WHEN id < 12000 THEN 'one' WHEN id < 19500 THEN 'few' ELSE 'many' END AS g",
+        "CASE WHEN id < 12000 THEN 7L WHEN id < 19500 THEN id % 5 ELSE id END AS m")
+    got = {}
+    for r in least_hashed(rows, "g", "m", 30).collect():
+        got.setdefault(r.g, set()).add(r.m)
+    assert got["one"] == {7} and got["few"] == {0, 1, 2, 3, 4} and len(got["many"]) == 30
+
+
+def test_quality_learns_from_repeated_ids(docs, spark):
+    good, bad = "calm words that follow one another in a line. ", "$$$ ### 123 &&& !!! "
+    rows = [(k % 6, (good if k % 6 < 3 else bad) * (1 + k % 7)) for k in range(3000)]
+    labels = spark.createDataFrame([(k, int(k < 3)) for k in range(6)], "doc_id long, quality int")
+    model = quality.train(docs(rows), labels)
+    out = {r.doc_id: r.score for r in quality.score(docs([(1, good * 3), (2, bad * 3)]), model).collect()}
+    assert out[1] > out[2]
