@@ -3,136 +3,87 @@
 A window with ORDER BY and no PARTITION BY sends every row to one task. The
 functions here compute the same exact values in a distributed way:
 
-1. split the ordering value into ``buckets`` contiguous ranges. The range
-   boundaries are approximate quantiles (a bounded list of ``buckets - 1``
-   numbers, fetched once so every later reference sees the same list);
-2. total per (partition, range): at most ``buckets`` rows per partition;
+1. range-partition the rows by the ordering columns themselves, whatever their
+   types (Spark samples the boundaries), sort each range, and write the rows
+   with their range and their place in it (:func:`split_ranges`). Rows that
+   are equal in all ordering columns may be split too, so no value or key,
+   however hot, fills a range of its own;
+2. total per range: at most one row a range and group;
 3. running offset of each range: a window over those few rows;
-4. exact running value inside each range: a window partitioned by
-   (partition, range), plus the range's offset.
+4. the value inside a range, from its place or from a window partitioned by
+   range, plus the range's offset.
 
-Equal ordering values always land in the same range, so RANGE-frame ties
-are kept. Hot ordering values are first collapsed by an aggregation (which
-Spark combines map-side), so no task receives one value's rows.
+The number of ranges is the session's number of shuffle partitions, coalesced
+by adaptive execution; nothing else bounds it. NULL values come last, in
+either direction.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.joins import broadcast_if_subset_small, join_groups, row_count
+from ledgerlens.operators.joins import broadcast_if_subset_small, join_groups
 from ledgerlens.session import materialize
 
-# Number of value ranges: about ROWS_PER_BUCKET rows each, at least
-# DEFAULT_BUCKETS and at most MAX_BUCKETS, so the per-range windows spread
-# over more tasks as the data grows while the offset table stays tiny.
-DEFAULT_BUCKETS = 64
-MAX_BUCKETS = 4096
-ROWS_PER_BUCKET = 1_000_000
-# Relative accuracy of the boundary sketch (scaled with the number of
-# ranges); it only affects how even the ranges are, never the result.
-_SKETCH_ACCURACY = 10_000
-
-
-def auto_buckets(df: DataFrame) -> int:
-    """Number of ranges for a written input (its row count comes from the
-    Parquet footers)."""
-    n = row_count(df)
-    return max(DEFAULT_BUCKETS, min(MAX_BUCKETS, -(-n // ROWS_PER_BUCKET)))
-
-
-def order_value(df: DataFrame, col: str) -> Column:
-    """A double that never falls as ``col`` rises: the number itself, or for
-    text the number its first six bytes spell (text sorts by bytes)."""
-    if df.schema[col].dataType.typeName() != "string":
-        return F.col(col).cast("double")
-    head = F.rpad(F.hex(F.substring(F.col(col).cast("binary"), 1, 6)), 12, "0")
-    return F.conv(head, 16, 10).cast("double")
-
-
-def range_bounds(df: DataFrame, col: str, buckets: int = DEFAULT_BUCKETS) -> list:
-    """Up to ``buckets - 1`` ascending cut points of ``col`` (bounded fetch)."""
-    if buckets <= 1:
-        return []
-    probs = [i / buckets for i in range(1, buckets)]
-    accuracy = max(_SKETCH_ACCURACY, 20 * buckets)
-    row = df.select(F.percentile_approx(order_value(df, col), probs,
-                                        accuracy).alias("b")).first()
-    values = row["b"] if row is not None and row["b"] is not None else []
-    return sorted(set(values))
-
-
-def bucket_of(col: str, bounds: list, descending: bool) -> Column:
-    """Index of the value range holding the double column ``col``, increasing
-    in traversal order.
-
-    A balanced CASE tree over the sorted boundaries (about log2(buckets)
-    comparisons per row) that stays inside whole-stage code generation; it is
-    handed over as one SQL text. Ascending: the number of boundaries below
-    the value. Descending: the number of boundaries above it.
-    """
-    bs = [float(b) for b in bounds]
-    beyond = ">=" if descending else ">"
+BUCKET, AT = "_lr_bucket", "_lr_at"
+# monotonically_increasing_id: the partition above this many bits of row number.
+_PLACE_BITS = 33
+
+
+def split_ranges(df: DataFrame, orders: list[Column], ranges: int | None = None) -> DataFrame:
+    """The rows of a written table in the order ``orders``, written again with
+    ``_lr_bucket`` (their range, rising in that order) and ``_lr_at`` (a number
+    that rises by one from row to row of a range)."""
+    tie = "_lr_tie"
+    rows = df.withColumn(tie, F.monotonically_increasing_id())
+    keys = [*orders, F.asc(tie)]
+    dealt = rows.repartitionByRange(ranges, *keys) if ranges else rows.repartitionByRange(*keys)
+    placed = dealt.sortWithinPartitions(*keys).withColumn(AT, F.monotonically_increasing_id())
+    bucket = F.shiftright(AT, _PLACE_BITS).cast("int")
+    return materialize(placed.drop(tie).withColumn(BUCKET, bucket))
 
-    def count_below(lo: int, hi: int) -> str:
-        # Number of boundaries below the value, known to lie in [lo, hi].
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        bound = f"{bs[mid]!r}D" if math.isfinite(bs[mid]) else f"double('{bs[mid]}')"
-        return (f"CASE WHEN `{col}` {beyond} {bound} THEN {count_below(mid + 1, hi)} "
-                f"ELSE {count_below(lo, mid)} END")
 
-    below = F.expr(count_below(0, len(bs)))
-    return F.lit(len(bs)) - below if descending else below
+def _direction(col: str, descending: bool) -> Column:
+    return F.desc_nulls_last(col) if descending else F.asc_nulls_last(col)
 
 
-def _with_bucket(df: DataFrame, order_col: str, out: str, bounds: list,
-                 descending: bool) -> DataFrame:
-    x = "_lr_x"
-    return (df.withColumn(x, order_value(df, order_col))
-            .withColumn(out, bucket_of(x, bounds, descending)).drop(x))
+def _with_offsets(staged: DataFrame, per_range: DataFrame, parts: list[str], total: str,
+                  offset: str) -> DataFrame:
+    """``staged`` joined to its range's row of ``per_range``, with the sum of
+    ``total`` over the earlier ranges (of the group) as ``offset``."""
+    earlier = Window.partitionBy(*parts).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_range.withColumn(offset, F.sum(total).over(earlier))
+    # Without groups one row a range; else at most one more for each group.
+    offsets = F.broadcast(offsets) if not parts else broadcast_if_subset_small(offsets, staged)
+    return join_groups(staged, offsets, [*parts, BUCKET])
 
 
 def prefix_sum(df: DataFrame, order_col: str, value_col: str, out_col: str = "cumsum",
                partition_cols: list[str] | None = None, descending: bool = True,
                tie_col: str | None = None, buckets: int | None = None,
-               bounds: list | None = None, prepared: bool = False) -> DataFrame:
+               prepared: bool = False) -> DataFrame:
     """Inclusive running sum of ``value_col`` within ``partition_cols``.
 
-    Rows are traversed by ``order_col`` (descending by default), then by
-    ``tie_col`` ascending. The (partition, order, tie) combination should be
+    Rows are traversed by ``order_col`` (descending by default, NULL last), then
+    by ``tie_col`` ascending. The (partition, order, tie) combination should be
     unique; for RANGE semantics over repeated values aggregate them first
-    (see :func:`running_total`). ``prepared=True`` says ``df`` is already
+    (see :func:`running_total`). As in a plain window NULL values add nothing,
+    and a sum of NULLs alone is NULL. ``prepared=True`` says ``df`` is already
     materialized.
     """
     parts = list(partition_cols or [])
-    if bounds is None:
-        # The input is an aggregate; write it once so the boundary job and
-        # the final job do not both recompute it from the fact table.
-        if not prepared:
-            df = materialize(df)
-        bounds = range_bounds(df, order_col, buckets or auto_buckets(df))
-    b = "_lr_bucket"
-    staged = _with_bucket(df, order_col, b, bounds, descending)
-    per_bucket = staged.groupBy(*parts, b).agg(F.sum(value_col).alias("_lr_bsum"))
-    w_off = Window.partitionBy(*parts).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(
-        *parts, b, F.coalesce(F.sum("_lr_bsum").over(w_off), F.lit(0)).alias("_lr_off"))
-    # Global case: offsets has at most MAX_BUCKETS rows (proven bound); per
-    # partition it has at most as many rows as the input.
-    offsets = F.broadcast(offsets) if not parts else broadcast_if_subset_small(offsets, df)
-    order = F.desc(order_col) if descending else F.asc(order_col)
-    orders = [order] + ([F.asc(tie_col)] if tie_col else [])
-    w = (Window.partitionBy(*parts, b).orderBy(*orders)
+    if not prepared:
+        # The boundary sample and the sort both read it.
+        df = materialize(df)
+    orders = [_direction(order_col, descending)] + ([F.asc(tie_col)] if tie_col else [])
+    staged = split_ranges(df, [*[F.asc(p) for p in parts], *orders], buckets)
+    per_range = staged.groupBy(*parts, BUCKET).agg(F.sum(value_col).alias("_lr_sum"))
+    w = (Window.partitionBy(*parts, BUCKET).orderBy(*orders, AT)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    joined = join_groups(staged, offsets, [*parts, b])
-    return joined.select(
-        *[c for c in df.columns],
-        (F.col("_lr_off") + F.sum(value_col).over(w)).alias(out_col))
+    inside = F.sum(value_col).over(w)
+    return _with_offsets(staged, per_range, parts, "_lr_sum", "_lr_off").select(
+        *df.columns, F.coalesce(F.col("_lr_off") + inside, inside, F.col("_lr_off")).alias(out_col))
 
 
 def running_total(totals: DataFrame, value_col: str, key_col: str,
@@ -141,32 +92,25 @@ def running_total(totals: DataFrame, value_col: str, key_col: str,
     """Running sum of ``value_col`` in descending order, one row per key.
 
     ``frame="range"``: rows with equal values share one running value (the
-    default frame of ``sum() OVER (ORDER BY v DESC)``).
+    default frame of ``sum() OVER (ORDER BY v DESC NULLS LAST)``).
     ``frame="rows"``: row by row, ties broken by ``key_col`` ascending.
+    A key whose value is NULL comes last and has the sum of all values.
     """
     v = value_col
-    # One row per key, written once: it feeds the distinct values, the
-    # position pass and the final join.
+    if frame == "rows":
+        return prefix_sum(totals, v, v, out_col, tie_col=key_col, buckets=buckets,
+                          prepared=prepared)
+    if frame != "range":
+        raise ValueError(f"unknown frame {frame!r}")
+    # One row per key, written once: it feeds the distinct values and the join.
     if not prepared:
         totals = materialize(totals)
     # One row per distinct value: hot values collapse before any window.
-    distinct_values = materialize(totals.groupBy(v).agg(F.sum(v).alias("_rt_s"),
-                                                        F.count(F.lit(1)).alias("_rt_n")))
-    cum = prefix_sum(distinct_values, v, "_rt_s", "_rt_cum", buckets=buckets, prepared=True)
-    if frame == "range":
-        # One row per distinct value: the written distinct-value table bounds
-        # its size, so the prefix sum itself is computed only once.
-        cum = cum.select(v, F.col("_rt_cum").alias(out_col))
-        return totals.join(broadcast_if_subset_small(cum, distinct_values), on=v, how="inner")
-    if frame != "rows":
-        raise ValueError(f"unknown frame {frame!r}")
-
-    # ROWS: sum of all larger values, plus value * position among equals.
-    before = cum.select(v, (F.col("_rt_cum") - F.col("_rt_s")).alias("_rt_before"))
-    pos = position_within(totals, [v], key_col, "_rt_pos", buckets=buckets, prepared=True)
-    return (pos.join(broadcast_if_subset_small(before, distinct_values), on=v, how="inner")
-            .withColumn(out_col, F.col("_rt_before") + F.col(v) * F.col("_rt_pos"))
-            .drop("_rt_before", "_rt_pos"))
+    distinct_values = materialize(totals.groupBy(v).agg(F.sum(v).alias("_rt_s")))
+    cum = prefix_sum(distinct_values, v, "_rt_s", out_col, buckets=buckets, prepared=True)
+    # The written distinct-value table bounds the prefix sums' size.
+    return join_groups(totals, broadcast_if_subset_small(cum.select(v, out_col), distinct_values),
+                       [v])
 
 
 def position_within(df: DataFrame, group_cols: list[str], order_col: str,
@@ -174,46 +118,34 @@ def position_within(df: DataFrame, group_cols: list[str], order_col: str,
                     prepared: bool = False) -> DataFrame:
     """1-based position of each row inside its group, ordered by ``order_col``.
 
-    Equivalent to ``row_number() OVER (PARTITION BY group ORDER BY order_col)``
-    but a group holding a large share of the rows is split into ranges of
-    ``order_col`` first, so no single task sorts the whole group.
+    Equivalent to ``row_number() OVER (PARTITION BY group ORDER BY order_col
+    NULLS LAST)``, but a group holding a large share of the rows is split
+    into ranges, so no single task sorts the whole group.
     """
     if not prepared:
         df = materialize(df)
-    bounds = range_bounds(df, order_col, buckets or auto_buckets(df))
-    b = "_pw_bucket"
-    staged = _with_bucket(df, order_col, b, bounds, descending=False)
-    counts = staged.groupBy(*group_cols, b).agg(F.count(F.lit(1)).alias("_pw_n"))
-    w_off = Window.partitionBy(*group_cols).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group_cols, b,
-                            F.coalesce(F.sum("_pw_n").over(w_off), F.lit(0)).alias("_pw_off"))
-    w = Window.partitionBy(*group_cols, b).orderBy(F.asc(order_col))
-    return (join_groups(staged, broadcast_if_subset_small(offsets, df), [*group_cols, b])
-            .withColumn(out_col, F.col("_pw_off") + F.row_number().over(w))
-            .drop(b, "_pw_off"))
+    staged = split_ranges(df, [*[F.asc(g) for g in group_cols], F.asc_nulls_last(order_col)], buckets)
+    # A group's rows in a range follow each other, from its least place on.
+    per_range = staged.groupBy(*group_cols, BUCKET).agg(F.count(F.lit(1)).alias("_pw_n"),
+                                                        F.min(AT).alias("_pw_first"))
+    place = F.coalesce("_pw_off", F.lit(0)) + F.col(AT) - F.col("_pw_first") + 1
+    return _with_offsets(staged, per_range, group_cols, "_pw_n", "_pw_off").select(
+        *df.columns, place.alias(out_col))
 
 
 def ordered_index(df: DataFrame, order_col: str, key_col: str, out_col: str = "index",
-                  descending: bool = True, buckets: int | None = None) -> DataFrame:
+                  descending: bool = True, buckets: int | None = None,
+                  prepared: bool = False) -> DataFrame:
     """0-based position of each row in the order (``order_col``, then
-    ``key_col`` ascending), nulls last, computed without a global window.
-
-    The number of rows before a row is the count of rows with a strictly
-    earlier value (a prefix count over distinct values) plus its position
-    among rows with the same value (split by key ranges for hot values).
-    """
-    edge = float("-inf") if descending else float("inf")
-    v = "_oi_v"
-    staged = materialize(df.withColumn(v, F.coalesce(F.col(order_col).cast("double"),
-                                                     F.lit(edge))))
-    counts = materialize(staged.groupBy(v).agg(F.count(F.lit(1)).alias("_oi_n")))
-    cum = prefix_sum(counts, v, "_oi_n", "_oi_cum", descending=descending, buckets=buckets,
-                     prepared=True)
-    before = cum.select(v, (F.col("_oi_cum") - F.col("_oi_n")).alias("_oi_before"))
-    pos = position_within(staged, [v], key_col, "_oi_pos", buckets=buckets, prepared=True)
-    return (pos.join(broadcast_if_subset_small(before, counts), on=v, how="inner")
-            .withColumn(out_col, F.col("_oi_before") + F.col("_oi_pos") - 1)
-            .drop(v, "_oi_before", "_oi_pos"))
+    ``key_col`` ascending), NULL values last, for columns of any ordered type."""
+    if not prepared:
+        df = materialize(df)
+    staged = split_ranges(df, [_direction(order_col, descending), F.asc(key_col)], buckets)
+    per_range = staged.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("_oi_n"),
+                                           F.min(AT).alias("_oi_first"))
+    place = F.coalesce("_oi_off", F.lit(0)) + F.col(AT) - F.col("_oi_first")
+    return _with_offsets(staged, per_range, [], "_oi_n", "_oi_off").select(
+        *df.columns, place.alias(out_col))
 
 
 def top_n_per_group(df: DataFrame, group_cols: list[str], order_cols: list,
