@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.joins import join_groups, broadcast_if_small, broadcast_if_subset_small
-from ledgerlens.operators.running import prefix_sum
+from ledgerlens.operators.selection import order_statistics
 from ledgerlens.session import materialize
 
 # Quantiles are rounded so that interpolation noise (~1e-13) cannot change a
@@ -29,42 +29,23 @@ def _pname(p: float) -> str:
 
 def quantiles(df: DataFrame, value_col: str, probs: list[float],
               group_cols: list[str] | None = None, names: list[str] | None = None,
-              places: int = QUANTILE_PLACES, buckets: int | None = None) -> DataFrame:
+              places: int = QUANTILE_PLACES, prepared: bool = False) -> DataFrame:
     """Exact interpolated quantiles of ``value_col``, per group if given.
 
     One output row per group (one row in total without groups) with one
     column per probability, named by ``names`` or ``q0_95`` style.
+    ``prepared=True`` says ``df`` is already materialized.
     """
     groups = list(group_cols or [])
     names = names or [_pname(p) for p in probs]
-    v = value_col
-    # (value, count) pairs, written once; every later step reads them.
-    counts = materialize(df.filter(F.col(v).isNotNull())
-                         .groupBy(*groups, v).agg(F.count(F.lit(1)).alias("_q_n")))
-    cum = prefix_sum(counts, v, "_q_n", "_q_incl", partition_cols=groups, descending=False,
-                     buckets=buckets, prepared=True)
-    if groups:
-        totals = counts.groupBy(*groups).agg(F.sum("_q_n").alias("_q_total"))
-        cum = join_groups(cum, broadcast_if_subset_small(totals, counts), groups)
-        total = F.col("_q_total")
-    else:
-        total = counts.select(F.sum("_q_n")).scalar()
-    excl = F.col("_q_incl") - F.col("_q_n")  # values strictly below v
-    aggs = []
-    for i, p in enumerate(probs):
-        rank = (total - 1) * F.lit(float(p))
-        lo, hi = F.floor(rank), F.ceil(rank)
-        aggs += [
-            F.max(F.when((excl <= lo) & (lo < F.col("_q_incl")), F.col(v))).alias(f"_lo{i}"),
-            F.max(F.when((excl <= hi) & (hi < F.col("_q_incl")), F.col(v))).alias(f"_hi{i}"),
-            F.max(rank - lo).alias(f"_fr{i}"),
-        ]
-    agg = cum.groupBy(*groups).agg(*aggs)
+    if not prepared:
+        df = materialize(df.select(*groups, value_col))
+    found = order_statistics(df, value_col, probs, groups)
     outs = []
     for i, name in enumerate(names):
         lo, hi, fr = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_fr{i}")
         outs.append(F.round(lo + (hi - lo) * fr, places).alias(name))
-    return agg.select(*groups, *outs)
+    return found.select(*groups, *outs)
 
 
 def quantile(df: DataFrame, value_col: str, p: float) -> Column:
@@ -72,38 +53,47 @@ def quantile(df: DataFrame, value_col: str, p: float) -> Column:
     return quantiles(df, value_col, [p], names=["q"]).select("q").scalar()
 
 
+def _threshold(df: DataFrame, value_col: str, p: float) -> Column:
+    """The global quantile of a written table as a literal, which a filter
+    pushes into the scan (null if there is no value)."""
+    found = quantiles(df, value_col, [p], names=["q"], prepared=True).first()
+    return F.lit(found["q"] if found else None)
+
+
 def trim_upper(df: DataFrame, value_col: str, p: float = 0.95) -> DataFrame:
     """rows whose value is at most the global ``p`` quantile. The rows are
-    written once, so threshold and filter do not compute them twice."""
+    written once, so threshold and filter do not compute them twice; what
+    comes back is a filter over that written table."""
     df = materialize(df)
-    return df.filter(F.col(value_col) <= quantile(df, value_col, p))
+    return df.filter(F.col(value_col) <= _threshold(df, value_col, p))
 
 
 def above_quantile(df: DataFrame, value_col: str, p: float = 0.95) -> DataFrame:
     """F8: rows above the global ``p`` quantile (the outliers of F7)."""
     df = materialize(df)
-    return df.filter(F.col(value_col) > quantile(df, value_col, p))
+    return df.filter(F.col(value_col) > _threshold(df, value_col, p))
 
 
 def trim_upper_per_group(df: DataFrame, value_col: str, group_cols: list[str],
                          p: float = 0.95) -> DataFrame:
     """per group, keep rows at most that group's own ``p`` quantile."""
     df = materialize(df)
-    q = quantiles(df, value_col, [p], group_cols, names=["_trim_q"])
+    q = quantiles(df, value_col, [p], group_cols, names=["_trim_q"], prepared=True)
     return (join_groups(df, broadcast_if_subset_small(q, df), group_cols)
             .filter(F.col(value_col) <= F.col("_trim_q")).drop("_trim_q"))
 
 
 def describe(df: DataFrame, value_col: str, group_cols: list[str] | None = None,
-             with_quartiles: bool = True, places: int = 6) -> DataFrame:
+             with_quartiles: bool = True, places: int = 6, prepared: bool = False) -> DataFrame:
     """Count, mean, sample std, min, (quartiles), max.
 
     Numbers stay numeric (``DataFrame.describe`` returns strings, and
     ``summary`` gives approximate quartiles). With quartiles the rows are
-    written once and read for both parts.
+    written once and read for both parts (``prepared=True``: they are, or are a
+    filter over written rows).
     """
     groups = list(group_cols or [])
-    if with_quartiles:
+    if with_quartiles and not prepared:
         df = materialize(df)
     v = F.col(value_col)
     base = df.groupBy(*groups).agg(
@@ -116,7 +106,7 @@ def describe(df: DataFrame, value_col: str, group_cols: list[str] | None = None,
     if not with_quartiles:
         return base
     q = quantiles(df, value_col, [0.25, 0.5, 0.75], groups, names=["p25", "p50", "p75"],
-                  places=places)
+                  places=places, prepared=True)
     if groups:
         return join_groups(base, q, groups)
     # One scalar subquery for the three quartiles.
@@ -125,14 +115,15 @@ def describe(df: DataFrame, value_col: str, group_cols: list[str] | None = None,
 
 
 def histogram(df: DataFrame, value_col: str, width: float,
-              group_cols: list[str] | None = None) -> DataFrame:
+              group_cols: list[str] | None = None, prepared: bool = False) -> DataFrame:
     """Counts per ``width``-wide bin starting at the minimum.
 
-    Only non-empty bins are returned.
+    Only non-empty bins are returned. ``prepared=True`` as in :func:`describe`.
     """
     groups = list(group_cols or [])
     v = F.col(value_col)
-    df = materialize(df)
+    if not prepared:
+        df = materialize(df)
     if groups:
         lo = materialize(df.groupBy(*groups).agg(F.min(value_col).alias("_h_min")))
         staged = join_groups(df, broadcast_if_small(lo), groups)
@@ -160,7 +151,7 @@ def auto_bin_width(df: DataFrame, value_col: str) -> DataFrame:
     is ceil(range / width) (1 when the width is 0) and the bins are then
     spread evenly over the range.
     """
-    q = quantiles(df, value_col, [0.25, 0.75], names=["_p25", "_p75"])
+    q = quantiles(df, value_col, [0.25, 0.75], names=["_p25", "_p75"], prepared=True)
     v = F.col(value_col)
     base = df.filter(v.isNotNull()).agg(
         F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))

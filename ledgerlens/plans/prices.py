@@ -54,13 +54,13 @@ def price_quantile(prices: DataFrame, q: float = TRIM_Q) -> DataFrame:
 
 def describe_trimmed_prices(prices: DataFrame, q: float = TRIM_Q) -> DataFrame:
     """describe() of the trimmed mean prices, quartiles exact."""
-    return S.describe(trimmed_prices(prices, q), "mean_price")
+    return S.describe(trimmed_prices(prices, q), "mean_price", prepared=True)
 
 
 def item_price_histogram(prices: DataFrame, q: float = TRIM_Q,
                          width: float = ITEM_BIN_WIDTH) -> DataFrame:
     """Trimmed mean prices in ``width``-wide bins."""
-    return S.histogram(trimmed_prices(prices, q), "mean_price", width)
+    return S.histogram(trimmed_prices(prices, q), "mean_price", width, prepared=True)
 
 
 def item_price_histogram_auto(prices: DataFrame) -> DataFrame:

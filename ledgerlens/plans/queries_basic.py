@@ -485,3 +485,63 @@ def q_pipeline(spark, sf):
     out = daily_pipeline(spark, drop, scratch(spark, "table"), scratch(spark, "ckpt"),
                          items, cats, report_dir=scratch(spark, "reports"))
     return out["by_category"]
+
+
+# ------------------------------------------------- order of any type, NULLs
+_TYPED = """
+typed_orders AS (
+  SELECT o_orderkey AS k,
+         CASE WHEN o_orderkey % 19 <> 0 THEN 9007199254740992 + o_orderkey % 7 END AS big,
+         CASE WHEN o_orderkey % 23 <> 0
+              THEN concat('item-000000-', o_orderkey % 1009, '-', o_orderkey) END AS label,
+         CASE WHEN o_orderkey % 29 <> 0
+              THEN CAST(o_totalprice AS DECIMAL(30,2)) + CAST(10000000000000000000 AS DECIMAL(30,2)) END AS amount
+  FROM orders)"""
+
+
+def _typed_orders(spark, sf):
+    orders = spark.read.parquet(os.path.join(sf, "orders.parquet"))
+    return spark.sql("WITH" + _TYPED.replace("FROM orders", "FROM {orders}")
+                     + " SELECT * FROM typed_orders", orders=orders)
+
+
+def _index_sql(order):
+    return ("WITH" + _TYPED + f"""
+SELECT CAST(row_number() OVER (ORDER BY {order} NULLS LAST, k) - 1 AS BIGINT) AS index, k, {order.split()[0]}
+FROM typed_orders""")
+
+
+@register("index_by_bigint", _index_sql("big DESC"))
+def q_index_bigint(spark, sf):
+    """Positions by whole numbers that doubles cannot tell apart, with NULLs."""
+    from ledgerlens.operators.running import ordered_index
+    return ordered_index(_typed_orders(spark, sf).select("k", "big"), "big", "k").select("index", "k", "big")
+
+
+@register("index_by_text", _index_sql("label ASC"))
+def q_index_text(spark, sf):
+    """Positions by texts that begin alike, with NULLs."""
+    from ledgerlens.operators.running import ordered_index
+    return ordered_index(_typed_orders(spark, sf).select("k", "label"), "label", "k",
+                         descending=False).select("index", "k", "label")
+
+
+@register("indexed_decimal_report", "WITH" + _TYPED + """
+SELECT CAST(row_number() OVER (ORDER BY amount DESC NULLS LAST, k) - 1 AS INTEGER) AS index,
+       CAST(k AS VARCHAR) AS k, CAST(amount AS VARCHAR) AS amount FROM typed_orders""")
+def q_index_report(spark, sf):
+    """K2: an indexed report ordered by wide decimals, read back from its files."""
+    path = scratch(spark, "indexed-decimals")
+    sinks.write_indexed_report(_typed_orders(spark, sf).select("k", "amount"), path, "amount", "k")
+    return spark.read.option("header", "true").csv(path).select(
+        F.col("index").cast("int").alias("index"), "k", "amount")
+
+
+@register("position_by_text_in_group", "WITH" + _TYPED + """
+SELECT big, k, label, row_number() OVER (PARTITION BY big ORDER BY label, k) AS position
+FROM typed_orders WHERE label IS NOT NULL""")
+def q_position_text(spark, sf):
+    """Positions inside groups (one of them NULL) by text."""
+    from ledgerlens.operators.running import position_within
+    rows = _typed_orders(spark, sf).filter("label IS NOT NULL").select("big", "k", "label")
+    return position_within(rows, ["big"], "label")

@@ -230,3 +230,30 @@ SELECT abc, count(*) AS items, round(count(*) / (SELECT count(*) FROM abc_c), 5)
 FROM abc_c GROUP BY abc""")
 def q_abc_share(spark, sf):
     return C.item_share_by_class(C.abc_analysis(sales(spark, sf)))
+
+
+# ------------------------------------------------------- missing quantities
+_GAPS = W + """,
+gaps AS (SELECT item_id, CASE WHEN item_id % 7 <> 0 THEN item_cnt_day END AS item_cnt_day FROM bulk_sales)"""
+
+
+def gap_sales(spark, sf):
+    """Sales in which the quantities of every seventh item are missing."""
+    return sales(spark, sf).select("item_id", F.when(F.col("item_id") % 7 != 0, F.col("item_cnt_day"))
+                                   .alias("item_cnt_day"))
+
+
+@register("abc_analysis_missing_units", _GAPS + _ABC_SQL.format(
+    key="item_id", src="gaps", frame="NULLS LAST") + "\nSELECT * FROM abc_c")
+def q_abc_gaps(spark, sf):
+    """An item without any known quantity stays, last in the order."""
+    return C.abc_analysis(gap_sales(spark, sf))
+
+
+@register("abc_analysis_rows_missing_units", _GAPS + _ABC_SQL.format(
+    key="item_id", src="gaps",
+    frame="NULLS LAST, item_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
+    + "\nSELECT * FROM abc_c")
+def q_abc_rows_gaps(spark, sf):
+    """As :func:`q_abc_gaps`, row by row."""
+    return C.abc_analysis(gap_sales(spark, sf), frame="rows")

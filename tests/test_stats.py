@@ -117,3 +117,49 @@ def test_zero_filled_variance_keeps_small_spread_of_large_units(spark):
     got = {r.item_id: (r.mean, r.std) for r in demand_stats(df, periods=F.lit(2)).collect()}
     assert abs(got[1][1] - 0.5) < 1e-9 and got[1][0] == 1e9 + 0.5
     assert got[2] == (2.5, 2.5)
+
+
+# Selection
+def _exact(values, p):
+    return float(np.quantile(np.array(values, float), p))
+
+
+def test_selection_narrows_again_and_again(spark, monkeypatch):
+    from ledgerlens.operators import selection
+    monkeypatch.setattr(selection, "FINISH", 3)
+    rnd = random.Random(11)
+    rows = [(i % 3 if i % 10 else None, round(rnd.lognormvariate(3, 2), 3)) for i in range(4000)]
+    rows += [(1, 7.25)] * 3000 + [(2, None)] * 20
+    df = spark.createDataFrame(rows, "g int, v double").repartition(7)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.731, 0.95, 1.0]
+    names = [f"p{i}" for i in range(len(probs))]
+    one = S.quantiles(df, "v", probs, names=names).first()
+    every = [v for _, v in rows if v is not None]
+    assert [one[n] for n in names] == [round(_exact(every, p), 6) for p in probs]
+    got = {r.g: [r[n] for n in names] for r in S.quantiles(df, "v", probs, ["g"], names=names).collect()}
+    for g in (None, 0, 1, 2):
+        mine = [v for h, v in rows if h == g and v is not None]
+        assert got[g] == [round(_exact(mine, p), 6) for p in probs]
+
+
+def test_selection_of_few_equal_or_no_values(spark):
+    for values in ([5.0], [5.0, 6.0], [2.0] * 50, [1.0, 1.0, 9.0], [float(i) for i in range(7)]):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        got = S.quantiles(df, "v", [0.0, 0.3, 0.5, 0.95, 1.0]).first()
+        assert list(got) == [round(_exact(values, p), 6) for p in (0.0, 0.3, 0.5, 0.95, 1.0)]
+    none = spark.createDataFrame([(None,)], "v double")
+    assert [tuple(r) for r in S.quantiles(none, "v", [0.5]).collect()] == [(None,)]
+    assert S.trim_upper(none, "v").count() == 0 and S.above_quantile(none, "v").count() == 0
+
+
+def test_selection_of_whole_numbers_and_decimals(spark):
+    df = spark.range(1, 1002).selectExpr("id AS k", "CAST(id AS DECIMAL(20,2)) AS d")
+    assert S.quantiles(df, "k", [0.5, 0.123]).first()[:] == (501, 124)
+    assert float(S.quantiles(df, "d", [0.5]).first()[0]) == 501
+
+
+def test_trim_is_a_pushed_filter_over_one_written_table(spark):
+    df = spark.range(1000).selectExpr("id AS k", "CAST(id AS DOUBLE) AS v")
+    trimmed = S.trim_upper(df, "v", 0.5)
+    assert "LessThanOrEqual(v,499.5)" in trimmed._jdf.queryExecution().executedPlan().toString()
+    assert trimmed.count() == 500
