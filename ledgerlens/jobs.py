@@ -1,10 +1,13 @@
 """Command-line jobs: what a scheduler runs.
 
     python -m ledgerlens.jobs ingest   --drop DIR --table DIR [--archive DIR] [--checkpoint DIR]
+                                       [--rejects DIR]
+    python -m ledgerlens.jobs compact  --table DIR
     python -m ledgerlens.jobs reports  --table DIR --items PATH --categories PATH --out DIR
     python -m ledgerlens.jobs analysis --table DIR --items PATH --categories PATH --out DIR
 
-``ingest`` loads new daily files into the month-partitioned table (S6),
+``ingest`` loads new daily files into the month-partitioned table (S6), ``compact``
+merges the loads of its closed months (run it when no ingestion runs),
 ``reports`` writes the four latest-day reports (R1-R4) as CSV files, and
 ``analysis`` writes the classification, price and calendar tables (R7-R14).
 Dimension paths ending in ``.csv`` are read as quoted CSV, others as Parquet.
@@ -25,6 +28,7 @@ from ledgerlens.plans import reports as R
 from ledgerlens.schema import CATEGORIES_SCHEMA, ITEMS_SCHEMA
 from ledgerlens.session import build_session, materialize, remove_scratch
 from ledgerlens.sources import files, sinks
+from ledgerlens.sources.ledger import compact, read_latest_days, vacuum
 from ledgerlens.streaming.ingest import ingest_available
 
 # The class pairs whose top sellers the analysis reports.
@@ -38,23 +42,31 @@ def _dimension(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def run_ingest(spark: SparkSession, drop: str, table: str, archive: str | None = None,
-               checkpoint: str | None = None) -> None:
+               checkpoint: str | None = None, rejects: str | None = None) -> dict[str, int]:
     """The checkpoint must stay the same from run to run (it records which
     files were loaded); by default it lives inside the table folder, in a
     folder that readers skip."""
     checkpoint = checkpoint or os.path.join(table, "_ingest_checkpoint")
-    ingest_available(spark, drop, table, checkpoint, archive)
+    return ingest_available(spark, drop, table, checkpoint, archive, rejects)
+
+
+def run_compact(spark: SparkSession, table: str) -> str | None:
+    """Closed months as one load each; the loads replaced by an earlier run are
+    deleted first, so a reader has one run's time to finish."""
+    vacuum(spark, table)
+    return compact(spark, table)
 
 
 def run_reports(spark: SparkSession, table: str, items: DataFrame, categories: DataFrame,
                 out: str) -> dict[str, DataFrame]:
-    """R1-R4 on the partitioned table (reads only the newest months)."""
-    log = files.read_sales_table(spark, table)
+    """R1-R4 on the partitioned table (reads only the months whose dates can
+    hold the last two days)."""
+    log = read_latest_days(spark, table)
     result = {
-        "by_category_report": R.report_by_category(log, items, categories, month_col="month_num"),
-        "top_10_goods": R.report_top_goods(log, items, month_col="month_num"),
-        "top_10_goods_sale": R.report_top_goods_sale(log, items, month_col="month_num"),
-        "top_10_difference": R.report_top_difference(log, items, month_col="month_num"),
+        "by_category_report": R.report_by_category(log, items, categories),
+        "top_10_goods": R.report_top_goods(log, items),
+        "top_10_goods_sale": R.report_top_goods_sale(log, items),
+        "top_10_difference": R.report_top_difference(log, items),
     }
     for name, df in result.items():
         sinks.write_report(df, os.path.join(out, name))
@@ -118,6 +130,8 @@ def main(argv: list[str] | None = None) -> None:
     ing.add_argument("--table", required=True)
     ing.add_argument("--archive")
     ing.add_argument("--checkpoint")
+    ing.add_argument("--rejects")
+    sub.add_parser("compact").add_argument("--table", required=True)
     for name in ("reports", "analysis"):
         p = sub.add_parser(name)
         p.add_argument("--table", required=True)
@@ -127,7 +141,10 @@ def main(argv: list[str] | None = None) -> None:
     args = ap.parse_args(argv)
     spark = build_session(app_name=f"ledgerlens-{args.job}")
     if args.job == "ingest":
-        run_ingest(spark, args.drop, args.table, args.archive, args.checkpoint)
+        print(run_ingest(spark, args.drop, args.table, args.archive, args.checkpoint, args.rejects))
+        return
+    if args.job == "compact":
+        run_compact(spark, args.table)
         return
     items = _dimension(spark, args.items, ITEMS_SCHEMA)
     categories = _dimension(spark, args.categories, CATEGORIES_SCHEMA)

@@ -545,3 +545,61 @@ def q_position_text(spark, sf):
     from ledgerlens.operators.running import position_within
     rows = _typed_orders(spark, sf).filter("label IS NOT NULL").select("big", "k", "label")
     return position_within(rows, ["big"], "label")
+
+
+# ------------------------------------------------------ upkeep of the table
+_REJECTED = """
+SELECT CASE user_id % 50 WHEN 1 THEN 'value' WHEN 2 THEN 'date' WHEN 3 THEN 'fields' ELSE 'taken' END
+         AS outcome, count(*) AS n_rows
+FROM events GROUP BY 1"""
+
+
+@register("ingest_rejects", _REJECTED)
+def q_rejects(spark, sf):
+    """Landing rows with a bad number, a bad date or too few fields go
+    to the rejects table; counted there and in the sales table."""
+    drop, table, rejects = (scratch(spark, n) for n in ("bad-drop", "bad-table", "rejects"))
+    case = F.col("item_id") % 50
+    texts = daily_log(spark, sf).select(
+        F.when(case == 2, F.lit("31.02.2013")).otherwise(D.format_date("sale_date")).alias("sale_date"),
+        "month_num", "shop_id", "item_id",
+        F.when(case == 1, F.lit("n/a")).otherwise(F.col("item_price").cast("string")).alias("item_price"),
+        "item_cnt_day")
+    (texts.filter(case != 3).write.option("header", "true").csv(f"{drop}/whole"))
+    (texts.filter(case == 3).drop("item_price", "item_cnt_day")
+     .write.option("header", "true").csv(f"{drop}/short"))
+    ingest_available(spark, f"{drop}/*", table, scratch(spark, "bad-ckpt"), rejects_dir=rejects)
+    bad = spark.read.parquet(rejects).select(F.col("reason").alias("outcome"))
+    good = files.read_sales_table(spark, table).select(F.lit("taken").alias("outcome"))
+    return bad.unionByName(good).groupBy("outcome").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("compacted_table", WD + "\nSELECT * FROM daily_log")
+def q_compacted(spark, sf):
+    """A back-fill and four daily loads, closed months compacted and
+    cleaned, one more load on top."""
+    from ledgerlens.sources import ledger
+    log, table = daily_log(spark, sf), scratch(spark, "compacted")
+    last = log.select(F.max("sale_date")).scalar()
+    day = F.datediff(last, "sale_date")
+    sinks.write_sales_log(log.filter(day > 40), table)
+    for newest, oldest in ((30, 40), (20, 29), (10, 19), (1, 9)):
+        sinks.append_sales(log.filter(day.between(newest, oldest)), table)
+    ledger.compact(spark, table)
+    ledger.vacuum(spark, table)
+    sinks.append_sales(log.filter(day == 0), table)
+    return files.read_sales_table(spark, table)
+
+
+@register("latest_day_wrong_month", WD + """
+SELECT item_id, sum(item_cnt_day) AS units FROM daily_log
+WHERE sale_date = (SELECT max(sale_date) FROM daily_log) GROUP BY item_id""")
+def q_wrong_month(spark, sf):
+    """The latest day of a table in which a third of its rows name a month
+    of long ago; only months whose dates can hold it are read."""
+    from ledgerlens.sources import ledger
+    table = scratch(spark, "wrong-months")
+    month = F.when(F.col("item_id") % 3 == 0, F.col("month_num") - 30).otherwise(F.col("month_num"))
+    sinks.write_sales_log(daily_log(spark, sf).withColumn("month_num", month), table)
+    day = latest_day(ledger.read_latest_days(spark, table))
+    return day.groupBy("item_id").agg(F.sum("item_cnt_day").alias("units"))

@@ -13,8 +13,14 @@ from pyspark.sql import types as T
 from ledgerlens.functions.dates import parse_date
 from ledgerlens.schema import (CATEGORIES_SCHEMA, ITEMS_SCHEMA, LEGACY_COLUMN_NAMES,
                                SALE_DATE_FORMAT, SALES_FILE_SCHEMA, SALES_LOG_SCHEMA)
+from ledgerlens.sources import ledger
 
 CSV_OPTIONS = {"header": "true", "sep": ",", "mode": "PERMISSIVE"}
+# Landing rows that do not fit the schema keep their text in one more column;
+# without pruning every field of a row is checked, whatever is asked for.
+CORRUPT = "_corrupt_record"
+CHECKED_SCHEMA = T.StructType([*SALES_FILE_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
+CHECKED_OPTIONS = {**CSV_OPTIONS, "columnNameOfCorruptRecord": CORRUPT, "columnPruning": "false"}
 # Quoted dimension files: a doubled quote inside a quoted field is a quote.
 QUOTED_CSV_OPTIONS = {**CSV_OPTIONS, "quote": '"', "escape": '"'}
 
@@ -71,15 +77,30 @@ def read_first_n_files(spark: SparkSession, path, n: int, skip: int = 0,
     """Rows of the first ``n`` files in modification-time order (ties by
     name), after skipping the first ``skip`` files.
 
-    The order comes from a file listing that reads no content; the chosen
-    files' rows are then kept with a semi-join on the file path.
+    The order comes from a file listing that reads no content; the at most
+    ``n`` paths chosen are all that the reader then opens.
     """
-    listing = spark.read.format("binaryFile").load(path).select(
-        F.col("_metadata.file_path").alias("_file"), "modificationTime")
-    chosen = listing.orderBy("modificationTime", "_file").offset(skip).limit(n).select("_file")
-    rows = (spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
-            .select("*", F.col("_metadata.file_path").alias("_file")))
-    return to_sales_log(rows.join(chosen, "_file", "left_semi").drop("_file"))
+    listing = spark.read.format("binaryFile").load(path).select("path", "modificationTime")
+    chosen = [r["path"] for r in listing.orderBy("modificationTime", "path").offset(skip).limit(n).collect()]
+    if not chosen:
+        return to_sales_log(spark.createDataFrame([], schema))
+    return read_sales_csv(spark, chosen, schema)
+
+
+def checked_sales(raw: DataFrame) -> DataFrame:
+    """The sales log of landing rows read with ``CHECKED_SCHEMA``, and ``_reject``:
+    why a row cannot be taken (``fields``: too few or too many, ``value``: not a
+    number, ``date``: no such date), null for good rows; ``_raw`` and ``_file``
+    say what and where it was."""
+    line = F.col(CORRUPT)
+    whole = F.concat_ws(CSV_OPTIONS["sep"], *[F.col(c).cast("string") for c in SALES_FILE_SCHEMA.fieldNames()])
+    log = to_sales_log(raw).columns
+    reject = (F.when(F.size(F.split(line, CSV_OPTIONS["sep"])) != len(SALES_FILE_SCHEMA), "fields")
+              .when(line.isNotNull(), "value").when(parse_date("sale_date").isNull(), "date"))
+    kept = raw.select("*", reject.alias("_reject"), F.coalesce(line, whole).alias("_raw"),
+                      F.col("_metadata.file_path").alias("_file"))
+    return kept.withColumn("sale_date", parse_date("sale_date")).select(
+        *[F.col(c).cast(SALES_LOG_SCHEMA[c].dataType).alias(c) for c in log], "_reject", "_raw", "_file")
 
 
 def count_files(spark: SparkSession, path) -> int:
@@ -95,5 +116,6 @@ def load(spark: SparkSession, name_or_path: str) -> DataFrame:
 
 
 def read_sales_table(spark: SparkSession, path: str) -> DataFrame:
-    """The month-partitioned sales table written by the sinks / ingestion."""
-    return spark.read.parquet(path).select(*[f.name for f in SALES_LOG_SCHEMA.fields])
+    """The month-partitioned sales table written by the sinks / ingestion,
+    without loads that a compaction replaced."""
+    return ledger.read_table(spark, path).select(*SALES_LOG_SCHEMA.fieldNames())

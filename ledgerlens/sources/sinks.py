@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.dates import format_date
 from ledgerlens.operators.running import ordered_index
 from ledgerlens.schema import SALES_TABLE_COLUMNS
+from ledgerlens.sources.ledger import note_bounds
 
 PARQUET_COMPRESSION = "snappy"
 
@@ -32,7 +33,8 @@ def write_sales_log(log: DataFrame, path: str, mode: str = "overwrite",
 
     ``load_id`` names the load. ``mode="load"`` replaces what an earlier
     attempt of the same load wrote and nothing else, so a retried load adds
-    its rows once.
+    its rows once. The date bounds of the months written are recorded beside
+    the table (:mod:`ledgerlens.sources.ledger`).
     """
     keys = ["month_num", "sale_date", "item_id"]
     rows = (log.select(*SALES_TABLE_COLUMNS).withColumn("load_id", F.lit(load_id))
@@ -43,6 +45,7 @@ def write_sales_log(log: DataFrame, path: str, mode: str = "overwrite",
         writer = writer.option("partitionOverwriteMode", "dynamic")
     (writer.option("compression", PARQUET_COMPRESSION)
      .partitionBy("month_num", "load_id").parquet(path))
+    note_bounds(log.sparkSession, path, load_id)
 
 
 def append_sales(log: DataFrame, path: str, load_id: str | None = None) -> None:
@@ -93,5 +96,3 @@ def tsv_to_csv(spark: SparkSession, src: str, dst: str) -> DataFrame:
     df = spark.read.option("sep", "\t").option("header", "true").csv(src)
     write_csv(df, dst)
     return df
-
-

@@ -10,48 +10,84 @@ whatever has arrived and stops, which fits a scheduled daily job.
 from __future__ import annotations
 
 import os
+from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlens.plans import reports
 from ledgerlens.schema import SALES_FILE_SCHEMA
-from ledgerlens.sources.files import CSV_OPTIONS, read_sales_table, to_sales_log
+from ledgerlens.sources.files import (CHECKED_OPTIONS, CHECKED_SCHEMA, CSV_OPTIONS, checked_sales,
+                                      to_sales_log)
+from ledgerlens.sources.ledger import read_latest_days
 from ledgerlens.sources.sinks import write_report, write_sales_log
 
+REJECT_REASONS = ("fields", "value", "date")
+
 
 def sales_stream(spark: SparkSession, drop_dir: str, archive_dir: str | None = None,
-                 max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming view of the drop folder as the canonical sales log."""
-    reader = spark.readStream.schema(SALES_FILE_SCHEMA).options(**CSV_OPTIONS)
+                 max_files_per_trigger: int | None = None, checked: bool = False) -> DataFrame:
+    """Streaming view of the drop folder as the canonical sales log (with the
+    columns of :func:`checked_sales` if ``checked``)."""
+    schema, options = (CHECKED_SCHEMA, CHECKED_OPTIONS) if checked else (SALES_FILE_SCHEMA, CSV_OPTIONS)
+    reader = spark.readStream.schema(schema).options(**options)
     if archive_dir:
         reader = (reader.option("cleanSource", "archive")
                   .option("sourceArchiveDir", archive_dir))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return to_sales_log(reader.csv(drop_dir))
+    rows = reader.csv(drop_dir)
+    return checked_sales(rows) if checked else to_sales_log(rows)
 
 
 def ingest_available(spark: SparkSession, drop_dir: str, table_dir: str, checkpoint: str,
-                     archive_dir: str | None = None) -> None:
+                     archive_dir: str | None = None, rejects_dir: str | None = None) -> dict[str, int]:
     """Load every new file in ``drop_dir`` into the month-partitioned
-    table at ``table_dir`` once, then stop.
+    table at ``table_dir`` once, then stop. Returns how many rows this run took
+    and, with ``rejects_dir``, rejected by reason.
 
     Rows go to the partition of their own ``month_num``, so a late file lands
     in its old month. Every micro-batch goes through the batch writer as a
     load of its own (named by the stream and the batch), so back-filled,
     appended and ingested rows share one table, and a batch that is run
     again after a failure replaces what its first attempt wrote.
+
+    With ``rejects_dir`` rows that do not fit the landing schema or have no
+    readable date go there (``reason, raw, file``, by load) and not into the
+    table. Without it fields that cannot be read are null and their rows stay.
     """
-    def load(batch: DataFrame, batch_id: int) -> None:
+    counts: Counter = Counter()
+
+    def named(batch: DataFrame, batch_id: int) -> str:
         stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        write_sales_log(batch, table_dir, mode="load", load_id=f"{stream}-{batch_id}")
+        return f"{stream}-{batch_id}"
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        taken = Observation()
+        write_sales_log(batch.observe(taken, F.count(F.lit(1)).alias("taken")), table_dir,
+                        mode="load", load_id=named(batch, batch_id))
+        counts.update(taken.get)
+
+    def load_checked(batch: DataFrame, batch_id: int) -> None:
+        seen = Observation()
+        bad = (batch.observe(seen, F.count_if(F.col("_reject").isNull()).alias("taken"), *[
+            F.count_if(F.col("_reject") == r).alias(r) for r in REJECT_REASONS])
+            .filter("_reject IS NOT NULL")
+            .select(F.col("_reject").alias("reason"), F.col("_raw").alias("raw"),
+                    F.col("_file").alias("file"), F.lit(named(batch, batch_id)).alias("load_id")))
+        (bad.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("load_id").parquet(rejects_dir))
+        write_sales_log(batch.filter("_reject IS NULL"), table_dir, mode="load",
+                        load_id=named(batch, batch_id))
+        counts.update(seen.get)
 
-    query = (sales_stream(spark, drop_dir, archive_dir)
-             .writeStream.foreachBatch(load)
+    rows = sales_stream(spark, drop_dir, archive_dir, checked=bool(rejects_dir))
+    query = (rows.writeStream.foreachBatch(load_checked if rejects_dir else load)
              .option("checkpointLocation", checkpoint)
              .trigger(availableNow=True)
              .start())
     query.awaitTermination()
+    return dict(counts)
 
 
 def daily_pipeline(spark: SparkSession, drop_dir: str, table_dir: str, checkpoint: str,
@@ -59,16 +95,16 @@ def daily_pipeline(spark: SparkSession, drop_dir: str, table_dir: str, checkpoin
                    archive_dir: str | None = None) -> dict[str, DataFrame]:
     """Ingest new files, then compute the four reports on the table.
 
-    The reports use the month partitions to read only the newest one or two
-    months. With ``report_dir`` each report is also written as one CSV.
+    The reports read only the months whose dates can hold the last two days.
+    With ``report_dir`` each report is also written as one CSV.
     """
     ingest_available(spark, drop_dir, table_dir, checkpoint, archive_dir)
-    log = read_sales_table(spark, table_dir)
+    log = read_latest_days(spark, table_dir)
     out = {
-        "by_category": reports.report_by_category(log, items, categories, month_col="month_num"),
-        "top_goods": reports.report_top_goods(log, items, month_col="month_num"),
-        "top_goods_sale": reports.report_top_goods_sale(log, items, month_col="month_num"),
-        "top_difference": reports.report_top_difference(log, items, month_col="month_num"),
+        "by_category": reports.report_by_category(log, items, categories),
+        "top_goods": reports.report_top_goods(log, items),
+        "top_goods_sale": reports.report_top_goods_sale(log, items),
+        "top_difference": reports.report_top_difference(log, items),
     }
     if report_dir:
         for name, df in out.items():
