@@ -5,6 +5,7 @@
     python -m ledgerlens.jobs compact  --table DIR
     python -m ledgerlens.jobs reports  --table DIR --items PATH --categories PATH --out DIR
     python -m ledgerlens.jobs analysis --table DIR --items PATH --categories PATH --out DIR
+                                       [--store DIR]
 
 ``ingest`` loads new daily files into the month-partitioned table (S6), ``compact``
 merges the loads of its closed months (run it when no ingestion runs),
@@ -20,9 +21,11 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlens.operators.aggregates import class_share
 from ledgerlens.operators.filters import positive_sales
 from ledgerlens.plans import calendar as K
 from ledgerlens.plans import classification as C
+from ledgerlens.plans import partials
 from ledgerlens.plans import prices as P
 from ledgerlens.plans import reports as R
 from ledgerlens.schema import CATEGORIES_SCHEMA, ITEMS_SCHEMA
@@ -35,6 +38,19 @@ from ledgerlens.streaming.ingest import ingest_available
 REPORTED_CLASS_PAIRS = (("A", "X"), ("B", "X"), ("C", "X"), ("C", "Z"))
 
 
+# Outputs written with a row index: order column, tie column, descending.
+INDEXED = {
+    "mean_product_prices_sorted": ("mean_price", "item_id", True),
+    "mean_product_price_outliers": ("mean_price", "item_id", True),
+    "mean_price_for_category": ("mean_price", "item_category_id", True),
+    "mean_category_prices_top_5": ("mean_price", "item_id", True),
+    "total_price_to_date": ("sale_date", "month_num", False),
+}
+# Outputs that grow with the items or days and carry no index.
+AS_TABLE = ("abc_xyz", "mean_product_prices_trimmed", "mean_category_prices_top_5_trimmed",
+            "category_sales_calendar", "product_price_histogram")
+
+
 def _dimension(spark: SparkSession, path: str, schema) -> DataFrame:
     if path.endswith(".csv"):
         return files.read_dim_csv(spark, path, schema)
@@ -74,29 +90,52 @@ def run_reports(spark: SparkSession, table: str, items: DataFrame, categories: D
 
 
 def run_analysis(spark: SparkSession, table: str, items: DataFrame, categories: DataFrame,
-                 out: str) -> dict[str, DataFrame]:
-    """R7-R14 on positive sales; small results as (indexed) CSV files. The
-    log is read four times: per (month, item), per item, per day and per
-    (day, category); everything else derives from these written tables."""
-    sales = positive_sales(files.read_sales_table(spark, table))
-    per = C.period_totals(sales, with_revenue=True)
+                 out: str, store: str | None = None) -> dict[str, DataFrame]:
+    """R7-R14 on positive sales; small results as (indexed) CSV files.
+
+    The log is read four times: per (month, item), per item, per day and per
+    (day, category); everything else derives from these written tables. With
+    ``store`` (a folder that stays from run to run) the sums of earlier loads
+    are kept there and only new loads are read.
+    """
+    if store:
+        partials.update(spark, table, store)
+        totals = partials.read(spark, table, store)
+        per, summary = partials.period_totals(totals), partials.item_summary(totals)
+        daily = partials.daily_table(totals)
+        cat_daily = partials.category_daily(totals, items, categories)
+    else:
+        sales = positive_sales(files.read_sales_table(spark, table))
+        per, summary = C.period_totals(sales, with_revenue=True), P.item_summary(sales)
+        daily = K.daily_table(sales)
+        cat_daily = K.category_daily(sales, items, categories)
+    cat_daily = materialize(cat_daily)
     classes = materialize(C.abc_xyz(None, per=per))
     revenue = C.revenue_from_periods(per)
-    summary = P.item_summary(sales)
-    item_prices = P.mean_product_prices(None, items, summary)
-    cat_prices = P.mean_category_prices(None, items, categories, summary)
-    top_cat_items = P.top_category_item_prices(None, items, categories, summary=summary)
-    daily = K.daily_table(sales)
-    cat_daily = materialize(K.category_daily(sales, items, categories))
+    item_prices = materialize(P.mean_product_prices(None, items, summary))
+    cat_prices = materialize(P.mean_category_prices(None, items, categories, summary))
+    top_cat_items = materialize(P.top_category_item_prices(None, items, categories, summary=summary))
     result = {
         "abc_xyz": classes,
         "abc_xyz_grid": C.abc_xyz_grid(classes),
+        "abc_share": class_share(classes),
         "mean_product_prices_sorted": item_prices,
+        "mean_product_prices_trimmed": P.trimmed_prices(item_prices),
+        "mean_product_price_outliers": P.price_outliers(item_prices),
+        "describe_trimmed_prices": P.describe_trimmed_prices(item_prices),
+        "product_price_histogram": P.item_price_histogram(item_prices),
+        "product_price_histogram_auto": P.item_price_histogram_auto(item_prices),
         "mean_price_for_category": cat_prices,
+        "category_price_histogram": P.category_price_histogram(cat_prices),
         "mean_category_prices_top_5": top_cat_items,
+        "mean_category_prices_top_5_trimmed": P.top_category_trimmed(top_cat_items),
+        "describe_category_prices": P.describe_category_prices(top_cat_items),
+        "category_price_density": P.category_price_density(top_cat_items),
         "total_price_to_date": daily.select("sale_date", "month_num", K.DAY),
         "weekly_sales": K.weekly_of_daily(daily),
         "monthly_sales": K.monthly_of_daily(daily),
+        "category_sales_calendar": K.calendar_of_daily(cat_daily, *K.CATEGORY_KEYS),
+        "category_weekly_sales": K.weekly_of_daily(cat_daily, *K.CATEGORY_KEYS),
     }
     for a, x in REPORTED_CLASS_PAIRS:
         result[f"top_10_products_by_sale_in_{a.lower()}{x.lower()}"] = C.top_sales_in_class(
@@ -109,14 +148,12 @@ def run_analysis(spark: SparkSession, table: str, items: DataFrame, categories:
     # one CSV file each.
     for name, df in result.items():
         path = os.path.join(out, name)
-        if name in ("abc_xyz", "mean_category_prices_top_5", "total_price_to_date"):
-            df.write.mode("overwrite").parquet(path)
-        elif name.startswith("top_10"):
+        if name.startswith("top_10"):
             sinks.write_indexed_report(df, path, "total_sale", "item_id")
-        elif name == "mean_product_prices_sorted":
-            sinks.write_indexed_report(df, path, "mean_price", "item_id")
-        elif name == "mean_price_for_category":
-            sinks.write_indexed_report(df, path, "mean_price", "item_category_id")
+        elif name in INDEXED:
+            sinks.write_indexed_report(df, path, *INDEXED[name])
+        elif name in AS_TABLE:
+            df.write.mode("overwrite").parquet(path)
         else:
             sinks.write_report(df, path)
     return result
@@ -138,6 +175,8 @@ def main(argv: list[str] | None = None) -> None:
         p.add_argument("--items", required=True)
         p.add_argument("--categories", required=True)
         p.add_argument("--out", required=True)
+        if name == "analysis":
+            p.add_argument("--store")
     args = ap.parse_args(argv)
     spark = build_session(app_name=f"ledgerlens-{args.job}")
     if args.job == "ingest":
@@ -148,8 +187,10 @@ def main(argv: list[str] | None = None) -> None:
         return
     items = _dimension(spark, args.items, ITEMS_SCHEMA)
     categories = _dimension(spark, args.categories, CATEGORIES_SCHEMA)
-    job = run_reports if args.job == "reports" else run_analysis
-    job(spark, args.table, items, categories, args.out)
+    if args.job == "reports":
+        run_reports(spark, args.table, items, categories, args.out)
+    else:
+        run_analysis(spark, args.table, items, categories, args.out, args.store)
     remove_scratch(spark)
 
 

@@ -145,8 +145,8 @@ def in_top_categories(sales: DataFrame, items: DataFrame, categories: DataFrame,
 CATEGORY_KEYS = ("item_category_id", "item_category_name")
 
 
-def category_daily(sales: DataFrame, items: DataFrame, categories: DataFrame,
-                   n: int = 5) -> DataFrame:
+def category_daily(sales: DataFrame | None, items: DataFrame, categories: DataFrame,
+                   n: int = 5, per_item: DataFrame | None = None) -> DataFrame:
     """Daily revenue of the top-``n`` categories from one fact scan.
 
     Units and amounts are summed per (day, category) for all categories (a
@@ -155,16 +155,18 @@ def category_daily(sales: DataFrame, items: DataFrame, categories: DataFrame,
 
     Items within the broadcast bound are joined before the shuffle. Beyond it
     the join has to shuffle too, so the sales are summed per (day, item)
-    first and the rows of a hot item do not meet in the join.
+    first and the rows of a hot item do not meet in the join. ``per_item`` gives
+    these sums (``_units`` and the amount) where they are known.
     """
     names = items.select("item_id", "item_category_id")
     units, amount = F.sum("item_cnt_day"), sum_amount("item_price", "item_cnt_day")
     day = ["sale_date", "month_num"]
-    if estimated_bytes(names) <= BROADCAST_BYTES:
+    if per_item is None and estimated_bytes(names) <= BROADCAST_BYTES:
         per_day = join_items(sales, names).groupBy(*day, "item_category_id").agg(
             units.alias("_units"), amount.alias(_AMT))
     else:
-        per_item = sales.groupBy(*day, "item_id").agg(units.alias("_units"), amount.alias(_AMT))
+        if per_item is None:
+            per_item = sales.groupBy(*day, "item_id").agg(units.alias("_units"), amount.alias(_AMT))
         per_day = join_items(per_item, names).groupBy(*day, "item_category_id").agg(
             F.sum("_units").alias("_units"), F.sum(_AMT).alias(_AMT))
     per_day = materialize(per_day)

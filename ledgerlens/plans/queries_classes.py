@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ledgerlens.catalog import register
 from ledgerlens.operators.filters import positive_sales
 from ledgerlens.plans import classification as C
+from ledgerlens.session import scratch
+from ledgerlens.sources import sinks
 from ledgerlens.sources.fixtures import (BULK_CTE, DAILY_CTE, bulk_items, bulk_log, bulk_type_log,
                                          daily_log)
 
@@ -257,3 +259,21 @@ def q_abc_gaps(spark, sf):
 def q_abc_rows_gaps(spark, sf):
     """As :func:`q_abc_gaps`, row by row."""
     return C.abc_analysis(gap_sales(spark, sf), frame="rows")
+
+
+# ------------------------------------------------------ totals kept by load
+@register("abc_xyz_incremental", W + _ABC_SQL.format(key="item_id", src="bulk_sales", frame="")
+          + _XYZ_SQL.format(key="item_id", period="month_num", src="bulk_sales") + """
+SELECT item_id, abc, xyz FROM abc_c JOIN xyz_c USING (item_id)""")
+def q_incremental(spark, sf):
+    """R7 from totals kept per load: a back-fill, its totals, then the last
+    month as a load of its own, the only one read anew."""
+    from ledgerlens.plans import partials
+    log, table, store = bulk_log(spark, sf), scratch(spark, "by-load"), scratch(spark, "load-totals")
+    newest = log.select(F.max("month_num")).scalar()
+    sinks.write_sales_log(log.filter(F.col("month_num") < newest), table)
+    partials.update(spark, table, store)
+    sinks.append_sales(log.filter(F.col("month_num") == newest), table)
+    if partials.update(spark, table, store) != 1:
+        raise AssertionError("more than the new load was read")
+    return C.abc_xyz(None, per=partials.period_totals(partials.read(spark, table, store)))

@@ -22,7 +22,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,6 +94,16 @@ def _stored(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_SCHEMA).parquet(path)
 
 
+def folder() -> Column:
+    """A row's partition folder as ``month/load``; a filter on it prunes."""
+    return F.concat_ws("/", F.coalesce(F.col("month_num").cast("string"), F.lit(NO_MONTH)), "load_id")
+
+
+def read_partitions(spark: SparkSession, path: str, wanted) -> DataFrame:
+    """The rows of the named (month, load) partitions, with ``load_id``."""
+    return _stored(spark, path).filter(folder().isin(["/".join(p) for p in sorted(wanted)]))
+
+
 def read_table(spark: SparkSession, path: str, months: list[str] | None = None) -> DataFrame:
     """The rows that count (of the named months), with ``load_id``. Replaced
     and uncommitted loads are left out as partition folders."""
@@ -102,11 +112,10 @@ def read_table(spark: SparkSession, path: str, months: list[str] | None = None)
     commits = _commits(spark, path)
     rows = _stored(spark, path)
     live, skipped = _live(spark, path, commits)
-    folder = F.concat_ws("/", F.coalesce(F.col("month_num").cast("string"), F.lit(NO_MONTH)), "load_id")
     if skipped:
-        rows = rows.filter(~folder.isin(["/".join(p) for p in skipped]))
+        rows = rows.filter(~folder().isin(["/".join(p) for p in skipped]))
     if months is not None:
-        rows = rows.filter(folder.isin(["/".join(p) for p in live if p[0] in months]))
+        rows = rows.filter(folder().isin(["/".join(p) for p in live if p[0] in months]))
     return rows
 
 

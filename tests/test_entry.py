@@ -41,3 +41,14 @@ def test_matches_oracle_at_smoke_scale(spark, name):
     spark_rows = sorted(tuple(norm(r[c]) for c in sorted(cols)) for r in df.collect())
     duck_rows = sorted(tuple(norm(r[cols.index(c)]) for c in sorted(cols)) for r in cur.fetchall())
     assert spark_rows == duck_rows
+
+
+def test_library_queries_stay_where_the_subpackage_cannot_be_imported(monkeypatch):
+    import sys
+
+    import __spark_entry__ as entry
+    from ledgerlens import catalog
+    monkeypatch.setitem(sys.modules, "ledgerlens.llm", None)  # its import raises ImportError
+    monkeypatch.delitem(sys.modules, "ledgerlens.llm.queries", raising=False)
+    assert entry.queries().keys() == catalog.queries().keys()
+    assert entry.oracle_sql().keys() == catalog.oracle_sql().keys()
