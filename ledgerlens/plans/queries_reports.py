@@ -123,8 +123,8 @@ def _sql_report(name):
     return run
 
 
-# The Spark SQL texts of the reports (IN-subquery form) against the same
-# oracles: they must agree with the DataFrame form.
+# The Spark SQL texts of the reports (one pass of conditional sums) against the
+# same oracles: they must agree with the DataFrame form.
 def _register_sql_forms():
     from ledgerlens.catalog import _ORACLES
     for df_name, sql_name in [("report_by_category", "by_category"),

@@ -100,13 +100,13 @@ def report_top_difference(log: DataFrame, items: DataFrame, k: int = TOP_K,
 
 
 # ---------------------------------------------------------------- SQL form
-# The same reports as Spark SQL over the views ``sales_log``, ``items`` and
-# ``item_categories``. All four start from one reduction: per item, what the
+# The same reports as Spark SQL over the tables ``sales_log``, ``items`` and
+# ``item_categories``, which the session fills in. All four start from one reduction: per item, what the
 # newest day and the day before it sold, in a single pass with conditional
 # sums; names are joined to the reduced rows.
 _PER_ITEM = """
         WITH dated AS (
-          SELECT *, (SELECT max(sale_date) FROM sales_log) AS at FROM sales_log),
+          SELECT *, (SELECT max(sale_date) FROM {sales_log}) AS at FROM {sales_log}),
         per_item AS (
           SELECT item_id,
                  count_if(sale_date = at AND item_cnt_day IS NOT NULL) AS n_rows,
@@ -124,35 +124,35 @@ REPORT_SQL = {
     "by_category": _PER_ITEM + """
         SELECT item_category_id, item_category_name, sum(units) AS num_sold,
                CAST(sum(revenue) AS DOUBLE) AS sales
-        FROM per_item JOIN items USING (item_id) JOIN item_categories USING (item_category_id)
+        FROM per_item JOIN {items} USING (item_id) JOIN {item_categories} USING (item_category_id)
         WHERE n_now > 0
         GROUP BY ALL ORDER BY sales, item_category_id""",
     "top_goods": _PER_ITEM + """
         SELECT item_id, item_name, n_rows AS daily_count
-        FROM per_item JOIN items USING (item_id)
+        FROM per_item JOIN {items} USING (item_id)
         WHERE n_now > 0
         ORDER BY daily_count DESC, item_id LIMIT :k""",
     "top_goods_sale": _PER_ITEM + """
         SELECT item_id, item_name, CAST(revenue AS DOUBLE) AS sale
-        FROM per_item JOIN items USING (item_id)
+        FROM per_item JOIN {items} USING (item_id)
         WHERE n_now > 0
         ORDER BY sale DESC, item_id LIMIT :k""",
     "top_difference": _PER_ITEM + """
         SELECT at AS sale_date, item_id, item_name, abs(units - units_before) AS difference
-        FROM per_item JOIN items USING (item_id)
+        FROM per_item JOIN {items} USING (item_id)
         WHERE n_now > 0 AND n_before > 0
         ORDER BY difference DESC, item_id LIMIT :k""",
 }
 
+
 def register_model(spark: SparkSession, log: DataFrame, items: DataFrame,
                    categories: DataFrame) -> None:
-    """Expose the model as the views the SQL reports read."""
-    log.createOrReplaceTempView("sales_log")
-    items.createOrReplaceTempView("items")
-    categories.createOrReplaceTempView("item_categories")
+    """Name the tables that the SQL reports of this session read. They are kept
+    beside the session; its views, whatever their names, stay as they are."""
+    spark._ledgerlens_model = {"sales_log": log, "items": items, "item_categories": categories}
 
 
 def run_report_sql(spark: SparkSession, name: str, k: int = TOP_K) -> DataFrame:
     """Run one SQL report (by_category, top_goods, top_goods_sale, top_difference)."""
     text = REPORT_SQL[name]
-    return spark.sql(text, args={"k": k}) if ":k" in text else spark.sql(text)
+    return spark.sql(text, args={"k": k} if ":k" in text else None, **spark._ledgerlens_model)

@@ -82,3 +82,12 @@ def test_complete_periods_drops_only_a_cut_off_quarter(spark):
     assert sorted(r.item_id for r in complete_periods(log, "quarter").collect()) == [1]
     full = make_log(spark, [("2014-09-30", 1, 1, 1), ("2014-12-31", 2, 1, 1)])
     assert complete_periods(full, "quarter").count() == 2
+
+
+def test_sql_reports_leave_the_users_views_alone(spark):
+    log = make_log(spark, [("2014-01-01", 1, 2.0, 3), ("2014-01-02", 1, 2.0, 5)])
+    spark.sql("SELECT 42 AS mine").createOrReplaceTempView("items")
+    reports.register_model(spark, log, make_items(spark, [(1, "one", 1)]), make_categories(spark, [(1, "c")]))
+    assert reports.run_report_sql(spark, "top_difference").first()["difference"] == 2
+    assert spark.table("items").first()["mine"] == 42
+    spark.catalog.dropTempView("items")

@@ -163,3 +163,18 @@ def test_trim_is_a_pushed_filter_over_one_written_table(spark):
     trimmed = S.trim_upper(df, "v", 0.5)
     assert "LessThanOrEqual(v,499.5)" in trimmed._jdf.queryExecution().executedPlan().toString()
     assert trimmed.count() == 500
+
+
+def test_density_of_narrow_kernels_spreads_to_few_points(spark):
+    rnd = random.Random(13)
+    values = [rnd.gauss(0, 1) for _ in range(3000)] + [9_000.0]
+    df = spark.createDataFrame([(1, v) for v in values], "g int, v double")
+    out = S.kernel_density(df, "v", ["g"])
+    got = {r.point: (r.x, r.density) for r in out.collect()}
+    v = np.array(values)
+    h = v.std(ddof=1) * len(v) ** -0.2
+    grid = np.linspace(v.min() - 3 * h, v.max() + 3 * h, 200)
+    want = np.exp(-0.5 * ((grid[:, None] - v) / h) ** 2).sum(axis=1) / (len(v) * h * math.sqrt(2 * math.pi))
+    assert sorted(got) == list(range(200))
+    for k in range(200):
+        assert abs(got[k][0] - grid[k]) < 1e-6 and abs(got[k][1] - want[k]) < 1e-9
