@@ -23,14 +23,13 @@ from ledgerlens.operators.joins import broadcast_if_small, join_groups
 from ledgerlens.session import materialize
 
 GRID = 200
-_ACCURACY = 10 * GRID
 # Rows of a group's cells that one task ranks.
 FINISH = 1_000_000
 
 
-def _sketch(value: str) -> str:
-    shares = ", ".join(f"{k / GRID!r}D" for k in range(GRID + 1))
-    return f"percentile_approx({value}, array({shares}), {_ACCURACY})"
+def _sketch(value: str, grid: int = GRID) -> str:
+    shares = ", ".join(f"{k / grid!r}D" for k in range(grid + 1))
+    return f"percentile_approx({value}, array({shares}), {10 * grid})"
 
 
 def _ranks(n: str, p: float) -> tuple[str, str]:
@@ -38,11 +37,11 @@ def _ranks(n: str, p: float) -> tuple[str, str]:
     return tuple(f"{f}(({n} - 1) * {float(p)!r}D)" for f in ("floor", "ceil"))
 
 
-def _cell(sketch: str, low: str, high: str, n: str, i: int) -> list[str]:
+def _cell(sketch: str, low: str, high: str, n: str, i: int, grid: int = GRID) -> list[str]:
     """Bounds surely not above the value at rank ``low`` of ``n``, and not
     below that at ``high``."""
-    return [f"{sketch}[int(greatest(floor(({low}) / {n} * {GRID}) - 2, 0))] AS _s_lo{i}",
-            f"{sketch}[int(least(ceil(({high} + 1) / {n} * {GRID}) + 2, {GRID}))] AS _s_hi{i}"]
+    return [f"{sketch}[int(greatest(floor(({low}) / {n} * {grid}) - 2, 0))] AS _s_lo{i}",
+            f"{sketch}[int(least(ceil(({high} + 1) / {n} * {grid}) + 2, {grid}))] AS _s_hi{i}"]
 
 
 class _Cells:
@@ -81,18 +80,19 @@ def _narrowed(held: DataFrame, v: str, groups: list[str], probs: list[float]) ->
 
 
 def order_statistics(df: DataFrame, value_col: str, probs: list[float],
-                     group_cols: list[str] | None = None) -> DataFrame:
+                     group_cols: list[str] | None = None, grid: int = GRID) -> DataFrame:
     """Per group (one row in all without groups, of NULLs for no values): the
     groups and, for probability ``i``, the values ``_lo<i>`` and ``_hi<i>`` at
     the ranks around ``(n - 1) * p`` with the fraction ``_fr<i>`` between them.
-    ``df`` is written; NULL values do not count, a NULL group is a group."""
+    ``df`` is written; NULL values do not count, a NULL group is a group. ``grid``
+    is the number of shares of the first sketch."""
     groups, k, v = list(group_cols or []), len(probs), f"`{value_col}`"
     kind = df.schema[value_col].dataType
     rows = df.filter(F.col(value_col).isNotNull()).select(*groups, value_col)
-    bounds = [b for i, p in enumerate(probs) for b in _cell("_s_q", *_ranks("_s_n", p), "_s_n", i)]
-    cells = _Cells(rows.groupBy(*groups).agg(F.expr(f"count({v}) AS _s_n"), F.expr(f"{_sketch(v)} AS _s_q"))
+    bounds = [b for i, p in enumerate(probs) for b in _cell("_s_q", *_ranks("_s_n", p), "_s_n", i, grid)]
+    cells = _Cells(rows.groupBy(*groups).agg(F.expr(f"count({v}) AS _s_n"), F.expr(f"{_sketch(v, grid)} AS _s_q"))
                    .select(*groups, "_s_n", *map(F.expr, bounds)), groups, k)
-    left = cells.most * 5 / GRID
+    left = cells.most * min(1.0, 5 / grid)
     while left > FINISH:
         cells = _Cells(_narrowed(cells.beside(rows, kind), v, groups, probs), groups, k)
         left = left * 5 / GRID

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.joins import join_groups, broadcast_if_small, broadcast_if_subset_small
-from ledgerlens.operators.selection import order_statistics
+from ledgerlens.operators.selection import GRID, order_statistics
 from ledgerlens.session import materialize
 
 # Quantiles are rounded so that interpolation noise (~1e-13) cannot change a
@@ -29,18 +29,20 @@ def _pname(p: float) -> str:
 
 def quantiles(df: DataFrame, value_col: str, probs: list[float],
               group_cols: list[str] | None = None, names: list[str] | None = None,
-              places: int = QUANTILE_PLACES, prepared: bool = False) -> DataFrame:
+              places: int = QUANTILE_PLACES, buckets: int | None = None,
+              prepared: bool = False) -> DataFrame:
     """Exact interpolated quantiles of ``value_col``, per group if given.
 
     One output row per group (one row in total without groups) with one
     column per probability, named by ``names`` or ``q0_95`` style.
+    ``buckets``: shares of the first sketch (see :mod:`ledgerlens.operators.selection`).
     ``prepared=True`` says ``df`` is already materialized.
     """
     groups = list(group_cols or [])
     names = names or [_pname(p) for p in probs]
     if not prepared:
         df = materialize(df.select(*groups, value_col))
-    found = order_statistics(df, value_col, probs, groups)
+    found = order_statistics(df, value_col, probs, groups, buckets or GRID)
     outs = []
     for i, name in enumerate(names):
         lo, hi, fr = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_fr{i}")
