@@ -4,20 +4,26 @@
                                        [--rejects DIR]
     python -m ledgerlens.jobs compact  --table DIR
     python -m ledgerlens.jobs reports  --table DIR --items PATH --categories PATH --out DIR
+                                       [--publish]
     python -m ledgerlens.jobs analysis --table DIR --items PATH --categories PATH --out DIR
-                                       [--store DIR]
+                                       [--publish] [--store DIR]
 
 ``ingest`` loads new daily files into the month-partitioned table (S6), ``compact``
 merges the loads of its closed months (run it when no ingestion runs),
 ``reports`` writes the four latest-day reports (R1-R4) as CSV files, and
 ``analysis`` writes the classification, price and calendar tables (R7-R14).
 Dimension paths ending in ``.csv`` are read as quoted CSV, others as Parquet.
+
+With ``--publish`` the outputs of a run appear together, when all are written
+(:mod:`ledgerlens.sources.publication`); without it each is overwritten in place.
 """
 
 from __future__ import annotations
 
 import argparse
 import os
+from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +38,7 @@ from ledgerlens.schema import CATEGORIES_SCHEMA, ITEMS_SCHEMA
 from ledgerlens.session import build_session, materialize, remove_scratch
 from ledgerlens.sources import files, sinks
 from ledgerlens.sources.ledger import compact, read_latest_days, vacuum
+from ledgerlens.sources.publication import publish, vacuum_runs
 from ledgerlens.streaming.ingest import ingest_available
 
 # The class pairs whose top sellers the analysis reports.
@@ -73,10 +80,33 @@ def run_compact(spark: SparkSession, table: str) -> str | None:
     return compact(spark, table)
 
 
+def _write_outputs(spark: SparkSession, out: str, writers: dict[str, Callable[[str], object]],
+                   together: bool) -> None:
+    """Each output into its folder below ``out``, or all as one published set."""
+    if together:
+        publish(spark, out, writers)
+        vacuum_runs(spark, out)
+        return
+    for name, write in writers.items():
+        write(os.path.join(out, name))
+
+
+def _output_writer(name: str, df: DataFrame) -> Callable[[str], object]:
+    """Per-item and per-day outputs are written in parallel; small results as
+    one CSV file each."""
+    if name.startswith("top_10_products"):
+        return lambda path: sinks.write_indexed_report(df, path, "total_sale", "item_id")
+    if name in INDEXED:
+        return lambda path: sinks.write_indexed_report(df, path, *INDEXED[name])
+    if name in AS_TABLE:
+        return lambda path: df.write.mode("overwrite").parquet(path)
+    return partial(sinks.write_report, df)
+
+
 def run_reports(spark: SparkSession, table: str, items: DataFrame, categories: DataFrame,
-                out: str) -> dict[str, DataFrame]:
+                out: str, together: bool = False) -> dict[str, DataFrame]:
     """R1-R4 on the partitioned table (reads only the months whose dates can
-    hold the last two days)."""
+    hold the last two days). ``together``: published as one set."""
     log = read_latest_days(spark, table)
     result = {
         "by_category_report": R.report_by_category(log, items, categories),
@@ -84,14 +114,15 @@ def run_reports(spark: SparkSession, table: str, items: DataFrame, categories: D
         "top_10_goods_sale": R.report_top_goods_sale(log, items),
         "top_10_difference": R.report_top_difference(log, items),
     }
-    for name, df in result.items():
-        sinks.write_report(df, os.path.join(out, name))
+    _write_outputs(spark, out, {n: _output_writer(n, df) for n, df in result.items()}, together)
     return result
 
 
 def run_analysis(spark: SparkSession, table: str, items: DataFrame, categories: DataFrame,
-                 out: str, store: str | None = None) -> dict[str, DataFrame]:
-    """R7-R14 on positive sales; small results as (indexed) CSV files.
+                 out: str, store: str | None = None,
+                 together: bool = False) -> dict[str, DataFrame]:
+    """R7-R14 on positive sales; small results as (indexed) CSV files, with
+    ``together`` published as one set.
 
     The log is read four times: per (month, item), per item, per day and per
     (day, category); everything else derives from these written tables. With
@@ -144,18 +175,7 @@ def run_analysis(spark: SparkSession, table: str, items: DataFrame, categories:
         result[f"sales_by_{kind}"] = K.seasonal_of_daily(daily, kind)
         result[f"category_sales_by_{kind}"] = K.seasonal_of_daily(cat_daily, kind,
                                                                   "item_category_name")
-    # Per-item and per-day outputs are written in parallel; small results as
-    # one CSV file each.
-    for name, df in result.items():
-        path = os.path.join(out, name)
-        if name.startswith("top_10"):
-            sinks.write_indexed_report(df, path, "total_sale", "item_id")
-        elif name in INDEXED:
-            sinks.write_indexed_report(df, path, *INDEXED[name])
-        elif name in AS_TABLE:
-            df.write.mode("overwrite").parquet(path)
-        else:
-            sinks.write_report(df, path)
+    _write_outputs(spark, out, {n: _output_writer(n, df) for n, df in result.items()}, together)
     return result
 
 
@@ -175,6 +195,7 @@ def main(argv: list[str] | None = None) -> None:
         p.add_argument("--items", required=True)
         p.add_argument("--categories", required=True)
         p.add_argument("--out", required=True)
+        p.add_argument("--publish", action="store_true")
         if name == "analysis":
             p.add_argument("--store")
     args = ap.parse_args(argv)
@@ -188,9 +209,9 @@ def main(argv: list[str] | None = None) -> None:
     items = _dimension(spark, args.items, ITEMS_SCHEMA)
     categories = _dimension(spark, args.categories, CATEGORIES_SCHEMA)
     if args.job == "reports":
-        run_reports(spark, args.table, items, categories, args.out)
+        run_reports(spark, args.table, items, categories, args.out, args.publish)
     else:
-        run_analysis(spark, args.table, items, categories, args.out, args.store)
+        run_analysis(spark, args.table, items, categories, args.out, args.store, args.publish)
     remove_scratch(spark)
 
 

@@ -11,6 +11,7 @@ and return what the readers give back.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -319,6 +320,16 @@ def q_scan_table(spark, sf):
     return files.load(spark, os.path.join(sf, "part.parquet"))
 
 
+@register("scan_catalog_table", WB + "\nSELECT * FROM bulk_log")
+def q_scan_catalog_table(spark, sf):
+    """A stored table by catalog name, partitioned by month."""
+    name = f"sales_{uuid.uuid4().hex}"
+    log = bulk_log(spark, sf)
+    (log.repartitionByRange("month_num", "sale_date", "item_id").write.partitionBy("month_num")
+     .option("path", scratch(spark, name)).saveAsTable(name))
+    return files.load(spark, name)
+
+
 @register("rename_if_present", WD + "\nSELECT * FROM daily_log")
 def q_rename(spark, sf):
     """Legacy column names (``date`` as text, ``date_block_num``)."""

@@ -12,6 +12,7 @@ from ledgerlens.plans import reports
 from ledgerlens.session import scratch
 from ledgerlens.sources import files, sinks
 from ledgerlens.sources.fixtures import DAILY_CTE, daily_model
+from ledgerlens.sources.publication import publish, published
 from ledgerlens.streaming.ingest import daily_pipeline
 
 W = "WITH " + DAILY_CTE
@@ -108,14 +109,41 @@ def q_daily_run(spark, sf):
     for arrival, rows in (("before", F.col("sale_date") < last), ("last", F.col("sale_date") == last)):
         sinks.sales_log_to_csv(log.filter(rows), f"{drop}/{arrival}")
         daily_pipeline(spark, f"{drop}/*", table, ckpt, items, categories, report_dir=out)
+    return _report_rows(spark, {name: f"{out}/{name}" for name in _REPORT_FILES})
+
+
+def _report_rows(spark, paths):
+    """The four report files, read back as one table."""
     parts = []
     for name, (_, schema, (key, label, value)) in _REPORT_FILES.items():
-        parts.append(files.read_dim_csv(spark, f"{out}/{name}", schema).select(
+        parts.append(files.read_dim_csv(spark, paths[name], schema).select(
             F.lit(name).alias("report"), F.col(key).cast("long").alias("id"),
             F.col(label).alias("name"), F.col(value).cast("double").alias("value")))
     return reduce(DataFrame.unionByName, parts)
 
 
+@register("published_reports", _daily_run_sql())
+def q_published(spark, sf):
+    """K3: the four reports as published after two arrivals; a third run that
+    dies after its first report changes nothing for readers."""
+    log, items, categories = daily_model(spark, sf)
+    drop, table, ckpt, out = (scratch(spark, n) for n in ("pub-drop", "pub-table", "pub-ckpt", "pub-out"))
+    last = log.select(F.max("sale_date")).scalar()
+    for arrival, rows in (("before", F.col("sale_date") < last), ("last", F.col("sale_date") == last)):
+        sinks.sales_log_to_csv(log.filter(rows), f"{drop}/{arrival}")
+        result = daily_pipeline(spark, f"{drop}/*", table, ckpt, items, categories, publish_dir=out)
+
+    def dies(path):
+        raise InterruptedError(path)
+
+    try:
+        publish(spark, out, {"by_category": lambda path: sinks.write_report(
+            result["by_category"].limit(0), path), "top_goods": dies})
+    except InterruptedError:
+        pass
+    return _report_rows(spark, published(spark, out))
+
+
 def _sql_report(name):
     def run(spark, sf):
         reports.register_model(spark, *daily_model(spark, sf))

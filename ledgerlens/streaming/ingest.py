@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 from collections import Counter
+from functools import partial
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from ledgerlens.schema import SALES_FILE_SCHEMA
 from ledgerlens.sources.files import (CHECKED_OPTIONS, CHECKED_SCHEMA, CSV_OPTIONS, checked_sales,
                                       to_sales_log)
 from ledgerlens.sources.ledger import read_latest_days
+from ledgerlens.sources.publication import publish
 from ledgerlens.sources.sinks import write_report, write_sales_log
 
 REJECT_REASONS = ("fields", "value", "date")
@@ -92,11 +94,13 @@ def ingest_available(spark: SparkSession, drop_dir: str, table_dir: str, checkpo
 
 def daily_pipeline(spark: SparkSession, drop_dir: str, table_dir: str, checkpoint: str,
                    items: DataFrame, categories: DataFrame, report_dir: str | None = None,
-                   archive_dir: str | None = None) -> dict[str, DataFrame]:
+                   archive_dir: str | None = None,
+                   publish_dir: str | None = None) -> dict[str, DataFrame]:
     """Ingest new files, then compute the four reports on the table.
 
     The reports read only the months whose dates can hold the last two days.
-    With ``report_dir`` each report is also written as one CSV.
+    With ``report_dir`` each report is also written as one CSV, with
+    ``publish_dir`` all four are published there as one set.
     """
     ingest_available(spark, drop_dir, table_dir, checkpoint, archive_dir)
     log = read_latest_days(spark, table_dir)
@@ -109,4 +113,6 @@ def daily_pipeline(spark: SparkSession, drop_dir: str, table_dir: str, checkpoin
     if report_dir:
         for name, df in out.items():
             write_report(df, os.path.join(report_dir, name))
+    if publish_dir:
+        publish(spark, publish_dir, {name: partial(write_report, df) for name, df in out.items()})
     return out
