@@ -20,13 +20,14 @@ lines share are plain equi-joins that adaptive execution splits; ranks are
 joined to each other by position, where no key is hot.
 
 Defined cases: a null text has one empty line, as an empty text has; a null
-``doc_id`` sorts first; rows that repeat both id and text are one document
-and lose the same lines; an empty table gives no rows; other columns are kept
-out of the result.
+``doc_id`` sorts first, and every row without an id is a document of its own;
+rows that repeat both an id and the text are one document and lose the same
+lines; an empty table gives no rows; other columns are kept out of the result.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +39,20 @@ _NULL_ID = -(2 ** 63)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("_d"),
-                       F.xxhash64(text_of(text_col)).alias("_t"), text_of(text_col).alias("_text"))
+    """``_d, _t, _text``: the id, and what tells documents of one id apart (their
+    text; the row itself where there is no id)."""
+    fields = [F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text")]
+    rows = None
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            rows = docs.select(*fields, F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("_row"))
+        except AnalysisException:  # a store that does not number its rows
+            rows = None
+    if rows is None:
+        rows = saved(docs.select(*fields).withColumn("_row", F.monotonically_increasing_id()), "line-rows")
+    return rows.select(F.coalesce("_id", F.lit(_NULL_ID)).alias("_d"),
+                       F.when(F.col("_id").isNull(), F.col("_row")).otherwise(F.xxhash64("_text")).alias("_t"),
+                       "_text")
 
 
 def _names(*cols) -> list[Column]:
@@ -105,7 +118,11 @@ def _shortest_runs(lines: DataFrame, words: int) -> DataFrame:
 def later_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """Runs that repeat an earlier one: ``_d, _t, _s, _len`` (first line, lines)."""
-    rows = _keyed(docs, id_col, text_col).select(
+    return _later_runs(_keyed(docs, id_col, text_col), min_words)
+
+
+def _later_runs(keyed: DataFrame, min_words: int) -> DataFrame:
+    rows = keyed.select(
         *_KEY, F.posexplode(F.split("_text", "\n")).alias("_i", "_line"))
     lines = rows.select(*_KEY, "_i", F.greatest(F.regexp_count("_line", F.lit(WORD)), F.lit(1))
                         .cast("long").alias("_w"), *_names("_line")).dropDuplicates([*_KEY, "_i"])
@@ -148,17 +165,22 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
                 text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_lines, dropped_lines`` (ascending,
     0-based) and ``text`` without them (empty if every line goes)."""
-    dropped = (later_runs(docs, min_words, id_col, text_col)
+    keyed = _keyed(docs, id_col, text_col)
+    dropped = (_later_runs(keyed, min_words)
                .select(*_KEY, F.explode(F.sequence("_s", F.col("_s") + F.col("_len") - 1)).alias("_i"))
                .groupBy(*_KEY).agg(F.array_sort(F.collect_set("_i")).alias("_drop")))
     dropped = saved(dropped, "line-drops")
-    lines = F.split("_text", "\n")
     none = F.array().cast("array<int>")
-    out = (_keyed(docs, id_col, text_col).join(dropped, _KEY, "left")
-           .withColumn("_drop", F.coalesce(F.transform("_drop", lambda x: x.cast("int")), none)))
-    kept = F.filter(lines, lambda line, i: ~F.array_contains("_drop", i))
+    out = (keyed.join(dropped, _KEY, "left")
+           .withColumn("_drop", F.coalesce(F.transform("_drop", lambda x: x.cast("int")), none))
+           .withColumn("_lines", F.split("_text", "\n")))
+    # The kept lines are those of the gaps between dropped ones, in one pass.
+    edges = F.concat(F.array(F.lit(-1)), F.col("_drop"), F.array(F.size("_lines")))
+    gaps = F.filter(F.arrays_zip(edges.alias("a"), F.slice(edges, F.lit(2), F.size("_drop") + 1).alias("b")),
+                    lambda g: g["b"] - g["a"] > 1)
+    kept = F.flatten(F.transform(gaps, lambda g: F.slice(F.col("_lines"), g["a"] + 2, g["b"] - g["a"] - 1)))
     return out.select(
-        F.nullif(F.col("_d"), F.lit(_NULL_ID)).alias("doc_id"), F.size(lines).alias("n_lines"),
+        F.nullif(F.col("_d"), F.lit(_NULL_ID)).alias("doc_id"), F.size("_lines").alias("n_lines"),
         F.col("_drop").alias("dropped_lines"),
         F.when(F.size("_drop") == 0, F.col("_text")).otherwise(
             F.array_join(kept, "\n")).alias("text"))
