@@ -48,8 +48,7 @@ from ledgerlens.llm.components import connected
 ship(__name__, words.__name__, trie.__name__)
 
 # Text bytes per hash range (about 2.5 million shingles), shingles a task holds
-# before it sends them on, and elements a block of the tree join holds. Within
-# a range 48 bits tell shingles apart; the range adds up to 16 more.
+# before it sends them on, and elements a block of the tree join holds.
 RANGE_BYTES = 16 << 20
 FLUSH = 750_000
 BLOCK_TOKENS = 400_000
@@ -94,18 +93,17 @@ def _send(ranges: int):
             bucket = ((tokens >> np.uint64(16)) % np.uint64(ranges)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             tokens, owner = tokens[order], owner[order]
-            ends = np.cumsum(np.bincount(bucket, minlength=ranges))
-            for b in range(ranges):
-                t, o = (x[ends[b - 1] if b else 0:ends[b]] for x in (tokens, owner))
-                if len(t):
-                    start = np.flatnonzero(np.diff(o, prepend=-1))
-                    who = o[start]
-                    counts = np.diff(np.append(start, len(o)))
-                    rows.append(b)
-                    payloads.append(struct.pack("<II", len(who), len(t)) + names[who].tobytes()
-                                    + sizes[who].astype("<u4").tobytes()
-                                    + counts.astype("<u4").tobytes()
-                                    + t.view("<u1").reshape(-1, 8)[:, :6].tobytes())
+            # Only the ranges met here: their number grows with the corpus.
+            met = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            for begin, end in zip(met, np.append(met, len(order))[1:]):
+                t, o = tokens[begin:end], owner[begin:end]
+                start = np.flatnonzero(np.diff(o, prepend=-1))
+                who = o[start]
+                counts = np.diff(np.append(start, len(o)))
+                rows.append(int(bucket[order[begin]]))
+                payloads.append(struct.pack("<II", len(who), len(t)) + names[who].tobytes()
+                                + sizes[who].astype("<u4").tobytes()
+                                + counts.astype("<u4").tobytes() + t.astype("<u8").tobytes())
             return pa.RecordBatch.from_pydict({"range": pa.array(rows, pa.int32()),
                                                "payload": pa.array(payloads, pa.binary())})
 
@@ -157,13 +155,10 @@ def _frequencies(table: pa.Table) -> pa.Table:
         names.append(np.frombuffer(blob, "<u8", 2 * m, 8).reshape(-1, 2))
         sizes.append(np.frombuffer(blob, "<u4", m, 8 + 16 * m))
         counts.append(np.frombuffer(blob, "<u4", m, 8 + 20 * m))
-        wide = np.zeros((t, 8), np.uint8)
-        wide[:, :6] = np.frombuffer(blob, "<u1", 6 * t, 8 + 24 * m).reshape(-1, 6)
-        tokens.append(wide.view("<u8").ravel())
+        tokens.append(np.frombuffer(blob, "<u8", t, 8 + 24 * m))
     names, sizes, counts, tokens = (np.concatenate(x) for x in (names, sizes, counts, tokens))
     first = ~pd.DataFrame(names).duplicated().to_numpy()
-    here = np.uint64(table.column("range")[0].as_py() & 0xFFFF) << np.uint64(48)
-    tokens = tokens[np.repeat(first, counts)] | here
+    tokens = tokens[np.repeat(first, counts)]
     names, sizes, counts = names[first], sizes[first], counts[first]
     order = np.argsort(tokens, kind="stable")
     ordered = tokens[order]
