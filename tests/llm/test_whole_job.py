@@ -163,3 +163,36 @@ def test_quality_learns_from_repeated_ids(docs, spark):
     model = quality.train(docs(rows), labels)
     out = {r.doc_id: r.score for r in quality.score(docs([(1, good * 3), (2, bad * 3)]), model).collect()}
     assert out[1] > out[2]
+
+
+def test_quality_learns_from_every_label(docs, spark):
+    # More than 4,000 of each class.
+    rows = [(k, "calm words in a line " + ("and so on" if k % 23 else "77 88 99 66 55")) for k in range(4600)]
+    rows += [(10_000 + k, "$$$ ### &&& !!! %%%" if k % 2 else "### $$$") for k in range(30_000)]
+    labels = spark.createDataFrame([(k, int(k < 10_000)) for k, _ in rows], "doc_id long, quality int")
+    seen = {}
+    saved = quality.saved
+    try:
+        quality.saved = lambda df, name: seen.setdefault(name, saved(df, name))
+        model = quality.train(docs(rows), labels)
+    finally:
+        quality.saved = saved
+    assert seen["quality-train"].count() == len(rows)
+    assert seen["quality-pairs"].count() == 30_000  # every bad text is met
+    out = quality.score(docs(rows), model).groupBy("doc_id").agg({"raw": "max"}).collect()
+    raw = sorted(r["max(raw)"] for r in out)
+    assert abs(model["offset"] - raw[30_000]) < 1e-9
+
+
+def test_quality_learns_from_each_text_of_an_id(docs, spark):
+    good, bad = "calm words that follow one another. ", "$$$ ### 123 &&& !!! "
+    rows = [(k % 2, (good if k % 2 else bad) * (1 + k)) for k in range(20)] * 2
+    labels = spark.createDataFrame([(0, 0), (1, 1), (1, 1)], "doc_id long, quality int")
+    seen = {}
+    saved = quality.saved
+    try:
+        quality.saved = lambda df, name: seen.setdefault(name, saved(df, name))
+        quality.train(docs(rows), labels)
+    finally:
+        quality.saved = saved
+    assert seen["quality-train"].count() == 20
