@@ -1,46 +1,53 @@
 """Edit distance turned into Hamming distance by random walks (CGK), with
-bit-sampling LSH over windows of words, runs of equal characters beside it,
-and exact verification.
-
-The embedding of a sequence under a walk: stand at its first symbol; at each
-step emit the symbol stood on, then stay or move on by a random bit that
-depends on the step and the symbol. Sequences at small edit distance emit
-mostly equal symbols, since a walk falls into step again after an edit. A
-repetition is one walk and a few sampled steps; its key is the hash of the
-symbols emitted at those steps.
-
-A typo changes a whole word, so typos in many words leave few windows of words
-alike. The other source of candidates are runs of ``gram`` equal characters:
-an item is a candidate where ``hits`` of them lie on diagonals as near
-each other as the edits allow. How long and how many is tuned, with the number
-of repetitions, on copies edited up to the accepted distance.
+bit-sampling LSH over windows of characters, and exact verification.
+
+The embedding of a sequence under a walk: stand at its first character; at each
+step emit the character stood on, then stay or move on by a random bit that
+depends on the step and the character. Sequences at small edit distance emit
+mostly equal characters, since a walk falls into step again after an edit. A
+repetition is one walk; its key is the hash of the characters emitted at sampled
+steps, evenly spaced, so that an edit between them can go unnoticed.
+
+Walks begin at every character of the items and of the texts, so that any
+window of a copy meets the window of the item that it stems from, and cross
+windows of ``w`` characters in 2w steps. An item is a candidate where ``need``
+equal keys, of all repetitions, lie on diagonals as near each other as the edits
+allow. Window, repetitions and ``need`` are tuned for items of each size on
+copies edited up to the accepted distance: the longer an item, the more of its
+windows stay alike, and the more equal keys can be asked for.
 """
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
+from functools import cached_property
 
 import numpy as np
 
 from ledgerlens.llm import words
 
-SAMPLED = 8
-MAX_REPETITIONS = 16
-MAX_WINDOW = 8
+# Every so many steps of a walk are sampled.
+SPACING = 3
+MAX_WINDOW = 16
 TARGET_RECALL = 0.95
 # Shares of characters edited, in whole words and in typos, that each have to
 # reach TARGET_RECALL.
 RATES = (0.05, 0.1, 0.15, 0.2, 0.25)
-# (length, number) of the equal runs, from the fewest false candidates on.
-LADDER = ((12, 2), (11, 2), (10, 3), (9, 4), (10, 2), (8, 5), (9, 2), (8, 2), (7, 2), (7, 1), (6, 1), (5, 1), (4, 1), (3, 1), (2, 1))
-TUNED_ITEMS = 256
-# Equal runs looked at in one go (those of one text at least).
+# (window, repetitions, least number of equal keys) tried, from the fewest
+# false candidates on. The most equal keys that reach TARGET_RECALL are asked for.
+LADDER = ((13, 1, 8), (13, 2, 2), (13, 3, 3), (11, 3, 3), (9, 3, 3), (7, 4, 2), (5, 4, 2), (4, 4, 2),
+          (3, 8, 1), (2, 16, 1), (1, 1, 1))
+# Items that each size is tuned on, and copies of each edit rate.
+TUNED_ITEMS = 96
+# Equal keys looked at in one go (those of one text at least).
 MAX_PAIRS = 1 << 18
+# Characters walked from in one go, so that the arrays stay in the cache.
+BLOCK = 1 << 15
 # Bits of a bitmap for each key, and the most that address it.
-BITMAP_SHARE = 64
+BITMAP_SHARE = 16
 BITMAP_BITS = 24
 LAST = 0x20000
-_PAD = np.uint64(0x5851F42D4C957F2D)
 # Scripts written without spaces: every character is a word. From LAST on all are.
 _ALONE = ((0x0E00, 0x1000), (0x1000, 0x10A0), (0x1780, 0x1800), (0x1950, 0x19E0), (0x1A20, 0x1AB0),
           (0x2E80, 0xA4D0), (0xA9E0, 0xAA00), (0xAA60, 0xAAE0), (0xF900, 0xFB00), (0xFF66, 0xFFA0))
@@ -93,65 +100,75 @@ class Read:
         self.end = np.flatnonzero(within & follow) + 1
         self.bound = np.searchsorted(self.src, np.append(self.offset, len(cp)))
         self.first = np.searchsorted(self.begin, self.bound)
-        n = len(self.plain)
+        self.reader = reader
+
+    @cached_property
+    def h(self) -> np.ndarray:
+        reader, n = self.reader, len(self.plain)
         if n > len(reader.up):
             reader.up = words.powers(words.STEP, n + n // 4)
             reader.down = words.powers(words.STEP_INVERSE, n + n // 4)
-        self.total = np.zeros(n + 1, np.uint64)
-        np.cumsum(words.mixed(self.plain + np.uint64(1)) * reader.up[:n], out=self.total[1:])
-        self.down = reader.down
-        self.h = words.mixed((self.total[self.end] - self.total[self.begin]) * self.down[self.begin]
-                             + (self.end - self.begin).astype(np.uint64))
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(words.mixed(self.plain + np.uint64(1)) * reader.up[:n], out=total[1:])
+        return words.mixed((total[self.end] - total[self.begin]) * reader.down[self.begin]
+                           + (self.end - self.begin).astype(np.uint64))
 
     def text(self, a: int, b: int) -> str:
         return self.plain[a:b].tobytes().decode("utf-32-le")
 
-    def runs(self, gram: int) -> np.ndarray:
-        """Hash of the ``gram`` characters from each on."""
-        n = max(0, len(self.plain) - gram + 1)
-        return words.mixed((self.total[gram:gram + n] - self.total[:n]) * self.down[:n])
-
-
-def window_size(m: int) -> int:
-    """Words of the windows an item of ``m`` words is looked up by: the largest
-    power of two up to MAX_WINDOW such that every copy holds an aligned window."""
-    w = 1
-    while 3 * w <= m + 1 and w < MAX_WINDOW:
-        w *= 2
-    return w
-
-
-def stride(w: int) -> int:
-    return max(1, w // 2)
+    def spans(self) -> tuple[np.ndarray, np.ndarray]:
+        """First and number of characters from the first word of each text to
+        its last."""
+        some = np.diff(self.first) > 0
+        at, size = self.bound[:-1].copy(), np.zeros(len(some), np.int64)
+        at[some] = self.begin[self.first[:-1][some]]
+        size[some] = self.end[self.first[1:][some] - 1] - at[some]
+        return at, size
 
 
 class Walk:
-    """One repetition for windows of ``w`` words: 2w steps, which cross it."""
+    """One repetition for windows of ``w`` characters: 2w steps, which cross it."""
 
     def __init__(self, w: int, repetition: int):
         rng = np.random.Generator(np.random.PCG64([w, repetition, 71]))
-        steps = 2 * w
         self.w = w
-        self.steps = np.sort(rng.choice(steps, min(SAMPLED, steps), replace=False)).tolist()
-        self.factor = rng.integers(1, 2 ** 63, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.seed = rng.integers(1, 2 ** 63, dtype=np.uint64)
-
-    def keys(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Keys of the windows that begin at ``starts`` and lie within ``symbols``."""
-        bits = symbols * self.factor
-        at, last = starts.copy(), starts + self.w - 1
-        key = np.full(len(starts), self.seed, np.uint64)
-        for step in range(self.steps[-1] + 1):
-            over = step >= self.w
-            here = np.minimum(at, last) if over else at
-            if step in self.steps:
-                emitted = symbols[here]
-                if over:
-                    emitted = np.where(at > last, _PAD, emitted)
-                key = (key ^ emitted) * words.PLACE[3]
-                key ^= key >> np.uint64(29)
-            at += ((bits[here] >> np.uint64(63 - step)) & np.uint64(1)).astype(np.int64)
-        return words.mixed(key)
+        self.steps = range(0, 2 * w, SPACING)
+        self.factor, self.mix, self.place = (rng.integers(1, 2 ** 31, 3) * 2 + 1).astype(np.uint32)
+
+    def keys(self, plain: np.ndarray) -> np.ndarray:
+        """Keys of the walks from every character on, all abreast from the last
+        step back: what a walk emits from a step on is what it emits there and
+        what the walk emits from the next step on, here or one character on.
+
+        Nothing stands beyond the end. Bit ``t`` of a character's hash says
+        whether it is left at step ``t``."""
+        n, steps = len(plain), self.steps[-1] + 1
+        out = np.empty(n, np.uint32)
+        plain = np.append(plain, np.zeros(steps, np.uint32))
+        for a in range(0, n, BLOCK):
+            h = (plain[a:min(n, a + BLOCK) + steps] + np.uint32(1)) * self.factor
+            h ^= h >> np.uint32(15)
+            h *= self.mix
+            h ^= h >> np.uint32(13)
+            key = np.zeros(len(h) + 1, np.uint32)
+            stay, on = key[:-1], key[1:]
+            move, other = np.empty_like(h), np.empty_like(h)
+            for step in range(steps - 1, -1, -1):
+                np.left_shift(h, np.uint32(31 - step), out=move)
+                signed = move.view(np.int32)
+                np.right_shift(signed, np.int32(31), out=signed)
+                np.bitwise_xor(stay, on, out=other)
+                other &= move
+                stay ^= other
+                if step in self.steps:
+                    stay *= self.place
+                    stay += h
+            found = stay[:min(n, a + BLOCK) - a]
+            found ^= found >> np.uint32(16)
+            found *= self.mix
+            found ^= found >> np.uint32(15)
+            out[a:a + len(found)] = found
+        return out
 
 
 def starts_of(first: np.ndarray, count: np.ndarray, w: int, step: int):
@@ -170,16 +187,19 @@ class Table:
         order = np.argsort(keys, kind="stable")
         self.keys, self.item, self.at = keys[order], item[order], at[order]
         bits = min(BITMAP_BITS, max(8, (BITMAP_SHARE * len(keys)).bit_length()))
-        self.shift = np.uint64(64 - bits)
+        self.shift = keys.dtype.type(8 * keys.dtype.itemsize - bits)
         self.bitmap = np.zeros(1 << bits, bool)
         self.bitmap[keys >> self.shift] = True
+        # For the first of equal keys, how many there are.
+        self.equal = np.searchsorted(self.keys, self.keys, side="right") - np.arange(len(keys))
 
     def found(self, probe: np.ndarray):
         """(probe, place of its first equal key, number of equal keys)."""
-        maybe = np.flatnonzero(self.bitmap[probe >> self.shift])
-        low = np.searchsorted(self.keys, probe[maybe], side="left")
-        n = np.searchsorted(self.keys, probe[maybe], side="right") - low
-        return maybe[n > 0], low[n > 0], n[n > 0]
+        maybe = np.flatnonzero(self.bitmap.take((probe >> self.shift).astype(np.int64), mode="clip"))
+        wanted = probe[maybe]
+        low = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        equal = self.keys[low] == wanted
+        return maybe[equal], low[equal], self.equal[low[equal]]
 
     def spread(self, probe: np.ndarray, low: np.ndarray, n: np.ndarray):
         """(probe, item, place in the item) of all equal keys."""
@@ -190,44 +210,72 @@ class Table:
         return self.spread(*self.found(probe))
 
 
-class Group:
-    """The items of one window size. ``items`` are read as one chunk; ``which``
-    names those of the group."""
-
-    def __init__(self, items: Read, which: np.ndarray, slack: np.ndarray, w: int,
-                 repetitions: int, gram: int, need: int):
-        self.w, self.gram, self.need, self.slack = w, gram, need, slack
-        first, count = items.first[:-1][which], np.diff(items.first)[which]
-        starts, owner = starts_of(first, count, w, 1)
-        self.walks = [Walk(w, r) for r in range(repetitions)]
-        self.tables = [Table(walk.keys(items.h, starts), which[owner],
-                             items.begin[starts] - items.bound[which[owner]]) for walk in self.walks]
-        begin, size = items.begin[first], items.end[first + count - 1] - items.begin[first]
-        at, owner = starts_of(begin, size, gram, 1)
-        self.runs = Table(items.runs(gram)[at], which[owner], at - items.bound[which[owner]])
+class Index:
+    """The items by the keys of their walks. ``items`` are read as one chunk;
+    ``plan`` has, for items of a size: window, members, repetitions and number
+    of equal keys."""
+
+    def __init__(self, items: Read, plan: list[tuple], slack: np.ndarray):
+        self.slack = slack
+        self.need = np.ones(len(slack), np.int64)
+        first, size = items.spans()
+        held: dict[tuple[int, int], list] = {}
+        for w, members, repetitions, need in plan:
+            self.need[members] = need
+            for r in range(repetitions):
+                held.setdefault((w, r), []).append(members)
+        self.tables: dict[int, list] = {}
+        for (w, r), parts in sorted(held.items()):
+            which = np.concatenate(parts)
+            at, owner = starts_of(first[which], size[which], 1, 1)
+            walk = Walk(w, r)
+            self.tables.setdefault(w, []).append((walk, Table(
+                walk.keys(items.plain)[at], which[owner], at - items.bound[which[owner]])))
+
+    def hits(self, docs: Read):
+        """(text, item, diagonal) of equal keys in ascending order, some texts
+        at a time; an item has one window size, so its hits come together."""
+        for pairs in self.tables.values():
+            found = [table.found(walk.keys(docs.plain)) for walk, table in pairs]
+            place = np.concatenate([f[0] for f in found])
+            order = np.argsort(place, kind="stable")
+            text = np.searchsorted(docs.bound[1:], place[order], side="right")
+            n = np.concatenate([f[2] for f in found])[order]
+            for a, b in slices(text, n):
+                # Whole texts: the places from the first one's begin to the last one's end.
+                low, high = docs.bound[text[a]], docs.bound[text[b - 1] + 1]
+                some = []
+                for (_, table), (at, from_, count) in zip(pairs, found):
+                    here = slice(*np.searchsorted(at, (low, high)))
+                    some.append(table.spread(at[here], from_[here], count[here]))
+                at, item, offset = (np.concatenate(x) for x in zip(*some))
+                doc, diagonal = np.searchsorted(docs.bound[1:], at, side="right"), at - offset
+                order = np.lexsort((diagonal, item, doc))
+                yield doc[order], item[order], diagonal[order]
 
     def candidates(self, docs: Read):
         """Rows (text, item, least, greatest diagonal), some texts at a time."""
-        first, count = docs.first[:-1], np.diff(docs.first)
-        starts, owner = starts_of(first, count, self.w, stride(self.w))
-        for walk, table in zip(self.walks, self.tables):
-            if len(starts):
-                hit, item, at = table.hits(walk.keys(docs.h, starts))
-                diagonal = docs.begin[starts[hit]] - at
-                yield merged(np.stack([owner[hit], item, diagonal, diagonal]), self.slack)
-        place, low, n = self.runs.found(docs.runs(self.gram))
-        text = np.searchsorted(docs.bound[1:], place, side="right")
-        for a, b in slices(text, n):
-            at, item, offset = self.runs.spread(place[a:b], low[a:b], n[a:b])
-            doc, diagonal = np.repeat(text[a:b], n[a:b]), at - offset
-            order = np.lexsort((diagonal, item, doc))
-            doc, item, diagonal = doc[order], item[order], diagonal[order]
-            m = max(0, len(doc) - self.need + 1)
-            last = slice(self.need - 1, self.need - 1 + m)
-            near = np.flatnonzero((doc[:m] == doc[last]) & (item[:m] == item[last])
-                                  & (diagonal[last] - diagonal[:m] <= self.slack[item[:m]]))
-            yield merged(np.stack([doc[near], item[near], diagonal[near],
-                                   diagonal[near + self.need - 1]]), self.slack)
+        for doc, item, diagonal in self.hits(docs):
+            last = np.arange(len(doc)) + self.need[item] - 1
+            near = np.flatnonzero(last < len(doc))
+            last = last[near]
+            fit = ((doc[near] == doc[last]) & (item[near] == item[last])
+                   & (diagonal[last] - diagonal[near] <= self.slack[item[near]]))
+            near, last = near[fit], last[fit]
+            yield merged(np.stack([doc[near], item[near], diagonal[near], diagonal[last]]), self.slack)
+
+    def most(self, docs: Read, owner: np.ndarray) -> np.ndarray:
+        """For each text the greatest number of near equal keys of the item
+        that ``owner`` names."""
+        out = np.zeros(len(owner), np.int64)
+        for doc, item, diagonal in self.hits(docs):
+            own = owner[doc] == item
+            doc, item, diagonal = doc[own], item[own], diagonal[own]
+            # One ascending number line, on which texts lie far apart.
+            line = doc * (2 * len(docs.plain) + 2) + diagonal - diagonal.min(initial=0)
+            stop = np.searchsorted(line, line + self.slack[item], side="right")
+            np.maximum.at(out, doc, stop - np.arange(len(doc)))
+        return out
 
 
 def slices(text: np.ndarray, n: np.ndarray):
@@ -257,9 +305,11 @@ def edited(item: str, rate: float, typos: bool, rng) -> str:
     by words dropped, added and replaced."""
     parts, joint = (list(item), "") if typos else (item.split(" "), " ")
     letters = sorted(set(item) - {" "})
+    # At most two new parts for each: in place of it and after it.
+    drawn = iter([letters[k] for k in rng.integers(0, len(letters), 2 * len(item))])
 
     def other(part: str) -> str:
-        return "".join(rng.choice(letters, len(part)))
+        return "".join(itertools.islice(drawn, len(part)))
 
     out = []
     for part, kind in zip(parts, rng.random(len(parts)) * 3):
@@ -272,52 +322,73 @@ def edited(item: str, rate: float, typos: bool, rng) -> str:
 
 
 def plan(texts: list[str], reader: Reader, share: float, sizes: np.ndarray) -> list[tuple]:
-    """(window, members, repetitions, run length, number of runs) of every
-    window size: the first of LADDER, with more repetitions only after the last,
-    that finds edited copies of the items within ``share`` with TARGET_RECALL at
-    each of RATES."""
+    """(window, members, repetitions, number of equal keys) for the items of
+    each size, by powers of two: the first of LADDER that finds edited copies
+    of the items within ``share`` with TARGET_RECALL at each of RATES."""
     out = []
-    window = np.array([window_size(int(m)) for m in sizes])
-    for w in sorted(set(window.tolist())):
-        members = np.flatnonzero(window == w)
+    size_class = np.log2(np.maximum(sizes, 1)).astype(int)
+    for c in sorted(set(size_class.tolist())):
+        members = np.flatnonzero(size_class == c)
         by_size = members[np.argsort(sizes[members], kind="stable")]
         some = by_size[np.unique(np.linspace(0, len(by_size) - 1, TUNED_ITEMS).astype(int))]
-        recall = recalls([texts[k] for k in some], reader, share, w)
-        tried = [(1, *step) for step in LADDER] + [(MAX_REPETITIONS, *LADDER[-1])]
-        found = next((t for t in tried if min(recall(*t).values(), default=1) >= TARGET_RECALL), None)
-        if found is None:
-            raise ValueError(f"items with windows of {w} words are not found with a recall of {TARGET_RECALL}")
-        out.append((w, members, *found))
+        copies = Copies([texts[k] for k in some], reader, share)
+        for w, repetitions, least in LADDER:
+            need = copies.most_asked(w, repetitions)
+            if need >= least:
+                out.append((w, members, repetitions, need))
+                break
+        else:
+            raise ValueError(f"items of {sizes[members].min()} to {sizes[members].max()} words "
+                             f"are not found with a recall of {TARGET_RECALL}")
     return out
 
 
+class Copies:
+    """Edited copies of items, of those that are within ``share``."""
+
+    def __init__(self, texts: list[str], reader: Reader, share: float, seed: int = 5):
+        rng = np.random.Generator(np.random.PCG64([len(texts), seed]))
+        self.items = reader.read(texts)
+        plains = [self.items.text(a, a + n) for a, n in zip(*self.items.spans())]
+        self.slack = np.array([int(share * len(p)) for p in plains])
+        copies, cells, owner = [], [], []
+        # Enough copies in each cell, also of few items.
+        for k in np.arange(max(len(plains), TUNED_ITEMS)) % len(plains):
+            for rate in RATES:
+                for typos in (False, True):
+                    copy = edited(plains[k], rate, typos, rng)
+                    if best_match(plains[k], copy)[0] <= self.slack[k]:
+                        pad = ["".join(rng.choice(list("etaoinshr"), 5)) for _ in range(4)]
+                        copies.append(" ".join([*pad[:2], copy, *pad[2:]]))
+                        cells.append((rate, typos))
+                        owner.append(k)
+        self.cells = {c: np.array([x == c for x in cells]) for c in sorted(set(cells))}
+        self.read, self.owner = reader.read(copies), np.array(owner)
+
+    def _most(self, w: int, repetitions: int) -> np.ndarray:
+        index = Index(self.items, [(w, np.arange(len(self.slack)), repetitions, 1)], self.slack)
+        return index.most(self.read, self.owner)
+
+    def recall(self, w: int, repetitions: int, need: int) -> dict:
+        """The share of copies found, by (rate, typos)."""
+        most = self._most(w, repetitions)
+        return {c: float(np.mean(most[those] >= need)) for c, those in self.cells.items()}
+
+    def most_asked(self, w: int, repetitions: int) -> int:
+        """The greatest number of equal keys that TARGET_RECALL of the copies of
+        every cell have."""
+        most = self._most(w, repetitions)
+        return int(min((np.sort(most[those])[int((1 - TARGET_RECALL) * those.sum())]
+                        for those in self.cells.values()), default=1))
+
+
 def recalls(texts: list[str], reader: Reader, share: float, w: int, seed: int = 5):
-    """Function of (repetitions, run length, number of runs): the share of
-    acceptable copies found, by (rate, typos)."""
-    rng = np.random.Generator(np.random.PCG64([w, seed]))
-    items = reader.read(texts)
-    plains = [items.text(items.begin[a], items.end[b - 1])
-              for a, b in zip(items.first[:-1], items.first[1:])]
-    slack = np.array([int(share * len(p)) for p in plains])
-    copies, cells, owner = [], [], []
-    # Enough copies in each cell, also of few items.
-    for k in np.arange(max(len(plains), TUNED_ITEMS)) % len(plains):
-        for rate in RATES:
-            for typos in (False, True):
-                copy = edited(plains[k], rate, typos, rng)
-                if best_match(plains[k], copy)[0] <= slack[k]:
-                    pad = ["".join(rng.choice(list("etaoinshr"), 5)) for _ in range(w)]
-                    copies.append(" ".join(pad[:int(rng.integers(0, w))] + [copy] + pad))
-                    cells.append((rate, typos))
-                    owner.append(k)
-    read, owner = reader.read(copies), np.array(owner)
-
-    def recall(repetitions: int, gram: int, need: int) -> dict:
-        group = Group(items, np.arange(len(plains)), slack, w, repetitions, gram, need)
-        found = np.zeros(len(copies), bool)
-        for doc, item, _, _ in group.candidates(read):
-            found[doc[owner[doc] == item]] = True
-        return {c: float(np.mean([f for f, x in zip(found, cells) if x == c])) for c in sorted(set(cells))}
+    """Function of (repetitions, number of equal keys): the share of acceptable
+    copies found by windows of ``w`` characters, by (rate, typos)."""
+    copies = Copies(texts, reader, share, seed)
+
+    def recall(repetitions: int, need: int) -> dict:
+        return copies.recall(w, repetitions, need)
     return recall
 
 

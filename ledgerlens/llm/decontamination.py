@@ -2,10 +2,10 @@
 
 Texts and items are read as words (letters and digits; case and punctuation
 do not count; in scripts without spaces every character is a word). Windows of
-words, at strides of half a window, are embedded by CGK random walks; bit
-sampling over the embeddings, and runs of equal characters, look up
-candidates in the index of the items, so many and so short as reach the target
-recall on copies edited up to ``MAX_EDITS`` (:mod:`ledgerlens.llm.cgk`). Every
+their characters, from every character on, are embedded by CGK random walks;
+bit sampling over the embeddings looks up candidates in the index of the items,
+with windows, repetitions and numbers of equal keys that reach the target recall
+on copies edited up to ``MAX_EDITS`` (:mod:`ledgerlens.llm.cgk`). Every
 candidate is verified by its exact edit distance, in characters, to the best
 aligned part of the text: it counts when the distance is at most ``MAX_EDITS``
 of the item's length. An item of fewer than ``MIN_WORDS`` words is found where
@@ -68,7 +68,7 @@ class _Items:
         self.parts = np.array([len(x) for x in parts])
         self.part_offset = np.array([o for x in parts for o, _ in x])
         self.part = [p for x in parts for _, p in x]
-        self.groups = [cgk.Group(read, members, self.slack, w, *rest) for w, members, *rest in plan]
+        self.index = cgk.Index(read, plan, self.slack)
         self.short = {}
         count = np.diff(read.first)
         for m in range(1, MIN_WORDS):
@@ -108,7 +108,7 @@ class _Items:
             hit, item, _ = table.hits(keys)
             for k, i in zip(hit.tolist(), item.tolist()):
                 best.setdefault((int(owner[k]), i), (0, docs.begin[at[k]], docs.end[at[k] + m - 1]))
-        for found in (f for group in self.groups for f in group.candidates(docs)):
+        for found in self.index.candidates(docs):
             doc, item, low, high = found[:, self._bound(docs, *found) <= self.slack[found[1]]].tolist()
             for d, i, a, b in zip(doc, item, low, high):
                 a = max(int(docs.bound[d]), a - int(self.slack[i]))
@@ -180,7 +180,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         if ids:
             long = np.flatnonzero(count[kept] >= MIN_WORDS)
             plan = [(w, long[members], *rest) for w, members, *rest in cgk.plan(
-                [texts[i] for i in long], reader, MAX_EDITS, count[kept][long])]
+                [texts[i] for i in long], reader, MAX_EDITS, read.spans()[1][kept][long])]
             sent = spark.sparkContext.broadcast((ids, texts, plan))
             out = out.unionByName(rows.mapInArrow(_search(sent), _FOUND))
     return out

@@ -1,10 +1,13 @@
 """Cases in which an operator once did less than the whole job."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 
-from ledgerlens.llm import cgk, decontamination, language_id, ngram_join, ppm, quality
+from ledgerlens.llm import cgk, decontamination, language_id, ngram_join, ppm, quality, token_output
 from ledgerlens.llm.common import least_hashed
 
 
@@ -89,6 +92,44 @@ def test_recall_holds_at_each_rate_for_items_of_any_size():
         assert min(recall.values()) >= 0.9
 
 
+def test_a_walk_emits_and_moves_by_step_and_character():
+    rng = random.Random(8)
+    text = "".join(rng.choice("abc ") for _ in range(3000))
+    plain = np.array([ord(c) for c in text], np.uint32)
+    walk = cgk.Walk(5, 1)
+    got = walk.keys(plain).tolist()
+    assert got == cgk.Walk(5, 1).keys(plain).tolist() and list(walk.steps)[-1] < 10
+    # One walk at a time: bit t of a character's hash says whether it is left.
+    h = {c: (ord(c) + 1) * int(walk.factor) % 2 ** 32 for c in "abc "}
+    for c in h:
+        h[c] ^= h[c] >> 15
+        h[c] = h[c] * int(walk.mix) % 2 ** 32
+        h[c] ^= h[c] >> 13
+    emitted = {}
+    for start in range(2900):
+        at, out = start, ""
+        for step in range(10):
+            out += text[at] if step in walk.steps else ""
+            at += h[text[at]] >> step & 1
+        emitted.setdefault(out, set()).add(got[start])
+    assert all(len(keys) == 1 for keys in emitted.values())
+    assert len(set.union(*emitted.values())) == len(emitted)
+
+
+def test_walks_over_characters_alone_find_copies_of_long_items_with_typos():
+    rng = random.Random(4)
+    texts = [" ".join(invented(rng, n)) for n in (20, 40, 60) for _ in range(10)]
+    reader = cgk.Reader()
+    sizes = reader.read(texts).spans()[1]
+    plan = cgk.plan(texts, reader, 0.25, sizes)
+    copies = cgk.Copies(texts, reader, 0.25, seed=6)
+    index, found = cgk.Index(copies.items, plan, copies.slack), np.zeros(len(copies.owner), bool)
+    assert all(isinstance(walk, cgk.Walk) for pairs in index.tables.values() for walk, _ in pairs)
+    for doc, item, _, _ in index.candidates(copies.read):
+        found[doc[copies.owner[doc] == item]] = True
+    assert min(found[those].mean() for those in copies.cells.values()) >= 0.9
+
+
 def test_parts_abreast_have_the_least_edit_distance():
     rng = random.Random(6)
     pairs = [("".join(rng.choice("abc ") for _ in range(rng.randrange(1, 65))),
@@ -196,3 +237,37 @@ def test_quality_learns_from_each_text_of_an_id(docs, spark):
     finally:
         quality.saved = saved
     assert seen["quality-train"].count() == 20
+
+
+# 10
+def test_documents_assembled_in_slices_are_the_same():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        encoder = token_output.Encoder(f.read(), 2)
+    rng = random.Random(2)
+    texts = [" ".join(invented(rng, rng.randrange(40))) for _ in range(60)] + [None, "", " ", "Ab.c <| É"]
+    most, got = token_output.SLICE_PIECES, []
+    try:
+        for token_output.SLICE_PIECES in (most, 50, 1):
+            got.append(encoder.encode(pa.array(texts)))
+    finally:
+        token_output.SLICE_PIECES = most
+    for ids, sizes in got[1:]:
+        assert ids.tolist() == got[0][0].tolist() and sizes.tolist() == got[0][1].tolist()
+    ends = np.cumsum(got[0][1])
+    for text, a, b in zip(texts, ends - got[0][1], ends):
+        assert got[0][0][a:b].tolist() == encoder.tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
+
+
+def test_the_arrays_of_a_group_stay_a_few_times_its_text():
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        encoder = token_output.Encoder(f.read(), 2)
+    rng = random.Random(2)
+    some = invented(rng, 2000)
+    texts = pa.array([" ".join(rng.choices(some, k=400)) for _ in range(2000)])
+    encoder.encode(texts.slice(0, 10))
+    tracemalloc.start()
+    encoder.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]  # numpy's arrays and Python's objects
+    tracemalloc.stop()
+    assert peak < 6 * texts.nbytes
