@@ -4,10 +4,10 @@ Training reads a bounded sample of labelled rows (``TRAIN_DOCS`` whole texts a
 language): tasks count byte contexts, Spark adds the counts up, and the frozen
 models travel to the tasks that score. Scoring reads every whole text and
 compares its exact code length under each language's model; the shortest wins.
-The models travel in slices of ``SLICE_LANGUAGES``, each a pass over the
-documents, so what a task holds is bounded whatever the number of languages.
-A language's tree is its own, so a text's code length under it does not depend
-on the other languages of the slice.
+The models are kept in slices of ``SLICE_LANGUAGES`` and travel
+``PASS_LANGUAGES`` at a time, each a pass over the documents, so what a task
+holds is bounded whatever the number of languages. A language's tree is its own,
+so a text's code length under it does not depend on the other languages.
 
 Defined cases: a null text, a text without a letter, and any text when
 nothing could be learned are ``und`` with score 0; ties go to the language
@@ -31,8 +31,9 @@ ship(__name__, ppm.__name__, words.__name__)
 
 UNKNOWN = "und"
 TRAIN_DOCS = 400
-# A language's tables take less than 4 MB, those of a slice less than 64 MB.
-SLICE_LANGUAGES = 16
+SLICE_LANGUAGES = 64
+# A language's tables take less than 4 MB, those of a pass less than 64 MB.
+PASS_LANGUAGES = 16
 
 
 def _gram_counts(batches):
@@ -117,14 +118,16 @@ def predict(docs: DataFrame, model: list[tuple], id_col: str = "doc_id",
     priors) and ``bits`` (its code length) for every document, then the
     columns of ``docs`` named in ``keep`` as ``kept0, kept1, ...``."""
     small_batches(docs.sparkSession)
-    if len(model) == 1:
-        return _scored(docs, model[0], id_col, text_col, keep)
+    passes = [(langs[k:k + PASS_LANGUAGES], per[k:k + PASS_LANGUAGES]) for langs, per in model
+              for k in range(0, max(len(langs), 1), PASS_LANGUAGES)]
+    if len(passes) == 1:
+        return _scored(docs, passes[0], id_col, text_col, keep)
     keyed = row_keyed(docs, "language-rows")
     found = None
-    for trained in model:
+    for trained in passes:
         part = _scored(keyed, trained, "_row", text_col, ())
         found = part if found is None else found.unionByName(part)
-    # The inverse of a slice's score is the sum of 2 ** (least - bits) over it.
+    # The inverse of a pass's score is the sum of 2 ** (least - bits) over it.
     best = found.groupBy("doc_id").agg(
         F.min(F.struct("bits", "lang_pred", "score")).alias("best"),
         F.collect_list(F.struct("bits", "score")).alias("slices"))

@@ -46,6 +46,8 @@ RANGE_BYTES = 16 << 20
 GROUP_BYTES = 18 << 20
 BLOCK_IDS = 1 << 20
 CALL_PIECES = 4_000
+# Words of documents assembled in one go (those of one document at least).
+SLICE_PIECES = 1 << 18
 
 _CHUNK = "part int, chunk int, doc_ids binary, nulls binary, sizes binary, ids binary"
 
@@ -58,17 +60,15 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.end_id = Tokenizer.from_str(spec), end_id
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.folds = self._folds(spec)
+        self.folds = self._folds(self.tokenizer)
         self.closes = np.zeros(max([end_id, *vocabulary.values()]) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     @staticmethod
-    def _folds(spec: str) -> bool:
+    def _folds(t) -> bool:
         """Whether the tokenizer itself lowers case, and always cuts between a
         letter and a full stop, comma and the like, never within a-z
         (checked on its parts)."""
-        from tokenizers import Tokenizer
-        t = Tokenizer.from_str(spec)
         if t.normalizer is None or t.pre_tokenizer is None or t.normalizer.normalize_str("Az") != "az":
             return False
         if [p for p, _ in t.pre_tokenizer.pre_tokenize_str("abz")] != ["abz"]:
@@ -139,7 +139,26 @@ class Encoder:
         place[np.argsort(kind, kind="stable")] = np.arange(len(pieces))
         place[-1] = len(pieces)
         at, n = (np.cumsum(sizes) - sizes)[place].astype(np.int32), sizes[place].astype(np.int32)
-        order = np.insert(coded.indices.to_numpy(), bounds[1:], len(pieces))
+        del texts, split, ids
+        # Some documents at a time: the arrays of a group's words are several
+        # times its text.
+        out, per_text = [np.empty(0, flat.dtype)], [np.empty(0, np.int64)]
+        first = 0
+        while first < len(bounds) - 1:
+            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + SLICE_PIECES, side="right")) - 1)
+            some, count = self._assembled(coded.indices.slice(bounds[first], bounds[last] - bounds[first]),
+                                          bounds[first:last + 1] - bounds[first], at, n, flat)
+            out.append(some)
+            per_text.append(count)
+            first = last
+        return np.concatenate(out), np.concatenate(per_text)
+
+    @staticmethod
+    def _assembled(pieces: pa.Array, bounds: np.ndarray, at: np.ndarray, n: np.ndarray,
+                   flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per text) of the texts whose pieces begin at ``bounds``;
+        ``at``, ``n``: where in ``flat`` a piece's ids are, the end id last."""
+        order = np.insert(pieces.to_numpy(), bounds[1:], len(at) - 1)
         n, begin = n[order], at[order]
         ends = np.cumsum(n, dtype=np.int64)
         closing = ends[bounds[1:] + np.arange(len(bounds) - 1)]
