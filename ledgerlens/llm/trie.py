@@ -5,7 +5,10 @@ similar sets share long prefixes and the tree stores them once. A probe walks
 the tree level by level: the overlap of a prefix with the probe is counted
 once for all sets below it, and a subtree is cut as soon as the overlap so far
 plus what can still come (the smaller of the probe's and the subtree's
-remaining lengths) is below the least overlap any of its sets needs.
+remaining lengths) is below the least overlap any of its sets needs. In a tree
+of many sets, bitmaps of the most frequent elements say first which sets the
+walk can reach at all: elements in common among these, plus what the others can
+add, bound the overlap. Where few sets are left, only their paths are walked.
 
 Two sets of sizes a and b link when 100 * overlap >= 75 * union, that is, when
 their overlap is at least ceil(3 (a + b) / 7).
@@ -15,6 +18,9 @@ from __future__ import annotations
 
 import numpy as np
 
+# Sets from which a tree has bitmaps, and the most elements in them.
+HEAD_SETS, HEAD_BITS = 32, 2048
+
 
 def needed(a, b):
     """Least overlap of linked sets of sizes a and b."""
@@ -97,10 +103,40 @@ class Tree:
             np.maximum.at(deepest, up, deepest[here])
         self.rest = deepest - self.depth
         self.sizes = sizes[self.sets]
+        self.heads = None
+        if len(seqs) >= HEAD_SETS:
+            flat, owner = np.concatenate(seqs), np.repeat(np.arange(len(seqs)), lens)
+            bits = min(HEAD_BITS, 64 * -(-4 * len(flat) // (64 * len(seqs)) or -1))
+            held = np.zeros((len(seqs), bits), bool)
+            held[owner[flat < bits], flat[flat < bits]] = True
+            self.heads = np.packbits(held, axis=1).view(np.uint64)
+            self.others = np.bincount(owner[flat >= bits], minlength=len(seqs))
+            self.flat, self.ends = flat, np.concatenate([[0], np.cumsum(lens)])
+
+    def _possible(self, has: np.ndarray, length: int, size: int) -> np.ndarray:
+        """Sets (by their order in the tree) that the bitmaps leave possible."""
+        head = np.zeros(64 * self.heads.shape[1], bool)
+        part = has[:len(head)]
+        head[:len(part)] = part
+        common = np.bitwise_count(self.heads & np.packbits(head).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        most = common + np.minimum(self.others, length - int(head.sum()))
+        return np.flatnonzero(most >= needed(size, self.sizes))
+
+    def _along(self, paths: np.ndarray, has: np.ndarray, size: int) -> np.ndarray:
+        """Of a few sets, those linked with a probe, counted along their paths."""
+        lens = self.ends[paths + 1] - self.ends[paths]
+        start = np.cumsum(lens) - lens
+        at = np.repeat(self.ends[paths] - start, lens) + np.arange(int(lens.sum()))
+        total = np.concatenate([[0], np.cumsum(has[self.flat[at]])])
+        return self.sets[paths[total[start + lens] - total[start] >= needed(size, self.sizes[paths])]]
 
     def linked(self, has: np.ndarray, before: np.ndarray, length: int, size: int) -> np.ndarray:
         """Sets linked with a probe: ``has`` marks its elements, ``before[t]``
         counts those up to t, ``length`` all of them; ``size`` is its full size."""
+        if self.heads is not None:
+            paths = self._possible(has, length, size)
+            if 8 * len(paths) <= len(self.sets):
+                return self._along(paths, has, size)
         overlap = np.zeros(len(self.depth), np.int64)
         alive = np.zeros(len(self.depth), bool)
         alive[0] = True

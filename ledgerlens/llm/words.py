@@ -124,6 +124,9 @@ def distinct_per_text(hashes: np.ndarray, owner: np.ndarray, n_texts: int):
     order = np.argsort(owner, kind="stable")
     hashes, counts = hashes[order], np.bincount(owner, minlength=n_texts)
     ends = np.cumsum(counts)
-    out = [np.unique(hashes[b - c:b]) for b, c in zip(ends.tolist(), counts.tolist())]
-    sizes = np.fromiter(map(len, out), np.int64, n_texts)
-    return (np.concatenate(out) if out else np.empty(0, np.uint64)), sizes
+    for b, c in zip(ends.tolist(), counts.tolist()):
+        hashes[b - c:b].sort()
+    owner = owner[order]
+    first = np.ones(len(hashes), bool)
+    first[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[first], np.bincount(owner[first], minlength=n_texts)

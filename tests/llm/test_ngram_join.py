@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerlens.llm import ngram_join, trie, words
@@ -121,3 +122,51 @@ def test_word_hashes_see_words_only():
     a = h.words([b"One  two\tthree", b"", b"one\x0btwo"])
     assert a[0][0] == a[0][3] and a[0][1] == a[0][4]
     assert a[3].tolist() == [0, 0, 0, 2, 2] and len(set(a[0].tolist())) == 3
+
+
+def test_bitmaps_lose_no_link(monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.choice(900, (3, 200), replace=False)  # most sets near the first
+    sets = [np.unique(np.where(rng.random(200) < 0.06, rng.integers(0, 3000, 200), base[max(0, k % 5 - 2)]))
+            .astype(np.uint64) for k in range(200)] + [np.empty(0, np.uint64)]
+    freq = np.bincount(np.concatenate(sets).astype(int), minlength=3000)
+    freqs, sizes = [freq[s.astype(int)] for s in sets], np.array([len(s) for s in sets])
+    sides = [(sets[a], freqs[a], sizes[a]) for a in (slice(0, 60), slice(60, None))]
+    found = []
+    for bits in (2048, 64):
+        for least in (1, 10 ** 9):
+            monkeypatch.setattr(trie, "HEAD_SETS", least)
+            monkeypatch.setattr(trie, "HEAD_BITS", bits)
+            found.append((sorted(trie.links(*sides)), trie.components(sets, freqs, sizes).tolist()))
+    assert found[0][0] and all(f == found[0] for f in found)
+
+
+def test_a_shingle_goes_out_in_few_bytes_however_many_the_ranges():
+    # Sets have few shingles in each of many ranges: what names a set there
+    # must not outweigh them.
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(200)) for _ in range(200)]
+    batch = pa.RecordBatch.from_pydict({"_id": pa.array(range(200), pa.int64()), "_text": texts})
+    (out,) = list(ngram_join._send(2000)([batch]))
+    dealt = [len(p) for r, p in zip(out.column("range").to_pylist(), out.column("payload").to_pylist()) if r >= 0]
+    assert sum(dealt) < 22 * 200 * 196
+
+
+def test_families_that_chance_joins_are_cut(docs, monkeypatch):
+    rng = random.Random(8)
+    word = (f"w{k}" for k in range(10 ** 6))
+    pairs, rows = 12, []
+    passages = [[next(word) for _ in range(12)] for _ in range(pairs)]
+    for k in range(pairs):
+        text = [next(word) for _ in range(1000)]
+        copy = list(text)
+        for at in rng.sample(range(1000), 15):
+            copy[at] = next(word)
+        # Passages that only the neighbours have.
+        rows += [(2 * k, " ".join(text + passages[k] + passages[k - 1])), (2 * k + 1, " ".join(copy))]
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 2500)
+    seen, kernel = [], ngram_join._join_families
+    monkeypatch.setattr(ngram_join, "_join_families",
+                        lambda sets, **k: seen.append(sets.select("sid", "family").collect()) or kernel(sets, **k))
+    assert result(docs(rows)) == brute(rows)
+    assert len({bytes(r.family) for r in seen[0]}) == pairs
